@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .mixing import mix_sources
 from .packing import pack
+from .quality import assess
+from .secrets import BASE, KINDS, find_secrets, spelled
 from .sharding import minimax_shards
 
 
@@ -36,8 +38,21 @@ def op7_linear_grouping_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op9_fertility_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = assess(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", "byte_tokens", "entropy", "script")
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    spans = F.col("_spans")
+    base = F.filter(spans, lambda s: s["kind"].isin(*KINDS[:BASE]))
+    count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, KINDS[:BASE]), F.sha2(spelled(base), 256).alias("base_sha256"), spelled(spans).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_source_mixing, op4_minimax_sharding, op7_linear_grouping_packing)}
+    return {f.__name__: f for f in (op3_source_mixing, op4_minimax_sharding, op7_linear_grouping_packing, op9_fertility_quality, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
