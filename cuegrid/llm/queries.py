@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .minhash import near_duplicates
 from .mixing import mix_sources
 from .packing import pack
 from .quality import assess
@@ -38,6 +39,10 @@ def op7_linear_grouping_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op8_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_fertility_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = assess(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", "byte_tokens", "entropy", "script")
@@ -52,7 +57,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_source_mixing, op4_minimax_sharding, op7_linear_grouping_packing, op9_fertility_quality, op10_secret_scan)}
+    return {f.__name__: f for f in (op3_source_mixing, op4_minimax_sharding, op7_linear_grouping_packing, op8_bbit_minhash, op9_fertility_quality, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
