@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import block_pairs, changes, dealt, forest, longs, pairs, whole_groups
+from .blocks import block_pairs, changes, dealt, forest, longs, overlaps, pairs, whole_groups
 from .common import Workspace, chunks
 from .components import connected_components
 from .textscan import buffers, grams, mix, word_hashes, words
@@ -176,27 +176,6 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.select("node", "cluster", "text").mapInArrow(run, "node long, cluster long, n long, members binary")
 
 
-def overlaps(sets: list[np.ndarray], step: int = 1 << 14) -> np.ndarray:
-    """Sizes of all pairwise intersections; columns that only one set has are left out."""
-    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    value = np.concatenate(sets)
-    order = np.argsort(value, kind="stable")
-    value, owner = value[order], owner[order]
-    starts = changes(value)
-    size = np.diff(np.append(starts, len(value)))
-    column = np.repeat(np.cumsum(size > 1) - 1, size)
-    shared = np.repeat(size > 1, size)
-    column, owner = column[shared], owner[shared]
-    out = np.zeros((len(sets), len(sets)), np.int64)
-    width = int(column[-1]) + 1 if len(column) else 0
-    for lo in range(0, width, step):
-        a, b = np.searchsorted(column, (lo, lo + step))
-        m = np.zeros((len(sets), min(step, width - lo)), np.float32)
-        m[owner[a:b], column[a:b] - lo] = 1
-        out += (m @ m.T).astype(np.int64)  # whole numbers up to step, exact in single precision
-    return out
-
-
 def confirmed(units: DataFrame) -> DataFrame:
     """Forests of the true links within cluster units, on full sets."""
 

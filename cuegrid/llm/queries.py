@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .embedding_dedup import linked_vectors
 from .minhash import near_duplicates
 from .mixing import mix_sources
 from .packing import pack
@@ -25,6 +26,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"))
@@ -57,7 +62,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_source_mixing, op4_minimax_sharding, op7_linear_grouping_packing, op8_bbit_minhash, op9_fertility_quality, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_spherical_caps, op3_source_mixing, op4_minimax_sharding, op7_linear_grouping_packing, op8_bbit_minhash, op9_fertility_quality, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -89,7 +89,7 @@ def test_forest(seed):
 def test_overlaps():
     r = random.Random(0)
     sets = [np.unique(np.array(r.choices(range(300), k=k), np.uint64)) for k in (5, 100, 1, 250, 30)]
-    got = minhash.overlaps(sets, step=64)
+    got = blocks.overlaps(sets, step=64)
     for a in range(5):
         for b in range(5):
             if a != b:
