@@ -14,6 +14,7 @@ from .packing import pack
 from .quality import assess
 from .secrets import BASE, KINDS, find_secrets, spelled
 from .sharding import minimax_shards
+from .substring_index import remove_repeats
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +31,10 @@ def op1_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op2_fingerprint_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"))
@@ -62,7 +67,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_spherical_caps, op3_source_mixing, op4_minimax_sharding, op7_linear_grouping_packing, op8_bbit_minhash, op9_fertility_quality, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_spherical_caps, op2_fingerprint_log, op3_source_mixing, op4_minimax_sharding, op7_linear_grouping_packing, op8_bbit_minhash, op9_fertility_quality, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -35,7 +35,7 @@ def powers(mult: np.uint64, n: int) -> np.ndarray:
         p = np.full(size, mult, dtype=np.uint64)
         p[0] = 1
         p = np.multiply.accumulate(p)
-        if size <= 1 << 16:
+        if size <= 1 << 21:
             _powers[int(mult)] = p
     return p
 
@@ -129,3 +129,12 @@ def rolling_min(x: np.ndarray, width: int) -> np.ndarray:
         size *= 2
     rest = width - size
     return np.minimum(cur[: len(cur) - rest], cur[rest:]) if rest else cur
+
+
+def run_hashes(h: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    """Hashes of the word runs [start, end), by prefix sums."""
+    n = len(h)
+    mult = int(MULT[which])
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * powers(MULT[which], n)[:n], dtype=np.uint64)))
+    back = powers(np.uint64(pow(mult, -1, 1 << 64)), n)[start]
+    return mix((total[end] - total[start]) * back + (end - start).astype(np.uint64))
