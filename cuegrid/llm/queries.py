@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .embedding_dedup import linked_vectors
+from .langid import fit, fold, predict
 from .minhash import near_duplicates
 from .mixing import mix_sources
 from .packing import pack
@@ -45,6 +46,12 @@ def op4_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False)).alias("held_out")
+    return predict(docs, fit(docs)).select("doc_id", held_out, "lang_pred", "score")
+
+
 def op7_linear_grouping_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
@@ -67,7 +74,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_spherical_caps, op2_fingerprint_log, op3_source_mixing, op4_minimax_sharding, op7_linear_grouping_packing, op8_bbit_minhash, op9_fertility_quality, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_spherical_caps, op2_fingerprint_log, op3_source_mixing, op4_minimax_sharding, op5_byte_network, op7_linear_grouping_packing, op8_bbit_minhash, op9_fertility_quality, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
