@@ -48,13 +48,20 @@ class Workspace:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def _files(self, target: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(target)
+        return path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), path
+
+    def exists(self, name: str) -> bool:
+        """Whether a table has been written to its end."""
+        files, path = self._files(f"{self.path(name)}/_SUCCESS")
+        return files.exists(path)
+
     def drop(self, *names: str) -> None:
         """Deletes tables that no later step reads; the whole workspace without names."""
-        jvm = self.spark._jvm
-        conf = self.spark._jsparkSession.sessionState().newHadoopConf()
         for target in [self.path(n) for n in names] or [self.root]:
-            p = jvm.org.apache.hadoop.fs.Path(target)
-            p.getFileSystem(conf).delete(p, True)
+            files, path = self._files(target)
+            files.delete(path, True)
 
 
 def ranked(ws: Workspace, df: DataFrame, order: list[Column], sums: dict[str, str], name: str) -> DataFrame:

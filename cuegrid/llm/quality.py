@@ -30,7 +30,7 @@ class Band(NamedTuple):
 
     chars_per_token: tuple[float, float]
     byte_share: float  # at most
-    entropy_share: float  # at least; entropy / log2(tokens), 1 if all tokens differ
+    entropy_share: float  # at least; entropy / log2(tokens), with no more than FULL_TOKENS
 
 
 #: Scripts told apart by the lead bytes of their UTF-8 letters, and their bands. A text whose
@@ -48,6 +48,8 @@ BANDS = {
 }
 #: With fewer tokens than this the token statistics say nothing and only the plain rules hold.
 LEAST_TOKENS = 50
+#: The entropy of a text stops growing with its length; longer texts are held to this many tokens.
+FULL_TOKENS = 1024
 
 
 def _script_table() -> np.ndarray:
@@ -172,7 +174,7 @@ def assess(docs: DataFrame, vocabulary: str, bands: dict[str, Band] = BANDS, kee
             limit = [bands.get(s, bands["other"]) for s in script]
             some = np.maximum(count, 1)
             fertility, share = chars / some, fallback / some
-            spread = entropy / np.log2(np.maximum(count, 2))
+            spread = entropy / np.log2(np.clip(count, 2, FULL_TOKENS))
             low = np.array([b.chars_per_token[0] for b in limit])
             high = np.array([b.chars_per_token[1] for b in limit])
             odd = (fertility < low) | (fertility > high) | (share > np.array([b.byte_share for b in limit])) | (spread < np.array([b.entropy_share for b in limit]))
