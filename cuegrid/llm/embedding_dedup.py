@@ -114,6 +114,8 @@ def filters(classes: DataFrame, codewords: int, cosine: float) -> DataFrame:
 def _first_common(lists: list[np.ndarray], unit: np.ndarray, key: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Whether the key of their unit is the least that rows i and j have in common."""
     out = np.zeros(len(i), bool)
+    if not len(i):
+        return out
     order = np.argsort(unit[i], kind="stable")
     starts = changes(unit[i][order])
     for lo, hi in zip(starts, np.append(starts[1:], len(order)), strict=True):
