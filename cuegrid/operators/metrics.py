@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.language import reconcile, spaced, to_code
 from ..functions.text import content_mass, line_end_penalty, spaced_tokens
 from .intervals import TRACK
-from .timing import ORDER, UPTO
+from .timing import ordered, so_far
 
 
 def vote_language(chunks: DataFrame, default: str | None = "english") -> DataFrame:
@@ -54,7 +54,7 @@ def cue_metrics(cues: DataFrame, by: list[str]) -> DataFrame:
     """Durations, reading speeds and bad line ends of cues (track_id, seq, start, end, text, lang), one row per ``by``."""
     dur = F.col("end") - F.col("start")
     chars = F.length(F.regexp_replace("text", "[ \n]", ""))
-    last = F.lead("seq").over(ORDER).isNull()
+    last = F.lead("seq").over(ordered()).isNull()
     bad = line_end_penalty(tail_token(F.col("text"), F.col("lang")), F.col("lang")) >= 2
     rows = cues.withColumn("_d", dur).withColumn("_cps", F.when(dur > 0, chars / dur)).withColumn("_bad", F.when(~last, F.when(bad, 1.0).otherwise(0.0)))
     return rows.groupBy(*by).agg(
@@ -79,7 +79,7 @@ def mid_phrase_cuts(cues: DataFrame, phrases: DataFrame, offline_s: float) -> Da
     pause of ``offline_s`` is a pause break, any other a length break.
     """
     chars = F.length(F.regexp_replace("text", "[ \n]", ""))
-    rows = cues.withColumn("offset", F.sum(chars).over(UPTO)).withColumn("_gap", F.lead("start").over(ORDER) - F.col("end"))
+    rows = cues.withColumn("offset", F.sum(chars).over(so_far())).withColumn("_gap", F.lead("start").over(ordered()) - F.col("end"))
     rows = rows.where(F.col("_gap").isNotNull()).join(phrases.select(TRACK, "offset").distinct().withColumn("_whole", F.lit(True)), [TRACK, "offset"], "left")
     paused, mid = F.col("_gap") >= offline_s, F.col("_whole").isNull()
     out = rows.groupBy(TRACK).agg(

@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.layout import wrap_column
 from ..functions.text import dash_parts, is_dash_cue, lyric_display, one_line, strip_for_translation
@@ -73,7 +74,7 @@ def translated_cues(cues: DataFrame, answers: DataFrame, lang: str | None, wrapp
     return rows.withColumn("text", out).select(cues.columns)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
     """Similarity ratio of two texts by matching blocks."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])

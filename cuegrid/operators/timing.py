@@ -15,13 +15,25 @@ TWO_FRAMES = 2.0 / 24.0
 CHAIN_GAP_S = 0.5
 LINGER_S = 1.0
 HELD_GAP_S = 1.0
-ORDER = Window.partitionBy(TRACK).orderBy("seq")
-BEFORE = ORDER.rowsBetween(Window.unboundedPreceding, -1)
-UPTO = ORDER.rowsBetween(Window.unboundedPreceding, 0)
-AFTER = ORDER.rowsBetween(1, Window.unboundedFollowing)
 SPEAKABLE = r"[\p{L}\p{N}]"
 
 
+def ordered() -> Window:
+    return Window.partitionBy(TRACK).orderBy("seq")
+
+
+def earlier() -> Window:
+    return ordered().rowsBetween(Window.unboundedPreceding, -1)
+
+
+def so_far() -> Window:
+    return ordered().rowsBetween(Window.unboundedPreceding, 0)
+
+
+def later() -> Window:
+    return ordered().rowsBetween(1, Window.unboundedFollowing)
+
+
 def shift(units: DataFrame, offset: Column) -> DataFrame:
     return units.withColumn("start", F.col("start") + offset).withColumn("end", F.col("end") + offset)
 
@@ -39,7 +51,7 @@ def clamp_spans(spans: DataFrame, min_s: float = 0.05) -> DataFrame:
 
 def gaps(units: DataFrame) -> DataFrame:
     """Adds prev_end and gap_ms: the pause before each unit, null unless positive and known."""
-    prev = F.lag("end").over(ORDER)
+    prev = F.lag("end").over(ordered())
     gap = (F.col("start") - F.col("prev_end")) * 1000.0
     return units.withColumn("prev_end", prev).withColumn("gap_ms", F.when(gap > 0, gap))
 
@@ -64,7 +76,7 @@ def break_flags(units: DataFrame, clause_ms: Column, skip_ms: Column, offline_ms
 
 def cue_numbers(units: DataFrame) -> DataFrame:
     """Adds ``cue``: the number of breaks up to and including the unit."""
-    return units.withColumn("cue", F.sum(F.when(F.col("brk"), 1).otherwise(0)).over(UPTO))
+    return units.withColumn("cue", F.sum(F.when(F.col("brk"), 1).otherwise(0)).over(so_far()))
 
 
 def block_spans(units: DataFrame, block: str = "block") -> DataFrame:
@@ -74,7 +86,7 @@ def block_spans(units: DataFrame, block: str = "block") -> DataFrame:
 
 def rescue_tiny(cues: DataFrame, trigger: float = 0.2, target: float = 0.5) -> DataFrame:
     """Cues shorter than ``trigger`` last until start + ``target``, over at most one following cue."""
-    after, second = F.lead("start", 1).over(ORDER), F.lead("start", 2).over(ORDER)
+    after, second = F.lead("start", 1).over(ordered()), F.lead("start", 2).over(ordered())
     want = F.col("start") + target
     free = after.isNull() | (want <= after)
     upto = F.when(free, want).otherwise(F.least(want, F.coalesce(second, F.lit(float("inf")))))
@@ -84,10 +96,10 @@ def rescue_tiny(cues: DataFrame, trigger: float = 0.2, target: float = 0.5) -> D
 def fill_inserted(spans: DataFrame, gap_s: float = 2.0, default_s: float = 2.0) -> DataFrame:
     """Times for rows without: an even share of the pause around them if that is short, else fixed steps."""
     known = F.col("start").isNotNull()
-    run = F.sum(F.when(known, 1).otherwise(0)).over(UPTO)
+    run = F.sum(F.when(known, 1).otherwise(0)).over(so_far())
     rows = spans.withColumn("_known", known).withColumn("_run", run)
-    rows = rows.withColumn("_prev", F.last(F.when(F.col("_known"), F.col("end")), ignorenulls=True).over(BEFORE))
-    rows = rows.withColumn("_next", F.first(F.when(F.col("_known"), F.col("start")), ignorenulls=True).over(AFTER))
+    rows = rows.withColumn("_prev", F.last(F.when(F.col("_known"), F.col("end")), ignorenulls=True).over(earlier()))
+    rows = rows.withColumn("_next", F.first(F.when(F.col("_known"), F.col("start")), ignorenulls=True).over(later()))
     within = Window.partitionBy(TRACK, "_run", "_known")
     rows = rows.withColumn("_k", (F.row_number().over(within.orderBy("seq")) - 1).cast("double")).withColumn("_n", F.count(F.lit(1)).over(within))
     near = (F.col("_next") - F.col("_prev") <= gap_s) & (F.col("_next") > F.col("_prev"))
@@ -103,9 +115,9 @@ def fill_inserted(spans: DataFrame, gap_s: float = 2.0, default_s: float = 2.0)
 def interpolate_missing(units: DataFrame) -> DataFrame:
     """Units without positive duration take times by index between timed neighbours, to the millisecond."""
     timed = F.coalesce(F.col("end") > F.col("start"), F.lit(False))
-    rows = units.withColumn("_i", F.row_number().over(ORDER)).withColumn("_ok", timed)
+    rows = units.withColumn("_i", F.row_number().over(ordered())).withColumn("_ok", timed)
     anchor = F.when(F.col("_ok"), F.struct("_i", "start", "end"))
-    rows = rows.withColumn("_p", F.last(anchor, ignorenulls=True).over(BEFORE)).withColumn("_q", F.first(anchor, ignorenulls=True).over(AFTER))
+    rows = rows.withColumn("_p", F.last(anchor, ignorenulls=True).over(earlier())).withColumn("_q", F.first(anchor, ignorenulls=True).over(later()))
     p, q = F.col("_p"), F.col("_q")
     part = (F.col("_i") - p["_i"]) / (q["_i"] - p["_i"])
 
@@ -136,9 +148,9 @@ def relocate_zero_runs(units: DataFrame, speech: DataFrame, eps: float = 0.05, m
     """
     flat = F.col("end") - F.col("start") <= eps
     rows = units.withColumn("_flat", flat)
-    rows = rows.withColumn("_run", F.sum(F.when(F.col("_flat"), 0).otherwise(1)).over(UPTO))
-    rows = rows.withColumn("_prev", F.coalesce(F.last(F.when(~F.col("_flat"), F.col("end")), ignorenulls=True).over(BEFORE), F.lit(0.0)))
-    rows = rows.withColumn("_next", F.coalesce(F.first(F.when(~F.col("_flat"), F.col("start")), ignorenulls=True).over(AFTER), F.lit(1e12)))
+    rows = rows.withColumn("_run", F.sum(F.when(F.col("_flat"), 0).otherwise(1)).over(so_far()))
+    rows = rows.withColumn("_prev", F.coalesce(F.last(F.when(~F.col("_flat"), F.col("end")), ignorenulls=True).over(earlier()), F.lit(0.0)))
+    rows = rows.withColumn("_next", F.coalesce(F.first(F.when(~F.col("_flat"), F.col("start")), ignorenulls=True).over(later()), F.lit(1e12)))
     runs = rows.where("_flat").groupBy(TRACK, "_run").agg(
         F.count(F.lit(1)).alias("_len"), F.count_if(F.col("text").rlike(SPEAKABLE)).alias("_alnum"), F.min_by("start", "seq").alias("_at"), F.first("_prev").alias("_p"), F.first("_next").alias("_n")
     )
@@ -165,9 +177,9 @@ def pull_stranded_runs(units: DataFrame, speech: DataFrame, tol: float = 0.5, ep
     point = interval_join(units.where("end = start").select(TRACK, "seq", "start", "end"), speech, how="closed", bucket_s=bucket_s)
     heard = long.select(TRACK, "seq").union(point.select(TRACK, "seq")).distinct().withColumn("_in", F.lit(True))
     rows = units.join(heard, [TRACK, "seq"], "left").withColumn("_out", F.col("_in").isNull())
-    rows = rows.withColumn("_run", F.sum(F.when(F.col("_out"), 0).otherwise(1)).over(UPTO))
-    rows = rows.withColumn("_prev", F.coalesce(F.last(F.when(~F.col("_out"), F.col("end")), ignorenulls=True).over(BEFORE), F.lit(0.0)))
-    rows = rows.withColumn("_next", F.coalesce(F.first(F.when(~F.col("_out"), F.col("start")), ignorenulls=True).over(AFTER), F.lit(float("inf"))))
+    rows = rows.withColumn("_run", F.sum(F.when(F.col("_out"), 0).otherwise(1)).over(so_far()))
+    rows = rows.withColumn("_prev", F.coalesce(F.last(F.when(~F.col("_out"), F.col("end")), ignorenulls=True).over(earlier()), F.lit(0.0)))
+    rows = rows.withColumn("_next", F.coalesce(F.first(F.when(~F.col("_out"), F.col("start")), ignorenulls=True).over(later()), F.lit(float("inf"))))
     runs = rows.where("_out").groupBy(TRACK, "_run").agg(
         F.min_by("start", "seq").alias("_rs"), F.max_by("end", "seq").alias("_re"), F.count_if(F.col("text").rlike(SPEAKABLE)).alias("_alnum"), F.first("_prev").alias("_p"), F.first("_next").alias("_n")
     )
@@ -231,7 +243,7 @@ def polish_timing(cues: DataFrame, min_cue_s: Column, max_cue_s: Column, cps: Co
     it changes nothing more. Cues have (track_id, seq, start, end) and word_data, an array
     of (start, end).
     """
-    after = F.lead("start").over(ORDER)
+    after = F.lead("start").over(ordered())
     dur = F.col("end") - F.col("start")
     wish = F.greatest(
         dur,

@@ -9,6 +9,7 @@ from ..functions.scores import clean_speech_flag, sing_flag, song_flag
 from ..operators import intervals as iv
 from ..operators.folds import pack_segments
 from ..operators.intervals import BUCKET_S, TRACK
+from .durable import settled
 
 
 def detect_song_spans(scores: DataFrame, width: float = 2.0, gap: float = 2.0, min_span: float = 3.0, bucket_s: float = BUCKET_S) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -38,14 +39,15 @@ def plan_song_skip(
     edges snapped into silences; the rest is packed without crossing a cut.
     """
     length = F.col("end") - F.col("start")
+    songs, sings, segments, speech, silences = map(settled, (songs, sings, segments.select(TRACK, "start", "end"), speech, silences))
     long_sing = sings.where(length >= min_skip_s)
-    expanded = iv.expand_to_voiced_blocks(numbered(segments.select(TRACK, "start", "end")), numbered(songs), long_sing, speech, bucket_s=bucket_s)
-    rescued = iv.rescue_speech(numbered(speech), segments, bucket_s=bucket_s).select(TRACK, "start", "end")
-    segments = segments.select(TRACK, "start", "end").unionByName(rescued)
-    silences = iv.subtract_spans(numbered(silences.select(TRACK, "start", "end")), rescued, bucket_s)
+    expanded = settled(iv.expand_to_voiced_blocks(numbered(segments.select(TRACK, "start", "end")), numbered(songs), long_sing, speech, bucket_s=bucket_s))
+    rescued = settled(iv.rescue_speech(numbered(speech), segments, bucket_s=bucket_s).select(TRACK, "start", "end"))
+    segments = segments.unionByName(rescued)
+    silences = settled(iv.subtract_spans(numbered(silences.select(TRACK, "start", "end")), rescued, bucket_s))
     long_cut = expanded.where(length >= min_skip_s)
     short = iv.not_overlapping(numbered(sings.where(length < min_skip_s)), long_cut, bucket_s=bucket_s).select(TRACK, "start", "end")
-    kept, cut = iv.excise_spans(numbered(segments), long_cut.unionByName(short), silences, bucket_s=bucket_s)
+    kept, cut = map(settled, iv.excise_spans(numbered(segments), settled(long_cut.unionByName(short)), silences, bucket_s=bucket_s))
     grouped = iv.group_by_spans(numbered(kept.select(TRACK, "start", "end")), cut, bucket_s)
     return {"expanded": expanded, "cut": cut, "kept": kept.select(TRACK, "start", "end"), "chunks": pack_segments(grouped, max_chunk_s, "grp")}
 
@@ -54,6 +56,6 @@ def timing_reference(voice: DataFrame, songs: DataFrame, speech: DataFrame, resc
     """Speech spans to time words by: voice without what is sung, with the rescued speech outside songs."""
     sung = iv.subtract_spans(numbered(songs), speech, bucket_s).select(TRACK, "start", "end")
     none = songs.where("false").select(TRACK, "start", "end")
-    kept, _ = iv.excise_spans(numbered(voice.select(TRACK, "start", "end")), sung, none, bucket_s=bucket_s)
+    kept, _ = iv.excise_spans(numbered(voice.select(TRACK, "start", "end")), settled(sung), none, bucket_s=bucket_s)
     added = iv.subtract_spans(numbered(rescued), songs, bucket_s).select(TRACK, "start", "end").where("end > start")
     return iv.coalesce_spans(kept.select(TRACK, "start", "end").unionByName(added))

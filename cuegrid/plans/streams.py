@@ -31,7 +31,7 @@ def word_stream(documents: DataFrame) -> DataFrame:
 def event_spans(events: DataFrame) -> DataFrame:
     """Spans (track_id, seq, kind, start, end) of events, in hours since the start of 2024."""
     micros = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts)")
-    start, length = F.floor(micros / 3600000), F.floor(F.col("value") * 250)
+    start, length = F.floor(micros / 3600000), F.floor(F.col("value") * 50)
     return events.select(F.col("user_id").alias("track_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("kind"), (start / 1000.0).alias("start"), ((start + length) / 1000.0).alias("end"))
 
 

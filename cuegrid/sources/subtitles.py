@@ -10,6 +10,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.text import ass_time, is_lyric, lyric_display, lyric_text, parse_time, srt_time, vtt_time
 
@@ -20,7 +21,7 @@ ASS_FIELDS = ["layer", "start", "end", "style", "name", "marginl", "marginr", "m
 MEDIA_RANK = ["mkv", "mp4", "mov", "webm", "avi", "m4v", "ts", "flv", "m4a", "mp3", "wav", "flac", "aac", "ogg", "opus"]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode_text(content: pd.Series) -> pd.Series:
     """Bytes to text: a byte order mark decides, then UTF-8, then GB18030, then Windows-1252; null if none fits."""
 
