@@ -214,7 +214,7 @@ def dominant_label(spans: DataFrame, turns: DataFrame, floor_s: float = 0.05, la
     """
     pairs = interval_join(spans.where("end > start").select(TRACK, "seq", "start", "end"), turns.select(TRACK, "seq", "start", "end", label), bucket_s=bucket_s)
     length = overlap(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end"))
-    sums = pairs.groupBy(TRACK, "seq", F.col(f"r_{label}").alias(label)).agg(F.sum(length).alias("_ov"), F.min(F.struct("r_start", "r_end", "r_seq")).alias("_first"))
+    sums = pairs.groupBy(TRACK, "seq", F.col(f"r_{label}").alias(label)).agg(F.round(F.sum(length), 6).alias("_ov"), F.min(F.struct("r_start", "r_end", "r_seq")).alias("_first"))
     rank = F.row_number().over(Window.partitionBy(TRACK, "seq").orderBy(F.desc("_ov"), "_first"))
     best = sums.withColumn("_r", rank).where("_r = 1").where(F.col("_ov") >= floor_s)
     return spans.join(best.select(TRACK, "seq", label), [TRACK, "seq"], "left")

@@ -32,7 +32,7 @@ def adaptive_clause_ms(paused: DataFrame, low: int = 300, high: int = 800, least
     """
     short = F.when((F.col("gap_ms") > 0) & (F.col("gap_ms") < 2000), F.col("gap_ms"))
     found = paused.groupBy(TRACK).agg(F.count(short).alias("_n"), F.percentile(short, share).alias("_p"))
-    value = F.greatest(F.lit(low), F.least(F.lit(high), F.bround(F.col("_p") * margin).cast("int")))
+    value = F.greatest(F.lit(low), F.least(F.lit(high), F.bround(F.round(F.col("_p") * margin, 6)).cast("int")))
     return found.select(TRACK, F.when(F.col("_n") >= least, value).alias("clause_ms"))
 
 

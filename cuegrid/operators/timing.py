@@ -159,7 +159,7 @@ def relocate_zero_runs(units: DataFrame, speech: DataFrame, eps: float = 0.05, m
     segments = speech.where(F.col("end") - F.col("start") > eps).groupBy(TRACK).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_segs"))
     fit = F.filter("_segs", lambda s: (s["start"] >= F.col("_p") - eps) & (s["end"] <= F.col("_n") + eps))
     best = F.array_min(F.transform(fit, lambda s: F.struct(F.abs(s["start"] - F.col("_at")).alias("d"), s["start"].alias("s"), s["end"].alias("e"))))
-    runs = runs.join(segments, TRACK).withColumn("_best", best)
+    runs = runs.join(segments, TRACK).withColumn("_best", best).where("_best is not null")
     runs = runs.select(TRACK, "_run", F.lit(True).alias("_hit"), F.greatest("_p", F.col("_best")["s"]).alias("_lo"), F.least("_n", F.col("_best")["e"]).alias("_hi"))
     rows = rows.join(runs.where(F.col("_hi") - F.col("_lo") > eps), [TRACK, "_run"], "left").withColumn("_run", F.when(F.col("_flat"), F.col("_run")).otherwise(-F.col("_run") - 1))
     rows = _spread(rows, F.col("_lo"), F.col("_hi"), F.col("_flat") & F.col("_hit"))
