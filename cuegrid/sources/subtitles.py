@@ -182,7 +182,7 @@ def ass_header(height: int = 1080, width: int = 1920, font: str = "Arial") -> st
 
 def ass_text(text: Column) -> Column:
     t = F.translate(text, "{}", "()")
-    t = F.regexp_replace(F.regexp_replace(t, "(?i)<i>", "{\\\\\\\\i1}"), "(?i)</i>", "{\\\\\\\\i0}")
+    t = F.regexp_replace(F.regexp_replace(t, "(?i)<i>", "{\\\\i1}"), "(?i)</i>", "{\\\\i0}")
     return F.replace(F.regexp_replace(t, r"</?[a-zA-Z][^>]*>", ""), F.lit("\n"), F.lit("\\N"))
 
 
@@ -237,4 +237,4 @@ def language_of_path(path: Column) -> Column:
 def shot_times(log: DataFrame) -> DataFrame:
     """Distinct cut times (track_id, t) from detector log lines (track_id, value)."""
     found = F.regexp_extract_all("value", F.lit(r"pts_time:([0-9]+(?:\.[0-9]+)?)"), F.lit(1))
-    return log.select("track_id", F.explode(found).cast("double").alias("t")).distinct()
+    return log.select("track_id", F.explode(found).alias("t")).select("track_id", F.col("t").cast("double").alias("t")).distinct()

@@ -29,15 +29,16 @@ def pack_stream(segments: DataFrame, max_s: float, delay: str = "1 hour", idle_m
     """Greedy chunks over a stream of segments (track_id, ts, start, end); state per track is one open chunk.
 
     Segments that arrive in one batch are taken in order of start. A chunk is emitted when
-    the next segment no longer fits, and at the latest ``idle_ms`` after the track falls silent.
+    the next segment no longer fits, and once the watermark is ``idle_ms`` past the track's last segment.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         open_ = state.get if state.exists else None
-        out = []
+        out, latest = [], state.getCurrentWatermarkMs() + 1
         if state.hasTimedOut:
             out, open_ = [open_], None
         for frame in frames:
+            latest = max(latest, int(frame["ts"].max().timestamp() * 1000) + idle_ms)
             for s, e in frame.sort_values(["start", "end"])[["start", "end"]].itertuples(index=False):
                 if open_ and e - open_[0] <= max_s:
                     open_ = (open_[0], max(open_[1], e))
@@ -49,7 +50,7 @@ def pack_stream(segments: DataFrame, max_s: float, delay: str = "1 hour", idle_m
                 open_ = (s, e)
         if open_:
             state.update(open_)
-            state.setTimeoutDuration(idle_ms)
+            state.setTimeoutTimestamp(latest)
         elif state.exists:
             state.remove()
         yield pd.DataFrame([(key[0], *c) for c in out], columns=["track_id", "start", "end"])
@@ -58,5 +59,5 @@ def pack_stream(segments: DataFrame, max_s: float, delay: str = "1 hour", idle_m
     return (
         segments.withWatermark("ts", delay)
         .groupBy("track_id")
-        .applyInPandasWithState(run, f"track_id {kind}, start double, end double", "start double, end double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+        .applyInPandasWithState(run, f"track_id {kind}, start double, end double", "start double, end double", "append", GroupStateTimeout.EventTimeTimeout)
     )

@@ -164,7 +164,6 @@ def test_streaming_chunks(spark, tmp_path):
     rows = spark.createDataFrame([(1, 0.0, 4.0), (1, 5.0, 9.0), (1, 10.0, 14.0), (1, 15.0, 40.0)], "track_id long, start double, end double").withColumn("ts", F.timestamp_seconds(F.col("start") + 1_700_000_000))
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    q = streaming.pack_stream(stream, 10.0).writeStream.format("memory").queryName("chunks").outputMode("append").start()
-    q.processAllAvailable()
-    q.stop()
+    q = streaming.pack_stream(stream, 10.0).writeStream.format("memory").queryName("chunks").outputMode("append").trigger(availableNow=True).start()
+    assert q.awaitTermination(90)
     assert sorted((r["start"], r["end"]) for r in spark.table("chunks").collect()) == [(0.0, 9.0), (10.0, 14.0), (15.0, 25.0), (25.0, 35.0)]
