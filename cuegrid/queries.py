@@ -16,7 +16,7 @@ from .functions import language as lg
 from .functions import text as tx
 from .functions.layout import wrap_column
 from .functions.scores import clean_speech_flag, sing_flag, song_flag
-from .operators import align, folds, metrics, review, semantic, speakers, timing
+from .operators import align, clauses, folds, metrics, review, seams, semantic, speakers, timing
 from .operators import intervals as iv
 from .plans import replay, songs
 from .plans.streams import event_spans, score_windows, table, turn_stream, word_stream
@@ -889,3 +889,41 @@ def s14_sound_tags(spark, d):
 @query("p9_time_codes", f"""WITH {SPANS} SELECT track_id, seq, printf('%02d:%02d:%02d,%03d', round_even(s * 1000, 0)::BIGINT // 3600000, round_even(s * 1000, 0)::BIGINT // 60000 % 60, round_even(s * 1000, 0)::BIGINT // 1000 % 60, round_even(s * 1000, 0)::BIGINT % 1000) AS srt FROM a""")
 def p9_time_codes(spark, d):
     return _spans(spark, d, *A_KINDS).select("track_id", "seq", tx.srt_time(F.col("start")).alias("srt"))
+
+
+def _texts(spark, d):
+    return table(spark, d, "documents").select(F.col("doc_id").alias("track_id"), "lang", "text")
+
+
+@query("x19_comma_clauses")
+def x19_comma_clauses(spark, d):
+    return clauses.clause_table(_texts(spark, d))
+
+
+@query("q1_clause_cues")
+def q1_clause_cues(spark, d):
+    return clauses.clause_cues(_texts(spark, d), _words(spark, d))
+
+
+@query("q10_untimed_cues")
+def q10_untimed_cues(spark, d):
+    return clauses.split_untimed(_cues(spark, d).select("track_id", "seq", "lang", "text", "start", "end"), F.lit(2))
+
+
+@query("q13_one_segment", f"WITH {WORDS} SELECT track_id, lang, min(s) AS \"start\", max(e) AS \"end\", string_agg(text, ' ' ORDER BY seq) AS text FROM words GROUP BY track_id, lang")
+def q13_one_segment(spark, d):
+    return clauses.one_segment(_words(spark, d))
+
+
+@query("j15_anchors", f"WITH {TOKENS} SELECT track_id, seq, text, seq AS found, true AS ok FROM tok WHERE seq % 10 = 0")
+def j15_anchors(spark, d):
+    words = _words(spark, d).select("track_id", "seq", "text")
+    heads = words.where("seq % 10 = 0").select("track_id", "seq", F.col("seq").alias("at"), "text")
+    return clauses.anchored_words(heads, words).select("track_id", "seq", "text", "found", "ok")
+
+
+@query("c3_pending_items", "SELECT conv_id AS track_id, turn AS i FROM conversations WHERE turn % 2 = 1")
+def c3_pending_items(spark, d):
+    items = _turns(spark, d).select("track_id", F.col("seq").alias("i"), F.col("text").alias("t"))
+    done = items.where("i % 2 = 0").select("track_id", F.sha1(F.col("t").cast("binary")).alias("signature"), "i")
+    return seams.pending(items, done).select("track_id", "i")
