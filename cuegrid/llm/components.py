@@ -8,19 +8,21 @@ from pyspark.sql import functions as F
 from .common import Workspace
 
 
-def _least(links: DataFrame) -> DataFrame:
-    return links.groupBy("u").agg(F.min("v").alias("m"))
+def _least(ws: Workspace, links: DataFrame, name: str) -> DataFrame:
+    """Least neighbour of each node. Written, so that both sides of the join after it come from
+    exchanges of their own and Spark can split a node with many links over tasks."""
+    return ws.save(links.groupBy("u").agg(F.min("v").alias("m")), f"{name}_least")
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(ws: Workspace, links: DataFrame, name: str) -> DataFrame:
     both = links.union(links.select("v", "u")).toDF("u", "v")
-    least = _least(both).withColumn("m", F.least("u", "m"))
+    least = _least(ws, both, f"{name}_large").withColumn("m", F.least("u", "m"))
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(ws: Workspace, links: DataFrame, name: str) -> DataFrame:
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = _least(down)
+    least = _least(ws, down, f"{name}_small")
     out = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return out.union(least.select("u", F.col("m").alias("v")))
 
@@ -38,7 +40,8 @@ def connected_components(ws: Workspace, links: DataFrame, name: str = "links") -
     before, k = None, 0
     while True:
         k += 1
-        now = ws.save(_small_star(_large_star(state).distinct()).distinct(), f"{name}_{k}")
+        large = ws.save(_large_star(ws, state, name).distinct(), f"{name}_half")
+        now = ws.save(_small_star(ws, large, name).distinct(), f"{name}_{k}")
         mark = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if k > 1:
             ws.drop(f"{name}_{k - 1}")
