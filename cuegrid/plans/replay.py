@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.language import max_line_length, max_lines, spaced, thresholds
 from ..functions.layout import wrap_column
 from ..functions.text import join_tokens, merge_stutters, reading_chars, strip_punctuation
-from ..operators import folds
+from ..operators import folds, packing
 from ..operators.intervals import BUCKET_S, TRACK, nearest_point
 from ..operators.timing import break_flags, cue_numbers, polish_timing
 
@@ -18,6 +18,18 @@ def cues_from_words(words: DataFrame, speech: DataFrame | None = None, clause_ms
     th = thresholds(F.col("lang"))
     limit = lambda name, given: F.lit(given) if given is not None else th[name]
     flagged = cue_numbers(break_flags(words, limit("clause_ms", clause_ms), limit("skip_ms", skip_ms), limit("offline_ms", offline_ms), speech, bucket_s))
+    return cues_of(flagged)
+
+
+def segmented(words: DataFrame, speech: DataFrame | None = None, bucket_s: float = BUCKET_S) -> DataFrame:
+    """Cues as ``cues_from_words``, moreover within the width and duration of their language, cut where least is left hanging."""
+    th = thresholds(F.col("lang"))
+    flagged = break_flags(words, th["clause_ms"], th["skip_ms"], th["offline_ms"], speech, bucket_s)
+    return cues_of(packing.pack_cues(packing.unstick(flagged, F.col("lang"), th["clause_ms"], th["skip_ms"])))
+
+
+def cues_of(flagged: DataFrame) -> DataFrame:
+    """Cues of words that know their cue."""
     parts = F.array_sort(F.collect_list(F.struct("seq", "text", "start", "end")))
     rows = flagged.groupBy(TRACK, F.col("cue").cast("int").alias("seq"), "lang").agg(F.min("start").alias("start"), F.max("end").alias("end"), parts.alias("_w"))
     text = join_tokens(F.transform("_w", lambda w: w["text"]), spaced(F.col("lang")))

@@ -927,3 +927,14 @@ def c3_pending_items(spark, d):
     items = _turns(spark, d).select("track_id", F.col("seq").alias("i"), F.col("text").alias("t"))
     done = items.where("i % 2 = 0").select("track_id", F.sha1(F.col("t").cast("binary")).alias("signature"), "i")
     return seams.pending(items, done).select("track_id", "i")
+
+
+@query("q7_pack_cues")
+def q7_pack_cues(spark, d):
+    return replay.segmented(_words(spark, d)).select("track_id", "seq", "text", "start", "end")
+
+
+@query("q12_split_replay")
+def q12_split_replay(spark, d):
+    """The whole way from words to finished cues."""
+    return replay.full_polish(replay.segmented(_words(spark, d))).select("track_id", "seq", "text", "start", "end")
