@@ -35,12 +35,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that with the least doc_id.
+    """Of each group linked by similarities of 0.8 or more one document stays, that with the least doc_id.
 
     Of fully repeated rows one stays; rows without doc_id all stay.
     """
     ws = Workspace(spark, "dedup")
-    gone = ws.save(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "gone")
+    gone = ws.save(near_duplicates(docs, percent=80).where("not kept").select("doc_id").distinct(), "gone")
     out = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     repeats = ws.save(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeats")
     if repeats.isEmpty():

@@ -24,10 +24,8 @@ from .textscan import buffers, grams, mix, word_hashes, words
 
 SHINGLE = 5
 MINIMA, BITS, BANDS, BAND_ROWS = 128, 4, 25, 5
-#: Estimates above this go on to confirmation: 4.5 standard errors below a similarity of 0.85.
-LEAST_ESTIMATE = 0.7
-#: A link: LINK[0] * intersection >= LINK[1] * union.
-LINK = (100, 85)
+#: Estimates from so many standard errors below the similarity looked for go on to confirmation.
+MARGIN = 4.5
 #: Rows of a block when comparing signatures; rows and shingles of a block when confirming.
 SIGNATURE_BLOCK, SET_BLOCK, SET_WEIGHT = 512, 64, 200_000
 
@@ -93,6 +91,13 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (equal / MINIMA - chance) / (1 - chance)
 
 
+def least_estimate(percent: int) -> float:
+    """The estimate from which pairs of that similarity are confirmed; about 0.70 for 85, 0.63 for 80."""
+    chance, s = 1 / (1 << BITS), percent / 100
+    p = chance + (1 - chance) * s
+    return s - MARGIN * (p * (1 - p) / MINIMA) ** 0.5 / (1 - chance)
+
+
 def band_keys(minima: np.ndarray) -> np.ndarray:
     """One 64-bit key per band (rows x BANDS), different bands apart."""
     v = minima[:, : BANDS * BAND_ROWS].astype(np.uint64).reshape(len(minima), BANDS, BAND_ROWS)
@@ -143,8 +148,8 @@ def _star(node: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
 
 
-def alike(units: DataFrame) -> DataFrame:
-    """Forests of pairs in band units whose estimate is high enough."""
+def alike(units: DataFrame, least: float) -> DataFrame:
+    """Forests of pairs in band units whose estimate is ``least`` or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in whole_groups(batches, "key"):
@@ -152,7 +157,7 @@ def alike(units: DataFrame) -> DataFrame:
             bits = np.frombuffer(b"".join(group.column(group.schema.get_field_index("packed")).to_pylist()), np.uint64).reshape(group.num_rows, -1)
             links = []
             for i, j in pairs(changes(key, bi, bj), len(node), own, bi, bj, 1 << 17):
-                good = estimate(bits[i], bits[j]) >= LEAST_ESTIMATE
+                good = estimate(bits[i], bits[j]) >= least
                 links.append((i[good], j[good]))
             yield _star(node, forest(len(node), links))
 
@@ -176,8 +181,8 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.select("node", "cluster", "text").mapInArrow(run, "node long, cluster long, n long, members binary")
 
 
-def confirmed(units: DataFrame) -> DataFrame:
-    """Forests of the true links within cluster units, on full sets."""
+def confirmed(units: DataFrame, percent: int) -> DataFrame:
+    """Forests of the true links within cluster units, on full sets: 100 * intersection >= percent * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in whole_groups(batches, "cluster", "members"):
@@ -188,7 +193,7 @@ def confirmed(units: DataFrame) -> DataFrame:
             for lo, hi in zip(starts, np.append(starts[1:], len(node)), strict=True):
                 both = overlaps(sets[lo:hi])
                 union = n[lo:hi, None] + n[None, lo:hi] - both
-                good = (LINK[0] * both >= LINK[1] * union) & (union > 0)
+                good = (100 * both >= percent * union) & (union > 0)
                 if bi[lo] != bj[lo]:
                     good &= own[lo:hi, None] != own[None, lo:hi]
                 i, j = np.nonzero(np.triu(good, 1))
@@ -198,8 +203,8 @@ def confirmed(units: DataFrame) -> DataFrame:
     return dealt(units, "cluster").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row.
+def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row; links from ``percent`` similarity on.
 
     Null or empty text, or text without words: n_shingles 0, a component of its own, kept.
     Null doc_id: linked with nothing, component null, kept. Rows that share a doc_id count
@@ -214,12 +219,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     postings = classes.select("node", F.explode("bands").alias("key")).distinct()
     units = block_pairs(postings, "key", "node", SIGNATURE_BLOCK)
     packed = classes.groupBy("node").agg(F.first("packed").alias("packed"))
-    edges = alike(units.join(packed, "node"))
+    edges = alike(units.join(packed, "node"), least_estimate(percent))
     clusters = connected_components(ws, edges, "alike").withColumnRenamed("component", "cluster")
     clusters = ws.save(clusters, "clusters")
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(clusters, "node")
     sets = ws.save(shingle_sets(texts), "sets")
-    links = confirmed(block_pairs(sets, "cluster", "node", SET_BLOCK, "n", SET_WEIGHT))
+    links = confirmed(block_pairs(sets, "cluster", "node", SET_BLOCK, "n", SET_WEIGHT), percent)
     components = connected_components(ws, links, "linked")
     homes = classes.select("digest", "node").join(components, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(homes, "digest", "left")

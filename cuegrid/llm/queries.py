@@ -98,7 +98,7 @@ def op7_linear_grouping_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
 def op9_fertility_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

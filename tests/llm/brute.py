@@ -64,10 +64,10 @@ def shingles(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
 
 
-def near_components(rows):
+def near_components(rows, percent=85):
     """doc_id -> (n_shingles, component) for (doc_id, text) rows."""
     s = [shingles(t) for _, t in rows]
-    links = [(i, j) for i in range(len(rows)) for j in range(i) if s[i] and s[j] and 100 * len(s[i] & s[j]) >= 85 * len(s[i] | s[j])]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if s[i] and s[j] and 100 * len(s[i] & s[j]) >= percent * len(s[i] | s[j])]
     comp = closest_components(len(rows), links)
     least = defaultdict(lambda: None)
     for (d, _), c in zip(rows, comp):

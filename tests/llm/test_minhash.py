@@ -37,11 +37,11 @@ def near_corpus(seed=4):
 def test_near_duplicates_equal_plain(spark, monkeypatch):
     rows = near_corpus()
     frame = spark.createDataFrame([(d, t, 5, "clash") for d, t in rows], SCHEMA).repartition(4)
-    want = brute.near_components(rows)
-    for block in (64, 3):
+    for block, percent in ((64, 85), (3, 80)):
+        want = brute.near_components(rows, percent)
         monkeypatch.setattr(minhash, "SET_BLOCK", block)
         monkeypatch.setattr(minhash, "SIGNATURE_BLOCK", 4 * block)
-        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(frame).collect()}
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(frame, percent).collect()}
         assert got == want
     assert len({c for _, c in want.values()}) < len(want) - 50
 

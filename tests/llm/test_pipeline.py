@@ -99,7 +99,7 @@ def test_stages_one_by_one(spark, docs):
     assert kept == Counter(tuple(r) for r in rows if not plain_quality(r["text"])[5])
     unique = stage["near_dedup"](spark, docs, "")
     distinct = {r["doc_id"]: r["text"] for r in rows if r["doc_id"] is not None}
-    want = {d for d, (_, c) in brute.near_components(list(distinct.items())).items() if c == d}
+    want = {d for d, (_, c) in brute.near_components(list(distinct.items()), 80).items() if c == d}
     got = [r["doc_id"] for r in unique.collect()]
     assert Counter(got) == Counter([*want, None])
     safe = {(r["doc_id"], r["source"]): r for r in stage["secret_scan"](spark, docs, "").collect()}
