@@ -156,64 +156,68 @@ def _absorb(into: dict, cue: dict, text: str) -> None:
     into["word_data"] = into["word_data"] + cue["word_data"]
 
 
+def _micro_pass(rows: list[dict], gap_s: float, line: int, max_s: float, min_s: float, lines: int, floor_s: float) -> list[dict]:
+    out, forced = [], []
+    for cue in rows:
+        last = out[-1] if out else None
+        if last is not None and cue["start"] - last["end"] < gap_s:
+            text = joined(last["text"], cue["text"], cue["lang"])
+            span = cue["end"] - last["start"]
+            fit = span <= max_s and fits(text, line, 1, cue["lang"])
+            collapsed = max(last["end"] - last["start"], cue["end"] - cue["start"]) < floor_s or (min_s > 0 and span < min_s)
+            if fit or collapsed:
+                _absorb(last, cue, text)
+                forced[-1] |= not fit
+                continue
+        out.append(cue)
+        forced.append(False)
+    for cue, again in zip(out, forced, strict=True):
+        if again:
+            cue["text"] = wrap(cue["text"], cue["lang"], lines)
+    return out
+
+
+def _glue_pass(rows: list[dict], gap_s: float, line: int, lines: int, max_s: float) -> list[dict]:
+    def room(a: dict | None, b: dict | None, lang: str) -> float | None:
+        """The pause between two cues if they may be joined."""
+        if a is None or b is None or b["start"] - a["end"] >= gap_s or b["end"] - a["start"] > max_s:
+            return None
+        return b["start"] - a["end"] if fits(joined(a["text"], b["text"], lang), line, lines, lang) else None
+
+    out: list[dict] = []
+    for k, cue in enumerate(rows):
+        after = rows[k + 1] if k + 1 < len(rows) else None
+        if is_fragment(cue["text"], cue["lang"]):
+            back, ahead = room(out[-1] if out else None, cue, cue["lang"]), room(cue, after, cue["lang"])
+            if ahead is not None and (back is None or ahead < back):
+                after["text"] = joined(cue["text"], after["text"], cue["lang"])
+                after["start"] = min(cue["start"], after["start"])
+                after["word_data"] = cue["word_data"] + after["word_data"]
+                continue
+            if back is not None:
+                _absorb(out[-1], cue, joined(out[-1]["text"], cue["text"], cue["lang"]))
+                continue
+        out.append(cue)
+    return out
+
+
 def merge_micro(cues: DataFrame, gap_s: float, line: int, max_s: float, min_s: float = 0.0, lines: int = 1, floor_s: float = 0.08) -> DataFrame:
     """Cues less than ``gap_s`` apart become one if that fits a line and ``max_s``.
 
     Cues that collapsed to almost nothing, or that together stay below ``min_s``, are
     folded whatever their length, and wrapped anew.
     """
-
-    def change(rows: list[dict]) -> list[dict]:
-        out, forced = [], []
-        for cue in rows:
-            last = out[-1] if out else None
-            if last is not None and cue["start"] - last["end"] < gap_s:
-                text = joined(last["text"], cue["text"], cue["lang"])
-                span = cue["end"] - last["start"]
-                fit = span <= max_s and fits(text, line, 1, cue["lang"])
-                collapsed = max(last["end"] - last["start"], cue["end"] - cue["start"]) < floor_s or (min_s > 0 and span < min_s)
-                if fit or collapsed:
-                    _absorb(last, cue, text)
-                    forced[-1] |= not fit
-                    continue
-            out.append(cue)
-            forced.append(False)
-        for cue, again in zip(out, forced, strict=True):
-            if again:
-                cue["text"] = wrap(cue["text"], cue["lang"], lines)
-        return out
-
-    return cues if gap_s <= 0 else _per_track(cues, change)
+    return cues if gap_s <= 0 else _per_track(cues, lambda rows: _micro_pass(rows, gap_s, line, max_s, min_s, lines, floor_s))
 
 
 def glue_fragments(cues: DataFrame, gap_s: float, line: int, lines: int, max_s: float) -> DataFrame:
     """A lone short word joins the neighbour that is nearer, the previous one of two, within budget and cap."""
+    return cues if gap_s <= 0 else _per_track(cues, lambda rows: _glue_pass(rows, gap_s, line, lines, max_s))
 
-    def change(rows: list[dict]) -> list[dict]:
-        out: list[dict] = []
-        for k, cue in enumerate(rows):
-            after = rows[k + 1] if k + 1 < len(rows) else None
-            if is_fragment(cue["text"], cue["lang"]):
-
-                def room(a: dict | None, b: dict | None) -> float | None:
-                    """The pause between two cues if they may be joined."""
-                    if a is None or b is None or b["start"] - a["end"] >= gap_s or b["end"] - a["start"] > max_s:
-                        return None
-                    return b["start"] - a["end"] if fits(joined(a["text"], b["text"], cue["lang"]), line, lines, cue["lang"]) else None
-
-                back, ahead = room(out[-1] if out else None, cue), room(cue, after)
-                if ahead is not None and (back is None or ahead < back):
-                    after["text"] = joined(cue["text"], after["text"], cue["lang"])
-                    after["start"] = min(cue["start"], after["start"])
-                    after["word_data"] = cue["word_data"] + after["word_data"]
-                    continue
-                if back is not None:
-                    _absorb(out[-1], cue, joined(out[-1]["text"], cue["text"], cue["lang"]))
-                    continue
-            out.append(cue)
-        return out
-
-    return cues if gap_s <= 0 else _per_track(cues, change)
+
+def merge_and_glue(cues: DataFrame, gap_s: float, line: int, lines: int, max_s: float, min_s: float, floor_s: float = 0.08) -> DataFrame:
+    """``merge_micro`` and then ``glue_fragments`` in one visit to each track."""
+    return cues if gap_s <= 0 else _per_track(cues, lambda rows: _glue_pass(_micro_pass(rows, gap_s, line, max_s, min_s, lines, floor_s), gap_s, line, lines, max_s))
 
 
 def _moved_start(start: float, cut: float) -> float:

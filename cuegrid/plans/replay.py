@@ -81,7 +81,7 @@ def finish_text(cues: DataFrame) -> DataFrame:
 
 def full_polish(cues: DataFrame, shots: DataFrame | None = None, line: int = 42, lines: int = 2, max_s: float = 7.0, bucket_s: float = BUCKET_S) -> DataFrame:
     """Micro cues merged, fragments glued, timing polished, edges moved to shot changes, text finished."""
-    out = polish(folds.glue_fragments(folds.merge_micro(cues, 0.3, line, max_s, 0.5, lines), 0.3, line, lines, max_s))
+    out = polish(folds.merge_and_glue(cues, 0.3, line, lines, max_s, 0.5))
     if shots is not None:
         for side in ("start", "end"):
             near = nearest_point(out.select(TRACK, "seq", F.col(side).alias("t")), shots, 0.458, bucket_s)

@@ -327,6 +327,15 @@ def test_merge_and_glue(spark):
     assert [r["text"] for r in got.where("track_id = 2").orderBy("seq").collect()] == ["a long clause of its own here", "oh what a day that was"]
 
 
+def test_one_visit_equals_two(spark):
+    r = random.Random(6)
+    frame = cue_frame(spark, {t: random_cues(r, 12) for t in range(20)})
+    two = folds.glue_fragments(folds.merge_micro(frame, 0.3, 42, 7.0, 0.5, 2), 0.3, 42, 2, 7.0)
+    one = folds.merge_and_glue(frame, 0.3, 42, 2, 7.0, 0.5)
+    key = lambda d: sorted((x["track_id"], x["seq"], x["text"], x["start"], x["end"], len(x["word_data"])) for x in d.collect())
+    assert key(one) == key(two) and len(key(one)) < frame.count()
+
+
 def test_windows_by_count_and_size(spark):
     rows = spark.createDataFrame([(1, k, n) for k, n in enumerate([5, 5, 50, 1, 1, 1, 1])], "track_id long, seq int, n int")
     got = [r["window"] for r in folds.plan_windows(rows, "n", 3, 12).orderBy("seq").collect()]
