@@ -22,7 +22,7 @@ from .textscan import buffers, grams, mix, word_hashes, words
 SYMBOLS = b"#*$%&|<>"
 SPACES = b"\x20\t\n\x0b\x0c\r"
 CONTINUATION = bytes(range(0x80, 0xC0))
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 
 
 class Band(NamedTuple):
@@ -147,13 +147,16 @@ def assess(docs: DataFrame, vocabulary: str, bands: dict[str, Band] = BANDS, kee
     table: no rows. Columns beyond ``keep`` are ignored.
     """
     keep = ["doc_id"] if keep is None else keep
-    given = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col("text").alias("_text"))
+    named = [F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)]
+    # a text that is kept anyway goes to the workers once
+    source = f"_k{keep.index('text')}" if "text" in keep else "_text"
+    given = docs.select(*named, *([F.col("text").alias("_text")] if source == "_text" else []))
     head = ", ".join(f"_k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
     tail = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_tokens long, byte_tokens long, entropy double, script string, kept boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches, "_text", CHUNK):
-            text = part.column(len(keep))
+        for part in chunks(batches, source, CHUNK):
+            text = part.column(part.schema.get_field_index(source))
             data, bounds = buffers(text)
             starts, ends, first = words(data, bounds)
             h = word_hashes(data, starts, ends)
