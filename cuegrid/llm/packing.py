@@ -15,6 +15,7 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,10 @@ def byte_encoder(path: str) -> Callable[[str], np.ndarray]:
     import tiktoken
     from tokenizers import Tokenizer
 
-    plain = Tokenizer.from_file(path)
+    @cache
+    def plain() -> Tokenizer:  # large, and most texts never need it
+        return Tokenizer.from_file(path)
+
     with open(path, encoding="utf-8") as f:
         vocabulary = json.load(f)["model"]["vocab"]
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -53,7 +57,7 @@ def byte_encoder(path: str) -> Callable[[str], np.ndarray]:
     fast = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> np.ndarray:
-        ids = plain.encode(text, add_special_tokens=False).ids if _PLAIN.search(text) else fast.encode_ordinary(text)
+        ids = plain().encode(text, add_special_tokens=False).ids if _PLAIN.search(text) else fast.encode_ordinary(text)
         return np.array(ids, dtype=np.uint32)
 
     _encoders[path] = encode

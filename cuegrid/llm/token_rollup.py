@@ -135,10 +135,15 @@ def counted(docs: DataFrame, vocabularies: list[str], revise: Callable[[str], st
     return given.mapInArrow(run, "doc_id long, source string, lang string, version string, n_tokens long, revised long")
 
 
-def exact_copies(docs: DataFrame) -> DataFrame:
-    """doc_id of documents whose text is that of a document with a smaller doc_id."""
+def exact_copies(ws: Workspace, docs: DataFrame) -> DataFrame:
+    """doc_id of documents whose text is that of a document with a smaller doc_id.
+
+    Both sides of the join are written first, so that Spark can split a text with many copies.
+    """
     keyed = docs.where("doc_id is not null and text is not null").select("doc_id", F.unhex(F.sha2("text", 256)).alias("key"))
+    keyed = ws.save(keyed, "keyed")
     first = keyed.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("last > first")
+    first = ws.save(first, "first")
     return keyed.join(first, "key").where("doc_id > first").select("doc_id").distinct()
 
 
@@ -151,7 +156,7 @@ def corpus_rollup(docs: DataFrame, vocabularies: list[str]) -> TokenRollup:
     load = rows.select(*event("insert", F.col("n_tokens")))
     rollup.commit("load", load)
     rollup.commit("tidy", rows.where("revised is not null").select(*event("revise", F.col("revised"))))
-    copies = exact_copies(docs)
+    copies = exact_copies(rollup.ws, docs)
     rollup.commit("copies", rows.join(copies, "doc_id").select(*event("delete", F.lit(None))))
     rollup.commit("load", load)
     return rollup
