@@ -172,16 +172,23 @@ def fold(doc_id: Column) -> Column:
 def labelled_sample(docs: DataFrame, per_lang: int) -> DataFrame:
     """(lang, piece) of at most ``per_lang`` labelled texts per language outside the held-out fold.
 
-    The first by hash within a language. A language's rows are thinned by hash to about
-    twice the bound before they meet, and a piece is at most WINDOW characters, so neither
-    a hot language nor a large table brings more to a task.
+    The first by hash within a language. Rows are thinned by hash to about twice the bound
+    of their language while the table is read, before any exchange, and a piece is at most
+    WINDOW characters, so neither a hot language nor a large table brings more to a task.
+    Of a language with at most twice the bound every row stays.
     """
-    named = F.col("lang").isNotNull() & (fold(F.col("doc_id")) != 2)
-    counts = docs.where(named).groupBy("lang").agg(F.count(F.lit(1)).alias("_rows"))
+    labelled = docs.where(F.col("lang").isNotNull() & (fold(F.col("doc_id")) != 2))
+    # one number per language: the network has an output for each of them anyway
+    sizes = labelled.groupBy("lang").count().collect()
+    share = {r["lang"]: 2.0 * per_lang / r["count"] for r in sizes if r["count"] > 2 * per_lang}
+    thin = F.lit(True)
+    if share:
+        shares = F.create_map(*[F.lit(x) for item in share.items() for x in item])
+        place = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 31)) / F.lit(float(1 << 31))
+        thin = place < F.coalesce(F.element_at(shares, F.col("lang")), F.lit(1.0))
     u = F.xxhash64("doc_id")
     room = F.greatest(F.length("text") - WINDOW, F.lit(1))
-    few = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 31)) * F.col("_rows") < F.lit(float(1 << 32) * per_lang)
-    rows = docs.select("doc_id", "lang", "text").where(named & F.col("text").rlike(r"\p{L}")).join(counts, "lang").where(few)
+    rows = labelled.where(thin).where(F.col("text").rlike(r"\p{L}"))
     rows = rows.select("lang", u.alias("_u"), F.substring("text", (F.pmod(u, room) + 1).cast("int"), F.lit(WINDOW)).alias("piece"))
     first = F.row_number().over(Window.partitionBy("lang").orderBy("_u", "piece"))
     return rows.withColumn("_n", first).where(F.col("_n") <= per_lang).select("lang", "piece", "_u")
