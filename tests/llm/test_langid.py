@@ -113,6 +113,15 @@ def test_sample_leaves_the_held_out_fold(spark):
     assert len(pieces) == 200 - len(held) and not pieces & held
 
 
+def test_sample_of_a_hot_language_is_full_and_bounded(spark):
+    rows = [(i, f"text number {i}", "hot" if i % 50 else "rare", None, 0) for i in range(6000)]
+    frame = spark.createDataFrame(rows, SCHEMA).select("doc_id", "text", "lang")
+    per_lang = 200
+    got = langid.labelled_sample(frame, per_lang).groupBy("lang").count().collect()
+    rare = sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(0, 6000, 50))
+    assert {r["lang"]: r["count"] for r in got} == {"hot": per_lang, "rare": rare}
+
+
 def test_without_labels_or_rows(spark):
     frame = spark.createDataFrame([(1, "abc", None, "", 0)], SCHEMA)
     assert fit(frame) is None
