@@ -14,7 +14,7 @@ from cuegrid.llm.common import Workspace
 from cuegrid.llm.minhash import near_duplicates
 from cuegrid.llm.mixing import mix_sources, repeated
 from cuegrid.llm.packing import pack
-from cuegrid.llm.quality import assess
+from cuegrid.llm.quality import assess, corpus_bands, within_corpus
 from cuegrid.llm.queries import tokenizer_file
 from cuegrid.llm.secrets import find_secrets
 
@@ -28,9 +28,13 @@ def _plain(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the fertility rules reject go."""
-    plain = _plain(docs)
-    judged = assess(plain, tokenizer_file("piece_bpe_32k.model"), keep=plain.columns)
+    """Documents that the fertility rules reject go.
+
+    The texts are read twice, for the bands and for the verdict, and never written in between.
+    """
+    plain, vocabulary = _plain(docs), tokenizer_file("piece_bpe_32k.model")
+    bands = Workspace(spark, "quality").save(corpus_bands(assess(plain, vocabulary, keep=[c for c in plain.columns if c == "lang"])), "bands")
+    judged = within_corpus(assess(plain, vocabulary, keep=plain.columns), bands)
     return judged.where("kept").select(plain.columns).toDF(*docs.columns)
 
 

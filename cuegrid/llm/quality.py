@@ -3,7 +3,9 @@
 A public vocabulary with byte fallback measures each document: characters per token, the
 share of byte-fallback tokens, and the entropy of its tokens. Documents outside the bands
 of their script are rejected, besides those that fail the plain rules (too few words, or
-too many words in repeated windows).
+too many words in repeated windows). The bands of a script are wide; ``corpus_bands``
+derives narrow ones from all documents of one language, script and length, and
+``within_corpus`` holds the documents to them as well.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks
@@ -41,15 +43,20 @@ BANDS = {
     "greek": Band((0.8, 7.0), 0.6, 0.3),
     "cyrillic": Band((1.0, 7.0), 0.3, 0.3),
     "semitic": Band((0.5, 7.0), 0.8, 0.25),
-    "indic": Band((0.25, 7.0), 1.0, 0.2),
-    "cjk": Band((0.3, 7.0), 1.0, 0.2),
-    "hangul": Band((0.3, 7.0), 1.0, 0.2),
-    "other": Band((0.2, 8.0), 1.0, 0.2),
+    "indic": Band((0.25, 7.0), 0.6, 0.2),
+    "cjk": Band((0.3, 7.0), 0.6, 0.2),
+    "hangul": Band((0.3, 7.0), 0.6, 0.2),
+    "other": Band((0.2, 8.0), 0.6, 0.4),
 }
-#: With fewer tokens than this the token statistics say nothing and only the plain rules hold.
-LEAST_TOKENS = 50
+#: With fewer tokens than this only the plain rules hold; a text that passes them has as many.
+LEAST_TOKENS = 20
 #: The entropy of a text stops growing with its length; longer texts are held to this many tokens.
 FULL_TOKENS = 1024
+#: Half the width of a corpus band, in robust standard deviations, and the least of these for each figure.
+WIDTH = 4.0
+LEAST_SPREAD = {"fertility": 0.02, "share": 0.02, "spread": 0.01}
+#: A group of fewer documents has no bands of its own; those of its script hold alone.
+LEAST_GROUP = 100
 
 
 def _script_table() -> np.ndarray:
@@ -187,3 +194,41 @@ def assess(docs: DataFrame, vocabulary: str, bands: dict[str, Band] = BANDS, kee
 
     out = given.mapInArrow(run, f"{head}, {tail}" if keep else tail)
     return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], *[c.split()[0] for c in tail.split(", ")])
+
+
+def _figures() -> dict[str, Column]:
+    count = F.greatest(F.col("n_tokens"), F.lit(1))
+    full = F.least(F.greatest(F.col("n_tokens"), F.lit(2)), F.lit(FULL_TOKENS))
+    return {"fertility": F.col("word_chars") / count, "share": F.col("byte_tokens") / count, "spread": F.col("entropy") / F.log2(full)}
+
+
+def _group(judged: DataFrame) -> dict[str, Column]:
+    """Language (where there is such a column), script, and the power of two of the length, up to FULL_TOKENS."""
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in judged.columns else F.lit("")
+    length = F.floor(F.log2(F.least(F.greatest(F.col("n_tokens"), F.lit(1)), F.lit(FULL_TOKENS)))).cast("int")
+    return {"_lang": lang, "_script": F.col("script"), "_length": length}
+
+
+def corpus_bands(judged: DataFrame) -> DataFrame:
+    """Bands (_lang, _script, _length, and a middle and a reach for each figure) from every document that passes the plain rules.
+
+    ``judged`` is what ``assess`` returns. Quartiles are exact to the third decimal and
+    merge across tasks, so the bands do not depend on how rows are dealt.
+    """
+    rows = judged.where("not base_failed").select(*[c.alias(k) for k, c in _group(judged).items()], *[F.round(c, 3).alias(k) for k, c in _figures().items()])
+    quarters = F.array(*map(F.lit, (0.25, 0.5, 0.75)))
+    groups = rows.groupBy("_lang", "_script", "_length").agg(F.count(F.lit(1)).alias("_n"), *[F.percentile(k, quarters).alias(k) for k in LEAST_SPREAD])
+    # the quartiles of a normal distribution lie 1.349 standard deviations apart
+    reach = {f"_{k}_reach": WIDTH * F.greatest((F.col(k)[2] - F.col(k)[0]) / 1.349, F.lit(least)) for k, least in LEAST_SPREAD.items()}
+    middle = {f"_{k}_middle": F.col(k)[1] for k in LEAST_SPREAD}
+    return groups.where(F.col("_n") >= LEAST_GROUP).select("_lang", "_script", "_length", *[c.alias(k) for k, c in (middle | reach).items()])
+
+
+def within_corpus(judged: DataFrame, bands: DataFrame) -> DataFrame:
+    """``judged`` with ``kept`` also false outside the corpus bands: fertility on either side, much byte fallback, little entropy."""
+    off = {k: c - F.col(f"_{k}_middle") for k, c in _figures().items()}
+    reach = {k: F.col(f"_{k}_reach") for k in off}
+    odd = (F.abs(off["fertility"]) > reach["fertility"]) | (off["share"] > reach["share"]) | (-off["spread"] > reach["spread"])
+    # bounded: a row for each group of LEAST_GROUP documents or more
+    rows = judged.withColumns(_group(judged)).join(F.broadcast(bands), ["_lang", "_script", "_length"], "left")
+    return rows.withColumn("kept", F.col("kept") & ~F.coalesce(odd, F.lit(False))).select(judged.columns)

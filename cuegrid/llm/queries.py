@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import Workspace
 from .embedding_dedup import linked_vectors
 from .langid import fit, fold, predict
 from .minhash import near_duplicates
 from .mixing import mix_sources
 from .packing import pack
-from .quality import assess
+from .quality import assess, corpus_bands, within_corpus
 from .secrets import BASE, KINDS, find_secrets, spelled
 from .sharding import minimax_shards
 from .substring_index import remove_repeats
@@ -102,7 +103,9 @@ def op8_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_fertility_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = assess(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+    docs = table(spark, sf_dir, "documents")
+    figures = Workspace(spark, "quality").save(assess(docs, tokenizer_file("piece_bpe_32k.model"), keep=["doc_id", "lang"]), "figures")
+    judged = within_corpus(figures, corpus_bands(figures))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", "byte_tokens", "entropy", "script")
 
 

@@ -10,7 +10,7 @@ from collections import Counter
 import pytest
 import sentencepiece
 
-from cuegrid.llm.quality import LEAST_TOKENS, assess
+from cuegrid.llm.quality import LEAST_TOKENS, assess, corpus_bands, within_corpus
 from cuegrid.llm.queries import tokenizer_file
 from cuegrid.llm.secrets import KINDS, base62, checksum_holds, find_secrets, redact, scan, spelled
 
@@ -74,6 +74,30 @@ def test_quality_bands_reject_noise(spark):
     assert got == {0: False, 1: False, 2: True}
 
 
+def test_every_script_has_a_limit(spark):
+    r = random.Random(4)
+    glyphs = lambda lo, hi: " ".join("".join(chr(r.randint(lo, hi)) for _ in range(4)) for _ in range(100))
+    digits = " ".join(str(r.randint(10**6, 10**8)) for _ in range(150))
+    korean = "대한민국의 수도는 서울이며 인구는 약 천만 명이다. 오늘 아침에는 비가 많이 내려서 학교에 늦게 도착했다. 그는 책을 읽고 나서 친구에게 편지를 썼다."
+    rows = [(0, glyphs(0xAC00, 0xD7A3), "", 0), (1, glyphs(0x1F600, 0x1F64F), "", 0), (2, glyphs(0x4E00, 0x9FFF), "", 0), (3, digits, "", 0), (4, korean, "", 0)]
+    got = {x["doc_id"]: (x["base_failed"], x["kept"]) for x in assess(spark.createDataFrame(rows, SCHEMA), tokenizer_file("piece_bpe_32k.model")).collect()}
+    assert got == {k: (False, k == 4) for k in range(5)}
+
+
+def test_corpus_bands_reject_what_the_language_is_not(spark):
+    r = random.Random(8)
+    stems = "water house river garden winter summer letter number people mother father silver market corner island the of and to in".split()
+    rows = [(i, " ".join(r.choices(stems, k=90)), "en") for i in range(150)]
+    letters = lambda of, n: " ".join("".join(r.choices(of, k=6)) for _ in range(n))
+    rows += [(200, letters("abcdefghijklmnopqrstuvwxyz", 22), "en"), (201, letters("asdfjkl", 22), "en"), (202, letters("abcdefghijklmnopqrstuvwxyz", 22), None), (203, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    judged = assess(frame, tokenizer_file("piece_bpe_32k.model"), keep=["doc_id", "lang"])
+    got = {x["doc_id"]: x for x in within_corpus(judged, corpus_bands(judged)).collect()}
+    assert len(got) == len(rows) and not got[203]["kept"]
+    assert all(got[i]["kept"] for i in range(150)) and not any(got[i]["base_failed"] for i in (200, 201, 202))
+    assert not got[200]["kept"] and not got[201]["kept"]
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 
 
