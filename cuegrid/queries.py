@@ -509,6 +509,18 @@ def j16_positional_slices(spark, d):
     return align.distribute_units(words, blocks).select("track_id", "seq", "block")
 
 
+@query(
+    "j16_slices_of_all_words",
+    f"""WITH {TOKENS}, n AS (SELECT track_id, (seq // 10)::INT AS block, count(*) AS n FROM tok GROUP BY 1, 2), h AS (SELECT *, sum(n) OVER (PARTITION BY track_id ORDER BY block ROWS UNBOUNDED PRECEDING) AS hi FROM n)
+SELECT tok.track_id, tok.seq, h.block FROM tok LEFT JOIN h ON h.track_id = tok.track_id AND tok.seq >= h.hi - h.n AND tok.seq < h.hi""",
+)
+def j16_slices_of_all_words(spark, d):
+    """Blocks made from every word, one per ten, so that no unit is left over."""
+    words = _words(spark, d).select("track_id", "seq")
+    blocks = words.groupBy("track_id", F.floor(F.col("seq") / 10).cast("int").alias("seq")).agg(F.count(F.lit(1)).alias("n"))
+    return align.distribute_units(words, blocks).select("track_id", "seq", "block")
+
+
 # ---------------------------------------------------------------- timing of units
 
 
