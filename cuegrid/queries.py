@@ -831,7 +831,7 @@ def d5_speaker_format(spark, d):
 
 def _bounded(spark, d):
     flagged = timing.break_flags(_words(spark, d), F.lit(400), F.lit(1000), F.lit(700))
-    return semantic.windows(semantic.hard_boundaries(flagged), 24)
+    return semantic.windows(semantic.hard_boundaries(flagged))
 
 
 @query("b1_hard_boundaries")
@@ -840,9 +840,9 @@ def b1_hard_boundaries(spark, d):
 
 
 def _edges(spark, d):
-    edges = semantic.legal_edges(_bounded(spark, d), F.lit(84), 7.0, 24)
+    edges = semantic.legal_edges(_bounded(spark, d), F.lit(84), 7.0)
     n = F.col("dst") - F.col("src")
-    return semantic.edge_quality(edges, n * 5, n, F.lit(17.0), 0.5, 7.0, 0.25, 3.0, F.lit(None).cast("double"))
+    return semantic.edge_quality(edges, F.col("chars"), n, F.lit(17.0), 0.5, 7.0, 0.25, 3.0, F.col("next_start"))
 
 
 @query("b4_edge_quality")
