@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuegrid.llm.common import Workspace
-from cuegrid.llm.minhash import near_duplicates
+from cuegrid.llm.minhash import near_duplicates, word_digest
 from cuegrid.llm.mixing import mix_sources, repeated
 from cuegrid.llm.packing import pack
 from cuegrid.llm.quality import assess, corpus_bands, within_corpus
@@ -41,16 +41,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by similarities of 0.8 or more one document stays, that with the least doc_id.
 
-    Of fully repeated rows one stays; rows without doc_id all stay.
+    Of fully repeated rows one stays; rows without doc_id all stay. Rows that share a doc_id
+    but not their text are judged one by one.
     """
     ws = Workspace(spark, "dedup")
-    gone = ws.save(near_duplicates(docs, percent=80).where("not kept").select("doc_id").distinct(), "gone")
-    out = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = ws.save(near_duplicates(docs, percent=80, digest=True).where("not kept").select("doc_id", F.col("digest").alias("_digest")).distinct(), "gone")
     repeats = ws.save(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeats")
     if repeats.isEmpty():
-        return out
-    single = out.join(repeats, "doc_id", "left_anti").select(docs.columns)
-    return single.unionByName(out.join(repeats, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"]))
+        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    single = docs.join(repeats, "doc_id", "left_anti").join(gone, "doc_id", "left_anti").select(docs.columns)
+    shared = docs.join(repeats, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"])
+    unlike = shared.withColumn("_digest", word_digest("text")).join(gone, ["doc_id", "_digest"], "left_anti")
+    return single.unionByName(unlike.select(docs.columns))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

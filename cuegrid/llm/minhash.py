@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from .blocks import block_pairs, changes, dealt, forest, longs, overlaps, pairs, whole_groups
 from .common import Workspace, chunks
@@ -203,13 +204,21 @@ def confirmed(units: DataFrame, percent: int) -> DataFrame:
     return dealt(units, "cluster").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+@F.udf(BinaryType())
+def word_digest(text: str | None) -> bytes | None:
+    """The digest of ``sketch``, for few rows; null without words."""
+    words_of = (text or "").encode("utf-8", "replace").translate(FOLDED.tobytes()).split()
+    return hashlib.blake2b(b" ".join(words_of), digest_size=16).digest() if words_of else None
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, digest: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row; links from ``percent`` similarity on.
 
     Null or empty text, or text without words: n_shingles 0, a component of its own, kept.
     Null doc_id: linked with nothing, component null, kept. Rows that share a doc_id count
     as one document; repeated rows get equal results. Empty table: no rows. Other columns
-    are ignored. Texts of any length are handled whole.
+    are ignored. Texts of any length are handled whole. With ``digest`` a column of that
+    name tells rows of one doc_id with different texts apart (see ``word_digest``).
     """
     ws = Workspace(docs.sparkSession, "minhash")
     rows = ws.save(sketch(docs), "sketch")
@@ -229,4 +238,4 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     homes = classes.select("digest", "node").join(components, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(homes, "digest", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), *(["digest"] if digest else []))

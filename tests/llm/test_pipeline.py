@@ -116,6 +116,14 @@ def test_stages_one_by_one(spark, docs):
     assert abs(sum(len(brute.words(r["text"])) for r in mixed.collect()) - total) <= 4
 
 
+def test_one_of_two_texts_with_an_id_goes(spark):
+    copied, own = " ".join(f"copied{i}" for i in range(40)), " ".join(f"own{i}" for i in range(40))
+    rows = [(1, copied), (5, copied.upper().replace(" ", "  ")), (5, own), (5, own), (6, "x y z"), (7, None), (7, ""), (8, own)]
+    frame = spark.createDataFrame([(i, t, "en", "a", 0, "", 0, 0.0) for i, t in rows], SCHEMA)
+    got = Counter((r["doc_id"], r["text"]) for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, frame, "").collect())
+    assert got == Counter([(1, copied), (5, own), (6, "x y z"), (7, None), (7, "")])
+
+
 def test_run_end_to_end(spark, docs, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
