@@ -196,7 +196,7 @@ def a13_payload_signature(spark, d):
 
 @query("a1_language_vote", "SELECT doc_id AS track_id, CASE WHEN length(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) > 0 THEN lang ELSE 'english' END AS lang FROM documents")
 def a1_language_vote(spark, d):
-    docs = table(spark, d, "documents").where("lang is not null")
+    docs = table(spark, d, "documents")
     return metrics.vote_language(docs.select(F.col("doc_id").alias("track_id"), F.lit(0).alias("seq"), F.col("lang").alias("detected"), "text"))
 
 
