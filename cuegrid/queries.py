@@ -794,8 +794,7 @@ def j17_tag_lookup(spark, d):
 def g1_reinject_punctuation(spark, d):
     """Chunks of 200 words, as a recogniser hands them over, each aligned by itself."""
     chunk = F.concat_ws(":", "track_id", F.floor(F.col("seq") / 200).cast("string"))
-    words = _words(spark, d).where("not text rlike '(—|–|--|…|[.][.][.])'")
-    words = words.withColumn("track_id", chunk).withColumn("seq", (F.col("seq") % 200).cast("long"))
+    words = _words(spark, d).withColumn("track_id", chunk).withColumn("seq", (F.col("seq") % 200).cast("long"))
     parts = F.array_sort(F.collect_list(F.struct("seq", "text")))
     texts = words.groupBy("track_id", "lang").agg(F.array_join(F.transform(parts, lambda w: w["text"]), " ").alias("text"))
     bare = words.withColumn("text", tx.strip_trailing_punctuation(F.col("text"))).select("track_id", "seq", "text", "start", "end")
