@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.layout import fits, is_fragment, joined, wrap
@@ -27,7 +27,11 @@ def _sorted(rows: DataFrame, *columns: str, extra: tuple[str, ...] = ()) -> Data
 
 
 def pack_segments(segments: DataFrame, max_s: float, group: str | None = None) -> DataFrame:
-    """Chunks (track_id, chunk_no, start, end) of consecutive segments no longer than ``max_s``; longer segments are cut hard."""
+    """Chunks (track_id, chunk_no, start, end) of consecutive segments no longer than ``max_s``; longer segments are cut hard.
+
+    A segment that starts more than ``max_s`` after the one before always opens a chunk, so
+    each stretch between such segments is folded apart.
+    """
     keys = (group,) if group else ()
     none = F.lit(None).cast("double")
     span = lambda s, e: F.struct(s.alias("start"), e.alias("end"))
@@ -48,8 +52,13 @@ def pack_segments(segments: DataFrame, max_s: float, group: str | None = None) -
 
     empty = F.struct(F.array().cast("array<struct<start:double,end:double>>").alias("done"), none.alias("s"), none.alias("e"))
     finish = lambda acc: F.when(acc["s"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(span(acc["s"], acc["e"]))))
-    packed = _sorted(segments, "start", "end", extra=keys).select(TRACK, *keys, F.posexplode(F.aggregate("_rows", empty, step, finish)).alias("chunk_no", "_c"))
-    return packed.select(TRACK, *keys, "chunk_no", "_c.start", "_c.end")
+    track = Window.partitionBy(TRACK, *keys)
+    in_time = track.orderBy("start", "end")
+    apart = F.coalesce((F.col("start") - F.lag("start").over(in_time) > limit) & (F.col("end") >= F.col("start")), F.lit(False))
+    rows = segments.withColumn("_apart", apart.cast("int"))
+    rows = rows.withColumn("_block", F.sum("_apart").over(in_time.rowsBetween(Window.unboundedPreceding, 0)))
+    packed = _sorted(rows, "start", "end", extra=(*keys, "_block")).select(TRACK, *keys, "_block", F.posexplode(F.aggregate("_rows", empty, step, finish)).alias("_k", "_c"))
+    return packed.select(TRACK, *keys, (F.row_number().over(track.orderBy("_block", "_k")) - 1).alias("chunk_no"), "_c.start", "_c.end")
 
 
 def enforce_min_duration(cues: DataFrame, min_s: float) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cuegrid.functions import layout
 from cuegrid.functions import text as tx
-from cuegrid.operators import packing, timing
+from cuegrid.operators import folds, packing, timing
 from cuegrid.plans import replay
 
 WORD = "track_id int, seq int, lang string, text string, start double, end double"
@@ -64,3 +64,44 @@ def test_sticky_pause_does_not_break(spark):
     assert [c["text"] for c in cues] == ["the cat", "sat the", "end"]
     done = replay.full_polish(replay.segmented(words)).orderBy("seq").collect()
     assert " ".join(c["text"] for c in done).split() == [r[3] for r in rows]
+
+
+def test_a_long_track_is_packed_in_stretches(spark):
+    r = random.Random(3)
+    tracks = {t: [x | {"brk": r.random() < 0.1} for x in stream(["".join(r.choices("abcdef", k=r.randint(1, 9))) for _ in range(n)])] for t, n in ((1, 400), (2, 1), (3, 60))}
+    rows = [(t, k, "en", x["text"], x["start"], x["end"], x["brk"]) for t, v in tracks.items() for k, x in enumerate(v)]
+    out = packing.pack_cues(spark.createDataFrame(rows, WORD + ", brk boolean"))
+    assert "_block" in str(out._jdf.queryExecution().analyzed()).split("FlatMapGroupsInPandas", 1)[1].split("]")[0]
+    got = {(x["track_id"], x["seq"]): x["cue"] for x in out.collect()}
+    for t, v in tracks.items():
+        want = [k for k, n in enumerate(packing.cue_sizes(v, "en", 7.0)) for _ in range(n)]
+        assert [got[t, k] for k in range(len(v))] == want
+
+
+def plain_chunks(segments, most):
+    out, held = [], None
+    for s, e in sorted(segments):
+        if held and e - held[0] <= most:
+            held[1] = e
+            continue
+        out += [tuple(held)] if held else []
+        held = [s, e]
+        while e - s > most:
+            out.append((s, s + most))
+            s, held = s + most, None
+            if e - s <= most:
+                out.append((s, e))
+    return out + ([tuple(held)] if held else [])
+
+
+def test_segments_far_apart_are_folded_apart(spark):
+    r = random.Random(5)
+    tracks = {t: [(a, a + r.choice([0, 1, 4, 30])) for a in (r.randrange(0, 3000) for _ in range(120))] for t in range(20)}
+    frame = spark.createDataFrame([(t, float(a), float(b)) for t, v in tracks.items() for a, b in v], "track_id int, start double, end double")
+    out = folds.pack_segments(frame, 12.0)
+    assert "_block" in str(out._jdf.queryExecution().analyzed())
+    got = {t: [] for t in tracks}
+    for x in out.orderBy("track_id", "chunk_no").collect():
+        assert x["chunk_no"] == len(got[x["track_id"]])
+        got[x["track_id"]].append((x["start"], x["end"]))
+    assert got == {t: plain_chunks(v, 12.0) for t, v in tracks.items()}
