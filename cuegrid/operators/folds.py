@@ -144,9 +144,17 @@ def plan_alignment_chunks(cues: DataFrame, max_s: float, min_gap_s: float = 1.5,
     return cues.select(TRACK, "seq", "start", "end").groupBy(TRACK).applyInPandas(plan, f"{TRACK} {kind}, lo int, hi int, start double, end double")
 
 
-def _per_track(cues: DataFrame, change: Callable[[list[dict]], list[dict]]) -> DataFrame:
-    """Applies a pass to each track's cues in order; seq is given anew."""
+def _per_track(cues: DataFrame, change: Callable[[list[dict]], list[dict]], gap_s: float | None = None) -> DataFrame:
+    """Applies a pass to each track's cues in order; seq is given anew.
+
+    With ``gap_s`` the pass never looks across a pause of that length, counted from the
+    latest end so far, and each stretch between such pauses is passed by itself.
+    """
     columns = cues.columns
+    so_far = Window.partitionBy(TRACK).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(TRACK).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    paused = F.lit(False) if gap_s is None else F.coalesce(F.col("start") - F.max("end").over(before) >= gap_s, F.lit(False))
+    rows = cues.withColumn("_paused", paused.cast("int")).withColumn("_block", F.sum("_paused").over(so_far)).select(*columns, "_block")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         rows = frame.sort_values("seq").to_dict("records")
@@ -155,9 +163,11 @@ def _per_track(cues: DataFrame, change: Callable[[list[dict]], list[dict]]) -> D
         out = change(rows)
         for k, r in enumerate(out):
             r["seq"] = k
-        return pd.DataFrame(out, columns=columns)
+        return pd.DataFrame(out, columns=[*columns, "_block"])
 
-    return cues.groupBy(TRACK).applyInPandas(run, cues.schema)
+    done = rows.groupBy(TRACK, "_block").applyInPandas(run, rows.schema)
+    place = F.row_number().over(Window.partitionBy(TRACK).orderBy("_block", "seq")) - 1
+    return done.withColumn("seq", place.cast(cues.schema["seq"].dataType)).select(columns)
 
 
 def _absorb(into: dict, cue: dict, text: str) -> None:
@@ -216,17 +226,17 @@ def merge_micro(cues: DataFrame, gap_s: float, line: int, max_s: float, min_s: f
     Cues that collapsed to almost nothing, or that together stay below ``min_s``, are
     folded whatever their length, and wrapped anew.
     """
-    return cues if gap_s <= 0 else _per_track(cues, lambda rows: _micro_pass(rows, gap_s, line, max_s, min_s, lines, floor_s))
+    return cues if gap_s <= 0 else _per_track(cues, lambda rows: _micro_pass(rows, gap_s, line, max_s, min_s, lines, floor_s), gap_s)
 
 
 def glue_fragments(cues: DataFrame, gap_s: float, line: int, lines: int, max_s: float) -> DataFrame:
     """A lone short word joins the neighbour that is nearer, the previous one of two, within budget and cap."""
-    return cues if gap_s <= 0 else _per_track(cues, lambda rows: _glue_pass(rows, gap_s, line, lines, max_s))
+    return cues if gap_s <= 0 else _per_track(cues, lambda rows: _glue_pass(rows, gap_s, line, lines, max_s), gap_s)
 
 
 def merge_and_glue(cues: DataFrame, gap_s: float, line: int, lines: int, max_s: float, min_s: float, floor_s: float = 0.08) -> DataFrame:
     """``merge_micro`` and then ``glue_fragments`` in one visit to each track."""
-    return cues if gap_s <= 0 else _per_track(cues, lambda rows: _glue_pass(_micro_pass(rows, gap_s, line, max_s, min_s, lines, floor_s), gap_s, line, lines, max_s))
+    return cues if gap_s <= 0 else _per_track(cues, lambda rows: _glue_pass(_micro_pass(rows, gap_s, line, max_s, min_s, lines, floor_s), gap_s, line, lines, max_s), gap_s)
 
 
 def _moved_start(start: float, cut: float) -> float:

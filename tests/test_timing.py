@@ -336,6 +336,21 @@ def test_one_visit_equals_two(spark):
     assert key(one) == key(two) and len(key(one)) < frame.count()
 
 
+def test_merging_in_stretches_equals_whole_tracks(spark):
+    r = random.Random(16)
+    texts = ["oh", "yes", "a longer clause of words", "well now", "what a day that was and what a night it will be"]
+    tracks = {t: [(r.choice(texts), s, e + r.choice([0.0, 0.0, 2.0]), w) for _, s, e, w in random_cues(r, 60)] for t in range(20)}
+    out = folds.merge_and_glue(cue_frame(spark, tracks), 0.3, 42, 2, 7.0, 0.5)
+    assert "_block" in str(out._jdf.queryExecution().analyzed()).split("FlatMapGroupsInPandas", 1)[1].split("]")[0]
+    want = {}
+    for t, v in tracks.items():
+        rows = [{"text": x, "start": a, "end": b, "lang": "en", "word_data": list(w)} for x, a, b, w in v]
+        done = folds._glue_pass(folds._micro_pass(rows, 0.3, 42, 7.0, 0.5, 2, 0.08), 0.3, 42, 2, 7.0)
+        want |= {(t, k): (x["text"], x["start"], x["end"], len(x["word_data"])) for k, x in enumerate(done)}
+    assert {(x["track_id"], x["seq"]): (x["text"], x["start"], x["end"], len(x["word_data"])) for x in out.collect()} == want
+    assert len(want) < 20 * 60
+
+
 def test_windows_by_count_and_size(spark):
     rows = spark.createDataFrame([(1, k, n) for k, n in enumerate([5, 5, 50, 1, 1, 1, 1])], "track_id long, seq int, n int")
     got = [r["window"] for r in folds.plan_windows(rows, "n", 3, 12).orderBy("seq").collect()]
