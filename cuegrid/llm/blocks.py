@@ -11,32 +11,42 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Workspace
+
 UNIT = ["_bi", "_bj"]
+#: A table of so many keys with two numbers each, a few megabytes, may be broadcast.
+FEW_GROUPS = 200_000
+
+
+def grouped(ws: Workspace, rows: DataFrame, key: str, block_rows: int, name: str) -> DataFrame:
+    """The rows of groups with two members or more, with ``_n``, their group's size, and ``_blocks``, its blocks.
+
+    Sizes are counted and written first. Few of them are broadcast; otherwise both sides of
+    the join come from exchanges of their own, so that Spark can split the rows of a hot key.
+    """
+    groups = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    groups = ws.save(groups.withColumn("_blocks", F.ceil(F.col("_n") / block_rows)), name)
+    return rows.join(F.broadcast(groups) if groups.count() <= FEW_GROUPS else groups, key)
 
 
-def block_pairs(rows: DataFrame, key: str, member: str, block_rows: int, weight: str | None = None, block_weight: int = 0) -> DataFrame:
-    """Rows of groups with two members or more, once for each pair of blocks they take part in.
+def block_pairs(rows: DataFrame, member: str) -> DataFrame:
+    """Rows of ``grouped``, once for each pair of blocks they take part in.
 
-    Adds _bi <= _bj, the unit within the group, and _own, the row's block. ``weight`` (a long
-    column) limits a block's total besides its rows.
+    Adds _bi <= _bj, the unit within the group, and _own, the row's block.
     """
-    size = [F.count(F.lit(1)).alias("_n")] + ([F.sum(weight).alias("_weight")] if weight else [])
-    groups = rows.groupBy(key).agg(*size).where("_n > 1")
-    n = F.ceil(F.col("_n") / block_rows)
-    if weight:
-        n = F.least(F.greatest(n, F.ceil(F.col("_weight") / block_weight)), F.col("_n"))
-    groups = groups.select(key, n.alias("_blocks"))
-    cut = rows.join(groups, key).withColumn("_own", F.pmod(F.xxhash64(member, F.lit(1)), F.col("_blocks")))
+    keep = [c for c in rows.columns if c not in ("_n", "_blocks")]
+    cut = rows.withColumn("_own", F.pmod(F.xxhash64(member, F.lit(1)), F.col("_blocks")))
     cut = cut.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
-    return cut.select(*rows.columns, "_own", F.least("_own", "_other").alias("_bi"), F.greatest("_own", "_other").alias("_bj"))
+    return cut.select(*keep, "_own", F.least("_own", "_other").alias("_bi"), F.greatest("_own", "_other").alias("_bj"))
 
 
-def dealt(units: DataFrame, key: str) -> DataFrame:
+def dealt(units: DataFrame, *by: str) -> DataFrame:
     """Units brought together and sorted, for ``whole_groups``."""
-    return units.repartition(key, *UNIT).sortWithinPartitions(key, *UNIT)
+    return units.repartition(*by).sortWithinPartitions(*by)
 
 
 def changes(*columns: np.ndarray) -> np.ndarray:
@@ -51,13 +61,13 @@ def longs(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
     return [batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in names]
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], key: str, bytes_column: str | None = None, most_bytes: int = 32 << 20) -> Iterator[pa.RecordBatch]:
-    """Batches of whole units from sorted batches, with bounded payload or a single unit."""
+def whole_groups(batches: Iterator[pa.RecordBatch], by: list[str], bytes_column: str | None = None, most_bytes: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of whole units from batches sorted ``by`` their long columns, with bounded payload or a single unit."""
     held = None
     for batch in batches:
         if held is not None:
             batch = pa.concat_batches([held, batch])
-        starts = changes(*longs(batch, key, *UNIT))
+        starts = changes(*longs(batch, *by))
         if len(starts) > 1:
             yield from _slices(batch.slice(0, int(starts[-1])), starts, bytes_column, most_bytes)
             held = batch.slice(int(starts[-1]))
@@ -71,8 +81,8 @@ def _slices(batch: pa.RecordBatch, starts: np.ndarray, column: str | None, most:
     if column is None:
         yield batch
         return
-    sizes = np.array([len(x) for x in batch.column(batch.schema.get_field_index(column)).to_pylist()])
-    total = np.concatenate(([0], np.cumsum(sizes)))
+    sizes = pc.binary_length(batch.column(batch.schema.get_field_index(column))).to_numpy(zero_copy_only=False)
+    total = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
     lo = 0
     for a, b in zip(starts, [*starts[1:-1], batch.num_rows], strict=False):
         if a > lo and total[b] - total[lo] > most:
@@ -102,21 +112,34 @@ def pairs(starts: np.ndarray, n: int, own: np.ndarray, bi: np.ndarray, bj: np.nd
         lo = hi
 
 
-def forest(n: int, links: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """For each of n rows the least row that the links reach."""
-    label = np.arange(n)
-    if not links:
-        return label
-    i = np.concatenate([a for a, _ in links])
-    j = np.concatenate([b for _, b in links])
-    while len(i):
-        a, b = label[i], label[j]  # roots
-        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-        while ((up := label[label]) != label).any():
-            label = up
-        apart = label[i] != label[j]
-        i, j = i[apart], j[apart]
-    return label
+class Forest:
+    """Connects n rows by the links given, and keeps those links that connect what was apart.
+
+    ``label`` is the least row that each row reaches.
+    """
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+        self.kept: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        while len(i):
+            a, b = self.label[i], self.label[j]  # roots
+            apart = a != b
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            if not len(i):
+                return
+            high, low = np.maximum(a, b), np.minimum(a, b)
+            order = np.lexsort((low, high))
+            first = order[changes(high[order])]  # each higher root is hung on one lower root: no circles
+            self.kept.append((i[first], j[first]))
+            self.label[high[first]] = low[first]
+            while ((up := self.label[self.label]) != self.label).any():
+                self.label = up
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        none = np.zeros(0, np.int64)
+        return tuple(np.concatenate([none, *[k[s] for k in self.kept]]) for s in (0, 1))
 
 
 def overlaps(sets: list[np.ndarray], step: int = 1 << 14) -> np.ndarray:

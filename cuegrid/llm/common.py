@@ -7,6 +7,7 @@ executor costs a task retry and never a missing block.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,10 +22,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where none is set."""
+    """The folder that driver and executors share; where none is set, a temporary one in local mode and an error on a cluster."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="cuegrid-"))
         root = sc.getCheckpointDir()
     return root.rstrip("/")
@@ -57,6 +60,15 @@ class Workspace:
         files, path = self._files(f"{self.path(name)}/_SUCCESS")
         return files.exists(path)
 
+    def result(self, df: DataFrame, name: str = "result") -> DataFrame:
+        """Writes what an operator returns and deletes the tables that it was made from."""
+        out = self.save(df, name)
+        files, root = self._files(self.root)
+        for status in files.listStatus(root):
+            if status.getPath().getName() != name:
+                files.delete(status.getPath(), True)
+        return out
+
     def drop(self, *names: str) -> None:
         """Deletes tables that no later step reads; the whole workspace without names."""
         for target in [self.path(n) for n in names] or [self.root]:

@@ -3,8 +3,14 @@
 One pass over the texts takes the minima of 128 hash functions over each document's
 five-word shingles, hashes 25 bands of five minima, and packs the low four bits of all
 minima into 64 bytes. Documents that share a band are compared by counting equal packed
-values, corrected for the chance that low bits agree; what may be similar is clustered, and
-within clusters the links are confirmed on the full shingle sets.
+values, corrected for the chance that low bits agree. Within a band the candidate pairs that
+connect its documents (a forest) are confirmed on the full shingle sets first; only where
+one of them fails are the band's other candidate pairs between documents still apart
+confirmed as well. So a group of n copies costs about n comparisons of sets, and every
+candidate pair is either confirmed, refuted, or between documents that are linked already.
+
+Sets hold 64-bit hashes of shingles; two different shingles of a pair of documents share one
+with a chance of about 1e-13 for documents of a thousand words.
 """
 
 from __future__ import annotations
@@ -18,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from .blocks import block_pairs, changes, dealt, forest, longs, overlaps, pairs, whole_groups
+from .blocks import UNIT, Forest, block_pairs, changes, dealt, grouped, longs, overlaps, pairs, whole_groups
 from .common import Workspace, chunks
 from .components import connected_components
 from .textscan import buffers, grams, mix, word_hashes, words
@@ -27,7 +33,7 @@ SHINGLE = 5
 MINIMA, BITS, BANDS, BAND_ROWS = 128, 4, 25, 5
 #: Estimates from so many standard errors below the similarity looked for go on to confirmation.
 MARGIN = 4.5
-#: Rows of a block when comparing signatures; rows and shingles of a block when confirming.
+#: Rows of a block when comparing signatures; rows and shingles compared at once when confirming.
 SIGNATURE_BLOCK, SET_BLOCK, SET_WEIGHT = 512, 64, 200_000
 
 _random = np.random.default_rng(20240229)
@@ -141,67 +147,150 @@ def sketch(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary, packed binary, bands array<long>")
 
 
-def _star(node: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
-    """Links from each row's node to the node of the row it is labelled with."""
-    moved = np.flatnonzero(label != np.arange(len(label)))
-    a, b = node[moved], node[label[moved]]
-    keep = a != b
-    return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
+def _bits(group: pa.RecordBatch) -> np.ndarray:
+    column = group.column(group.schema.get_field_index("packed"))
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(group.num_rows, -1)
 
 
-def alike(units: DataFrame, least: float) -> DataFrame:
-    """Forests of pairs in band units whose estimate is ``least`` or more."""
+def _chunked(weight: np.ndarray, most: int) -> np.ndarray:
+    """Numbers of consecutive chunks of at most ``most`` rows and about SET_WEIGHT in total."""
+    by_weight = (np.cumsum(weight) - weight) // SET_WEIGHT
+    return np.cumsum(np.append(0, np.diff(np.arange(len(weight)) // most + by_weight) > 0))[: len(weight)]
+
+
+def _unit_numbers(key: np.ndarray, *parts: np.ndarray) -> np.ndarray:
+    """A 64-bit number for each row of parts, apart between units and seeded by the band key."""
+    out = key.view(np.uint64)
+    for p in parts:
+        out = mix(out ^ (p.astype(np.uint64) + np.uint64(1)))
+    return out.view(np.int64)
+
+
+def alike(units: DataFrame, least: float, most: int = SET_BLOCK) -> DataFrame:
+    """For each band unit candidate pairs (a < b, estimate ``least`` or more) that connect all it could connect.
+
+    ``unit`` numbers a set of pairs of one unit with the same a, small enough to compare at once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in whole_groups(batches, "key"):
-            key, bi, bj, own, node = longs(group, "key", "_bi", "_bj", "_own", "node")
-            bits = np.frombuffer(b"".join(group.column(group.schema.get_field_index("packed")).to_pylist()), np.uint64).reshape(group.num_rows, -1)
-            links = []
+        for group in whole_groups(batches, ["key", *UNIT]):
+            key, bi, bj, own, node, n = longs(group, "key", *UNIT, "_own", "node", "n")
+            order = np.lexsort((node, bj, bi, key))  # roots are least nodes, whatever the order of rows
+            key, bi, bj, own, node, n = (x[order] for x in (key, bi, bj, own, node, n))
+            bits, tree = _bits(group)[order], Forest(len(node))
             for i, j in pairs(changes(key, bi, bj), len(node), own, bi, bj, 1 << 17):
                 good = estimate(bits[i], bits[j]) >= least
-                links.append((i[good], j[good]))
-            yield _star(node, forest(len(node), links))
+                tree.add(i[good], j[good])
+            i, j = tree.links()
+            apart = node[i] != node[j]
+            i, j = i[apart], j[apart]
+            by_root = np.lexsort((j, i))
+            i, j = i[by_root], j[by_root]
+            chunk = np.zeros(len(i), np.int64)
+            heads = changes(i)
+            for lo, hi in zip(heads, np.append(heads[1:], len(i)), strict=True):
+                chunk[lo:hi] = _chunked(n[j[lo:hi]], most)
+            unit = _unit_numbers(key[i], bi[i], bj[i], node[i], chunk)
+            yield pa.RecordBatch.from_arrays([pa.array(key[i]), pa.array(node[i]), pa.array(node[j]), pa.array(unit)], ["key", "a", "b", "unit"])
+
+    return dealt(units, "key", *UNIT).mapInArrow(run, "key long, a long, b long, unit long")
+
+
+def crossing(units: DataFrame, least: float, most: int = SET_BLOCK) -> DataFrame:
+    """(unit, node) for what is left to compare: candidate pairs of nodes in different components.
+
+    A pair is looked at in the first band that both have in common. Rows of a unit are put
+    side by side by component and cut into chunks; two chunks with such a pair give a unit
+    that holds the nodes of these pairs.
+    """
 
-    return dealt(units, "key").mapInArrow(run, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in whole_groups(batches, ["key", *UNIT]):
+            key, bi, bj, own, node, n, home = longs(group, "key", *UNIT, "_own", "node", "n", "component")
+            bits = _bits(group)
+            bands = group.column(group.schema.get_field_index("bands")).flatten().to_numpy().reshape(group.num_rows, BANDS)
+            starts = changes(key, bi, bj)
+            chunk = np.zeros(len(node), np.int64)
+            for lo, hi in zip(starts, np.append(starts[1:], len(node)), strict=True):
+                order = lo + np.lexsort((node[lo:hi], home[lo:hi]))
+                chunk[order] = _chunked(n[order], most)
+            names, members = [], []
+            for i, j in pairs(starts, len(node), own, bi, bj, 1 << 16):
+                left = home[i] != home[j]
+                i, j = i[left], j[left]
+                good = estimate(bits[i], bits[j]) >= least
+                i, j = i[good], j[good]
+                same = bands[i] == bands[j]
+                first = (bands[i, same.argmax(axis=1)] == key[i]) | ~same.any(axis=1)
+                i, j = i[first], j[first]
+                unit = _unit_numbers(key[i], bi[i], bj[i], np.minimum(chunk[i], chunk[j]), np.maximum(chunk[i], chunk[j]))
+                names += [unit, unit]
+                members += [node[i], node[j]]
+            if names:
+                both = np.unique(np.stack([np.concatenate(names), np.concatenate(members)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["unit", "node"])
+
+    return dealt(units, "key", *UNIT).mapInArrow(run, "unit long, node long")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """node, cluster, n and the sorted distinct shingle hashes of each row (text, node, cluster)."""
+    """node, n and the sorted distinct shingle hashes of each row (text, node)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
-            data, bounds = _folded(part.column(2))
+            data, bounds = _folded(part.column(1))
             starts, ends, first = words(data, bounds)
             s, at = shingle_hashes(word_hashes(data, starts, ends), first)
             sets = [np.unique(s[lo:hi]) for lo, hi in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())],
-                ["node", "cluster", "n", "members"],
+                [part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())],
+                ["node", "n", "members"],
             )
 
-    return docs.select("node", "cluster", "text").mapInArrow(run, "node long, cluster long, n long, members binary")
+    return docs.select("node", "text").mapInArrow(run, "node long, n long, members binary")
+
+
+def _sizes_of_two(sets: list[np.ndarray]) -> np.ndarray:
+    """Intersection sizes of sets 0 and 1, 2 and 3, and so on."""
+    value = np.concatenate(sets)
+    pair = np.repeat(np.arange(len(sets)) // 2, [len(x) for x in sets])
+    order = np.lexsort((value, pair))
+    value, pair = value[order], pair[order]
+    twice = (value[1:] == value[:-1]) & (pair[1:] == pair[:-1])
+    return np.bincount(pair[1:][twice], minlength=len(sets) // 2)
 
 
 def confirmed(units: DataFrame, percent: int) -> DataFrame:
-    """Forests of the true links within cluster units, on full sets: 100 * intersection >= percent * union."""
+    """Pairs (a, b) that connect what the true links connect within each unit, on full sets: 100 * intersection >= percent * union.
+
+    Rows (unit, node, n, members, component); nodes of one component are not compared.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in whole_groups(batches, "cluster", "members"):
-            key, bi, bj, own, node, n = longs(group, "cluster", "_bi", "_bj", "_own", "node", "n")
-            sets = [np.frombuffer(x, np.uint64) for x in group.column(group.schema.get_field_index("members")).to_pylist()]
-            starts = changes(key, bi, bj)
-            links = []
-            for lo, hi in zip(starts, np.append(starts[1:], len(node)), strict=True):
+        for group in whole_groups(batches, ["unit"], "members"):
+            unit, node, n, home = longs(group, "unit", "node", "n", "component")
+            raw = group.column(group.schema.get_field_index("members"))
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in raw]
+            starts = changes(unit)
+            size = np.diff(np.append(starts, len(node)))
+            tree = Forest(len(node))
+            two = starts[size == 2]
+            if len(two):
+                both = _sizes_of_two([sets[k] for s in two for k in (s, s + 1)])
+                good = 100 * both >= percent * (n[two] + n[two + 1] - both)
+                tree.add(two[good], two[good] + 1)
+            for lo, rows in zip(starts[size > 2], size[size > 2], strict=True):
+                hi = lo + rows
                 both = overlaps(sets[lo:hi])
                 union = n[lo:hi, None] + n[None, lo:hi] - both
-                good = (100 * both >= percent * union) & (union > 0)
-                if bi[lo] != bj[lo]:
-                    good &= own[lo:hi, None] != own[None, lo:hi]
+                good = (100 * both >= percent * union) & (home[lo:hi, None] != home[None, lo:hi])
                 i, j = np.nonzero(np.triu(good, 1))
-                links.append((i + lo, j + lo))
-            yield _star(node, forest(len(node), links))
+                tree.add(i + lo, j + lo)
+            i, j = tree.links()
+            apart = node[i] != node[j]
+            yield pa.RecordBatch.from_arrays([pa.array(node[i[apart]]), pa.array(node[j[apart]])], ["a", "b"])
 
-    return dealt(units, "cluster").mapInArrow(run, "a long, b long")
+    return dealt(units, "unit").mapInArrow(run, "a long, b long")
 
 
 @F.udf(BinaryType())
@@ -224,18 +313,34 @@ def near_duplicates(docs: DataFrame, percent: int = 80, digest: bool = False) ->
     rows = ws.save(sketch(docs), "sketch")
     known = rows.where("digest is not null and doc_id is not null")
     # one representative per distinct word sequence; copies need no comparison
-    classes = ws.save(known.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("packed").alias("packed"), F.first("bands").alias("bands")), "classes")
+    classes = ws.save(known.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("packed").alias("packed"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n")), "classes")
+    marks = ws.save(classes.groupBy("node").agg(F.first("packed").alias("packed"), F.first("bands").alias("bands"), F.max("n").alias("n")), "marks")
     postings = classes.select("node", F.explode("bands").alias("key")).distinct()
-    units = block_pairs(postings, "key", "node", SIGNATURE_BLOCK)
-    packed = classes.groupBy("node").agg(F.first("packed").alias("packed"))
-    edges = alike(units.join(packed, "node"), least_estimate(percent))
-    clusters = connected_components(ws, edges, "alike").withColumnRenamed("component", "cluster")
-    clusters = ws.save(clusters, "clusters")
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(clusters, "node")
+    bands = ws.save(grouped(ws, postings, "key", SIGNATURE_BLOCK, "sizes"), "bands")
+    least = least_estimate(percent)
+    edges = ws.save(alike(block_pairs(bands, "node").join(marks.drop("bands"), "node"), least, SET_BLOCK), "edges")
+    # pairs that several bands propose are compared once
+    tried = ws.save(edges.groupBy("a", "b").agg(F.min("unit").alias("unit")), "tried")
+    asked = ws.save(tried.select("unit", F.col("a").alias("node")).union(tried.select("unit", "b")).distinct(), "asked")
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(asked.select("node").distinct(), "node")
     sets = ws.save(shingle_sets(texts), "sets")
-    links = confirmed(block_pairs(sets, "cluster", "node", SET_BLOCK, "n", SET_WEIGHT), percent)
-    components = connected_components(ws, links, "linked")
-    homes = classes.select("digest", "node").join(components, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
+    links = ws.save(confirmed(asked.join(sets, "node").withColumn("component", F.col("node")), percent), "links")
+    homes = ws.save(connected_components(ws, links, "linked"), "homes")
+    # bands with a refuted pair and others besides it
+    home = lambda end: homes.select(F.col("node").alias(end), F.col("component").alias(f"{end}_home"))
+    refuted = tried.join(home("a"), "a", "left").join(home("b"), "b", "left").where("coalesce(a_home, a) <> coalesce(b_home, b)").select("a", "b")
+    refuted = ws.save(refuted, "refuted")
+    still = ws.save(edges.join(refuted, ["a", "b"]).select("key").distinct(), "open")
+    left = bands.where("_n > 2").join(still, "key")
+    seen = marks.join(homes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    again = ws.save(crossing(block_pairs(left, "node").join(seen, "node"), least, SET_BLOCK), "again")
+    late = again.join(sets, "node").join(homes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    late = ws.save(confirmed(late, percent), "late")
+    if not late.isEmpty():
+        homes = connected_components(ws, links.unionByName(late), "all")
+    homes = classes.select("digest", "node").join(homes, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
+    homes = ws.save(homes, "components")
     out = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(homes, "digest", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), *(["digest"] if digest else []))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), *(["digest"] if digest else []))
+    return ws.result(out)

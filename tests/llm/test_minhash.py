@@ -81,9 +81,14 @@ def test_forest(seed):
     n = 300
     i, j = r.integers(0, n, (2, int(r.integers(1, 500))))
     chain = np.arange(0, 100)
-    label = blocks.forest(n, [(i, j), (chain[1:], chain[:-1])])
-    want = brute.closest_components(n, [*zip(i.tolist(), j.tolist()), *zip(chain[1:].tolist(), chain[:-1].tolist())])
-    assert label.tolist() == want
+    given = [*zip(i.tolist(), j.tolist()), *zip(chain[1:].tolist(), chain[:-1].tolist())]
+    tree = blocks.Forest(n)
+    tree.add(i, j)
+    tree.add(chain[1:], chain[:-1])
+    kept = list(zip(*[x.tolist() for x in tree.links()]))
+    want = brute.closest_components(n, given)
+    assert tree.label.tolist() == want == brute.closest_components(n, kept)
+    assert set(kept) <= set(given) and len(kept) == n - len(set(want))
 
 
 def test_overlaps():
