@@ -18,10 +18,11 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import block_pairs, changes, dealt, forest, longs, overlaps, pairs, whole_groups
+from .blocks import UNIT, Forest, block_pairs, changes, dealt, grouped, longs, overlaps, pairs, whole_groups
 from .common import Workspace
 from .components import connected_components
 
@@ -30,7 +31,8 @@ from .components import connected_components
 BLOCKS, MARGIN = 2, 2.0
 #: Filters for each vector of the table; more vectors, more and narrower caps.
 FILTERS_PER_VECTOR, LEAST_CODEWORDS = 16, 16
-UNIT_ROWS = 256
+#: Rows of a block; units of more than LARGE_UNIT rows are compared as matrices, small ones many at a time.
+UNIT_ROWS, LARGE_UNIT = 256, 48
 
 
 def codewords_for(rows: int) -> int:
@@ -51,32 +53,39 @@ def code(dim: int, codewords: int, seed: int = 7) -> tuple[np.ndarray, list[np.n
     return turn, books
 
 
-def decode(unit: np.ndarray, codewords: int, cosine: float) -> list[np.ndarray]:
-    """For each row of unit vectors the sorted numbers of all filters above its threshold."""
+def _joined(left: tuple, right: tuple, codewords: int, margin: float, rows: int) -> tuple:
+    """Pairs of two halves' codes (row, number, score; by row) whose sum is within the margin of the row's best."""
+    count = np.bincount(right[0], minlength=rows)
+    begin = np.cumsum(count) - count
+    n = count[left[0]]
+    a = np.repeat(np.arange(len(n)), n)
+    b = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + begin[left[0]][a]
+    score = left[2][a] + right[2][b]
+    best = np.full(rows, -np.inf)
+    np.maximum.at(best, left[0][a], score)
+    keep = score >= best[left[0][a]] - margin
+    a, b = a[keep], b[keep]
+    return left[0][a], left[1][a] * codewords + right[1][b], score[keep]
+
+
+def decode(unit: np.ndarray, codewords: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, filter number) of all filters above the thresholds of rows of unit vectors, by row.
+
+    A code of one block can only be part of such a filter if it is within the margin of the
+    block's best code, so the filters below the threshold are never formed.
+    """
     dim = unit.shape[1]
     turn, books = code(dim, codewords)
     margin = MARGIN * np.sqrt(2 * (1 - cosine) / dim)
     x = unit @ turn
     cuts = np.cumsum([0, *[b.shape[1] for b in books]])
-    score = [x[:, cuts[k] : cuts[k + 1]] @ books[k].T for k in range(BLOCKS)]
-    half = BLOCKS // 2
-    out = []
-    for r in range(len(x)):
-        sides = []
-        for ks in (range(half), range(half, BLOCKS)):
-            s = np.zeros(1)
-            for k in ks:
-                s = (s[:, None] + score[k][r]).ravel()
-            sides.append(s)
-        left, right = sides
-        least = left.max() + right.max() - margin
-        order = np.argsort(-right)
-        down = -right[order]
-        top = np.flatnonzero(left - down[0] >= least)  # codes of the first half that any second half can complete
-        n = np.searchsorted(down, left[top] - least, side="right")
-        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        out.append(np.sort(np.repeat(top, n) * len(right) + order[at]))
-    return out
+    found = None
+    for k in range(BLOCKS):
+        score = x[:, cuts[k] : cuts[k + 1]] @ books[k].T
+        row, number = np.nonzero(score >= score.max(axis=1, keepdims=True) - margin)
+        part = (row, number.astype(np.int64), score[row, number])
+        found = part if found is None else _joined(found, part, codewords, margin, len(x))
+    return found[0], found[1]
 
 
 def usable(embedding: Column) -> Column:
@@ -85,77 +94,103 @@ def usable(embedding: Column) -> Column:
     return F.coalesce(embedding.isNotNull() & whole & F.exists(embedding, lambda v: v != 0), F.lit(False))
 
 
+def _raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All components of a list column and each row's bounds."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat, np.concatenate(([0], np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False)))).astype(np.int64)
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def filters(classes: DataFrame, codewords: int, cosine: float) -> DataFrame:
-    """node, copies, the unit vector and its filter keys, apart by label and dimension."""
+    """node and the keys of its filters, apart by label and dimension."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                rows = [np.asarray(v, np.float64) for v in part.column(3).to_pylist()]
-                unit, keys = [b""] * len(rows), [None] * len(rows)
-                for dim in {len(v) for v in rows}:
-                    at = [i for i, v in enumerate(rows) if len(v) == dim]
-                    x = np.stack([rows[i] for i in at])
-                    x /= np.abs(x).max(axis=1, keepdims=True)
-                    x /= np.linalg.norm(x, axis=1, keepdims=True)
-                    for i, u, f in zip(at, x, decode(x, codewords, cosine), strict=True):
-                        unit[i], keys[i] = u.tobytes(), f
-                columns = [*part.columns[:3], pa.array(unit, pa.binary()), pa.array([len(v) for v in rows], pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["node", "copies", "label", "unit", "dim", "filters"])
-
-    kind = classes.schema["label"].dataType.simpleString()
-    found = classes.select("node", "copies", "label", "embedding").mapInArrow(run, f"node long, copies long, label {kind}, unit binary, dim int, filters array<long>")
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                flat, at = _raw(part.column(2))
+                size = np.diff(at)
+                for dim in np.unique(size):
+                    rows = np.flatnonzero(size == dim)
+                    x = _units(flat[at[rows][:, None] + np.arange(dim)])
+                    row, number = decode(x, codewords, cosine)
+                    chosen = pa.array(rows[row])
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(chosen), part.column(1).take(chosen), pa.array(number)], ["node", "grp", "filter"])
+
+    found = classes.select("node", "grp", "embedding").mapInArrow(run, "node long, grp long, filter long")
     # a filter's key is its number, hashed with label and dimension; equal keys of unlike groups are told apart again when verifying
-    group = F.xxhash64("label", "dim")
-    return found.select("node", "copies", "unit", group.alias("grp"), F.array_sort(F.transform("filters", lambda f: F.xxhash64(group, f))).alias("keys"))
+    return found.select("node", F.xxhash64("grp", "filter").alias("key"))
 
 
-def _first_common(lists: list[np.ndarray], unit: np.ndarray, key: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Whether the key of their unit is the least that rows i and j have in common."""
-    out = np.zeros(len(i), bool)
+def _first_common(flat: np.ndarray, at: np.ndarray, key: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the key of their unit is the least that rows i and j have in common; keys of a row are flat[at[r]:at[r + 1]], ascending."""
     if not len(i):
-        return out
-    order = np.argsort(unit[i], kind="stable")
-    starts = changes(unit[i][order])
-    for lo, hi in zip(starts, np.append(starts[1:], len(order)), strict=True):
-        at = order[lo:hi]
-        rows, place = np.unique(np.concatenate([i[at], j[at]]), return_inverse=True)
-        least = key[rows[0]]
-        smaller = overlaps([lists[r][lists[r] < least] for r in rows])
-        out[at] = smaller[place[: len(at)], place[len(at) :]] == 0
-    return out
+        return np.zeros(0, bool)
+    # keys as small numbers, so that (row, key) is one sorted number
+    known, number = np.unique(flat, return_inverse=True)
+    held = np.repeat(np.arange(len(at) - 1), np.diff(at)) * len(known) + number
+    own = np.searchsorted(known, key)
+    below = np.searchsorted(held, i * len(known) + own[i]) - at[i]  # keys of i less than that of the unit
+    pair = np.repeat(np.arange(len(i)), below)
+    place = np.arange(int(below.sum())) - np.repeat(np.cumsum(below) - below, below) + at[i][pair]
+    asked = j[pair] * len(known) + number[place]
+    met = held[np.minimum(np.searchsorted(held, asked), len(held) - 1)] == asked
+    earlier = np.zeros(len(i), bool)
+    earlier[pair[met]] = True
+    return ~earlier
+
+
+def _first_common_whole(flat: np.ndarray, at: np.ndarray, key: int) -> np.ndarray:
+    """The same for all pairs of one unit's rows."""
+    return overlaps([x[x < key] for x in np.split(flat, at[1:-1])]) == 0
 
 
 def verified(units: DataFrame, threshold: float) -> DataFrame:
     """Rows (a, b, links): forest links a-b of each unit and the copies that a is linked with in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in whole_groups(batches, "key", "unit", 8 << 20):
-            key, bi, bj, own, node, copies, grp = longs(group, "key", "_bi", "_bj", "_own", "node", "copies", "grp")
-            at = group.schema.get_field_index
-            units_ = group.column(at("unit")).to_pylist()
-            width = max(map(len, units_))
-            x = np.zeros((len(node), width // 8))
-            for r, u in enumerate(units_):
-                x[r, : len(u) // 8] = np.frombuffer(u)
-            lists = [np.asarray(k, np.int64) for k in group.column(at("keys")).to_pylist()]
+        for group in whole_groups(batches, ["key", *UNIT]):
+            key, bi, bj, own, node, copies, grp = longs(group, "key", *UNIT, "_own", "node", "copies", "grp")
+            column = lambda name: group.column(group.schema.get_field_index(name))  # noqa: B023, E731
+            flat, at = _raw(column("embedding"))
+            size = np.diff(at)
+            x = np.zeros((len(node), int(size.max())))
+            x[np.repeat(np.arange(len(node)), size), np.arange(len(flat)) - np.repeat(at[:-1], size)] = flat
+            x = _units(x)
+            keys, of = _raw(column("keys"))
             starts = changes(key, bi, bj)
-            unit = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(node))))
-            links, count = [], np.zeros(len(node), np.int64)
-            for i, j in pairs(starts, len(node), own, bi, bj, 1 << 15):
+            ends = np.append(starts[1:], len(node))
+            tree, count = Forest(len(node)), np.zeros(len(node), np.int64)
+            large = ends - starts > LARGE_UNIT
+            for lo, hi in zip(starts[large], ends[large], strict=True):
+                good = np.triu(x[lo:hi] @ x[lo:hi].T >= threshold, 1) & (grp[lo:hi, None] == grp[None, lo:hi])
+                if bi[lo] != bj[lo]:
+                    good &= own[lo:hi, None] != own[None, lo:hi]
+                if good.any():
+                    good &= _first_common_whole(keys[of[lo] : of[hi]], of[lo : hi + 1] - of[lo], key[lo])
+                i, j = np.nonzero(good)
+                count[lo:hi] += good @ copies[lo:hi] + good.T @ copies[lo:hi]
+                tree.add(i + lo, j + lo)
+            inside = np.repeat(~large, ends - starts)
+            rows = np.flatnonzero(inside)
+            for i, j in pairs(changes(key[rows], bi[rows], bj[rows]), len(rows), own[rows], bi[rows], bj[rows], 1 << 16):
+                i, j = rows[i], rows[j]
                 good = (np.einsum("ij,ij->i", x[i], x[j]) >= threshold) & (grp[i] == grp[j])
                 i, j = i[good], j[good]
-                first = _first_common(lists, unit, key, i, j)
+                first = _first_common(keys, of, key, i, j)
                 i, j = i[first], j[first]
                 np.add.at(count, i, copies[j])
                 np.add.at(count, j, copies[i])
-                links.append((i, j))
-            label = forest(len(node), links)
+                tree.add(i, j)
             some = np.flatnonzero(count)
-            yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(node[label[some]]), pa.array(count[some])], ["a", "b", "links"])
+            yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(node[tree.label[some]]), pa.array(count[some])], ["a", "b", "links"])
 
-    return dealt(units, "key").mapInArrow(run, "a long, b long, links long")
+    return dealt(units, "key", *UNIT).mapInArrow(run, "a long, b long, links long")
 
 
 def linked_vectors(vectors: DataFrame, threshold: float = 0.98, codewords: int | None = None) -> DataFrame:
@@ -165,18 +200,22 @@ def linked_vectors(vectors: DataFrame, threshold: float = 0.98, codewords: int |
     label, null, empty or zero vector, null or non-finite component: no links. Vectors of
     unlike length: not compared. Null vec_id: no links, component null, kept. Rows that
     share a vec_id count as one vector. Empty table: no rows. Other columns are ignored.
+    A vector of any length is handled whole; its rotation is a square matrix of that length.
     """
     ws = Workspace(vectors.sparkSession, "caps")
     rows = vectors.select("vec_id", "label", "embedding")
     fit = rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable(F.col("embedding")))
     # equal vectors are one class, linked among themselves and, for the search, a single row
     fit = fit.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding").distinct()
-    classes = ws.save(fit.groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")), "classes")
+    classes = fit.groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"))
+    classes = ws.save(classes.withColumn("grp", F.xxhash64("label", F.size("embedding"))), "classes")
     t = codewords or codewords_for(classes.count())
-    found = ws.save(filters(classes, t, threshold), "filters")
-    postings = found.select("node", F.explode("keys").alias("key")).distinct()
-    units = block_pairs(postings, "key", "node", UNIT_ROWS).join(found, "node")
-    links = ws.save(verified(units, threshold), "links")
+    postings = ws.save(filters(classes, t, threshold).distinct(), "postings")
+    # only filters that two vectors share go on; a posting carries ids until its unit is made up
+    met = ws.save(grouped(ws, postings, "key", UNIT_ROWS, "sizes"), "met")
+    keys = met.groupBy("node").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    known = ws.save(classes.select("node", "copies", "grp", "embedding").join(keys, "node"), "known")
+    links = ws.save(verified(block_pairs(met, "node").join(known, "node"), threshold), "links")
     components = connected_components(ws, links.select("a", "b"), "linked")
     counts = links.groupBy("a").agg(F.sum("links").alias("links"))
     homes = classes.join(counts, classes["node"] == counts["a"], "left").drop("a").join(components, "node", "left")
@@ -184,4 +223,4 @@ def linked_vectors(vectors: DataFrame, threshold: float = 0.98, codewords: int |
     members = fit.join(homes, ["label", "embedding"]).groupBy("vec_id").agg(F.sum("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
     out = rows.select(F.col("vec_id").cast("long").alias("vec_id")).join(members, "vec_id", "left")
     component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    return ws.result(out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept")))

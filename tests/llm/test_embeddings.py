@@ -61,8 +61,34 @@ def test_recall_at_the_threshold():
         z -= (z * x).sum(1, keepdims=True) * x
         z /= np.linalg.norm(z, axis=1, keepdims=True)
         y = 0.98 * x + np.sqrt(1 - 0.98**2) * z
-        met = [len(np.intersect1d(a, b)) > 0 for a, b in zip(decode(x, codewords, 0.98), decode(y, codewords, 0.98))]
-        assert np.mean(met) > 0.998
+        (a, f), (b, g) = decode(x, codewords, 0.98), decode(y, codewords, 0.98)
+        shared = np.isin(a * codewords**2 + f, b * codewords**2 + g)
+        assert len(np.unique(a[shared])) > 0.998 * 1500
+
+
+def test_decoding_finds_every_filter_above_the_threshold():
+    r = np.random.default_rng(5)
+    for dim, codewords in ((5, 7), (24, 40)):
+        x = r.standard_normal((60, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        turn, (left, right) = embedding_dedup.code(dim, codewords)
+        y = x @ turn
+        cut = left.shape[1]
+        score = ((y[:, :cut] @ left.T)[:, :, None] + (y[:, cut:] @ right.T)[:, None, :]).reshape(60, -1)
+        least = score.max(axis=1, keepdims=True) - embedding_dedup.MARGIN * np.sqrt(2 * 0.02 / dim)
+        row, number = decode(x, codewords, 0.98)
+        assert sorted(zip(row.tolist(), number.tolist())) == list(zip(*[v.tolist() for v in np.nonzero(score >= least)]))
+
+
+def test_long_vectors_and_ties(spark):
+    """Vectors of 3,000 components, equal ones and exact multiples."""
+    r = np.random.default_rng(8)
+    base = r.standard_normal((4, 3000))
+    rows = [(10 * k + c, [float(x) for x in base[k] * (2.0**c)], 1) for k in range(4) for c in range(3)]
+    rows.append((99, [float(x) for x in base[0] + 0.1 * r.standard_normal(3000)], 1))
+    frame = spark.createDataFrame([(*v, "", 0) for v in rows], "vec_id long, embedding array<double>, label int, links string, node int")
+    got = {v["vec_id"]: (v["n_links"], v["component_id"]) for v in linked_vectors(frame).collect()}
+    assert got == plain(rows)
 
 
 def test_nulls_repeats_and_empty(spark):
