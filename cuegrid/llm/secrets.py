@@ -2,7 +2,9 @@
 
 One Aho-Corasick pass finds all keywords of a text; an expression is tried only where its
 keyword starts; candidates of kinds that embed a checksum or a structure are validated.
-Long hexadecimal runs have no keyword and are found by their own scan.
+Long hexadecimal runs have no keyword and are found by their own scan. Time grows in
+proportion to the text: closing marks of key blocks are keywords of their own, and how far
+a run of allowed characters reaches is remembered, so no stretch is walked once per hit.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ import base64
 import json
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
 
@@ -41,14 +44,18 @@ KEYWORDS = {
     "ghr_": "github",
     "npm_": "npm",
     "-----begin": "private_key",
+    "-----end": "closing",
     "eyj": "jwt",
 }
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 CHECKED = re.compile(r"(?:gh[pousr]|npm)_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
-BLOCK = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----[A-Za-z0-9+/=:,\s-]*?-----END \1PRIVATE KEY-----")
-JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+")
+#: Opening and closing mark of a key block; both name the same kind of key.
+OPENING = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----")
+CLOSING = re.compile(r"-----END ((?:[A-Z0-9]+ )*)PRIVATE KEY-----")
+INSIDE = re.compile(r"[A-Za-z0-9+/=:,\s-]*")
+WEB = re.compile(r"[A-Za-z0-9_-]*")
 DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 Span = tuple[str, int, int]
@@ -88,17 +95,65 @@ def _lower(text: str) -> str:
     return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
-def _valid(kind: str, m: re.Match) -> bool:
-    if kind == "assign":
-        return len(m[1]) >= 8
-    if kind == "access":
-        return m.end() - m.start() >= 16
-    if kind in ("github", "npm"):
-        return checksum_holds(m[1], m[2])
-    return kind != "jwt" or _json_head(m[1])
-
-
-EXPRESSIONS = {"assign": ASSIGN, "access": ACCESS, "github": CHECKED, "npm": CHECKED, "private_key": BLOCK, "jwt": JWT}
+class Reach:
+    """Where the run of allowed characters around a place ends; every stretch is walked once."""
+
+    def __init__(self, allowed: re.Pattern, text: str):
+        self.allowed, self.text = allowed, text
+        self.lo = self.hi = -1
+
+    def end(self, at: int) -> int:
+        if not self.lo <= at <= self.hi:
+            self.lo, self.hi = at, self.allowed.match(self.text, at).end()
+        return self.hi
+
+
+class Scanner:
+    """The matches of one text; each method gives (end, valid) of the match at a keyword, or None."""
+
+    def __init__(self, text: str, closings: list[int]):
+        self.text = text
+        self.inside = Reach(INSIDE, text)
+        self.web = [Reach(WEB, text) for _ in range(3)]  # one for each part
+        self.closings: dict[str, list[tuple[int, int]]] = {}
+        for at in closings:
+            if m := CLOSING.match(text, at):
+                self.closings.setdefault(m[1], []).append((at, m.end()))
+
+    def assign(self, at: int) -> tuple[int, bool] | None:
+        m = ASSIGN.match(self.text, at)
+        return m and (m.end(), len(m[1]) >= 8)
+
+    def access(self, at: int) -> tuple[int, bool] | None:
+        m = ACCESS.match(self.text, at)
+        return m and (m.end(), m.end() - at >= 16)
+
+    def checked(self, at: int) -> tuple[int, bool] | None:
+        m = CHECKED.match(self.text, at)
+        return m and (m.end(), checksum_holds(m[1], m[2]))
+
+    def private_key(self, at: int) -> tuple[int, bool] | None:
+        m = OPENING.match(self.text, at)
+        if not m:
+            return None
+        ends = self.closings.get(m[1], [])
+        k = bisect_left(ends, (m.end(),))
+        return (ends[k][1], True) if k < len(ends) and self.inside.end(m.end()) >= ends[k][0] else None
+
+    def jwt(self, at: int) -> tuple[int, bool] | None:
+        text, begin, end = self.text, at, at - 1
+        for k, head in enumerate(("eyJ", "eyJ", "")):
+            if k and text[end : end + 1] != ".":
+                return None
+            begin = end + 1
+            if not text.startswith(head, begin):
+                return None
+            end = self.web[k].end(begin)
+            if end - begin <= len(head):
+                return None
+            if not k:
+                first = end
+        return end, _json_head(text[at:first])
 
 
 def scan(text: str) -> list[Span]:
@@ -108,16 +163,17 @@ def scan(text: str) -> list[Span]:
     dropped but still ends where it ends.
     """
     found = [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
-    free = dict.fromkeys(KINDS, 0)
     hits = sorted((end - n + 1, kind) for end, (kind, n) in automaton().iter(_lower(text)))
+    scanner = Scanner(text, [at for at, kind in hits if kind == "closing"])
+    match = {"assign": scanner.assign, "access": scanner.access, "github": scanner.checked, "npm": scanner.checked, "private_key": scanner.private_key, "jwt": scanner.jwt}
+    free = dict.fromkeys(match, 0)
     for start, kind in hits:
-        if start < free[kind]:
+        if kind == "closing" or start < free[kind]:
             continue
-        m = EXPRESSIONS[kind].match(text, start)
-        if m:
-            free[kind] = m.end()
-            if _valid(kind, m):
-                found.append((kind, start, m.end()))
+        if m := match[kind](start):
+            free[kind] = m[0]
+            if m[1]:
+                found.append((kind, start, m[0]))
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
