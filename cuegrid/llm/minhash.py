@@ -188,7 +188,7 @@ def alike(units: DataFrame, least: float, most: int = SET_BLOCK) -> DataFrame:
             i, j = i[by_root], j[by_root]
             chunk = np.zeros(len(i), np.int64)
             heads = changes(i)
-            for lo, hi in zip(heads, np.append(heads[1:], len(i)), strict=True):
+            for lo, hi in zip(heads, np.append(heads[1:], len(i)), strict=False):  # no heads without links
                 chunk[lo:hi] = _chunked(n[j[lo:hi]], most)
             unit = _unit_numbers(key[i], bi[i], bj[i], node[i], chunk)
             yield pa.RecordBatch.from_arrays([pa.array(key[i]), pa.array(node[i]), pa.array(node[j]), pa.array(unit)], ["key", "a", "b", "unit"])
