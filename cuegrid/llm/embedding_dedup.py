@@ -32,7 +32,7 @@ BLOCKS, MARGIN = 2, 2.0
 #: Filters for each vector of the table; more vectors, more and narrower caps.
 FILTERS_PER_VECTOR, LEAST_CODEWORDS = 16, 16
 #: Rows of a block; units of more than LARGE_UNIT rows are compared as matrices, small ones many at a time.
-UNIT_ROWS, LARGE_UNIT = 256, 48
+UNIT_ROWS, LARGE_UNIT = 128, 48
 
 
 def codewords_for(rows: int) -> int:
@@ -205,10 +205,12 @@ def linked_vectors(vectors: DataFrame, threshold: float = 0.98, codewords: int |
     ws = Workspace(vectors.sparkSession, "caps")
     rows = vectors.select("vec_id", "label", "embedding")
     fit = rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable(F.col("embedding")))
-    # equal vectors are one class, linked among themselves and, for the search, a single row
-    fit = fit.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding").distinct()
-    classes = fit.groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"))
-    classes = ws.save(classes.withColumn("grp", F.xxhash64("label", F.size("embedding"))), "classes")
+    # equal vectors are one class, told apart by 128 bits of hash, linked among themselves and, for the search, a single row
+    fit = fit.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding", F.xxhash64("label", "embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding", "label").alias("h2"))
+    ids = ws.save(fit.select("vec_id", "h1", "h2").distinct(), "ids")
+    nodes = ws.save(ids.groupBy("h1", "h2").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")), "nodes")
+    classes = fit.withColumnRenamed("vec_id", "node").join(nodes, ["node", "h1", "h2"]).groupBy("node", "h1", "h2", "copies").agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"))
+    classes = ws.save(classes.select("node", "copies", F.xxhash64("label", F.size("embedding")).alias("grp"), "embedding"), "classes")
     t = codewords or codewords_for(classes.count())
     postings = ws.save(filters(classes, t, threshold).distinct(), "postings")
     # only filters that two vectors share go on; a posting carries ids until its unit is made up
@@ -218,9 +220,9 @@ def linked_vectors(vectors: DataFrame, threshold: float = 0.98, codewords: int |
     links = ws.save(verified(block_pairs(met, "node").join(known, "node"), threshold), "links")
     components = connected_components(ws, links.select("a", "b"), "linked")
     counts = links.groupBy("a").agg(F.sum("links").alias("links"))
-    homes = classes.join(counts, classes["node"] == counts["a"], "left").drop("a").join(components, "node", "left")
-    homes = homes.select("label", "embedding", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    members = fit.join(homes, ["label", "embedding"]).groupBy("vec_id").agg(F.sum("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
+    homes = nodes.join(counts, nodes["node"] == counts["a"], "left").drop("a").join(components, "node", "left")
+    homes = ws.save(homes.select("h1", "h2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id")), "homes")
+    members = ids.join(homes, ["h1", "h2"]).groupBy("vec_id").agg(F.sum("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
     out = rows.select(F.col("vec_id").cast("long").alias("vec_id")).join(members, "vec_id", "left")
     component = F.coalesce("component_id", "vec_id")
     return ws.result(out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept")))
