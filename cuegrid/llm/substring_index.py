@@ -3,25 +3,32 @@
 Every window of 50 words has a fingerprint: the least hash of the 16-word grams inside it.
 Neighbouring windows mostly share theirs, so a document's windows fall into stretches of
 equal fingerprint, and equal windows lie in stretches of equal fingerprint wherever they
-occur. A run of the index holds, sorted by fingerprint, each distinct stretch (with two
-independent 64-bit hashes of its words) and the document where it was first seen. A new
-batch is merge-joined with the runs: a stretch seen before repeats as a whole. Where the
-same fingerprint has several different stretches, their windows are verified one by one
-from the texts. The batch's new stretches then become a run of their own; runs are merged
+occur. A run of the index holds each distinct stretch (its fingerprint and two independent
+64-bit hashes of its words) and the document where it was first seen, and next to it the
+distinct fingerprints. Runs are bucketed tables, written once and sorted within each
+bucket; a new batch is dealt and sorted the same way, so its merge joins with the runs move
+and sort nothing. A stretch seen before repeats as a whole. Where the same fingerprint has
+several different stretches, their windows are taken from the texts again and compared one
+by one. The batch's new stretches then become a run of their own; runs are merged into one
 when there are too many. Nothing grows with the square of a passage's copies: a stretch is
 kept once, and windows are compared by grouping.
+
+Equality of windows rests on two 64-bit hashes of their words, of stretches likewise.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .blocks import FEW_GROUPS
 from .common import Workspace, chunks
 from .textscan import buffers, grams, rolling_min, run_hashes, word_hashes, words
 
@@ -152,7 +159,7 @@ def strip(texts: DataFrame) -> DataFrame:
 
 
 class SubstringIndex:
-    """The index over all batches so far.
+    """The index over all batches so far, in a folder of its own or in ``root``, where a later session finds it again.
 
     >>> index = SubstringIndex(spark)
     >>> result = index.add(batch, corpus)   # corpus: the batch and everything added before
@@ -161,29 +168,77 @@ class SubstringIndex:
     document with a smaller doc_id.
     """
 
-    def __init__(self, spark: SparkSession):
-        self.ws = Workspace(spark, "substring")
+    def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
+        self.ws = Workspace(spark, "substring")
+        if root:
+            self.ws.root = root.rstrip("/")
+        self.tag = "cuegrid_" + hashlib.md5(self.ws.root.encode()).hexdigest()
         self.runs: list[str] = []
-        self.batches = 0
-
-    def history(self) -> DataFrame:
-        frames = [self.spark.read.schema("fp long, hi long, lo long, doc_id long").parquet(self.ws.path(r)) for r in self.runs]
-        out = frames[0] if frames else self.spark.createDataFrame([], "fp long, hi long, lo long, doc_id long")
-        for f in frames[1:]:
-            out = out.unionByName(f)
-        return out
+        self.batches, self.buckets = 0, int(spark.conf.get("spark.sql.shuffle.partitions"))
+        while (text := self.ws.read_text(f"log/{self.batches:08d}")) is not None:
+            self.batches, self.runs, self.buckets = self.batches + 1, *json.loads(text)
+
+    def _table(self, name: str, columns: str, by: list[str]) -> DataFrame:
+        """A table written by ``_sorted``, also in an earlier session."""
+        keys = ", ".join(by)
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self.tag}_{name} ({columns}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {self.buckets} BUCKETS LOCATION '{self.ws.path(name)}'")
+        return self.spark.table(f"{self.tag}_{name}")
+
+    def _sorted(self, rows: DataFrame, name: str, by: list[str]) -> DataFrame:
+        rows.write.mode("overwrite").bucketBy(self.buckets, *by).sortBy(*by).option("path", self.ws.path(name)).format("parquet").saveAsTable(f"{self.tag}_{name}")
+        return self.spark.table(f"{self.tag}_{name}")
+
+    def _drop(self, *names: str) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.tag}_{name}")
+        self.ws.drop(*names)
+
+    def _run(self, name: str) -> DataFrame:
+        return self._table(f"run{name}", "fp BIGINT, hi BIGINT, lo BIGINT, doc_id BIGINT", KEY)
+
+    def _prints(self, name: str) -> DataFrame:
+        return self._table(f"prints{name}", "fp BIGINT, n BIGINT", ["fp"])
+
+    @contextmanager
+    def _in_order(self) -> Iterator[None]:
+        """Spark trusts the order within buckets of a single file."""
+        name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+        before = self.spark.conf.get(name, None)
+        self.spark.conf.set(name, "true")
+        try:
+            yield
+        finally:
+            if before is None:
+                self.spark.conf.unset(name)
+            else:
+                self.spark.conf.set(name, before)
 
     def _write_run(self, rows: DataFrame, name: str) -> None:
-        self.ws.save(rows.select(*KEY, "doc_id").repartitionByRange("fp").sortWithinPartitions("fp"), name)
-        self.runs.append(name)
+        run = self._sorted(rows.select(*KEY, "doc_id"), f"run{name}", KEY)
+        self._sorted(run.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), f"prints{name}", ["fp"])
 
     def compact(self) -> None:
         """Merges all runs into one; stretches are distinct over all runs already."""
-        old, history = self.runs, self.history()
-        self.runs = []
-        self._write_run(history, f"merged{self.batches}")
-        self.ws.drop(*old)
+        old, name = self.runs, f"m{self.batches}"
+        history = self._run(old[0])
+        for r in old[1:]:
+            history = history.unionByName(self._run(r))
+        self._write_run(history.repartition(self.buckets, *KEY), name)
+        self.runs = [name]
+        self._drop(*[f"{kind}{r}" for r in old for kind in ("run", "prints")])
+
+    def _known(self, batch: DataFrame, table: Callable[[str], DataFrame], by: list[str]) -> DataFrame:
+        """Adds ``old`` to rows sorted by ``by``: whether one of the runs has them. Each run is merge-joined by itself."""
+        for r in self.runs:
+            seen = table(r).select(*by, F.lit(True).alias(f"_{r}"))
+            batch = batch.join(seen.hint("merge"), by, "left")
+        marks = [f"_{r}" for r in self.runs]
+        return batch.withColumn("old", F.coalesce(*marks, F.lit(False))).drop(*marks)
+
+    def _beside(self, few: DataFrame) -> DataFrame:
+        """A written table of one number a row for joins with a large one, which stays where it is if the table is small."""
+        return F.broadcast(few) if few.count() <= FEW_GROUPS else few
 
     def add(self, batch: DataFrame, corpus: DataFrame) -> DataFrame:
         """doc_id, n_words, n_removed, kept_sha256 and kept of every row of the batch.
@@ -194,52 +249,48 @@ class SubstringIndex:
         Texts shorter than a window stay. Empty batch: no rows. Other columns are ignored.
         """
         ws, k = self.ws, self.batches
-        self.batches += 1
         rows = ws.save(extract(batch), f"rows{k}")
         spread = rows.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.arrays_zip(*KEY)).alias("s")).select("doc_id", "s.*")
-        spread = ws.save(spread.distinct(), f"spread{k}")
-        firsts = ws.save(spread.groupBy(*KEY).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), f"firsts{k}")
-        history = self.history()
-        if self.runs:
-            # merge join with the sorted runs; only fingerprints that meet go on
-            seen = history.select(*KEY, F.lit(True).alias("old"))
-            firsts = ws.save(firsts.join(seen.hint("merge"), KEY, "left").withColumn("old", F.coalesce("old", F.lit(False))), f"met{k}")
-        else:
-            firsts = firsts.withColumn("old", F.lit(False))
-        again = firsts.where("old or last > first")
-        whole = spread.join(again, KEY).where("old or doc_id > first").select("doc_id", "hi")
-        fresh = firsts.where("not old").select(*KEY, F.col("first").alias("doc_id"))
-        whole = ws.save(whole, f"whole{k}")
-        # fingerprints with several stretches, at least one of them new
-        told = fresh.withColumn("old", F.lit(False))
-        if self.runs:
-            touched = fresh.select("fp").distinct()
-            told = told.unionByName(history.join(touched, "fp").withColumn("old", F.lit(True)))
-        told = ws.save(told, f"told{k}")
-        several = ws.save(told.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp"), f"several{k}")
-        asked = told.join(several, "fp").groupBy("doc_id", "old").agg(F.collect_set("hi").alias("spans"))
-        asked = ws.save(asked, f"asked{k}")
-        # the texts that matter, fetched once
-        ids = asked.select("doc_id").union(whole.select("doc_id")).distinct()
-        texts = ws.save(corpus.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id"), f"texts{k}")
+        with self._in_order():
+            firsts = self._sorted(spread.groupBy(*KEY).agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")), f"firsts{k}", KEY)
+            marked = self._known(firsts, self._run, KEY)
+            again = ws.save(marked.where("old or last > doc_id").select(*KEY, F.when(~F.col("old"), F.col("doc_id")).alias("first")), f"again{k}")
+            self._write_run(marked.where("not old"), str(k))
+            fresh, prints = self._run(str(k)), self._prints(str(k))
+            # fingerprints with several stretches, at least one of them new
+            several = ws.save(self._known(prints, self._prints, ["fp"]).where("old or n > 1").select("fp"), f"several{k}")
+        whole = ws.save(spread.join(again, KEY).where("first is null or doc_id > first").select("doc_id", "hi"), f"whole{k}")
+        beside = self._beside(several)
+        told = fresh.join(beside, "fp").select("doc_id", "hi", F.lit(False).alias("old"))
+        for r in self.runs:
+            told = told.unionByName(self._run(r).join(beside, "fp").select("doc_id", "hi", F.lit(True).alias("old")))
+        asked = ws.save(told.groupBy("doc_id", "old").agg(F.collect_set("hi").alias("spans")), f"asked{k}")
+        # the texts that matter, fetched once and dealt by document once
+        ids = ws.save(asked.select("doc_id").union(whole.select("doc_id")).distinct(), f"ids{k}")
+        texts = corpus.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(self._beside(ids), "doc_id")
+        texts = self._sorted(texts.repartition(self.buckets, "doc_id"), f"texts{k}", ["doc_id"])
         windows = ws.save(expand(texts.join(asked, "doc_id")), f"windows{k}")
-        owner = windows.groupBy("a", "b").agg(F.max("old").alias("any_old"), F.min(F.when(~F.col("old"), F.col("doc_id"))).alias("first"), F.max(F.when(~F.col("old"), F.col("doc_id"))).alias("last"))
+        new = F.when(~F.col("old"), F.col("doc_id"))
+        owner = windows.groupBy("a", "b").agg(F.max("old").alias("any_old"), F.min(new).alias("first"), F.max(new).alias("last"))
         owner = ws.save(owner.where("last is not null and (any_old or last > first)"), f"owner{k}")
         single = windows.where("not old").join(owner, ["a", "b"]).where("any_old or doc_id > first").select("doc_id", F.col("a").alias("one")).distinct()
         spans = whole.groupBy("doc_id").agg(F.collect_set("hi").alias("spans"))
         decisions = spans.join(single.groupBy("doc_id").agg(F.collect_set("one").alias("singles")), "doc_id", "full")
         decisions = ws.save(decisions, f"decisions{k}")
-        changed = ws.save(strip(texts.join(decisions, "doc_id")), f"changed{k}")
-        self._write_run(fresh, f"run{k}")
-        if len(self.runs) > MOST_RUNS:
-            self.compact()
-        ws.drop(*[f"{t}{k}" for t in ("spread", "firsts", "met", "whole", "told", "several", "asked", "windows", "owner", "texts")])
         same = rows.join(decisions.select(F.col("doc_id").alias("_id")), F.col("doc_id") == F.col("_id"), "left_anti")
         same = same.select(F.col("doc_id").cast("long").alias("doc_id"), "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("digest").alias("kept_sha256"), F.lit(None).cast("string").alias("kept"))
-        return same.unionByName(changed)
+        out = ws.save(same.unionByName(strip(texts.join(decisions, "doc_id"))), f"result{k}")
+        self.runs, self.batches = [*self.runs, str(k)], k + 1
+        if len(self.runs) > MOST_RUNS:
+            self.compact()
+        # the last write: from here on the batch belongs to the index
+        if not ws.create_text(f"log/{k:08d}", json.dumps([self.runs, self.buckets])):
+            raise RuntimeError(f"another writer has added batch {k} to this index")
+        self._drop(*[f"{t}{k}" for t in ("rows", "firsts", "again", "several", "whole", "asked", "ids", "texts", "windows", "owner", "decisions")])
+        return out
 
 
-def remove_repeats(docs: DataFrame, batches: int = 2) -> DataFrame:
+def remove_repeats(docs: DataFrame, batches: int = 6) -> DataFrame:
     """The whole table, added to a new index in ``batches`` ranges of doc_id in ascending order."""
     spark = docs.sparkSession
     index = SubstringIndex(spark)
@@ -259,4 +310,5 @@ def remove_repeats(docs: DataFrame, batches: int = 2) -> DataFrame:
             part = part.where((id_ > low) | id_.isNull()) if high is None else part.where(id_ > low)
         found = index.add(part, upto)
         out = found if out is None else out.unionByName(found)
+    index._drop(*[f"{kind}{r}" for r in index.runs for kind in ("run", "prints")])
     return out

@@ -47,7 +47,7 @@ def check(got, rows):
     assert sum(w[1] for w in want.values()) > 1000
 
 
-@pytest.mark.parametrize("batches", [1, 3])
+@pytest.mark.parametrize("batches", [1, 6])
 def test_equals_plain(spark, batches):
     rows = passages(batches)
     frame = spark.createDataFrame([(d, t, 1, "") for d, t in rows], SCHEMA).repartition(3)
@@ -70,6 +70,21 @@ def test_index_over_arbitrary_batches(spark, monkeypatch):
     assert len(index.runs) <= 2
 
 
+def test_a_later_session_goes_on_and_runs_are_joined_in_place(spark, tmp_path):
+    rows = sorted(passages(7))
+    parts, got = [rows[:40], rows[40:70], rows[70:]], []
+    frame = lambda rs: spark.createDataFrame([(d, t, 0, "") for d, t in rs], SCHEMA)
+    for k, part in enumerate(parts):
+        index = SubstringIndex(spark, str(tmp_path / "index"))
+        assert index.batches == k
+        got += index.add(frame(part), frame([r for p in parts[: k + 1] for r in p])).collect()
+    check(got, rows)
+    index = SubstringIndex(spark, str(tmp_path / "index"))
+    with index._in_order():
+        plan = index._known(index._run("2"), index._run, ["fp", "hi", "lo"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 3 and "Exchange" not in plan and "Sort " not in plan
+
+
 def test_repeated_rows_and_null_ids(spark):
     text = " ".join(map(str, range(80)))
     frame = spark.createDataFrame([(4, text, 0, ""), (4, text, 0, ""), (None, text, 0, ""), (7, text, 0, "")], SCHEMA)
