@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,10 +57,33 @@ class Workspace:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(target)
         return path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), path
 
-    def exists(self, name: str) -> bool:
-        """Whether a table has been written to its end."""
-        files, path = self._files(f"{self.path(name)}/_SUCCESS")
-        return files.exists(path)
+    def create_text(self, name: str, text: str) -> bool:
+        """Writes a small file that must not exist yet; False if another writer was first."""
+        files, path = self._files(self.path(name))
+        try:
+            stream = files.create(path, False)
+        except Py4JJavaError as e:
+            if files.exists(path):
+                return False
+            raise e
+        stream.write(f"{text}\n".encode())
+        stream.close()
+        return True
+
+    def read_text(self, name: str, patience_s: float = 10.0) -> str | None:
+        """What ``create_text`` wrote, or None; waits for a writer that is not done."""
+        files, path = self._files(self.path(name))
+        until = time.monotonic() + patience_s
+        while files.exists(path):
+            stream = files.open(path)
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            stream.close()
+            if text.endswith("\n"):
+                return text
+            if time.monotonic() > until:
+                raise TimeoutError(f"{self.path(name)} was begun and not finished")
+            time.sleep(0.1)
+        return None
 
     def result(self, df: DataFrame, name: str = "result") -> DataFrame:
         """Writes what an operator returns and deletes the tables that it was made from."""

@@ -2,15 +2,22 @@
 
 Batches of inserts, deletes and revisions are turned into signed rows per document, and
 these into additive totals by source, language and tokenizer version. A batch is written
-under its own name and then marked as committed: repeating a batch, whole or after a
-failure half-way, changes nothing.
+under a name of its own and counts from the moment at which a numbered entry in the log
+names it. Entries are created exclusively: of two writers only one gets a number, and the
+other works its batch out again on the state that has changed. Repeating a batch, whole or
+after a failure half-way, changes nothing, in this session or a later one.
+
+Signed rows lie in buckets by document, sorted; every few batches they are summed into one
+current row per document. A batch reads the buckets of the documents it addresses only.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -22,8 +29,10 @@ from .packing import byte_encoder
 
 EVENT = "doc_id long, op string, source string, lang string, version string, n_tokens long"
 DELTA = "doc_id long, source string, lang string, version string, n_docs long, n_tokens long"
-TOTAL = "source string, lang string, version string, n_docs long, n_tokens long"
 GROUP = ["source", "lang", "version"]
+SUMS = ["n_docs", "n_tokens"]
+#: Buckets of the documents, and batches after which their rows are summed up.
+BUCKETS, MOST_BATCHES = 64, 8
 
 
 class TokenRollup:
@@ -34,58 +43,104 @@ class TokenRollup:
         self.ws = Workspace(spark, "rollup")
         if root:
             self.ws.root = root.rstrip("/")
-        self.batches: list[str] = []
-
-    def _read(self, kind: str, schema: str) -> DataFrame:
-        paths = [self.ws.path(f"{kind}/{b}") for b in self.batches]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def attach(self, *batches: str) -> TokenRollup:
-        """Takes up batches that an earlier session committed."""
-        self.batches += [b for b in batches if b not in self.batches and self.ws.exists(f"committed/{b}")]
-        return self
+    def log(self) -> list[dict]:
+        """The entries so far: a batch each, or a summing up of all before it. One small file each."""
+        out: list[dict] = []
+        while (text := self.ws.read_text(f"log/{len(out):08d}")) is not None:
+            out.append(json.loads(text))
+        return out
+
+    def _enter(self, number: int, entry: dict) -> bool:
+        """Whether this writer got the number."""
+        return self.ws.create_text(f"log/{number:08d}", json.dumps(entry))
+
+    def batches(self) -> list[str]:
+        """Names of the committed batches, in the order of their entries."""
+        return [e["batch"] for e in self.log() if e["batch"]]
+
+    def _read(self, kind: str, log: list[dict]) -> DataFrame:
+        """The rows that count after the entries of ``log``: from the last summing up on."""
+        summed = max((k for k, e in enumerate(log) if not e["batch"]), default=0)
+        paths = [self.ws.path(f"{kind}/attempt={e['attempt']}") for e in log[summed:]]
+        schema = f"{DELTA}, attempt string, bucket int"
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", self.ws.path(kind)).parquet(*paths)
+
+    def _write(self, rows: DataFrame, attempt: str) -> None:
+        bucket = F.when(F.col("doc_id").isNull(), -1).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int"))
+        # ranges, so that no bucket is bound to one task; equal rows, as those without doc_id, are spread by what else they hold
+        rows = rows.withColumn("bucket", bucket).withColumn("_spread", F.xxhash64(*GROUP, *SUMS))
+        rows = rows.repartitionByRange("bucket", "doc_id", "_spread").sortWithinPartitions("bucket", "doc_id").drop("_spread")
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(self.ws.path(f"deltas/attempt={attempt}"))
+        totals = _summed(self._read("deltas", [{"batch": "-", "attempt": attempt}])).withColumn("doc_id", F.lit(None).cast("long"))
+        totals.withColumn("bucket", F.lit(0)).write.mode("overwrite").partitionBy("bucket").parquet(self.ws.path(f"totals/attempt={attempt}"))
+
+    def _discard(self, attempt: str) -> None:
+        self.ws.drop(f"deltas/attempt={attempt}", f"totals/attempt={attempt}")
 
     def commit(self, batch: str, events: DataFrame) -> bool:
         """Applies events (doc_id, op, source, lang, version, n_tokens) once; False if it was applied before.
 
         ``insert`` adds a row's count. ``revise`` and ``delete`` first take back all that
         the document has under that version from earlier batches; ``revise`` then adds
-        its new count, also under another source or language. Null source or language: a
-        group of its own. Null doc_id: can be inserted, never addressed again. Null count:
-        zero. Repeated inserts all count, also within a batch.
+        its new count, also under another source or language. Of several revisions of a
+        document under one version in one batch that with the largest count holds (then
+        the least source and language, null first); beside a revision a deletion takes back no more.
+        Null source or language: a group of its own. Null doc_id: can be inserted, never
+        revised or deleted. Null count: zero. Repeated inserts all count, also within a
+        batch, and are not taken back by it. Empty batch: committed, changes nothing.
         """
         if not re.fullmatch(r"[\w.-]+", batch):
             raise ValueError(f"not a batch name: {batch!r}")
-        if batch in self.batches:
-            return False
-        if self.ws.exists(f"committed/{batch}"):
-            self.batches.append(batch)
-            return False
         events = events.select("doc_id", "op", *GROUP, F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
-        added = events.where(F.col("op").isin("insert", "revise")).select("doc_id", *GROUP, F.lit(1).cast("long").alias("n_docs"), "n_tokens")
+        counted = lambda op: events.where(F.col("op") == op).select("doc_id", *GROUP, F.lit(1).cast("long").alias("n_docs"), "n_tokens")
+        one = F.min(F.struct((-F.col("n_tokens")).alias("less"), *GROUP[:2], *SUMS))
+        revised = counted("revise").where("doc_id is not null").groupBy("doc_id", "version").agg(one.alias("_r"))
+        revised = revised.select("doc_id", "_r.source", "_r.lang", "version", "_r.n_docs", "_r.n_tokens")
         aimed = events.where(F.col("op").isin("revise", "delete")).select("doc_id", "version").distinct()
-        held = self._read("deltas", DELTA).join(aimed, ["doc_id", "version"], "left_semi")
-        held = held.groupBy("doc_id", *GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        back = held.select("doc_id", *GROUP, -F.col("n_docs"), -F.col("n_tokens")).toDF(*added.columns)
-        deltas = self.ws.save(added.union(back), f"deltas/{batch}")
-        self.ws.save(_summed(deltas), f"totals/{batch}")
-        # the last write: from here on the batch counts
-        self.ws.save(self.spark.range(1).select(F.lit(batch).alias("batch")), f"committed/{batch}")
-        self.batches.append(batch)
+        # at most BUCKETS rows
+        touched = [r[0] for r in aimed.where("doc_id is not null").select(F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")).distinct().collect()]
+        while True:
+            log = self.log()
+            if any(e["batch"] == batch for e in log):
+                return False
+            held = self._read("deltas", log).where(F.col("bucket").isin(touched)) if touched else self._read("deltas", [])
+            held = held.join(aimed, ["doc_id", "version"], "left_semi").groupBy("doc_id", *GROUP).agg(*[F.sum(c).alias(c) for c in SUMS])
+            back = held.where("n_docs <> 0 or n_tokens <> 0").select("doc_id", *GROUP, *[(-F.col(c)).alias(c) for c in SUMS])
+            attempt = uuid.uuid4().hex
+            self._write(counted("insert").unionByName(revised).unionByName(back), attempt)
+            if self._enter(len(log), {"batch": batch, "attempt": attempt}):
+                break
+            self._discard(attempt)
+        if len(log) - max((k for k, e in enumerate(log) if not e["batch"]), default=0) >= MOST_BATCHES:
+            self.sum_up()
         return True
 
+    def sum_up(self) -> bool:
+        """One current row per document, version, source and language in place of all signed rows; False if another writer was first."""
+        log = self.log()
+        rows = self._read("deltas", log).groupBy("doc_id", *GROUP).agg(*[F.sum(c).alias(c) for c in SUMS])
+        attempt = uuid.uuid4().hex
+        self._write(rows.where("n_docs <> 0 or n_tokens <> 0"), attempt)
+        if self._enter(len(log), {"batch": None, "attempt": attempt}):
+            return True
+        self._discard(attempt)
+        return False
+
     def totals(self) -> DataFrame:
         """source, lang, version, n_docs, n_tokens; groups that have become empty are left out."""
-        return _summed(self._read("totals", TOTAL)).where("n_docs <> 0 or n_tokens <> 0")
+        return _summed(self._read("totals", self.log())).where("n_docs <> 0 or n_tokens <> 0")
 
     def recount(self) -> DataFrame:
-        """The same from the documents' deltas, to check the totals."""
-        return _summed(self._read("deltas", DELTA)).where("n_docs <> 0 or n_tokens <> 0")
+        """The same from the documents' rows, to check the totals."""
+        return _summed(self._read("deltas", self.log())).where("n_docs <> 0 or n_tokens <> 0")
 
 
 def _summed(rows: DataFrame) -> DataFrame:
     # few groups: partial sums leave each task one row per group
-    return rows.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+    return rows.groupBy(*GROUP).agg(*[F.sum(c).alias(c) for c in SUMS])
 
 
 _counters: dict[str, Callable[[str], int]] = {}
