@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.layout import fits, is_fragment, joined, wrap
-from .intervals import TRACK
+from ..plans.durable import settled
+from .intervals import BUCKET_S, TRACK, interval_join
 from .timing import TWO_FRAMES
 
 FRAME = 1.0 / 24.0
@@ -95,53 +96,50 @@ def plan_windows(items: DataFrame, size: str, most_items: int, most_size: int) -
     return items.join(packed.select(TRACK, "_z.seq", "_z.window"), [TRACK, "seq"])
 
 
-def plan_alignment_chunks(cues: DataFrame, max_s: float, min_gap_s: float = 1.5, pad_s: float = 0.5) -> DataFrame:
+def plan_alignment_chunks(cues: DataFrame, max_s: float, min_gap_s: float = 1.5, pad_s: float = 0.5, bucket_s: float = BUCKET_S) -> DataFrame:
     """Runs of cues within ``max_s``, cut after the last pause of ``min_gap_s`` in reach, else after the last cue in reach.
 
     Rows (track_id, lo, hi, start, end): cue positions [lo, hi) and the stretch of sound to
-    cut out, meeting in the middle of pauses. Cues without times ride along.
-    """
+    cut out, meeting in the middle of pauses. Cues without times ride along; a cue counts as
+    ending no earlier than those before it.
 
-    def plan(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("seq")
-        start = [None if pd.isna(x) else float(x) for x in frame["start"]]
-        end = [None if pd.isna(x) or s is None else float(x) for x, s in zip(frame["end"], start, strict=True)]
-        n = len(start)
-        known = lambda xs, order: next((xs[k] for k in order if xs[k] is not None), None)
-        cuts, i = [], 0
-        while True:
-            first, last = known(start, range(i, n)), known(end, range(n - 1, i - 1, -1))
-            if first is None or last is None or last - first <= max_s:
-                break
-            reach = []
-            for k in range(i, n - 1):
-                if end[k] is not None:
-                    if end[k] - first > max_s:
-                        break
-                    reach.append(k)
-            quiet = [k for k in reach if start[k + 1] is not None and start[k + 1] - end[k] >= min_gap_s]
-            cut = (quiet or reach or [i])[-1]
-            if cut >= n - 1:
-                break
-            cuts.append(cut)
-            i = cut + 1
-
-        def between(c: int) -> float:
-            e = end[c] if end[c] is not None else known(end, range(c, n))
-            if e is None:
-                return known(end, range(n - 1, -1, -1)) or 0.0
-            return e + pad_s if start[c + 1] is None else (e + start[c + 1]) / 2
-
-        edges = [0, *[c + 1 for c in cuts], n]
-        rows = []
-        for lo, hi in zip(edges, edges[1:], strict=False):
-            a = between(lo - 1) if lo else max(0.0, (known(start, range(lo, n)) or 0.0) - pad_s)
-            b = between(hi - 1) if hi < n else (known(end, range(n - 1, lo - 1, -1)) or 0.0) + pad_s
-            rows.append((frame[TRACK].iloc[0], lo, hi, a, b))
-        return pd.DataFrame(rows, columns=[TRACK, "lo", "hi", "start", "end"])
-
-    kind = cues.schema[TRACK].dataType.simpleString()
-    return cues.select(TRACK, "seq", "start", "end").groupBy(TRACK).applyInPandas(plan, f"{TRACK} {kind}, lo int, hi int, start double, end double")
+    Where a run that begins at a cue would end depends on that cue alone, so the end is
+    found for every cue by an interval join; only the hops from the first run to the next
+    are followed in order.
+    """
+    track = Window.partitionBy(TRACK).orderBy("seq")
+    ahead, behind = track.rowsBetween(0, Window.unboundedFollowing), track.rowsBetween(Window.unboundedPreceding, 0)
+    rows = cues.select(TRACK, "seq", "start", F.when(F.col("start").isNotNull(), F.col("end")).alias("end"))
+    rows = rows.withColumn("k", F.row_number().over(track) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(TRACK)))
+    rows = rows.withColumn("after", F.lead("start").over(track)).withColumn("first", F.first("start", ignorenulls=True).over(ahead)).withColumn("closes", F.first("end", ignorenulls=True).over(ahead))
+    rows = rows.withColumn("last", F.last("end", ignorenulls=True).over(track.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).withColumn("upto", F.max("end").over(behind))
+    rows = settled(rows)
+    # a run goes on if the cues left do not fit
+    opens = rows.where(F.col("last") - F.col("first") > max_s).where(F.col("last").isNotNull())
+    reach = opens.select(TRACK, F.col("k").alias("seq"), F.col("first").alias("start"), (F.col("first") + max_s).alias("end"))
+    ends = rows.where("end is not null and k < n - 1").select(TRACK, "k", F.col("upto").alias("start"), F.col("upto").alias("end"), F.coalesce(F.col("after") - F.col("end") >= min_gap_s, F.lit(False)).alias("quiet"))
+    near = interval_join(reach, ends, F.col("r_k") >= F.col("seq"), "closed", bucket_s)
+    best = near.groupBy(TRACK, "seq").agg(F.max(F.when(F.col("r_quiet"), F.col("r_k"))).alias("_quiet"), F.max("r_k").alias("_any"))
+    cut = opens.select(TRACK, F.col("k").alias("seq"), "n").join(best, [TRACK, "seq"], "left").withColumn("cut", F.coalesce("_quiet", "_any", "seq"))
+    hop = cut.where("cut < n - 1").select(TRACK, F.col("seq").alias("k"), (F.col("cut") + 1).alias("to"))
+    listed = rows.join(hop, [TRACK, "k"], "left").groupBy(TRACK).agg(F.array_sort(F.collect_list(F.struct("k", "to"))).alias("_hops"))
+    # one number is carried from cue to cue; the list grows by a run, not by a cue
+    start = F.struct(F.lit(0).alias("want"), F.array().cast("array<int>").alias("runs"))
+    step = lambda acc, h: F.when(h["k"] == acc["want"], F.struct(F.coalesce(h["to"], F.lit(-1)).alias("want"), F.concat(acc["runs"], F.array(h["k"])).alias("runs"))).otherwise(acc)
+    runs = listed.select(TRACK, F.explode(F.aggregate("_hops", start, step)["runs"]).alias("lo"))
+    runs = runs.withColumn("hi", F.lead("lo").over(Window.partitionBy(TRACK).orderBy("lo")))
+    # where the sound is cut after a cue: in the middle of the pause, or a little after it
+    between = F.when(F.col("closes").isNull(), F.coalesce("last", F.lit(0.0))).when(F.col("after").isNull(), F.col("closes") + pad_s).otherwise((F.col("closes") + F.col("after")) / 2)
+    edges = rows.select(TRACK, (F.col("k") + 1).alias("_at"), between.alias("_cut"))
+    head = rows.where("k = 0").select(TRACK, "n", F.greatest(F.lit(0.0), F.coalesce("first", F.lit(0.0)) - pad_s).alias("_from"))
+    tail = F.max(F.struct("k", "end")).alias("_tail")
+    out = runs.join(head, TRACK).join(edges.select(TRACK, F.col("_at").alias("lo"), F.col("_cut").alias("_a")), [TRACK, "lo"], "left").join(edges.select(TRACK, F.col("_at").alias("hi"), F.col("_cut").alias("_b")), [TRACK, "hi"], "left")
+    lasts = rows.where("end is not null").groupBy(TRACK).agg(tail)
+    out = out.join(lasts, TRACK, "left")
+    final = F.when(F.col("_tail")["k"] >= F.col("lo"), F.col("_tail")["end"]).otherwise(0.0) + pad_s
+    return out.select(
+        TRACK, "lo", F.coalesce("hi", "n").cast("int").alias("hi"), F.when(F.col("lo") == 0, F.col("_from")).otherwise(F.col("_a")).alias("start"), F.when(F.col("hi").isNull(), F.coalesce(final, F.lit(pad_s))).otherwise(F.col("_b")).alias("end")
+    )
 
 
 def _per_track(cues: DataFrame, change: Callable[[list[dict]], list[dict]], gap_s: float | None = None) -> DataFrame:

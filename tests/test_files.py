@@ -19,23 +19,23 @@ def parsed(df):
 
 
 def test_vtt(spark):
-    text = "﻿WEBVTT\r\n\r\nNOTE x\n\n1\n00:01.000 --> 00:02.500 align:start\nHi\nthere\n\n♪ la la ♪\n\n♪ ♪\n\n \t\nplain"
+    text = "﻿WEBVTT\r\n\r\nNOTE x\n\n1\n00:01.000 --> 00:02.500 align:start\nSea\nmist\n\n♪ heave ho ♪\n\n♪ ♪\n\n \t\nplain"
     got = parsed(sub.parse_vtt(spark.createDataFrame([("a", text)], FILE)))
-    assert got == [(0, 1.0, 2.5, "Hi\nthere", False), (1, None, None, "la la", True), (2, None, None, "plain", False)]
+    assert got == [(0, 1.0, 2.5, "Sea\nmist", False), (1, None, None, "heave ho", True), (2, None, None, "plain", False)]
 
 
 def test_ass(spark):
     head = "[Script Info]\nTitle: x\n[Events]\nFormat: Layer, Start, End, Style, Text\nComment: 0,0:00:00.00,0:00:01.00,D,no\n"
-    text = head + "Dialogue: 0,0:00:05.00,0:00:06.00,D,later, with comma\nDialogue: 0,0:00:01.00,0:00:02.00,D,{\\pos(1,2)}one\\Ntwo {\\i1\\b1}it{\\i0} {\\i1}open\nDialogue: 0,0:00:03.00,0:00:04.00,D,{\\i1}♪ song ♪{\\i0}\n"
+    text = head + "Dialogue: 0,0:00:05.00,0:00:06.00,D,later, with comma\nDialogue: 0,0:00:01.00,0:00:02.00,D,{\\pos(1,2)}one\\Ntwo {\\i1\\b1}it{\\i0} {\\i1}open\nDialogue: 0,0:00:03.00,0:00:04.00,D,{\\i1}♪ shanty ♪{\\i0}\n"
     got = parsed(sub.parse_ass(spark.createDataFrame([("a", text)], FILE)))
-    assert got == [(0, 1.0, 2.0, "one\ntwo <i>it</i> <i>open</i>", False), (1, 3.0, 4.0, "song", True), (2, 5.0, 6.0, "later, with comma", False)]
+    assert got == [(0, 1.0, 2.0, "one\ntwo <i>it</i> <i>open</i>", False), (1, 3.0, 4.0, "shanty", True), (2, 5.0, 6.0, "later, with comma", False)]
 
 
 def test_files_and_order(spark, tmp_path):
     (tmp_path / "a.vtt").write_bytes("WEBVTT\n\n00:05.000 --> 00:04.000\né\n\n00:01.000 --> 00:02.000\nfirst\n".encode("utf-16"))
-    (tmp_path / "b.srt").write_bytes("1\n00:00:01,000 --> 00:00:02,000\n你好\n".encode("gb18030"))
+    (tmp_path / "b.srt").write_bytes("1\n00:00:01,000 --> 00:00:02,000\n海風\n".encode("gb18030"))
     got = sub.read_cues(spark, str(tmp_path)).orderBy(F.regexp_extract("track_id", "[^/]+$", 0), "seq").collect()
-    assert [(r["seq"], r["start"], r["end"], r["text"]) for r in got] == [(0, 1.0, 2.0, "first"), (1, 4.0, 5.0, "é"), (0, 1.0, 2.0, "你好")]
+    assert [(r["seq"], r["start"], r["end"], r["text"]) for r in got] == [(0, 1.0, 2.0, "first"), (1, 4.0, 5.0, "é"), (0, 1.0, 2.0, "海風")]
     (tmp_path / "c.vtt").write_text("[Script Info]\n[Events]\n")
     with pytest.raises(Exception, match="content and ending differ"):
         sub.read_cues(spark, str(tmp_path)).collect()
@@ -56,8 +56,8 @@ def test_render(spark):
 
 def test_tags_media_language(spark):
     cues = spark.createDataFrame([("a", 0, 1.0, 2.0, "x", False), ("a", 1, None, None, "end", False)], CUE)
-    events = spark.createDataFrame([("a", 0.5, 0.9, "knocking"), ("a", 1.0, 1.5, "alarm")], "track_id string, start double, end double, tag string")
-    assert [r["text"] for r in sub.with_sound_tags(cues, events).orderBy("seq").collect()] == ["[knocking]", "x", "[alarm]", "end"]
+    events = spark.createDataFrame([("a", 0.5, 0.9, "oars"), ("a", 1.0, 1.5, "bell")], "track_id string, start double, end double, tag string")
+    assert [r["text"] for r in sub.with_sound_tags(cues, events).orderBy("seq").collect()] == ["[oars]", "x", "[bell]", "end"]
     files = spark.createDataFrame([("d/f.mp4",), ("d/f.MKV",), ("d/g.wav",), ("d/h.txt",)], "path string")
     assert {tuple(r) for r in sub.pick_media(files).collect()} == {("d/f", "d/f.MKV"), ("d/g", "d/g.wav")}
     tag = files.select(sub.language_of_path(F.lit("x/film.en-US.vtt")), sub.language_of_path(F.lit("film.vtt"))).first()
@@ -107,33 +107,35 @@ def test_translation(spark):
 
 def test_alignment(spark):
     unit = "track_id int, seq int, text string, start double, end double"
-    blocks = spark.createDataFrame([(1, 0, "你好", None, None), (1, 1, "世界", None, None), (2, 0, "x", 5.0, 6.0)], unit)
-    chars = spark.createDataFrame([(1, 0, "你", 0.0, 0.5), (1, 1, "好", 0.5, 1.0), (1, 2, "世", 2.0, 2.5), (1, 3, "界", 2.5, 3.0)], unit)
+    blocks = spark.createDataFrame([(1, 0, "山川", None, None), (1, 1, "海風", None, None), (2, 0, "x", 5.0, 6.0)], unit)
+    chars = spark.createDataFrame([(1, 0, "山", 0.0, 0.5), (1, 1, "川", 0.5, 1.0), (1, 2, "海", 2.0, 2.5), (1, 3, "風", 2.5, 3.0)], unit)
     assert {(r["track_id"], r["seq"]): (r["start"], r["end"]) for r in align.route_blocks(blocks, chars).collect()} == {(1, 0): (0.0, 1.0), (1, 1): (2.0, 3.0), (2, 0): (5.0, 6.0)}
-    texts = spark.createDataFrame([(1, "zh", "你好，世界。"), (2, "en", "Well—yes, ok")], "track_id int, lang string, text string")
-    more = chars.unionByName(spark.createDataFrame([(2, 0, "well", 0.0, 1.0), (2, 1, "yes", 1.5, 2.0), (2, 2, "ok", 3.0, 4.0)], unit))
+    texts = spark.createDataFrame([(1, "zh", "山川，海風。"), (2, "en", "Boats—oars, sails")], "track_id int, lang string, text string")
+    more = chars.unionByName(spark.createDataFrame([(2, 0, "boats", 0.0, 1.0), (2, 1, "oars", 1.5, 2.0), (2, 2, "sails", 3.0, 4.0)], unit))
     got = {}
     for r in align.reinject_punctuation(texts, more).orderBy("track_id", "seq").collect():
         got.setdefault(r["track_id"], []).append((r["text"], r["start"], r["end"]))
-    assert got[1] == [("你", 0.0, 0.5), ("好", 0.5, 1.0), ("，", 1.0, 1.0), ("世", 2.0, 2.5), ("界", 2.5, 3.0), ("。", 3.0, 3.0)]
-    assert got[2] == [("Well—", 0.0, 1.0), ("yes,", 1.5, 2.0), ("ok", 3.0, 4.0)]
-    fused = spark.createDataFrame([("hello there my friend", "Hello there, my friend.", "en"), ("keep, this", "zzz qqq.", "en"), ("", "other.", "en"), ("你好世界", "你好，世界。", "zh")], "text string, other string, lang string")
-    assert [r["fused"] for r in align.fuse_punctuation(fused).collect()] == ["hello there, my friend.", "keep, this", "other.", "你好，世界。"]
-    loop = spark.createDataFrame([("Intro. " + "This is a loop of words. " * 5,), ("no no no no.",)], "text string")
-    assert [r["clean"] for r in align.collapse_loops(loop).collect()] == ["Intro. This is a loop of words.", "no no no no."]
+    assert got[1] == [("山", 0.0, 0.5), ("川", 0.5, 1.0), ("，", 1.0, 1.0), ("海", 2.0, 2.5), ("風", 2.5, 3.0), ("。", 3.0, 3.0)]
+    assert got[2] == [("Boats—", 0.0, 1.0), ("oars,", 1.5, 2.0), ("sails", 3.0, 4.0)]
+    rows = [("two tall ships at anchor", "Two tall ships, at anchor.", "en"), ("keep, the rope", "mud flats.", "en"), ("", "tide.", "en"), ("山川海風", "山川，海風。", "zh"), ("deck", "deck", "en"), ("a, b. c", "a b! c", "en"), ("wind", "?! wind", "en"), (None, None, None)]
+    fused = spark.createDataFrame([(1, k, *r) for k, r in enumerate(rows)], "track_id int, seq int, text string, other string, lang string")
+    got = [r["fused"] for r in align.fuse_punctuation(fused).orderBy("seq").collect()]
+    assert got == ["two tall ships, at anchor.", "keep, the rope", "tide.", "山川，海風。", "deck", "a b! c", "?!wind", ""]
 
 
 def test_speakers(spark):
-    assert speakers.absorb_tiny_runs(list("ABA"), [1.0, 0.15, 1.0]) == list("AAA")
-    assert speakers.absorb_tiny_runs(list("AB"), [1.0, 0.16]) == list("AB") and speakers.absorb_tiny_runs(list("AB"), [1.0, 0.08]) == list("AA")
-    cue = [(1, 0, 0.0, 4.0, "hi there oh yes", "en", False, [{"start": 0.0, "end": 4.0}]), (1, 1, 5.0, 6.0, "solo", "en", False, [{"start": 5.0, "end": 6.0}])]
+    cases = [("ABA", [1.0, 0.15, 1.0], "AAA"), ("AB", [1.0, 0.16], "AB"), ("AB", [1.0, 0.08], "AA"), ("ABC", [1.0, 0.15, 1.0], "ABC"), ("ABC", [1.0, 0.1, 2.0], "ACC"), ("BAAB", [0.05, 0.04, 0.05, 0.5], "AAAB"), ("A", [0.0], "A"), ("ABABA", [0.3, 0.11, 0.19, 0.1, 0.3], "AAAAA")]
+    rows = spark.createDataFrame([(k, list(zip(labels, lengths))) for k, (labels, lengths, _) in enumerate(cases)], "k int, words array<struct<speaker:string,length:double>>")
+    got = {r["k"]: "".join(r["labels"]) for r in rows.select("k", speakers.absorb_tiny_runs(F.col("words")).alias("labels")).collect()}
+    assert got == {k: want for k, (_, _, want) in enumerate(cases)}
+    cue = [(1, 0, 0.0, 4.0, "row on then rest", "en", False, [{"start": 0.0, "end": 4.0}]), (1, 1, 5.0, 6.0, "solo", "en", False, [{"start": 5.0, "end": 6.0}])]
     cues = spark.createDataFrame(cue, "track_id int, seq int, start double, end double, text string, lang string, lyric boolean, word_data array<struct<start:double,end:double>>")
-    words = spark.createDataFrame([(1, 0, 0, "hi", 0.0, 1.0), (1, 0, 1, "there", 1.0, 2.0), (1, 0, 2, "oh", 2.0, 3.0), (1, 0, 3, "yes", 3.0, 4.0), (1, 1, 0, "solo", 5.0, 6.0)], "track_id int, cue int, k int, text string, start double, end double")
+    words = spark.createDataFrame([(1, 0, 0, "row", 0.0, 1.0), (1, 0, 1, "on", 1.0, 2.0), (1, 0, 2, "then", 2.0, 3.0), (1, 0, 3, "rest", 3.0, 4.0), (1, 1, 0, "solo", 5.0, 6.0)], "track_id int, cue int, k int, text string, start double, end double")
     turns = spark.createDataFrame([(1, 0, 0.0, 2.0, "A"), (1, 1, 2.0, 9.0, "B")], "track_id int, seq int, start double, end double, speaker string")
     got = speakers.format_speakers(cues, words, turns).orderBy("seq").collect()
-    assert [r["text"] for r in got] == ["-hi there\n-oh yes", "solo"]
+    assert [r["text"] for r in got] == ["-row on\n-then rest", "solo"]
     got = speakers.format_speakers(cues.withColumn("lang", F.lit("zh")), words, turns).orderBy("seq").collect()
-    assert [(r["text"], r["start"], r["end"]) for r in got] == [("hithere", 0.0, 2.0), ("ohyes", 2.0, 4.0), ("solo", 5.0, 6.0)]
+    assert [(r["text"], r["start"], r["end"]) for r in got] == [("rowon", 0.0, 2.0), ("thenrest", 2.0, 4.0), ("solo", 5.0, 6.0)]
 
 
 def test_paths(spark):
