@@ -90,7 +90,8 @@ def strip_for_translation(s: Column) -> Column:
 
 def merge_stutters(s: Column, rounds: int = 6) -> Column:
     """Repeated ASCII words joined by hyphens, ``I I I`` to ``I-I-I``; up to 2**rounds repeats."""
-    once = lambda c: F.regexp_replace(c, r"(?i)\b([A-Za-z]+)(\s+)(\1)\b", "$1-$3")
+    letter = r"[\p{L}\p{M}\p{N}_]"  # written out, as Java's word boundary changes with its version
+    once = lambda c: F.regexp_replace(c, rf"(?i)(?<!{letter})([A-Za-z]+)(\s+)(\1)(?!{letter})", "$1-$3")
     return reduce(lambda c, _: once(c), range(rounds), s)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.language import WIDE, spaced
-from ..functions.layout import wrap_column
+from ..functions.layout import wrapped
 from ..functions.text import PAUSE_COMMAS, join_tokens, reading_chars, sentences, tokens, visual_length
 from .align import distribute_units
 from .intervals import TRACK
@@ -84,7 +84,7 @@ def one_segment(units: DataFrame) -> DataFrame:
 
 def split_untimed(cues: DataFrame, lines: Column) -> DataFrame:
     """Cues (track_id, seq, lang, text, start, end) without word times, cut into display lines that share the time by their characters."""
-    parts = F.split(wrap_column("text", "lang", lines), "\n")
+    parts = F.split(wrapped(F.col("text"), F.col("lang"), lines), "\n")
     rows = cues.select(TRACK, "seq", "lang", "start", "end", F.posexplode(parts).alias("part", "text")).withColumn("_n", F.greatest(reading_chars(F.col("text")), F.lit(1)))
     cue = Window.partitionBy(TRACK, "seq")
     upto = F.sum("_n").over(cue.orderBy("part").rowsBetween(Window.unboundedPreceding, 0))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.layout import fits, is_fragment, joined, wrap
 from ..plans.durable import settled
 from .intervals import BUCKET_S, TRACK, interval_join
+from .stretches import each_stretch, spelled
 from .timing import TWO_FRAMES
 
 FRAME = 1.0 / 24.0
@@ -63,37 +64,59 @@ def pack_segments(segments: DataFrame, max_s: float, group: str | None = None) -
 
 
 def enforce_min_duration(cues: DataFrame, min_s: float) -> DataFrame:
-    """Cues last ``min_s`` where the next cue leaves room or can start later; overlaps end."""
+    """Cues last ``min_s`` where the next cue leaves room or can start later; overlaps end.
+
+    A cue that begins ``min_s`` or more after the end before it is never pushed, so each
+    stretch between such pauses is folded apart.
+    """
     want = F.lit(float(min_s))
     none = F.lit(None).cast("double")
-    rows = F.transform("_rows", lambda r, i: F.struct(r["seq"].alias("seq"), r["start"].alias("start"), r["end"].alias("end"), F.get(F.col("_rows"), i + 1).alias("next")))
+    track = Window.partitionBy(TRACK).orderBy("seq")
+    rows = cues.select(TRACK, "seq", "start", "end", F.lead("start").over(track).alias("next_start"), F.lead("end").over(track).alias("next_end"), F.lag("end").over(track).alias("_before"))
+    apart = F.coalesce((F.col("start") - F.col("_before") >= want) & (F.col("_before") >= F.lag("start").over(track)), F.lit(False))
+    rows = rows.withColumn("_apart", apart.cast("int")).withColumn("_block", F.sum("_apart").over(track.rowsBetween(Window.unboundedPreceding, 0)))
 
     def step(acc: Column, r: Column) -> Column:
         a = F.coalesce(acc["push"], r["start"])
-        target, na, nb = a + want, r["next"]["start"], r["next"]["end"]
+        target, na, nb = a + want, r["next_start"], r["next_end"]
         borrow = (target > na) & (target < nb - want / 2)
-        end = F.when(r["next"].isNull(), F.greatest(r["end"], target)).when(target <= na, F.least(F.greatest(r["end"], target), na)).when(borrow, target).otherwise(na)
+        end = F.when(na.isNull(), F.greatest(r["end"], target)).when(target <= na, F.least(F.greatest(r["end"], target), na)).when(borrow, target).otherwise(na)
         done = F.struct(r["seq"].alias("seq"), a.alias("start"), F.greatest(end, a + 0.001).alias("end"))
         return F.struct(F.concat(acc["done"], F.array(done)).alias("done"), F.when(borrow, target).otherwise(none).alias("push"))
 
     kind = cues.schema["seq"].dataType.simpleString()
     empty = F.struct(F.array().cast(f"array<struct<seq:{kind},start:double,end:double>>").alias("done"), none.alias("push"))
-    folded = _sorted(cues, "seq", "start", "end").select(TRACK, F.explode(F.aggregate(rows, empty, step)["done"]).alias("_c")).select(TRACK, "_c.*")
+    listed = _sorted(rows, "seq", "start", "end", "next_start", "next_end", extra=("_block",))
+    folded = listed.select(TRACK, F.explode(F.aggregate("_rows", empty, step)["done"]).alias("_c")).select(TRACK, "_c.*")
     rest = [c for c in cues.columns if c not in (TRACK, "seq", "start", "end")]
     return cues.select(TRACK, "seq", *rest).join(folded, [TRACK, "seq"]).select(cues.columns)
 
 
-def plan_windows(items: DataFrame, size: str, most_items: int, most_size: int) -> DataFrame:
-    """Adds ``window``: consecutive items (seq) up to a count and a summed size; an oversize item is alone."""
-    start = F.struct(F.array().cast("array<int>").alias("no"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("sum"), F.lit(0).alias("w"))
+def followed(hops: DataFrame) -> DataFrame:
+    """(track_id, k): the places that hops (track_id, k, to) lead to from place 0, as far as they go.
 
-    def step(acc: Column, r: Column) -> Column:
-        new = (acc["n"] > 0) & ((acc["n"] >= most_items) | (acc["sum"] + r[size] > most_size))
-        w = acc["w"] + F.when(new, 1).otherwise(0)
-        return F.struct(F.concat(acc["no"], F.array(w)).alias("no"), F.when(new, 1).otherwise(acc["n"] + 1).alias("n"), F.when(new, r[size].cast("long")).otherwise(acc["sum"] + r[size]).alias("sum"), w.alias("w"))
+    One number is carried from row to row; only the places that are reached are listed.
+    """
+    listed = hops.groupBy(TRACK).agg(F.array_sort(F.collect_list(F.struct("k", "to"))).alias("_hops"))
+    start = F.struct(F.lit(0).alias("want"), F.array().cast("array<int>").alias("met"))
+    step = lambda acc, h: F.when(h["k"] == acc["want"], F.struct(F.coalesce(h["to"], F.lit(-1)).alias("want"), F.concat(acc["met"], F.array(h["k"])).alias("met"))).otherwise(acc)
+    return listed.select(TRACK, F.explode(F.aggregate("_hops", start, step)["met"]).alias("k"))
 
-    packed = _sorted(items, "seq", size).select(TRACK, F.explode(F.arrays_zip(F.col("_rows.seq").alias("seq"), F.aggregate("_rows", start, step)["no"].alias("window"))).alias("_z"))
-    return items.join(packed.select(TRACK, "_z.seq", "_z.window"), [TRACK, "seq"])
+
+def plan_windows(items: DataFrame, size: str, most_items: int, most_size: int) -> DataFrame:
+    """Adds ``window``: consecutive items (seq) up to a count and a summed size; an oversize item is alone.
+
+    Where a window that begins at an item ends depends on the next ``most_items`` sizes
+    alone; only the hops from window to window are followed in order.
+    """
+    track = Window.partitionBy(TRACK).orderBy("seq")
+    rows = items.withColumn("_k", F.row_number().over(track) - 1).withColumn("_ahead", F.collect_list(F.col(size).cast("long")).over(track.rowsBetween(0, most_items - 1)))
+    within = F.aggregate("_ahead", F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("n"), F.lit(True).alias("goes")), lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), (acc["n"] + F.when(acc["goes"] & (acc["sum"] + x <= most_size), 1).otherwise(0)).alias("n"), (acc["goes"] & (acc["sum"] + x <= most_size)).alias("goes")))
+    hops = rows.select(TRACK, F.col("_k").alias("k"), (F.col("_k") + F.greatest(F.lit(1), within["n"])).alias("to"))
+    heads = followed(hops).select(TRACK, F.col("k").alias("_k"), F.lit(1).alias("_head"))
+    placed = rows.drop("_ahead").join(heads, [TRACK, "_k"], "left")
+    upto = track.rowsBetween(Window.unboundedPreceding, 0)
+    return placed.withColumn("window", (F.sum(F.coalesce("_head", F.lit(0))).over(upto) - 1).cast("int")).drop("_k", "_head")
 
 
 def plan_alignment_chunks(cues: DataFrame, max_s: float, min_gap_s: float = 1.5, pad_s: float = 0.5, bucket_s: float = BUCKET_S) -> DataFrame:
@@ -122,11 +145,7 @@ def plan_alignment_chunks(cues: DataFrame, max_s: float, min_gap_s: float = 1.5,
     best = near.groupBy(TRACK, "seq").agg(F.max(F.when(F.col("r_quiet"), F.col("r_k"))).alias("_quiet"), F.max("r_k").alias("_any"))
     cut = opens.select(TRACK, F.col("k").alias("seq"), "n").join(best, [TRACK, "seq"], "left").withColumn("cut", F.coalesce("_quiet", "_any", "seq"))
     hop = cut.where("cut < n - 1").select(TRACK, F.col("seq").alias("k"), (F.col("cut") + 1).alias("to"))
-    listed = rows.join(hop, [TRACK, "k"], "left").groupBy(TRACK).agg(F.array_sort(F.collect_list(F.struct("k", "to"))).alias("_hops"))
-    # one number is carried from cue to cue; the list grows by a run, not by a cue
-    start = F.struct(F.lit(0).alias("want"), F.array().cast("array<int>").alias("runs"))
-    step = lambda acc, h: F.when(h["k"] == acc["want"], F.struct(F.coalesce(h["to"], F.lit(-1)).alias("want"), F.concat(acc["runs"], F.array(h["k"])).alias("runs"))).otherwise(acc)
-    runs = listed.select(TRACK, F.explode(F.aggregate("_hops", start, step)["runs"]).alias("lo"))
+    runs = followed(rows.select(TRACK, "k").join(hop, [TRACK, "k"], "left")).withColumnRenamed("k", "lo")
     runs = runs.withColumn("hi", F.lead("lo").over(Window.partitionBy(TRACK).orderBy("lo")))
     # where the sound is cut after a cue: in the middle of the pause, or a little after it
     between = F.when(F.col("closes").isNull(), F.coalesce("last", F.lit(0.0))).when(F.col("after").isNull(), F.col("closes") + pad_s).otherwise((F.col("closes") + F.col("after")) / 2)
@@ -142,7 +161,7 @@ def plan_alignment_chunks(cues: DataFrame, max_s: float, min_gap_s: float = 1.5,
     )
 
 
-def _per_track(cues: DataFrame, change: Callable[[list[dict]], list[dict]], gap_s: float | None = None) -> DataFrame:
+def _per_track(cues: DataFrame, change: Callable[[list[dict]], list[dict]], gap_s: float | None = None, alone_stays: bool = True) -> DataFrame:
     """Applies a pass to each track's cues in order; seq is given anew.
 
     With ``gap_s`` the pass never looks across a pause of that length, counted from the
@@ -152,18 +171,21 @@ def _per_track(cues: DataFrame, change: Callable[[list[dict]], list[dict]], gap_
     so_far = Window.partitionBy(TRACK).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(TRACK).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     paused = F.lit(False) if gap_s is None else F.coalesce(F.col("start") - F.max("end").over(before) >= gap_s, F.lit(False))
-    rows = cues.withColumn("_paused", paused.cast("int")).withColumn("_block", F.sum("_paused").over(so_far)).select(*columns, "_block")
+    rows = cues.withColumn("_paused", paused.cast("int")).withColumn("_block", F.sum("_paused").over(so_far)).drop("_paused")
+    rows = rows.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy(TRACK, "_block")))
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = frame.sort_values("seq").to_dict("records")
+    def run(rows: list[dict]) -> list[dict]:
         for r in rows:
             r["word_data"] = [] if r["word_data"] is None else list(r["word_data"])
         out = change(rows)
         for k, r in enumerate(out):
             r["seq"] = k
-        return pd.DataFrame(out, columns=[*columns, "_block"])
+        return out
 
-    done = rows.groupBy(TRACK, "_block").applyInPandas(run, rows.schema)
+    # a cue between two such pauses has nothing to be joined with
+    alone = F.col("_size") == 1 if alone_stays else F.lit(False)
+    some = rows.where(~alone)
+    done = each_stretch(some, [TRACK, "_block"], run, spelled(some)).unionByName(rows.where(alone))
     place = F.row_number().over(Window.partitionBy(TRACK).orderBy("_block", "seq")) - 1
     return done.withColumn("seq", place.cast(cues.schema["seq"].dataType)).select(columns)
 
@@ -280,4 +302,4 @@ def snap_to_shots(cues: DataFrame, max_s: float) -> DataFrame:
                 c["end"] = off
         return rows
 
-    return _per_track(cues, change)
+    return _per_track(cues, change, alone_stays=False)

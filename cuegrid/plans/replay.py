@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.language import max_line_length, max_lines, spaced, thresholds
-from ..functions.layout import wrap_column
+from ..functions.layout import wrapped
 from ..functions.text import join_tokens, merge_stutters, reading_chars, strip_punctuation
 from ..operators import folds, packing
 from ..operators.intervals import BUCKET_S, TRACK, nearest_point
@@ -76,7 +76,7 @@ def polish(cues: DataFrame) -> DataFrame:
 def finish_text(cues: DataFrame) -> DataFrame:
     """Punctuation dropped, stutters joined, lines wrapped."""
     plain = merge_stutters(strip_punctuation(F.col("text")))
-    return cues.withColumn("text", wrap_column(plain, F.col("lang"), max_lines(F.col("lang"))))
+    return cues.withColumn("text", wrapped(plain, F.col("lang"), max_lines(F.col("lang"))))
 
 
 def full_polish(cues: DataFrame, shots: DataFrame | None = None, line: int = 42, lines: int = 2, max_s: float = 7.0, bucket_s: float = BUCKET_S) -> DataFrame:

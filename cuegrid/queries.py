@@ -12,9 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
 from .functions import language as lg
 from .functions import text as tx
-from .functions.layout import wrap_column
+from .functions.layout import wrapped
 from .functions.scores import clean_speech_flag, sing_flag, song_flag
 from .operators import align, clauses, folds, metrics, review, seams, semantic, speakers, timing
 from .operators import intervals as iv
@@ -185,7 +186,7 @@ def a7_bad_line_ends(spark, d):
 def a8_mid_phrase_cuts(spark, d):
     words = _words(spark, d)
     upto = timing.so_far()
-    phrases = words.select("track_id", (F.sum(F.length("text")).over(upto) - F.length("text")).alias("offset"))
+    phrases = words.select("track_id", "seq", (F.sum(F.length("text")).over(upto) - F.length("text")).alias("offset")).where("seq % 3 = 0")
     return metrics.mid_phrase_cuts(replay.cues_from_words(words), phrases, 0.7)
 
 
@@ -706,7 +707,7 @@ def x6_merge_stutters(spark, d):
 @query("x11_wrap")
 def x11_wrap(spark, d):
     cues = _cues(spark, d)
-    return cues.select("track_id", "seq", wrap_column("text", "lang", lg.max_lines(F.col("lang"))).alias("text"))
+    return cues.select("track_id", "seq", wrapped(F.col("text"), F.col("lang"), lg.max_lines(F.col("lang"))).alias("text"))
 
 
 @query("x12_layout_defaults", "SELECT doc_id, 2 AS max_lines, 42 AS max_line_length FROM documents")
@@ -949,3 +950,6 @@ def q7_pack_cues(spark, d):
 def q12_split_replay(spark, d):
     """The whole way from words to finished cues."""
     return replay.full_polish(replay.segmented(_words(spark, d))).select("track_id", "seq", "text", "start", "end")
+
+
+ORACLES |= oracles.more()
