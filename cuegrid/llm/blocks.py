@@ -1,8 +1,9 @@
 """Comparing the members of groups of any size: blocks, pairs of blocks, bounded tasks.
 
-A group of n rows is cut by hash into blocks; every pair of blocks is one unit of work with
-at most twice a block's rows, so a hot group spreads over many tasks and no pair of rows is
-ever a row of a table: a unit returns the forest of its links, or counts per member.
+A group of n rows is cut by hash into blocks. A block by itself, or every pair of blocks,
+is one unit of work with at most twice a block's rows, so a hot group spreads over many
+tasks and no pair of rows is ever a row of a table: a unit returns the forest of its links,
+or counts per member.
 """
 
 from __future__ import annotations
@@ -22,15 +23,26 @@ UNIT = ["_bi", "_bj"]
 FEW_GROUPS = 200_000
 
 
-def grouped(ws: Workspace, rows: DataFrame, key: str, block_rows: int, name: str) -> DataFrame:
-    """The rows of groups with two members or more, with ``_n``, their group's size, and ``_blocks``, its blocks.
+def grouped(ws: Workspace, rows: DataFrame, key: str, member: str, block_rows: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of groups with two members or more, with ``_n``, their group's size, and ``_blocks``, its blocks; and the groups with their least member, ``_hub``.
 
     Sizes are counted and written first. Few of them are broadcast; otherwise both sides of
     the join come from exchanges of their own, so that Spark can split the rows of a hot key.
     """
-    groups = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    groups = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min(member).alias("_hub")).where("_n > 1")
     groups = ws.save(groups.withColumn("_blocks", F.ceil(F.col("_n") / block_rows)), name)
-    return rows.join(F.broadcast(groups) if groups.count() <= FEW_GROUPS else groups, key)
+    sizes = groups.drop("_hub")
+    return rows.join(F.broadcast(sizes) if groups.count() <= FEW_GROUPS else sizes, key), groups
+
+
+def in_blocks(rows: DataFrame, groups: DataFrame, key: str, member: str) -> DataFrame:
+    """Rows (key, member) of ``grouped``, each once, in its own block; a group's least member stands in all of its blocks.
+
+    Columns as of ``block_pairs``. Members alike to the least one meet in linear time.
+    """
+    own = rows.select(key, member, F.pmod(F.xxhash64(member, F.lit(1)), F.col("_blocks")).alias("_own"))
+    hubs = groups.where("_blocks > 1").select(key, F.col("_hub").alias(member), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_own"))
+    return own.unionByName(hubs).withColumn("_bi", F.col("_own")).withColumn("_bj", F.col("_own"))
 
 
 def block_pairs(rows: DataFrame, member: str) -> DataFrame:

@@ -214,7 +214,7 @@ def linked_vectors(vectors: DataFrame, threshold: float = 0.98, codewords: int |
     t = codewords or codewords_for(classes.count())
     postings = ws.save(filters(classes, t, threshold).distinct(), "postings")
     # only filters that two vectors share go on; a posting carries ids until its unit is made up
-    met = ws.save(grouped(ws, postings, "key", UNIT_ROWS, "sizes"), "met")
+    met = ws.save(grouped(ws, postings, "key", "node", UNIT_ROWS, "sizes")[0], "met")
     keys = met.groupBy("node").agg(F.array_sort(F.collect_list("key")).alias("keys"))
     known = ws.save(classes.select("node", "copies", "grp", "embedding").join(keys, "node"), "known")
     links = ws.save(verified(block_pairs(met, "node").join(known, "node"), threshold), "links")

@@ -4,10 +4,12 @@ One pass over the texts takes the minima of 128 hash functions over each documen
 five-word shingles, hashes 25 bands of five minima, and packs the low four bits of all
 minima into 64 bytes. Documents that share a band are compared by counting equal packed
 values, corrected for the chance that low bits agree. Within a band the candidate pairs that
-connect its documents (a forest) are confirmed on the full shingle sets first; only where
-one of them fails are the band's other candidate pairs between documents still apart
-confirmed as well. So a group of n copies costs about n comparisons of sets, and every
-candidate pair is either confirmed, refuted, or between documents that are linked already.
+connect its documents (a forest) are confirmed on the full shingle sets first, block by
+block, with one document of the band in every block; only where one of them fails, or where
+the blocks of a large band do not come together, are the band's other candidate pairs
+between documents still apart confirmed as well. So a group of n copies costs about n
+comparisons, and every candidate pair is either confirmed, refuted, or between documents
+that are linked already.
 
 Sets hold 64-bit hashes of shingles; two different shingles of a pair of documents share one
 with a chance of about 1e-13 for documents of a thousand words.
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from .blocks import UNIT, Forest, block_pairs, changes, dealt, grouped, longs, overlaps, pairs, whole_groups
+from .blocks import FEW_GROUPS, UNIT, Forest, block_pairs, changes, dealt, grouped, in_blocks, longs, overlaps, pairs, whole_groups
 from .common import Workspace, chunks
 from .components import connected_components
 from .textscan import buffers, grams, mix, word_hashes, words
@@ -33,8 +35,9 @@ SHINGLE = 5
 MINIMA, BITS, BANDS, BAND_ROWS = 128, 4, 25, 5
 #: Estimates from so many standard errors below the similarity looked for go on to confirmation.
 MARGIN = 4.5
-#: Rows of a block when comparing signatures; rows and shingles compared at once when confirming.
-SIGNATURE_BLOCK, SET_BLOCK, SET_WEIGHT = 512, 64, 200_000
+#: Rows of a block when comparing signatures, and of one when all blocks are paired; rows and
+#: shingles compared at once when confirming.
+SIGNATURE_BLOCK, PAIRED_BLOCK, SET_BLOCK, SET_WEIGHT = 128, 512, 64, 200_000
 
 _random = np.random.default_rng(20240229)
 FACTOR = _random.integers(0, 1 << 31, MINIMA, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -316,9 +319,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, digest: bool = False) ->
     classes = ws.save(known.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("packed").alias("packed"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n")), "classes")
     marks = ws.save(classes.groupBy("node").agg(F.first("packed").alias("packed"), F.first("bands").alias("bands"), F.max("n").alias("n")), "marks")
     postings = classes.select("node", F.explode("bands").alias("key")).distinct()
-    bands = ws.save(grouped(ws, postings, "key", SIGNATURE_BLOCK, "sizes"), "bands")
+    bands, groups = grouped(ws, postings, "key", "node", SIGNATURE_BLOCK, "sizes")
+    bands = ws.save(bands, "bands")
     least = least_estimate(percent)
-    edges = ws.save(alike(block_pairs(bands, "node").join(marks.drop("bands"), "node"), least, SET_BLOCK), "edges")
+    edges = ws.save(alike(in_blocks(bands, groups, "key", "node").join(marks.drop("bands"), "node"), least, SET_BLOCK), "edges")
     # pairs that several bands propose are compared once
     tried = ws.save(edges.groupBy("a", "b").agg(F.min("unit").alias("unit")), "tried")
     asked = ws.save(tried.select("unit", F.col("a").alias("node")).union(tried.select("unit", "b")).distinct(), "asked")
@@ -326,12 +330,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, digest: bool = False) ->
     sets = ws.save(shingle_sets(texts), "sets")
     links = ws.save(confirmed(asked.join(sets, "node").withColumn("component", F.col("node")), percent), "links")
     homes = ws.save(connected_components(ws, links, "linked"), "homes")
-    # bands with a refuted pair and others besides it
+    # bands with a refuted pair and others besides it, and those of several blocks that are not one component
     home = lambda end: homes.select(F.col("node").alias(end), F.col("component").alias(f"{end}_home"))
     refuted = tried.join(home("a"), "a", "left").join(home("b"), "b", "left").where("coalesce(a_home, a) <> coalesce(b_home, b)").select("a", "b")
     refuted = ws.save(refuted, "refuted")
-    still = ws.save(edges.join(refuted, ["a", "b"]).select("key").distinct(), "open")
-    left = bands.where("_n > 2").join(still, "key")
+    large = bands.where("_blocks > 1").join(homes, "node", "left").groupBy("key").agg(F.min(F.coalesce("component", "node")).alias("low"), F.max(F.coalesce("component", "node")).alias("high"))
+    still = ws.save(edges.join(refuted, ["a", "b"]).select("key").union(large.where("low <> high").select("key")).distinct(), "open")
+    left = bands.where("_n > 2").join(F.broadcast(still) if still.count() <= FEW_GROUPS else still, "key").withColumn("_blocks", F.ceil(F.col("_n") / PAIRED_BLOCK))
     seen = marks.join(homes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     again = ws.save(crossing(block_pairs(left, "node").join(seen, "node"), least, SET_BLOCK), "again")
     late = again.join(sets, "node").join(homes, "node", "left").withColumn("component", F.coalesce("component", "node"))

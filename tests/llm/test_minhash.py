@@ -40,7 +40,8 @@ def test_near_duplicates_equal_plain(spark, monkeypatch):
     for block, percent in ((64, 85), (3, 80)):
         want = brute.near_components(rows, percent)
         monkeypatch.setattr(minhash, "SET_BLOCK", block)
-        monkeypatch.setattr(minhash, "SIGNATURE_BLOCK", 4 * block)
+        monkeypatch.setattr(minhash, "SIGNATURE_BLOCK", block)
+        monkeypatch.setattr(minhash, "PAIRED_BLOCK", 4 * block)
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(frame, percent).collect()}
         assert got == want
     assert len({c for _, c in want.values()}) < len(want) - 50
