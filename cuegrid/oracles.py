@@ -14,6 +14,10 @@ snap AS (SELECT p.track_id, p.seq, CASE WHEN coalesce(inside, false) THEN p.t EL
 LEFT_OVER = """{name}h AS (SELECT x.track_id, x.s, x.e, y.s AS ks, y.e AS ke FROM {x} x JOIN {y} y ON x.track_id = y.track_id AND least(x.e, y.e) > greatest(x.s, y.s)),
 {name} AS (SELECT track_id, f AS s, ks AS e FROM (SELECT *, greatest(s, coalesce(max(ke) OVER (PARTITION BY track_id, s, e ORDER BY ks, ke ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), s)) AS f FROM {name}h) WHERE ks > f
   UNION ALL SELECT x.track_id, greatest(x.s, coalesce(m, x.s)), x.e FROM {x} x LEFT JOIN (SELECT track_id, s, e, max(ke) AS m FROM {name}h GROUP BY 1, 2, 3) h ON h.track_id = x.track_id AND h.s = x.s AND h.e = x.e WHERE greatest(x.s, coalesce(m, x.s)) < x.e)"""
+#: Inputs of the queries that show every branch: texts in other scripts, a detector's answers, languages of all policies.
+SCRIPT_TEXTS = ("東京の空はとても青いですね", "今天天气很好我们去公园散步", "오늘은 날씨가 아주 좋아요 그렇죠")
+LABELS = ("English, German", "zh", "ja; ko", "Korean|fr", "", "Klingon/pt-BR")
+POLICY_LANGS = ("en", "ja", "zh", "ko", "th", "yue", "fr")
 SPACE = r"[\s\x0B\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 WIDTH = r"(length({t}) + length(regexp_replace({t}, '[\x00-\x7F\x{{0085}}\x{{00A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]', '', 'g')))"
 
@@ -57,6 +61,29 @@ def more() -> dict[str, str]:
     coalesced = q.COALESCED.format
     out: dict[str, str] = {}
 
+    # ------------------------------------------------------------ languages
+    listed = lambda xs: ", ".join(f"'{x}'" for x in xs)
+    texts = lambda n: f"[text, {listed(SCRIPT_TEXTS)}][{n} % 4 + 1]"
+    label = lambda n, lang: f"[{listed(LABELS)}, {lang}][{n} % {len(LABELS) + 1} + 1]"
+    count = lambda p: f"length(regexp_replace(text, '[^{p}]', '', 'g'))"
+    scripts = f"""sc AS (SELECT *, {count(chr(92) + 'p{Han}')} AS han, {count(chr(92) + 'p{Hiragana}' + chr(92) + 'p{Katakana}ー')} AS kana, {count(chr(92) + 'p{Hangul}')} AS hangul, {count(chr(92) + 'p{Latin}')} AS latin, length(regexp_replace(text, '\\P{{L}}', '', 'g')) AS total,
+  len(regexp_extract_all(text, '[A-Za-z]+(?:[''’-][A-Za-z]+)*')) AS words FROM src),
+sd AS (SELECT *, CASE WHEN hangul >= 4 AND hangul * 5 >= total * 3 THEN 'ko' WHEN kana >= 2 AND han + kana >= 4 AND (han + kana) * 5 >= total * 3 AND kana * 6 >= han + kana THEN 'ja'
+  WHEN han >= 4 AND han * 5 >= total * 3 AND kana * 6 < han + kana THEN 'han' WHEN latin >= 12 AND words >= 4 AND latin * 5 >= total * 4 THEN 'latin' END AS script FROM sc)"""
+    codes = "{" + ", ".join(f"'{k}': '{c}'" for c, n in q.lg.NAMES.items() for k in (c, n)) + "}"
+    code = lambda x: f"(MAP {codes})[string_split(replace(lower(trim({x})), '_', '-'), '-')[1]]"
+    effective = f"""lb0 AS (SELECT *, list_filter(list_transform(regexp_split_to_array(coalesce(detected, ''), '[,，;；|/]+'), lambda x: trim(x)), lambda x: x <> '') AS l FROM sd), lb1 AS (SELECT *, list_transform(l, lambda x: {code("x")}) AS c FROM lb0),
+ef AS (SELECT *, CASE script WHEN 'han' THEN coalesce(list_filter(l, lambda x: {code("x")} IN ('zh', 'yue', 'ja'))[1], 'zh') WHEN 'ja' THEN coalesce(list_filter(l, lambda x: {code("x")} = 'ja')[1], 'ja') WHEN 'ko' THEN coalesce(list_filter(l, lambda x: {code("x")} = 'ko')[1], 'ko')
+  WHEN 'latin' THEN coalesce(list_filter(l, lambda x: {code("x")} IN ({listed(q.lg.LATIN)}))[1], l[1]) ELSE l[1] END AS effective FROM lb1)"""
+    out["a12_dominant_script"] = f"WITH src AS (SELECT doc_id, {texts('doc_id')} AS text FROM documents), {scripts} SELECT doc_id, script FROM sd"
+    out["x27_reconcile_language"] = f"WITH src AS (SELECT doc_id, {texts('n')} AS text, {label('n', 'lang')} AS detected FROM (SELECT *, doc_id + doc_id // 4 AS n FROM documents)), {scripts}, {effective} SELECT doc_id, effective FROM ef"
+    out["a1_language_vote"] = f"""WITH src AS (SELECT conv_id AS track_id, turn AS seq, {texts('turn')} AS text, {label('turn', "'en'")} AS detected FROM conversations), {scripts}, {effective},
+v AS (SELECT track_id, coalesce({code("effective")}, lower(trim(effective))) AS lang, sum(length(regexp_replace(text, '[^\\p{{L}}\\p{{N}}]', '', 'g'))) AS mass, min(seq) AS seq FROM ef WHERE effective IS NOT NULL AND length(regexp_replace(text, '[^\\p{{L}}\\p{{N}}]', '', 'g')) > 0 GROUP BY 1, 2),
+r AS (SELECT track_id, arg_min(lang, {{'m': -mass, 's': seq}}) AS lang FROM v GROUP BY 1) SELECT t.track_id, coalesce(r.lang, 'english') AS lang FROM (SELECT DISTINCT track_id FROM src) t LEFT JOIN r USING (track_id)"""
+    policy = f"(SELECT doc_id, [{listed(POLICY_LANGS)}][doc_id % {len(POLICY_LANGS)} + 1] AS lang FROM documents)"
+    out["x12_layout_defaults"] = f"SELECT doc_id, CASE WHEN lang IN ('zh', 'yue', 'ja') THEN 1 ELSE 2 END AS max_lines, CASE WHEN lang IN ('zh', 'yue', 'ja') THEN 18 WHEN lang = 'ko' THEN 12 ELSE 42 END AS max_line_length, CASE WHEN lang IN ('zh', 'yue', 'ja') THEN 36 WHEN lang = 'ko' THEN 24 ELSE 42 END AS budget, lang NOT IN ('zh', 'yue', 'ja', 'th', 'lo', 'my') AS spaced FROM {policy}"
+    out["p12_thresholds"] = f"SELECT doc_id, CASE WHEN lang = 'ja' THEN 560 ELSE 400 END AS clause_ms, 1000 AS skip_ms, CASE WHEN lang = 'ja' THEN 980 ELSE 700 END AS offline_ms, 0.5::DOUBLE AS min_cue_s, 7::DOUBLE AS max_cue_s, 0.3::DOUBLE AS glue_gap_s, CASE WHEN lang = 'ja' THEN 7 WHEN lang IN ('zh', 'yue', 'ko') THEN 9 ELSE 17 END::DOUBLE AS cps, 0.25::DOUBLE AS lag_out_s, 0.458::DOUBLE AS shot_snap_s FROM {policy}"
+
     # ------------------------------------------------------------ aggregates
     gaps = f"{q.WORDS}, g AS (SELECT track_id, CASE WHEN s > prev THEN (s - prev) * 1000 END AS gap_ms FROM (SELECT *, lag(e) OVER (PARTITION BY track_id ORDER BY seq) AS prev FROM words))"
     out["a4_rescaled_thresholds"] = f"""WITH {gaps}, ad AS (SELECT track_id, CASE WHEN count(gap_ms) FILTER (gap_ms < 2000) >= 50 THEN greatest(300, least(800, round_even(round(quantile_cont(gap_ms, 0.9) FILTER (gap_ms < 2000) * 1.15, 6), 0)))::INT END AS a FROM g GROUP BY track_id),
@@ -121,6 +148,36 @@ f AS (SELECT track_id, seq, w AS held, s AS since, 0 AS cue FROM t WHERE seq = 0
   UNION ALL SELECT t.track_id, t.seq, CASE WHEN t.brk OR f.held + 1 + t.w > 84 OR t.e - f.since > 7 THEN t.w ELSE f.held + 1 + t.w END, CASE WHEN t.brk OR f.held + 1 + t.w > 84 OR t.e - f.since > 7 THEN t.s ELSE f.since END, CASE WHEN t.brk OR f.held + 1 + t.w > 84 OR t.e - f.since > 7 THEN f.cue + 1 ELSE f.cue END
   FROM f JOIN t ON t.track_id = f.track_id AND t.seq = f.seq + 1) SELECT track_id, seq, cue FROM f""")
 
+    short_cues = q.CUES.replace(">= 700", ">= 400")
+    glue = "trim(rtrim({a}) || ' ' || ltrim({b}))"
+    both = glue.format(a="f.text", b="c.text")
+    joins = f"c.s - f.e < 0.5 AND ((c.e - f.s <= 7 AND {wide(both)} <= 42) OR greatest(f.e - f.s, c.e - c.s) < 0.08 OR c.e - f.s < 0.5)"
+    out["t2_merge_micro"] = recursive(f"""{short_cues}, c AS (SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY seq) AS k, text, s, e FROM cues),
+f AS (SELECT track_id, k, 0 AS g, text, s, e FROM c WHERE k = 1 UNION ALL SELECT track_id, k, CASE WHEN j THEN g ELSE g + 1 END, CASE WHEN j THEN both_text ELSE text END, CASE WHEN j THEN fs ELSE s END, CASE WHEN j THEN greatest(fe, e) ELSE e END
+  FROM (SELECT c.track_id, c.k, f.g, c.text, c.s, c.e, f.s AS fs, f.e AS fe, {both} AS both_text, {joins} AS j FROM f JOIN c ON c.track_id = f.track_id AND c.k = f.k + 1))
+SELECT track_id, g AS seq, arg_max(text, k) AS text, arg_max(s, k) AS "start", arg_max(e, k) AS "end" FROM f GROUP BY 1, 2""")
+    lines = "(list_reduce(list_transform(regexp_extract_all({x}, '[^ \\t\\n\\r\\f\\x0B]+'), lambda w: {{'u': 1, 'a': {w}, 'm': {w}}}), lambda p, q: CASE WHEN p.a + 1 + q.a > 42 THEN {{'u': p.u + 1, 'a': q.a, 'm': greatest(p.m, q.m)}} ELSE {{'u': p.u, 'a': p.a + 1 + q.a, 'm': greatest(p.m, q.m)}} END))".replace("{w}", wide("w").replace("{", "{{").replace("}", "}}"))
+    two = lambda x: f"({lines.format(x=x)}.u <= 2 AND {lines.format(x=x)}.m <= 42)"
+    out["t3_glue_fragments"] = recursive(f"""{short_cues}, c AS (SELECT track_id, row_number() OVER w AS k, text, s, e, lead(text) OVER w AS nt, lead(s) OVER w AS ns, lead(e) OVER w AS ne FROM cues WINDOW w AS (PARTITION BY track_id ORDER BY seq)),
+f AS (SELECT track_id, 0::BIGINT AS k, -1 AS g, NULL::VARCHAR AS text, NULL::DOUBLE AS s, NULL::DOUBLE AS e, NULL::VARCHAR AS ct, NULL::DOUBLE AS cs FROM (SELECT DISTINCT track_id FROM c)
+  UNION ALL SELECT track_id, k, CASE WHEN act = 'new' THEN g + 1 ELSE g END, CASE act WHEN 'new' THEN x WHEN 'back' THEN jb ELSE pt END, CASE WHEN act = 'new' THEN xs ELSE ps END, CASE act WHEN 'new' THEN xe WHEN 'back' THEN greatest(pe, xe) ELSE pe END, CASE WHEN act = 'on' THEN x END, CASE WHEN act = 'on' THEN xs END
+  FROM (SELECT *, CASE WHEN frag AND ahead IS NOT NULL AND (back IS NULL OR ahead < back) THEN 'on' WHEN frag AND back IS NOT NULL THEN 'back' ELSE 'new' END AS act
+    FROM (SELECT *, CASE WHEN g >= 0 AND xs - pe < 0.5 AND xe - ps <= 7 AND {two('jb')} THEN xs - pe END AS back, CASE WHEN ns IS NOT NULL AND ns - xe < 0.5 AND ne - xs <= 7 AND {two('ja')} THEN ns - xe END AS ahead,
+        NOT regexp_matches(trim(x), '[ \t\n\r\f\x0B]') AND trim(x) <> '' AND length(regexp_replace(trim(x), ',+$', '')) <= 12 AS frag
+      FROM (SELECT *, {glue.format(a="pt", b="x")} AS jb, {glue.format(a="x", b="nt")} AS ja FROM (SELECT c.track_id, c.k, f.g, f.text AS pt, f.s AS ps, f.e AS pe, CASE WHEN f.ct IS NULL THEN c.text ELSE {glue.format(a="f.ct", b="c.text")} END AS x, least(coalesce(f.cs, c.s), c.s) AS xs, c.e AS xe, c.nt, c.ns, c.ne FROM f JOIN c ON c.track_id = f.track_id AND c.k = f.k + 1)))))
+SELECT track_id, g AS seq, arg_max(text, k) AS text, arg_max(s, k) AS "start", arg_max(e, k) AS "end" FROM f WHERE g >= 0 GROUP BY 1, 2""")
+    frame, two_frames, landing = "(1::DOUBLE / 24)", "(2::DOUBLE / 24)", "(12 * (1::DOUBLE / 24))"
+    near = lambda side: f"(SELECT p.track_id, p.seq, arg_min(h.t, {{'d': abs(h.t - p.{side}), 't': h.t}}) AS cut FROM polished p JOIN h ON h.track_id = p.track_id AND abs(h.t - p.{side}) <= 0.458 GROUP BY 1, 2)"
+    moved = f"CASE WHEN s - sc < 0 THEN CASE WHEN s - sc >= -7 * {frame} - 1e-9 THEN sc ELSE sc - {landing} END WHEN s - sc <= 9 * {frame} + 1e-9 THEN sc ELSE sc + {landing} END"
+    out["t4_snap_to_shots"] = recursive(f"""{q.POLISHED}, h AS (SELECT DISTINCT track_id, s AS t FROM words WHERE seq % 7 = 0), sn AS {near("s")}, en AS {near("e")},
+c AS (SELECT p.track_id, p.seq, row_number() OVER w AS k, p.s, p.e, cues.e AS spoken, lead(p.s) OVER w AS nx, sn.cut AS sc, en.cut AS ec FROM polished p JOIN cues USING (track_id, seq) LEFT JOIN sn USING (track_id, seq) LEFT JOIN en USING (track_id, seq) WINDOW w AS (PARTITION BY p.track_id ORDER BY p.seq)),
+f AS (SELECT track_id, 0::BIGINT AS k, NULL::INT AS seq, NULL::DOUBLE AS s, NULL::DOUBLE AS e FROM (SELECT DISTINCT track_id FROM c)
+  UNION ALL SELECT track_id, k, seq, s1, CASE WHEN ec IS NULL THEN e WHEN (CASE WHEN target > e + 1e-9 THEN target <= coalesce(nx, 1e300) - {two_frames} AND target - s1 <= 7 ELSE target < e - 1e-9 AND target >= spoken AND target > s1 END) THEN target
+    WHEN near AND e > ec AND ec + {landing} > e AND ec + {landing} <= coalesce(nx, 1e300) - {two_frames} AND ec + {landing} - s1 <= 7 THEN ec + {landing} ELSE e END
+  FROM (SELECT *, e - ec <= 5 * {frame} + 1e-9 AS near, CASE WHEN e - ec <= 5 * {frame} + 1e-9 THEN ec - {two_frames} ELSE ec + {landing} END AS target, CASE WHEN sc IS NOT NULL AND abs(sc - s) > 1e-9 AND new < e - {two_frames} AND new - s <= {landing} THEN new ELSE s END AS s1
+    FROM (SELECT *, greatest({moved}, coalesce(pe + {two_frames}, {moved})) AS new FROM (SELECT c.*, f.e AS pe FROM f JOIN c ON c.track_id = f.track_id AND c.k = f.k + 1))))
+SELECT track_id, seq, s AS "start", e AS "end" FROM f WHERE k > 0""")
+
     # ------------------------------------------------------------ text
     out["x8_strip_for_translation"] = "SELECT doc_id, trim(regexp_replace(translate(" + q.STRIP.format(t=f"translate(text, '{EXTRA_DROPPED}', repeat(' ', {len(EXTRA_DROPPED)}))") + r", chr(3) || chr(4), '.,'), '[\s\x0B\x{0085}\x{00A0}\x{2028}\x{2029}\x{3000}]+', ' ', 'g')) AS plain FROM documents"
     out["x6_merge_stutters"] = f"SELECT doc_id, CASE WHEN text IS NOT NULL THEN {stuttered('text')} END AS joined FROM documents"
@@ -148,6 +205,17 @@ ov AS (SELECT cw.track_id, cue, k, speaker, round(sum(least(cw.e, sp.e) - greate
 bs AS (SELECT track_id, cue, k, speaker FROM (SELECT *, row_number() OVER (PARTITION BY track_id, cue, k ORDER BY o DESC, f) AS r FROM ov) WHERE r = 1 AND o >= 0.05),
 lb AS (SELECT cw.track_id, cw.cue, cw.k, cw.text, cw.s, cw.e, coalesce(last_value(speaker IGNORE NULLS) OVER w, first_value(speaker IGNORE NULLS) OVER (PARTITION BY cw.track_id, cw.cue ORDER BY cw.k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS speaker FROM cw LEFT JOIN bs ON bs.track_id = cw.track_id AND bs.cue = cw.cue AND bs.k = cw.k WINDOW w AS (PARTITION BY cw.track_id, cw.cue ORDER BY cw.k ROWS UNBOUNDED PRECEDING))"""
     out["d1_speaker_runs"] = f"""WITH {turns} SELECT track_id, cue::INT AS cue, k, speaker, sum(new) OVER (PARTITION BY track_id, cue ORDER BY k ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, CASE WHEN k > 0 AND speaker IS NOT DISTINCT FROM lag(speaker) OVER (PARTITION BY track_id, cue ORDER BY k) THEN 0 ELSE 1 END AS new FROM lb)"""
+    out["d3_snap_to_phrases"] = f"""WITH {turns}, ph AS (SELECT *, CASE WHEN k % 7 < 6 THEN k // 3 END AS phrase FROM lb), m AS (SELECT track_id, cue, phrase, arg_min(speaker, {{'t': -tm, 'k': fk}}) AS main FROM (SELECT track_id, cue, phrase, speaker, sum(greatest(0, e - s)) AS tm, min(k) AS fk FROM ph WHERE phrase IS NOT NULL AND speaker IS NOT NULL GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3)
+SELECT ph.track_id, ph.cue::INT AS cue, ph.k, coalesce(m.main, ph.speaker) AS speaker FROM ph LEFT JOIN m ON m.track_id = ph.track_id AND m.cue = ph.cue AND m.phrase = ph.phrase"""
+    out["j15_anchors"] = f"""WITH {q.TOKENS}, h AS (SELECT track_id, seq, trunc(seq + seq / 10 % 7 - 3)::INT AS at, CASE WHEN seq % 50 = 0 THEN reverse(text) ELSE text END AS text FROM tok WHERE seq % 10 = 0),
+b AS (SELECT h.track_id, h.seq, arg_min(w.seq, {{'d': abs(w.seq - h.at), 'n': -w.seq}}) AS found FROM h JOIN tok w ON w.track_id = h.track_id AND w.seq BETWEEN h.at - 8 AND h.at + 8 AND trim(w.text) = trim(h.text) GROUP BY 1, 2)
+SELECT h.track_id, h.seq, h.text, coalesce(b.found, h.at)::INT AS found, b.found IS NOT NULL AS ok FROM h LEFT JOIN b USING (track_id, seq)"""
+    out["a9_path_quality"] = f"WITH {q.SPANS} SELECT track_id, round(sum((seq * 37 % 101) * (1 + seq % 3)) / sum(1 + seq % 3), 9) AS average, min(seq * 37 % 101) AS worst FROM spans GROUP BY 1"
+    out["b8_choose_option"] = f"""WITH {q.SPANS}, o AS (SELECT track_id, seq // 8 AS win, seq AS option, seq % 8 = 0 AS fb, (seq * 13 % 17 / 8 + seq * 7 % 19 / 8) / 2 + seq % 3 / 8 - seq % 5 / 8 AS sc FROM spans), bs AS (SELECT *, max(CASE WHEN fb THEN sc END) OVER (PARTITION BY track_id, win) AS base FROM o)
+SELECT track_id, win AS "window", option, fb AS fallback FROM (SELECT *, row_number() OVER (PARTITION BY track_id, win ORDER BY sc DESC, fb DESC, option) AS r FROM bs WHERE fb OR sc - base >= 0.2) WHERE r = 1"""
+    out["b11_whole_or_baseline"] = f"""WITH {q.SPANS}, p AS (SELECT track_id, seq AS src, seq + 1 + seq % 2 AS dst, 1 + seq % 2 AS w, CASE WHEN seq % 1009 <> 0 THEN seq * 37 % 101 END AS qa, CASE WHEN seq % 97 <> 0 THEN seq * 41 % 101 END AS qb FROM a),
+v AS (SELECT track_id, coalesce(bool_and(qb IS NOT NULL) AND sum(qb * w) / sum(w) + 15 >= sum(qa * w) / sum(w) AND min(qb) + 25 >= min(qa), false) AS take FROM p GROUP BY 1)
+SELECT track_id, src, dst, CASE WHEN take THEN qb ELSE qa END AS quality, CASE WHEN take THEN 'candidate' ELSE 'baseline' END AS source FROM p JOIN v USING (track_id)"""
     bounded = f"""{q.WORDS}, hb AS (SELECT *, coalesce((s - lag(e) OVER w) * 1000 >= 700 OR regexp_matches(lag(text) OVER w, '[.!?。！？]$'), false) AS must FROM words WINDOW w AS (PARTITION BY track_id ORDER BY seq)),
 bl AS (SELECT *, sum(must::INT) OVER (PARTITION BY track_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS block FROM hb), pt AS (SELECT *, (row_number() OVER (PARTITION BY track_id, block ORDER BY seq) - 1) // 96 AS part FROM bl),
 wn AS (SELECT *, dense_rank() OVER (PARTITION BY track_id ORDER BY block, part) - 1 AS win FROM pt)"""

@@ -195,10 +195,19 @@ def a13_payload_signature(spark, d):
     return metrics.payload_signature(_cues(spark, d).select("track_id", F.col("seq").alias("i"), F.col("text").alias("t")))
 
 
-@query("a1_language_vote", "SELECT doc_id AS track_id, CASE WHEN length(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) > 0 THEN lang ELSE 'english' END AS lang FROM documents")
+def _labelled(rows: DataFrame, n: str) -> DataFrame:
+    """Texts in four scripts under labels of every kind, by a number of the row."""
+    n = F.col(n)
+    text = F.element_at(F.array(F.col("text"), *[F.lit(t) for t in oracles.SCRIPT_TEXTS]), (n % 4 + 1).cast("int"))
+    label = F.element_at(F.array(*[F.lit(x) for x in oracles.LABELS], F.col("lang")), (n % (len(oracles.LABELS) + 1) + 1).cast("int"))
+    return rows.withColumn("text", text).withColumn("detected", label)
+
+
+@query("a1_language_vote")
 def a1_language_vote(spark, d):
-    docs = table(spark, d, "documents")
-    return metrics.vote_language(docs.select(F.col("doc_id").alias("track_id"), F.lit(0).alias("seq"), F.col("lang").alias("detected"), "text"))
+    """Turns of a conversation as chunks, each with a detector's answer."""
+    turns = _turns(spark, d).select("track_id", "seq", F.col("seq").alias("n"), "text", F.lit("en").alias("lang"))
+    return metrics.vote_language(_labelled(turns, "n").select("track_id", "seq", "detected", "text"))
 
 
 # ---------------------------------------------------------------- intervals
@@ -644,7 +653,9 @@ def q7_pack_words(spark, d):
 
 @query("t2_merge_micro")
 def t2_merge_micro(spark, d):
-    return folds.merge_micro(_cues(spark, d), 0.3, 42, 7.0, 0.5, 2).select("track_id", "seq", "text", "start", "end")
+    """Cues parted by short pauses, so that there is something to merge."""
+    cues = replay.cues_from_words(_words(spark, d), offline_ms=400)
+    return folds.merge_micro(cues, 0.5, 42, 7.0, 0.5, 2).select("track_id", "seq", "text", "start", "end")
 
 
 @query("t3_glue_fragments")
@@ -710,10 +721,22 @@ def x11_wrap(spark, d):
     return cues.select("track_id", "seq", wrapped(F.col("text"), F.col("lang"), lg.max_lines(F.col("lang"))).alias("text"))
 
 
-@query("x12_layout_defaults", "SELECT doc_id, 2 AS max_lines, 42 AS max_line_length FROM documents")
+def _languages(spark, d):
+    """Documents under languages of every writing policy."""
+    pick = F.element_at(F.array(*[F.lit(x) for x in oracles.POLICY_LANGS]), (F.col("doc_id") % len(oracles.POLICY_LANGS) + 1).cast("int"))
+    return table(spark, d, "documents").select("doc_id", pick.alias("lang"), "text")
+
+
+@query("x12_layout_defaults")
 def x12_layout_defaults(spark, d):
     lang = F.col("lang")
-    return table(spark, d, "documents").select("doc_id", lg.max_lines(lang).alias("max_lines"), lg.max_line_length(lang).alias("max_line_length"))
+    return _languages(spark, d).select("doc_id", lg.max_lines(lang).alias("max_lines"), lg.max_line_length(lang).alias("max_line_length"), lg.line_budget(lang).alias("budget"), lg.spaced(lang).alias("spaced"))
+
+
+@query("p12_thresholds")
+def p12_thresholds(spark, d):
+    rows = _languages(spark, d)
+    return rows.select("doc_id", *[c.alias(n) for n, c in lg.thresholds(F.col("lang")).items()])
 
 
 @query("x14_line_end_penalty", f"WITH {TOKENS} SELECT track_id, seq, {END_PENALTY.format(t='text', l='lang')} AS penalty FROM tok")
@@ -752,18 +775,16 @@ def a11_content_mass(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.content_mass(F.col("text")).alias("mass"))
 
 
-@query(
-    "a12_dominant_script",
-    r"""SELECT doc_id, CASE WHEN latin >= 12 AND words >= 4 AND latin * 5 >= total * 4 THEN 'latin' END AS script FROM (SELECT doc_id, length(regexp_replace(text, '[^\p{Latin}]', '', 'g')) AS latin,
-  length(regexp_replace(text, '\P{L}', '', 'g')) AS total, len(regexp_extract_all(text, '[A-Za-z]+(?:[''’-][A-Za-z]+)*')) AS words FROM documents)""",
-)
+@query("a12_dominant_script")
 def a12_dominant_script(spark, d):
-    return table(spark, d, "documents").select("doc_id", lg.dominant_script(F.col("text")).alias("script"))
+    rows = table(spark, d, "documents").withColumn("n", F.col("doc_id"))
+    return _labelled(rows, "n").select("doc_id", lg.dominant_script(F.col("text")).alias("script"))
 
 
-@query("x27_reconcile_language", "SELECT doc_id, lang AS effective FROM documents")
+@query("x27_reconcile_language")
 def x27_reconcile_language(spark, d):
-    return table(spark, d, "documents").select("doc_id", lg.reconcile(F.col("lang"), F.col("text")).alias("effective"))
+    rows = table(spark, d, "documents").withColumn("n", F.col("doc_id") + F.floor(F.col("doc_id") / 4))
+    return _labelled(rows, "n").select("doc_id", lg.reconcile(F.col("detected"), F.col("text")).alias("effective"))
 
 
 @query("x24_collapse_loops")
@@ -927,10 +948,11 @@ def q13_one_segment(spark, d):
     return clauses.one_segment(_words(spark, d))
 
 
-@query("j15_anchors", f"WITH {TOKENS} SELECT track_id, seq, text, seq AS found, true AS ok FROM tok WHERE seq % 10 = 0")
+@query("j15_anchors")
 def j15_anchors(spark, d):
+    """Expected places up to three words off, so that anchors move, or have nothing to hold on to."""
     words = _words(spark, d).select("track_id", "seq", "text")
-    heads = words.where("seq % 10 = 0").select("track_id", "seq", F.col("seq").alias("at"), "text")
+    heads = words.where("seq % 10 = 0").select("track_id", "seq", (F.col("seq") + F.col("seq") / 10 % 7 - 3).cast("int").alias("at"), F.when(F.col("seq") % 50 == 0, F.reverse("text")).otherwise(F.col("text")).alias("text"))
     return clauses.anchored_words(heads, words).select("track_id", "seq", "text", "found", "ok")
 
 
@@ -952,4 +974,31 @@ def q12_split_replay(spark, d):
     return replay.full_polish(replay.segmented(_words(spark, d))).select("track_id", "seq", "text", "start", "end")
 
 
+@query("a9_path_quality")
+def a9_path_quality(spark, d):
+    rows = _spans(spark, d)
+    return metrics.path_quality(rows.select("track_id", "seq", F.col("seq").alias("src"), (F.col("seq") + 1 + F.col("seq") % 3).alias("dst"), (F.col("seq") * 37 % 101).alias("quality"))).select("track_id", F.round("average", 9).alias("average"), "worst")
+
+
+@query("d3_snap_to_phrases")
+def d3_snap_to_phrases(spark, d):
+    words = speakers.label_words(_cue_words(spark, d), _speaker_turns(spark, d)).drop("run").withColumn("phrase", F.when(F.col("k") % 7 < 6, F.floor(F.col("k") / 3)))
+    return speakers.snap_to_phrases(words).select("track_id", "cue", "k", "speaker")
+
+
+@query("b8_choose_option")
+def b8_choose_option(spark, d):
+    """Options of a task from the events of a user, four to a window, the first as the fallback."""
+    n = F.col("seq")
+    rows = _spans(spark, d).select("track_id", F.floor(n / 8).alias("window"), n.alias("option"), (n % 8 == 0).alias("fallback"), (n * 13 % 17 / 8.0).alias("logit_a"), (n * 7 % 19 / 8.0).alias("logit_b"), (n % 3 / 8.0).alias("timing"), (n % 5 / 8.0).alias("host"))
+    return semantic.choose_option(rows).select("track_id", "window", "option", "fallback")
+
+
+@query("b11_whole_or_baseline")
+def b11_whole_or_baseline(spark, d):
+    n = F.col("seq")
+    path = lambda a, b: _spans(spark, d, *A_KINDS).select("track_id", n.alias("src"), (n + 1 + n % 2).alias("dst"), F.when(n % a != 0, n * b % 101).alias("quality"))
+    return semantic.whole_or_baseline(path(1009, 37), path(97, 41)).select("track_id", "src", "dst", "quality", "source")
+
+
 ORACLES |= oracles.more()
