@@ -11,6 +11,8 @@ derives narrow ones from all documents of one language, script and length, and
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 from typing import NamedTuple
 
 import numpy as np
@@ -55,7 +57,7 @@ FULL_TOKENS = 1024
 #: Half the width of a corpus band, in robust standard deviations, and the least of these for each figure.
 WIDTH = 4.0
 LEAST_SPREAD = {"fertility": 0.02, "share": 0.02, "spread": 0.01}
-#: A group of fewer documents has no bands of its own; those of its script hold alone.
+#: A group of fewer documents has no bands of its own: those of its language and script over all lengths hold for fertility and byte fallback, if they have as many.
 LEAST_GROUP = 100
 
 
@@ -209,13 +211,21 @@ def _group(judged: DataFrame) -> dict[str, Column]:
     return {"_lang": lang, "_script": F.col("script"), "_length": length}
 
 
+#: The length of a group that holds documents of all lengths.
+ANY_LENGTH = -1
+
+
 def corpus_bands(judged: DataFrame) -> DataFrame:
     """Bands (_lang, _script, _length, and a middle and a reach for each figure) from every document that passes the plain rules.
 
-    ``judged`` is what ``assess`` returns. Quartiles are exact to the third decimal and
-    merge across tasks, so the bands do not depend on how rows are dealt.
+    ``judged`` is what ``assess`` returns. Besides those by length there are bands of each
+    language and script over all lengths, for documents whose length has too few; they limit
+    what does not depend on the length, fertility and byte fallback. Quartiles
+    are exact to the third decimal and merge across tasks, so the bands do not depend on how
+    rows are dealt.
     """
     rows = judged.where("not base_failed").select(*[c.alias(k) for k, c in _group(judged).items()], *[F.round(c, 3).alias(k) for k, c in _figures().items()])
+    rows = rows.withColumn("_length", F.explode(F.array("_length", F.lit(ANY_LENGTH))))
     quarters = F.array(*map(F.lit, (0.25, 0.5, 0.75)))
     groups = rows.groupBy("_lang", "_script", "_length").agg(F.count(F.lit(1)).alias("_n"), *[F.percentile(k, quarters).alias(k) for k in LEAST_SPREAD])
     # the quartiles of a normal distribution lie 1.349 standard deviations apart
@@ -226,9 +236,14 @@ def corpus_bands(judged: DataFrame) -> DataFrame:
 
 def within_corpus(judged: DataFrame, bands: DataFrame) -> DataFrame:
     """``judged`` with ``kept`` also false outside the corpus bands: fertility on either side, much byte fallback, little entropy."""
-    off = {k: c - F.col(f"_{k}_middle") for k, c in _figures().items()}
-    reach = {k: F.col(f"_{k}_reach") for k in off}
-    odd = (F.abs(off["fertility"]) > reach["fertility"]) | (off["share"] > reach["share"]) | (-off["spread"] > reach["spread"])
+    limits = [c for c in bands.columns if c not in ("_lang", "_script", "_length")]
     # bounded: a row for each group of LEAST_GROUP documents or more
-    rows = judged.withColumns(_group(judged)).join(F.broadcast(bands), ["_lang", "_script", "_length"], "left")
-    return rows.withColumn("kept", F.col("kept") & ~F.coalesce(odd, F.lit(False))).select(judged.columns)
+    own = F.broadcast(bands)
+    whole = F.broadcast(bands.where(F.col("_length") == ANY_LENGTH).drop("_length").select("_lang", "_script", *[F.col(c).alias(f"{c}_any") for c in limits]))
+    rows = judged.withColumns(_group(judged)).join(own, ["_lang", "_script", "_length"], "left").join(whole, ["_lang", "_script"], "left")
+    limit = {c: F.col(c) if c.startswith("_spread") else F.coalesce(c, f"{c}_any") for c in limits}
+    off = {k: c - limit[f"_{k}_middle"] for k, c in _figures().items()}
+    reach = {k: limit[f"_{k}_reach"] for k in off}
+    odd = [F.abs(off["fertility"]) > reach["fertility"], off["share"] > reach["share"], -off["spread"] > reach["spread"]]
+    odd = reduce(or_, [F.coalesce(o, F.lit(False)) for o in odd])
+    return rows.withColumn("kept", F.col("kept") & ~odd).select(judged.columns)

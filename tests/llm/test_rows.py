@@ -8,12 +8,13 @@ import random
 import re
 import time
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import sentencepiece
 
-from cuegrid.llm.quality import LEAST_TOKENS, assess, corpus_bands, within_corpus
+from cuegrid.llm.quality import ANY_LENGTH, BANDS, FULL_TOKENS, LEAST_GROUP, LEAST_SPREAD, LEAST_TOKENS, WIDTH, assess, corpus_bands, within_corpus
 from cuegrid.llm.queries import tokenizer_file
 from cuegrid.llm.secrets import KINDS, base62, checksum_holds, find_secrets, redact, scan, spelled
 
@@ -101,6 +102,64 @@ def test_corpus_bands_reject_what_the_language_is_not(spark):
     assert not got[200]["kept"] and not got[201]["kept"]
 
 
+def plain_verdict(rows, piece):
+    """The verdict of ``assess`` and ``within_corpus`` on (doc_id, text, lang), one document after the other."""
+    figures = {}
+    for d, text, lang in rows:
+        w = brute.words(text)
+        ids = [k for x in w for k in piece.encode(x)]
+        n, chars = len(ids), sum(map(len, w))
+        count = Counter(ids)
+        entropy = -sum(c / n * math.log2(c / n) for c in count.values()) if n else 0.0
+        votes = Counter("latin" if "a" <= c.lower() <= "z" else "cyrillic" if "а" <= c.lower() <= "я" else None for c in text or "")
+        votes.pop(None, None)
+        script = max(("latin", "cyrillic"), key=lambda s: votes[s]) if votes else "other"
+        some = max(n, 1)
+        f = (chars / some, sum(map(piece.is_byte, ids)) / some, entropy / math.log2(min(max(n, 2), FULL_TOKENS)))
+        figures[d] = (plain_quality(text)[5], n, script, f, (lang or "", script, int(math.log2(min(max(n, 1), FULL_TOKENS)))))
+    groups = defaultdict(list)
+    for failed, _, _, f, g in figures.values():
+        if not failed:
+            for group in (g, (*g[:2], ANY_LENGTH)):
+                groups[group].append([round(x, 3) for x in f])
+    out = {}
+    for d, (failed, n, script, f, g) in figures.items():
+        band = BANDS[script]
+        kept = not failed
+        if n >= LEAST_TOKENS and not (band.chars_per_token[0] <= f[0] <= band.chars_per_token[1] and f[1] <= band.byte_share and f[2] >= band.entropy_share):
+            kept = False
+        full = len(groups[g]) >= LEAST_GROUP
+        g = g if full else (*g[:2], ANY_LENGTH)
+        if len(groups[g]) >= LEAST_GROUP:
+            for k, (x, least) in enumerate(zip(f, LEAST_SPREAD.values())):
+                low, mid, high = np.percentile([r[k] for r in groups[g]], [25, 50, 75])
+                reach = WIDTH * max((high - low) / 1.349, least)
+                if (k == 0 and abs(x - mid) > reach) or (k == 1 and x - mid > reach) or (k == 2 and full and mid - x > reach):
+                    kept = False
+        out[d] = kept
+    return out
+
+
+def test_verdict_equals_plain(spark):
+    """Prose, mojibake, byte noise, keyboard mash and text in another script, as a whole table."""
+    r = random.Random(21)
+    stems = "water house river garden winter summer letter number people mother father silver market corner island the of and to in".split()
+    russian = "вода дом река сад зима лето письмо число люди мать отец рынок угол остров город весна море лес поле дорога".split()
+    mash = lambda of, n: " ".join("".join(r.choices(of, k=r.randint(3, 9))) for _ in range(n))
+    rows = [(i, " ".join(r.choices(stems, k=r.choice([30, 80, 81, 82, 200]))), "en") for i in range(420)]
+    rows += [(500 + i, " ".join(r.choices(russian, k=60)), "ru") for i in range(130)]
+    rows += [(700 + i, " ".join(r.choices(stems, k=80)).replace("e", "Ã©").replace("a", "â€™"), "en") for i in range(10)]
+    rows += [(720 + i, mash("abcdefghijklmnopqrstuvwxyz", 80), "en") for i in range(10)] + [(740 + i, " ".join(r.choices(russian, k=60)), "en") for i in range(5)]
+    rows += [(760 + i, mash("asdfjkl;", 70), "en") for i in range(5)] + [(780, None, "en"), (781, "", None), (782, "the of " * 60, "en"), (783, mash("\u0c80\u0c85\u0c99", 40), None)]
+    path = tokenizer_file("piece_bpe_32k.model")
+    judged = assess(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4), path, keep=["doc_id", "lang"])
+    got = {x["doc_id"]: x["kept"] for x in within_corpus(judged, corpus_bands(judged)).collect()}
+    want = plain_verdict(rows[:-1], sentencepiece.SentencePieceProcessor(model_file=path))
+    assert {d: k for d, k in got.items() if d != 783} == want and not got[783]
+    assert sum(got[i] for i in range(420)) >= 0.95 * 420 and sum(got[i] for i in range(500, 630)) >= 0.95 * 130
+    assert not any(got[i] for i in [*range(700, 710), *range(720, 730), *range(760, 765)])
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 
 
