@@ -95,8 +95,8 @@ class Workspace:
         return out
 
     def drop(self, *names: str) -> None:
-        """Deletes tables that no later step reads; the whole workspace without names."""
-        for target in [self.path(n) for n in names] or [self.root]:
+        """Deletes tables that no later step reads."""
+        for target in map(self.path, names):
             files, path = self._files(target)
             files.delete(path, True)
 

@@ -72,14 +72,14 @@ def mix_sources(
     included, never above ``max_epochs`` times its size; ``_whole`` and ``_extra`` split it
     into whole repetitions and the words of a last one.
 
-    Null or empty text: size 0, nothing taken. Null source: a source of its own. Repeated
-    rows: each counts and is sampled by itself. Empty table: no rows. Extra columns are
-    ignored unless in ``keep``.
+    Null or empty text: size 0, nothing taken. Null source: a source of its own. Null or
+    shared doc_id: rows are told apart by their text. Repeated rows: each counts and is
+    sampled by itself. Empty table: no rows. Extra columns are ignored unless in ``keep``.
     """
     keep = ["doc_id"] if keep is None else keep
     ws = Workspace(docs.sparkSession, "mix")
     named = [F.col(c).alias(f"_k_{c}") for c in keep]
-    rows = ws.save(docs.select(*named, F.col("doc_id").alias("_id"), F.col("source").alias("_source"), word_count(F.col("text")).alias("_size")), "sizes")
+    rows = ws.save(docs.select(*named, F.col("doc_id").alias("_id"), F.col("source").alias("_source"), word_count(F.col("text")).alias("_size"), seeded(seed, F.col("doc_id"), F.md5("text")).alias("_u")), "sizes")
     sums = rows.groupBy("_source").agg(F.sum("_size").alias("_size"), F.count(F.lit(1)).alias("_n"))
     sources = ws.save(code_point_rank(sums, "_source", "_rank").withColumn("_w", weight(F.col("_rank"))), "sources")
     targets = water_fill(ws, sources, max_epochs)
@@ -94,7 +94,7 @@ def mix_sources(
     )
     # a dimension of sources: Spark broadcasts it below its size threshold, else splits skewed keys
     joined = rows.join(targets, F.col("_source").eqNullSafe(F.col("_s"))).drop("_s")
-    joined = joined.withColumn("_u", seeded(seed, F.col("_id"))).withColumn("_bucket", F.col("_u") % F.col("_buckets"))
+    joined = joined.withColumn("_bucket", F.col("_u") % F.col("_buckets"))
     whole = Window.partitionBy("_source", "_bucket")
     before = whole.orderBy("_u", "_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
     dither = seeded(seed + 1, F.col("_source"), F.col("_bucket")) / F.lit(float(1 << 60))

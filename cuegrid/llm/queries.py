@@ -35,7 +35,7 @@ f AS (SELECT h, min(doc_id) AS first FROM g GROUP BY h), x AS (SELECT DISTINCT d
 gone AS (SELECT doc_id, list(p) AS ps, count(*) AS n FROM x GROUP BY doc_id)
 SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(array_to_string(CASE WHEN n IS NULL THEN w ELSE list_filter(w, lambda t, i: NOT list_contains(ps, i)) END, ' ')) AS kept_sha256 FROM d LEFT JOIN gone USING (doc_id)"""
 
-OP3 = f"""WITH d AS (SELECT doc_id, source, len({WORD}) AS size, ('0x' || md5('17:' || doc_id)[1:15])::BIGINT AS u FROM documents),
+OP3 = f"""WITH d AS (SELECT doc_id, source, len({WORD}) AS size, ('0x' || md5('17:' || coalesce(doc_id::VARCHAR, '~') || ':' || coalesce(md5(text), '~'))[1:15])::BIGINT AS u FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM d GROUP BY source),
 o AS (SELECT *, source_size * 3::DOUBLE AS cap, (sum(source_size) OVER () - coalesce(sum(source_size * 3::DOUBLE) OVER (ORDER BY source_size / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
   / sum(w) OVER (ORDER BY source_size / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS here FROM s),

@@ -1,10 +1,12 @@
 """Token rollups and the whole pipeline against plain versions."""
 
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from cuegrid.llm import token_rollup
@@ -181,13 +183,25 @@ def test_one_of_two_texts_with_an_id_goes(spark):
     frame = spark.createDataFrame([(i, t, "en", "a", 0, "", 0, 0.0) for i, t in rows], SCHEMA)
     got = Counter((r["doc_id"], r["text"]) for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, frame, "").collect())
     assert got == Counter([(1, copied), (5, own), (6, "x y z"), (7, None), (7, "")])
+    twice = spark.createDataFrame([(1, own, "en", s, 0, "", 0, 0.0) for s in ("b", "a", None)], SCHEMA)
+    assert [r["source"] for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, twice, "").collect()] == [None]
 
 
 def test_run_end_to_end(spark, docs, tmp_path):
+    """Every token of the result, against the texts that the stages before the last one leave."""
     docs.write.parquet(str(tmp_path / "documents.parquet"))
+    rest = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        rest = spark.createDataFrame(stage(spark, rest, str(tmp_path)).collect(), SCHEMA)
+    plain, want = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json")), Counter()
+    for r in rest.collect():
+        ids = [*plain.encode(r["text"] or "", add_special_tokens=False).ids, 2]
+        want.update((r["doc_id"], k, s, tuple(ids[s : s + n])) for k, (s, n) in enumerate(pieces_of(len(ids), 1024)))
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], tuple(r["ids"])) for r in out) == want and out
     places = defaultdict(list)
     for r in out:
+        assert r["length"] == len(r["ids"]) and r["ids_crc32"] == zlib.crc32(b"".join(i.to_bytes(4, "little") for i in r["ids"]))
         places[r["sequence_id"]].append((r["offset"], r["length"]))
     for spans in places.values():
         at = 0
@@ -195,7 +209,6 @@ def test_run_end_to_end(spark, docs, tmp_path):
             assert offset == at
             at += n
         assert at <= 1024
-    assert out
 
 
 def test_empty_corpus(spark, docs):
