@@ -7,7 +7,7 @@ through every stage; columns beyond those of ``documents`` are carried along und
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuegrid.llm.common import Workspace
@@ -30,6 +30,10 @@ def _plain(docs: DataFrame) -> DataFrame:
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the fertility rules reject go.
 
+    Null and empty texts have no words and are rejected; so is a short text. Repeated rows
+    and rows without doc_id or language are judged each by itself; a figure equal to a limit
+    is within it. Very long texts are measured whole. An empty table gives no rows.
+
     The texts are read twice, for the bands and for the verdict, and never written in between.
     """
     plain, vocabulary = _plain(docs), tokenizer_file("piece_bpe_32k.model")
@@ -41,22 +45,34 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by similarities of 0.8 or more one document stays, that with the least doc_id.
 
-    Of fully repeated rows one stays; rows without doc_id all stay. Rows that share a doc_id
-    but not their text are judged one by one.
+    Rows of one doc_id and equal text are one document: the first by the other columns
+    stays, whatever their source or language. Rows that share a doc_id but not their text
+    are judged one by one. Rows without doc_id all stay, as do null and empty texts; of
+    equally similar texts no choice is needed, as the least doc_id decides. Very long texts
+    are compared whole. An empty table gives no rows.
     """
     ws = Workspace(spark, "dedup")
-    gone = ws.save(near_duplicates(docs, percent=80, digest=True).where("not kept").select("doc_id", F.col("digest").alias("_digest")).distinct(), "gone")
+    gone = near_duplicates(docs, percent=80, digest=True).where("not kept").select("doc_id", F.col("digest").alias("_digest")).distinct()
+    gone = ws.save(gone, "gone")
     repeats = ws.save(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeats")
     if repeats.isEmpty():
         return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     single = docs.join(repeats, "doc_id", "left_anti").join(gone, "doc_id", "left_anti").select(docs.columns)
-    shared = docs.join(repeats, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"])
+    shared = docs.join(repeats, "doc_id", "left_semi").select(docs.columns)
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    order = Window.partitionBy("doc_id", F.sha2("text", 256)).orderBy(*rest) if rest else Window.partitionBy("doc_id", F.sha2("text", 256)).orderBy("doc_id")
+    shared = shared.withColumn("_first", F.row_number().over(order)).where("_first = 1")
     unlike = shared.withColumn("_digest", word_digest("text")).join(gone, ["doc_id", "_digest"], "left_anti")
     return single.unionByName(unlike.select(docs.columns))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked in the text; the document stays."""
+    """Secrets are masked in the text; the document stays.
+
+    Null and empty texts stay as they are. Spans that overlap get one mask. Rows are
+    handled each by itself, whatever their ids; very long texts are scanned whole. An empty
+    table gives no rows.
+    """
     plain = _plain(docs)
     others = [c for c in plain.columns if c != "text"]
     found = find_secrets(plain, keep=others, mask=MASK)
@@ -68,14 +84,25 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated, sampled and cut so that sources meet their targets."""
+    """Documents repeated, sampled and cut so that sources meet their targets.
+
+    Null and empty texts have no words and are not taken. A null source is a source of its
+    own. Repeated rows each count; which of equal rows is sampled does not show. A very long
+    text is cut, if at all, between words. An empty table gives no rows.
+    """
     plain = _plain(docs)
     return repeated(mix_sources(plain, keep=plain.columns), plain.columns).toDF(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their sequence and place in it."""
-    return pack(docs, tokenizer_file("byte_bpe_50k.json"))
+    """Pieces of the documents with their ids, their sequence and their place in it: what a training run reads.
+
+    A null or empty text is a piece of the end mark alone. Repeated rows and rows without
+    doc_id are packed each by itself; which of equally long pieces goes where is fixed by
+    doc_id and piece. Very long texts become as many pieces as they need. An empty table
+    gives no rows.
+    """
+    return pack(docs, tokenizer_file("byte_bpe_50k.json"), with_ids=True)
 
 
 STAGES = [
@@ -91,9 +118,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet and read again."""
+    """All stages over ``documents``, each written as Parquet and read again; a table goes when the next is written."""
     ws = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
+    done: list[str] = []
+    for name, stage in STAGES:
         docs = ws.save(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        ws.drop(*done)
+        done = [name]
+    return docs
