@@ -17,6 +17,7 @@ LEFT_OVER = """{name}h AS (SELECT x.track_id, x.s, x.e, y.s AS ks, y.e AS ke FRO
 #: Inputs of the queries that show every branch: texts in other scripts, a detector's answers, languages of all policies.
 SCRIPT_TEXTS = ("東京の空はとても青いですね", "今天天气很好我们去公园散步", "오늘은 날씨가 아주 좋아요 그렇죠")
 LABELS = ("English, German", "zh", "ja; ko", "Korean|fr", "", "Klingon/pt-BR")
+REPLIES = ('{"choice": 1}', '{"choice": 99}', '{"choice": 1.5}', '{"choice": 0, "breaks": [1]}', "", "the second one", '{"choice": "1"}')
 POLICY_LANGS = ("en", "ja", "zh", "ko", "th", "yue", "fr")
 SPACE = r"[\s\x0B\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 WIDTH = r"(length({t}) + length(regexp_replace({t}, '[\x00-\x7F\x{{0085}}\x{{00A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]', '', 'g')))"
@@ -228,6 +229,30 @@ SELECT track_id, win AS "window", src, dst, greatest(0, least(100, round_even(10
     out["b6_boundary_penalties"] = f"""WITH {q.WORDS}, l AS (SELECT *, lag(text) OVER w AS pt, (s - lag(e) OVER w) * 1000 AS gap FROM words WINDOW w AS (PARTITION BY track_id ORDER BY seq))
 SELECT track_id, seq, 3 * (coalesce({q.END_PENALTY.format(t="pt", l="lang")}, 0) + CASE WHEN contains('{q.tx.NOT_AT_START}', text[1:1]) THEN 2 ELSE 0 END) + CASE WHEN gap < 40 THEN 3 WHEN gap < 120 THEN 2 WHEN gap < 220 THEN 1 ELSE 0 END AS damage FROM l"""
 
+    # ------------------------------------------------------------ atoms and options
+    reduced = "list_reduce(list_transform(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\x0B]+'), lambda w: {'t': w, 'a': " + wide("w") + "}), lambda p, q: CASE WHEN p.a + 1 + q.a > 42 THEN {'t': p.t || chr(10) || q.t, 'a': q.a} ELSE {'t': p.t || ' ' || q.t, 'a': p.a + 1 + q.a} END).t"
+    out["x4_soft_wrap"] = f"WITH {q.CUES} SELECT track_id, seq, {reduced} AS text FROM cues"
+    seen = f"sum(length(regexp_replace(text, '{SPACE}', '', 'g'))) OVER (PARTITION BY track_id ORDER BY seq) - length(regexp_replace(text, '{SPACE}', '', 'g'))"
+    out["q3_phrase_starts"] = f"""WITH {q.TOKENS}, a AS (SELECT track_id, seq, {seen} AS at FROM tok), g AS (SELECT track_id, seq // 3 AS seq, string_agg(text, ' ' ORDER BY seq) AS text FROM tok GROUP BY 1, 2), p AS (SELECT DISTINCT track_id, {seen} AS at FROM g)
+SELECT a.track_id, a.seq, p.at IS NOT NULL AS phrase FROM a LEFT JOIN p ON p.track_id = a.track_id AND p.at = a.at"""
+    out["b2_phrase_windows"] = recursive(f"""{q.WORDS}, m AS (SELECT track_id, seq, coalesce((s - lag(e) OVER w) * 1000 >= 2000, false) OR seq % 331 = 0 AS must FROM words WINDOW w AS (PARTITION BY track_id ORDER BY seq)),
+bl AS (SELECT *, sum(must::INT) OVER (PARTITION BY track_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS block FROM m), k AS (SELECT *, row_number() OVER (PARTITION BY track_id, block ORDER BY seq) - 1 AS k, count(*) OVER (PARTITION BY track_id, block) AS n FROM bl),
+h AS (SELECT *, CASE WHEN n - k > 96 THEN coalesce(max(CASE WHEN seq % 7 = 0 THEN k END) OVER (PARTITION BY track_id, block ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND 96 FOLLOWING), k + 96) END AS nx FROM k),
+r AS (SELECT track_id, block, 0::BIGINT AS k FROM h WHERE k = 0 UNION ALL SELECT r.track_id, r.block, h.nx FROM r JOIN h ON h.track_id = r.track_id AND h.block = r.block AND h.k = r.k WHERE h.nx IS NOT NULL)
+SELECT h.track_id, h.seq, (count(r.k) OVER (PARTITION BY h.track_id ORDER BY h.seq ROWS UNBOUNDED PRECEDING) - 1)::INT AS "window" FROM h LEFT JOIN r ON r.track_id = h.track_id AND r.block = h.block AND r.k = h.k""")
+    paths = """t AS (SELECT conv_id AS track_id, turn AS src, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations), ed AS (SELECT track_id, src, src + j AS dst, n, (src * 37 + (src + j) * 17) % 101 AS q, (src + j) * 5 % 3 AS h FROM t, range(1, 4) AS r(j) WHERE src + j <= n),
+al AS (SELECT track_id, n, 0 AS pos, 0 AS total, 0 AS host, []::BIGINT[] AS path, 0 AS cues FROM (SELECT DISTINCT track_id, n FROM t) UNION ALL
+  SELECT al.track_id, al.n, ed.dst, al.total + ed.q * (ed.dst - ed.src), al.host + ed.h, CASE WHEN ed.dst < al.n THEN list_append(al.path, ed.dst) ELSE al.path END, al.cues + 1 FROM al JOIN ed ON ed.track_id = al.track_id AND ed.src = al.pos),
+fb AS (SELECT track_id, arg_min(path, {'c': cues, 'p': path}) AS base, min(cues) AS fewest FROM al WHERE pos = n GROUP BY 1),
+op AS (SELECT al.track_id, row_number() OVER (PARTITION BY al.track_id ORDER BY (path = base) DESC, host, cues, total DESC, path) - 1 AS option, path, cues, total / n AS quality, host, (path = base) AS fallback FROM al JOIN fb USING (track_id) WHERE pos = n AND cues <= fewest + 1)"""
+    out["b7_path_options"] = recursive(f"""{paths} SELECT track_id, 0 AS "window", option, array_to_string(path, ',') AS breaks, cues, round(quality, 9) AS quality, host::BIGINT AS host, fallback FROM op WHERE option < 12""")
+    replies = ", ".join("'" + r + "'" for r in REPLIES)
+    out["b9_checked_choices"] = recursive(f"""{paths}, b AS (SELECT *, [{replies}][track_id % {len(REPLIES)} + 1] AS raw FROM op WHERE fallback),
+c AS (SELECT *, CASE WHEN raw = '' THEN 'no reply' WHEN raw = 'the second one' THEN 'no object' WHEN raw LIKE '%breaks%' THEN 'other fields' WHEN raw LIKE '%1.5%' THEN 'no whole number' END AS form, CASE WHEN raw LIKE '%99%' THEN 99 ELSE 1 END AS pick FROM b)
+SELECT c.track_id, array_to_string(CASE WHEN form IS NULL AND o.option IS NOT NULL THEN o.path ELSE c.path END, ',') AS breaks, coalesce(form, CASE WHEN o.option IS NULL THEN 'unknown option' END) AS why FROM c LEFT JOIN (SELECT * FROM op WHERE option < 12) o ON o.track_id = c.track_id AND o.option = c.pick""")
+    out["b9_path_faults"] = """WITH t AS (SELECT conv_id AS track_id, count(*) AS n FROM conversations GROUP BY 1) SELECT track_id, CASE WHEN track_id % 4 IN (1, 2) THEN 'not ascending' WHEN track_id % 8 = 4 THEN 'required boundary left out'
+WHEN track_id % 4 = 0 AND n > 2 AND n - 2 <= 3 THEN NULL ELSE 'not a path of allowed cues' END AS why FROM t WHERE n >= 1"""
+
     # ------------------------------------------------------------ files
     ms = "round_even({t} * 1000, 0)::BIGINT"
     stamp = lambda t: f"printf('%02d:%02d:%02d,%03d', {ms.format(t=t)} // 3600000, {ms.format(t=t)} // 60000 % 60, {ms.format(t=t)} // 1000 % 60, {ms.format(t=t)} % 1000)"

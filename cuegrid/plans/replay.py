@@ -9,6 +9,7 @@ from ..functions.language import max_line_length, max_lines, spaced, thresholds
 from ..functions.layout import wrapped
 from ..functions.text import join_tokens, merge_stutters, reading_chars, strip_punctuation
 from ..operators import folds, packing
+from ..operators.atoms import split_oversized
 from ..operators.intervals import BUCKET_S, TRACK, nearest_point
 from ..operators.timing import break_flags, cue_numbers, polish_timing
 
@@ -22,8 +23,12 @@ def cues_from_words(words: DataFrame, speech: DataFrame | None = None, clause_ms
 
 
 def segmented(words: DataFrame, speech: DataFrame | None = None, bucket_s: float = BUCKET_S) -> DataFrame:
-    """Cues as ``cues_from_words``, moreover within the width and duration of their language, cut where least is left hanging."""
+    """Cues as ``cues_from_words``, moreover within the width and duration of their language, cut where least is left hanging.
+
+    Words too wide for a line are cut first, so that every cue fits.
+    """
     th = thresholds(F.col("lang"))
+    words = split_oversized(words.select(TRACK, "seq", "lang", "text", "start", "end"))
     flagged = break_flags(words, th["clause_ms"], th["skip_ms"], th["offline_ms"], speech, bucket_s)
     return cues_of(packing.pack_cues(packing.unstick(flagged, F.col("lang"), th["clause_ms"], th["skip_ms"])))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import oracles
@@ -17,7 +17,7 @@ from .functions import language as lg
 from .functions import text as tx
 from .functions.layout import wrapped
 from .functions.scores import clean_speech_flag, sing_flag, song_flag
-from .operators import align, clauses, folds, metrics, review, seams, semantic, speakers, timing
+from .operators import align, atoms, clauses, folds, metrics, review, seams, semantic, speakers, timing
 from .operators import intervals as iv
 from .plans import replay, songs
 from .plans.streams import event_spans, score_windows, table, turn_stream, word_stream
@@ -1001,4 +1001,87 @@ def b11_whole_or_baseline(spark, d):
     return semantic.whole_or_baseline(path(1009, 37), path(97, 41)).select("track_id", "src", "dst", "quality", "source")
 
 
+# ---------------------------------------------------------------- atoms, oversized words, clauses, options
+
+
+@query("x4_soft_wrap")
+def x4_soft_wrap(spark, d):
+    return _cues(spark, d).select("track_id", "seq", atoms.soft_wrap(F.col("text"), F.col("lang")).alias("text"))
+
+
+@query("q8_oversized_words")
+def q8_oversized_words(spark, d):
+    """Every 40th word is made too wide for a line."""
+    words = _words(spark, d)
+    long = F.col("seq") % 40 == 0
+    words = words.withColumn("text", F.when(long, F.repeat("text", F.lit(12))).otherwise(F.col("text"))).withColumn("end", F.when(long, F.col("start") + 12 * (F.col("end") - F.col("start"))).otherwise(F.col("end")))
+    return atoms.split_oversized(words).select("track_id", "seq", "text", "start", "end")
+
+
+@query("q2_text_atoms")
+def q2_text_atoms(spark, d):
+    """Texts with a language of either kind: words, or characters and runs of Latin letters."""
+    texts = _languages(spark, d).select(F.col("doc_id").alias("track_id"), "lang", "text")
+    return atoms.text_atoms(texts)
+
+
+@query("q3_phrase_starts")
+def q3_phrase_starts(spark, d):
+    """Phrases of three words."""
+    words = _words(spark, d).select("track_id", "seq", "text")
+    parts = F.array_sort(F.collect_list(F.struct("seq", "text")))
+    phrases = words.groupBy("track_id", F.floor(F.col("seq") / 3).cast("int").alias("n")).agg(F.array_join(F.transform(parts, lambda x: x["text"]), " ").alias("text")).withColumnRenamed("n", "seq")
+    return atoms.phrase_starts(words, phrases).select("track_id", "seq", "phrase")
+
+
+@query("x20_fit_clauses")
+def x20_fit_clauses(spark, d):
+    return atoms.fit_clauses(clauses.clause_table(_texts(spark, d), at_commas=False))
+
+
+@query("b2_phrase_windows")
+def b2_phrase_windows(spark, d):
+    """Stretches between long pauses only, so that many are longer than a window; a phrase begins with every seventh word."""
+    flagged = timing.break_flags(_words(spark, d), F.lit(400), F.lit(1000), F.lit(2000)).withColumn("must", F.col("brk") | (F.col("seq") % 331 == 0))
+    return atoms.phrase_windows(flagged.withColumn("phrase", F.col("seq") % 7 == 0)).select("track_id", "seq", "window")
+
+
+def _turn_edges(spark, d):
+    """Turns as words: up to three in a row may be a cue."""
+    turns = _turns(spark, d).select("track_id", F.col("seq").alias("src"))
+    ahead = turns.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("track_id"))).withColumn("dst", F.explode(F.sequence(F.col("src") + 1, F.col("src") + 3))).where("dst <= n")
+    return ahead.select("track_id", F.lit(0).alias("window"), "src", "dst", (F.col("src") * 37 + F.col("dst") * 17).alias("_q"), (F.col("dst") * 5 % 3).alias("host")).withColumn("quality", F.col("_q") % 101).drop("_q")
+
+
+def _turn_fallback(spark, d):
+    edges = _turn_edges(spark, d)
+    return semantic.fewest_cues(edges).select("track_id", "window", "breaks")
+
+
+@query("b7_path_options")
+def b7_path_options(spark, d):
+    out = semantic.path_options(_turn_edges(spark, d), _turn_fallback(spark, d))
+    return out.withColumn("breaks", F.array_join(F.transform("breaks", lambda x: x.cast("string")), ",")).withColumn("quality", F.round("quality", 9))
+
+
+@query("b9_checked_choices")
+def b9_checked_choices(spark, d):
+    """Replies of every kind: good, out of range, not whole, with other fields, no JSON."""
+    options = semantic.path_options(_turn_edges(spark, d), _turn_fallback(spark, d))
+    raw = F.element_at(F.array(*[F.lit(x) for x in oracles.REPLIES]), (F.col("track_id") % len(oracles.REPLIES) + 1).cast("int"))
+    replies = options.where("fallback").select("track_id", "window", raw.alias("raw")).where("raw <> ''")
+    out = semantic.checked_choices(options, replies)
+    return out.select("track_id", F.array_join(F.transform("breaks", lambda x: x.cast("string")), ",").alias("breaks"), "why")
+
+
+@query("b9_path_faults")
+def b9_path_faults(spark, d):
+    edges = _turn_edges(spark, d)
+    n = F.col("track_id")
+    made = F.when(n % 4 == 0, F.array(F.lit(1), F.lit(2))).when(n % 4 == 1, F.array(F.lit(2), F.lit(1))).when(n % 4 == 2, F.array(F.lit(1), F.lit(1))).otherwise(F.array(F.lit(9)))
+    paths = edges.select("track_id", "window").distinct().withColumn("breaks", made)
+    required = paths.where(n % 8 == 4).select("track_id", "window", F.lit(3).alias("at"))
+    return semantic.path_faults(paths, edges, required).select("track_id", "why")
+
+
 ORACLES |= oracles.more()
