@@ -27,6 +27,13 @@ CPS_OTHER = 17.0
 COMMA = {"ja": "、", "zh": "，"}
 
 
+# What parts a detector's labels, what counts as a Latin word, and how much of a text a script must be.
+LABEL_SEPARATORS = "[,，;；|/]+"
+LATIN_WORD = r"[A-Za-z]+(?:['’-][A-Za-z]+)*"
+HANGUL_LEAST, KANA_LEAST, CJK_LEAST, HAN_LEAST, LATIN_LEAST, LATIN_WORDS = 4, 2, 4, 4, 12, 4
+CJK_SHARE, LATIN_SHARE, KANA_PER_CJK = (3, 5), (4, 5), 6
+
+
 def _lookup(table: dict[str, str], key: Column) -> Column:
     pairs = [F.lit(x) for kv in table.items() for x in kv]
     return F.element_at(F.create_map(*pairs), key)
@@ -108,7 +115,7 @@ def policies(spark: SparkSession) -> DataFrame:
 
 def detected_candidates(raw: Column) -> Column:
     """Labels of a detector's answer in order, without repeats of the same language."""
-    parts = F.transform(F.split(raw, "[,，;；|/]+"), lambda p: F.trim(F.regexp_replace(F.trim(p), "^[\"']+|[\"']+$", "")))
+    parts = F.transform(F.split(raw, LABEL_SEPARATORS), lambda p: F.trim(F.regexp_replace(F.trim(p), "^[\"']+|[\"']+$", "")))
     parts = F.filter(parts, lambda p: p != "")
     key = lambda p: F.coalesce(to_code(p), F.lower(p))
     first = F.filter(F.transform(parts, lambda p, i: F.when(F.array_position(F.transform(parts, key), key(p)) == i + 1, p)), lambda p: p.isNotNull())
@@ -131,13 +138,15 @@ def dominant_script(s: Column) -> Column:
     c = script_counts(s)
     total = c["han"] + c["kana"] + c["hangul"] + c["latin"] + c["other"]
     cjk = c["han"] + c["kana"]
-    words = F.regexp_count(s, F.lit(r"[A-Za-z]+(?:['’-][A-Za-z]+)*"))
+    words = F.regexp_count(s, F.lit(LATIN_WORD))
+    most = lambda n, share: n * share[1] >= total * share[0]
+    kana_rich = c["kana"] * KANA_PER_CJK >= cjk
     return (
         F.when(total == 0, None)
-        .when((c["hangul"] >= 4) & (c["hangul"] * 5 >= total * 3), "ko")
-        .when((c["kana"] >= 2) & (cjk >= 4) & (cjk * 5 >= total * 3) & (c["kana"] * 6 >= cjk), "ja")
-        .when((c["han"] >= 4) & (c["han"] * 5 >= total * 3) & (c["kana"] * 6 < cjk), "han")
-        .when((c["latin"] >= 12) & (words >= 4) & (c["latin"] * 5 >= total * 4), "latin")
+        .when((c["hangul"] >= HANGUL_LEAST) & most(c["hangul"], CJK_SHARE), "ko")
+        .when((c["kana"] >= KANA_LEAST) & (cjk >= CJK_LEAST) & most(cjk, CJK_SHARE) & kana_rich, "ja")
+        .when((c["han"] >= HAN_LEAST) & most(c["han"], CJK_SHARE) & ~kana_rich, "han")
+        .when((c["latin"] >= LATIN_LEAST) & (words >= LATIN_WORDS) & most(c["latin"], LATIN_SHARE), "latin")
     )
 
 

@@ -30,6 +30,12 @@ NOT_AT_START = "、。，．・：；？！）｝〕〉》」』】〙〗〟’
 NOT_AT_END = "（｛〔〈《「『【〘〖〝‘“«([{"
 
 
+# The forms of a stutter, of a sentence's end and of a time code.
+STUTTER = r"(?i)(?<![\p{L}\p{M}\p{N}_])([A-Za-z]+)(\s+)(\1)(?![\p{L}\p{M}\p{N}_])"
+SENTENCE_END = r"(?U)(?<=[.!?。！？])\s*"
+TIME_CODE = r"^(?:(\d+):)?(\d{1,2}):(\d{2})[.,](\d{1,3})$"
+
+
 def visual_width(s: Column) -> Column:
     """Columns on screen: ASCII and white space one, everything else two."""
     wide = F.regexp_replace(s, r"(?U)[\x00-\x7F\s]", "")
@@ -90,8 +96,7 @@ def strip_for_translation(s: Column) -> Column:
 
 def merge_stutters(s: Column, rounds: int = 6) -> Column:
     """Repeated ASCII words joined by hyphens, ``I I I`` to ``I-I-I``; up to 2**rounds repeats."""
-    letter = r"[\p{L}\p{M}\p{N}_]"  # written out, as Java's word boundary changes with its version
-    once = lambda c: F.regexp_replace(c, rf"(?i)(?<!{letter})([A-Za-z]+)(\s+)(\1)(?!{letter})", "$1-$3")
+    once = lambda c: F.regexp_replace(c, STUTTER, "$1-$3")
     return reduce(lambda c, _: once(c), range(rounds), s)
 
 
@@ -176,7 +181,7 @@ def split_at_breaks(token: Column) -> Column:
 
 def sentences(s: Column) -> Column:
     """Cut after final punctuation; white space after it goes."""
-    return F.filter(F.split(s, r"(?U)(?<=[.!?。！？])\s*"), lambda x: F.trim(x) != "")
+    return F.filter(F.split(s, SENTENCE_END), lambda x: F.trim(x) != "")
 
 
 def char_units(text: Column, start: Column, end: Column) -> Column:
@@ -188,11 +193,10 @@ def char_units(text: Column, start: Column, end: Column) -> Column:
 
 def parse_time(s: Column) -> Column:
     """Seconds from ``[HH:]MM:SS.mmm`` (or a comma); null if it is not one."""
-    p = r"^(?:(\d+):)?(\d{1,2}):(\d{2})[.,](\d{1,3})$"
     t = F.trim(s)
-    g = lambda i: F.regexp_extract(t, p, i)
+    g = lambda i: F.regexp_extract(t, TIME_CODE, i)
     whole = F.coalesce(F.nullif(g(1), F.lit("")).cast("long"), F.lit(0)) * 3600 + g(2).cast("long") * 60 + g(3).cast("long")
-    return F.when(t.rlike(p), whole + F.rpad(g(4), 3, "0").cast("int") / 1000.0)
+    return F.when(t.rlike(TIME_CODE), whole + F.rpad(g(4), 3, "0").cast("int") / 1000.0)
 
 
 def vtt_time(t: Column) -> Column:

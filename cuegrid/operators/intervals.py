@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 TRACK = "track_id"
 #: Width of a join bucket in seconds, near the length of usual spans.
 BUCKET_S = 30.0
+MOST_TAGS = 10_000
 
 
 def _before(*order: str, keys: tuple[str, ...] = (TRACK,)) -> Window:
@@ -255,8 +256,9 @@ def smooth_turns(turns: DataFrame, drop_s: float = 0.2, gap_s: float = 0.35, buc
 
 def sound_events(windows: DataFrame, tags: DataFrame, width: float = 2.0, threshold: float = 0.5) -> DataFrame:
     """Tagged events from windows (track_id, t, probs) and classes (idx, tag): best class, runs of one tag merged."""
-    # the class table is a fixed list of a few dozen tags
-    scored = windows.select(TRACK, "t", F.posexplode("probs").alias("idx", "p")).join(F.broadcast(tags), "idx").where(F.col("p") >= threshold)
+    # the class table is a fixed list of a few dozen tags; a longer one is joined as Spark sees fit
+    tags = F.broadcast(tags) if tags.count() <= MOST_TAGS else tags
+    scored = windows.select(TRACK, "t", F.posexplode("probs").alias("idx", "p")).join(tags, "idx").where(F.col("p") >= threshold)
     best = scored.groupBy(TRACK, "t").agg(F.min(F.struct((-F.col("p")).alias("p"), "idx", "tag"))["tag"].alias("tag"))
     w = Window.partitionBy(TRACK).orderBy("t")
     goes_on = (F.lag("tag").over(w) == F.col("tag")) & (F.col("t") <= F.lag(F.col("t") + width).over(w) + F.lit(1e-6))

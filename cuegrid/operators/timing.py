@@ -49,6 +49,11 @@ def clamp_spans(spans: DataFrame, min_s: float = 0.05) -> DataFrame:
     return spans.withColumn("end", F.greatest("end", F.col("start") + min_s))
 
 
+def min_length(spans: DataFrame, least_s: float) -> DataFrame:
+    """Spans that last ``least_s`` or longer; those without times go."""
+    return spans.where(F.col("end") - F.col("start") >= least_s)
+
+
 def gaps(units: DataFrame) -> DataFrame:
     """Adds prev_end and gap_ms: the pause before each unit, null unless positive and known."""
     prev = F.lag("end").over(ordered())

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.language import max_line_length, max_lines, spaced, thresholds
 from ..functions.layout import wrapped
-from ..functions.text import join_tokens, merge_stutters, reading_chars, strip_punctuation
+from ..functions.text import join_tokens, merge_stutters, reading_chars, strip_punctuation, visual_width
 from ..operators import folds, packing
 from ..operators.atoms import split_oversized
 from ..operators.intervals import BUCKET_S, TRACK, nearest_point
@@ -33,6 +33,27 @@ def segmented(words: DataFrame, speech: DataFrame | None = None, bucket_s: float
     return cues_of(packing.pack_cues(packing.unstick(flagged, F.col("lang"), th["clause_ms"], th["skip_ms"])))
 
 
+def pieces_of_tracks(units: DataFrame, most_s: float = 3600.0, pause_s: float = 2.0) -> DataFrame:
+    """Adds ``piece`` to units (track_id, seq, start, end): long tracks cut at pauses of ``pause_s`` at least.
+
+    A piece goes up to the last such pause within ``most_s`` of its start, or to the first
+    one if there is none in reach. Steps that never look across such a pause may take
+    (track_id, piece) for the track.
+    """
+    track = Window.partitionBy(TRACK).orderBy("seq")
+    upto = track.rowsBetween(Window.unboundedPreceding, 0)
+    rows = units.withColumn("_open", F.coalesce(F.col("start") - F.max("end").over(track.rowsBetween(Window.unboundedPreceding, -1)) >= pause_s, F.lit(False)))
+    rows = rows.withColumn("_part", F.count_if("_open").over(upto).cast("int"))
+    parts = rows.groupBy(TRACK, F.col("_part").alias("k")).agg(F.min("start").alias("_s"), F.max("end").alias("_e")).withColumn("_us", F.round(F.col("_s") * 1e6).cast("long"))
+    reach = Window.partitionBy(TRACK).orderBy("_us").rangeBetween(0, round(most_s * 1e6))
+    whole = Window.partitionBy(TRACK)
+    parts = parts.withColumn("_to", F.greatest(F.max("k").over(reach), F.col("k") + 1)).withColumn("_rest", F.max("_e").over(whole) - F.col("_s")).withColumn("_end", F.max("k").over(whole))
+    hops = parts.select(TRACK, "k", F.when((F.col("_rest") > most_s) & (F.col("k") < F.col("_end")), F.col("_to")).cast("int").alias("to"))
+    heads = folds.followed(hops).select(TRACK, F.col("k").alias("_part"), F.lit(True).alias("_head"))
+    rows = rows.join(heads, [TRACK, "_part"], "left").withColumn("_new", F.coalesce("_head", F.lit(False)) & (F.col("_open") | (F.row_number().over(track) == 1)))
+    return rows.withColumn("piece", (F.count_if("_new").over(upto) - 1).cast("int")).drop("_open", "_part", "_head", "_new")
+
+
 def cues_of(flagged: DataFrame) -> DataFrame:
     """Cues of words that know their cue."""
     parts = F.array_sort(F.collect_list(F.struct("seq", "text", "start", "end")))
@@ -47,10 +68,6 @@ def pack_words(words: DataFrame, offline_ms: int = 700) -> DataFrame:
 
     The spaced, penalty-free form of packing: a fold over a track's words.
     """
-    from pyspark.sql import Window
-
-    from ..functions.text import visual_width
-
     lang = F.col("lang")
     budget = max_line_length(lang) * max_lines(lang)
     rows = break_flags(words, F.lit(400), F.lit(1000), F.lit(offline_ms)).withColumn("_w", visual_width(F.col("text")))

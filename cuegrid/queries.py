@@ -510,12 +510,12 @@ def l6_last_answer(spark, d):
 
 @query(
     "j16_positional_slices",
-    f"""WITH {TOKENS}, n AS (SELECT track_id, seq AS block, 1 + seq % 3 AS n FROM tok WHERE seq < 12), h AS (SELECT *, sum(n) OVER (PARTITION BY track_id ORDER BY block ROWS UNBOUNDED PRECEDING) AS hi FROM n)
+    f"""WITH {TOKENS}, n AS (SELECT track_id, seq AS block, 1 + seq % 3 AS n FROM tok), h AS (SELECT *, sum(n) OVER (PARTITION BY track_id ORDER BY block ROWS UNBOUNDED PRECEDING) AS hi FROM n)
 SELECT tok.track_id, tok.seq, h.block FROM tok LEFT JOIN h ON h.track_id = tok.track_id AND tok.seq >= h.hi - h.n AND tok.seq < h.hi""",
 )
 def j16_positional_slices(spark, d):
     words = _words(spark, d).select("track_id", "seq")
-    blocks = words.where("seq < 12").select("track_id", "seq", (F.col("seq") % 3 + 1).alias("n"))
+    blocks = words.select("track_id", "seq", (F.col("seq") % 3 + 1).alias("n"))
     return align.distribute_units(words, blocks).select("track_id", "seq", "block")
 
 
@@ -603,7 +603,7 @@ def p1_shift(spark, d):
 
 @query("p6_min_length", f'WITH {SPANS} SELECT track_id, seq, s AS "start", e AS "end" FROM a WHERE e - s >= 3')
 def p6_min_length(spark, d):
-    return _spans(spark, d, *A_KINDS).where(F.col("end") - F.col("start") >= 3.0).select("track_id", "seq", "start", "end")
+    return timing.min_length(_spans(spark, d, *A_KINDS), 3.0).select("track_id", "seq", "start", "end")
 
 
 @query("d6_trim_overlaps", f'WITH {SPANS} SELECT track_id, seq, s AS "start", least(e, coalesce(lead(s) OVER (PARTITION BY track_id ORDER BY s, e, seq), e)) AS "end" FROM a')

@@ -171,9 +171,9 @@ def render_srt(cues: DataFrame) -> DataFrame:
 def ass_header(height: int = 1080, width: int = 1920, font: str = "Arial") -> str:
     """Script header with one style, its sizes in proportion to the picture's height."""
     scale = height / 1080
+    # The style, and section, key and field names of the format.
     style = ["Default", font.replace(",", ""), round(72 * scale), "&H00FFFFFF", "&H000000FF", "&H00000000", "&H7F000000", 0, 0, 0, 0, 100, 100, 0, 0, 1]
     style += [round(3 * scale, 1), round(1.5 * scale, 1), 2, round(120 * scale), round(120 * scale), round(60 * scale), 1]
-    # Section, key and field names of the format.
     info = ["[Script Info]", "ScriptType: v4.00+", "WrapStyle: 0", "ScaledBorderAndShadow: yes", "YCbCr Matrix: TV.709", f"PlayResX: {width}", f"PlayResY: {height}", ""]
     styles = ["[V4+ Styles]", "Format: Name, Fontname, Fontsize, PrimaryColour, SecondaryColour, OutlineColour, BackColour, Bold, Italic, Underline, StrikeOut, ScaleX, ScaleY, Spacing, Angle, BorderStyle, Outline, Shadow, Alignment, MarginL, MarginR, MarginV, Encoding"]
     styles += ["Style: " + ",".join(map(str, style)), ""]

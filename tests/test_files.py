@@ -149,6 +149,11 @@ def test_paths(spark):
     assert tuple(metrics.path_quality(bad).first())[1:] == (55.0, 10)
     options = spark.createDataFrame([(1, 0, 0, True, 0.0, 0.0, 0.0, 0.0), (1, 0, 1, False, 0.1, 0.2, 0.0, 0.0), (2, 0, 0, True, 0.0, 0.0, 0.0, 0.0), (2, 0, 1, False, 0.5, 0.3, 0.0, 0.1)], "track_id int, window int, option int, fallback boolean, logit_a double, logit_b double, timing double, host double")
     assert {r["track_id"]: r["option"] for r in semantic.choose_option(options).collect()} == {1: 0, 2: 1}
+    many = options.where("track_id = 2").withColumn("cues", F.when(F.col("fallback"), 3).otherwise(4))
+    pick = lambda f: semantic.choose_option(f).first()["option"]
+    assert pick(many) == 1 and pick(many.withColumn("cues", F.when(F.col("fallback"), 3).otherwise(5))) == 0
+    graded = many.withColumn("quality", F.when(F.col("fallback"), 80.0).otherwise(75.0)).withColumn("worst", F.when(F.col("fallback"), 60).otherwise(50))
+    assert pick(graded) == 1 and pick(graded.withColumn("quality", F.when(F.col("fallback"), 80.0).otherwise(74.9))) == 0 and pick(graded.withColumn("worst", F.when(F.col("fallback"), 60).otherwise(49))) == 0
 
 
 def test_streaming_spans(spark, tmp_path):

@@ -71,7 +71,7 @@ def test_a_long_track_is_packed_in_stretches(spark):
     tracks = {t: [x | {"brk": r.random() < 0.1} for x in stream(["".join(r.choices("abcdef", k=r.randint(1, 9))) for _ in range(n)])] for t, n in ((1, 400), (2, 1), (3, 60))}
     rows = [(t, k, "en", x["text"], x["start"], x["end"], x["brk"]) for t, v in tracks.items() for k, x in enumerate(v)]
     out = packing.pack_cues(spark.createDataFrame(rows, WORD + ", brk boolean"))
-    assert "_block" in str(out._jdf.queryExecution().analyzed()).split("FlatMapGroupsInPandas", 1)[1].split("]")[0]
+    assert "_block" in str(out._jdf.queryExecution().analyzed()).split("RepartitionByExpression", 1)[1].split("]")[0]
     got = {(x["track_id"], x["seq"]): x["cue"] for x in out.collect()}
     for t, v in tracks.items():
         want = [k for k, n in enumerate(packing.cue_sizes(v, "en", 7.0)) for _ in range(n)]
@@ -105,3 +105,38 @@ def test_segments_far_apart_are_folded_apart(spark):
         assert x["chunk_no"] == len(got[x["track_id"]])
         got[x["track_id"]].append((x["start"], x["end"]))
     assert got == {t: plain_chunks(v, 12.0) for t, v in tracks.items()}
+
+
+def test_wide_cues_wait_for_a_phrase():
+    words = stream(["lantern"] * 30)
+    for k, w in enumerate(words):
+        w["phrase"] = k % 13 == 0
+    sizes = packing.cue_sizes(words, "en", 1e9)
+    assert sizes == [13, 13, 4]
+    for w in words:
+        w["phrase"] = False
+    sizes = packing.cue_sizes(words, "en", 1e9)
+    assert sum(sizes) == 30 and len(sizes) > 1 and max(sizes) * 8 <= 1.5 * 84 + 8
+
+
+def test_pieces_of_long_tracks(spark):
+    r, rows, want = random.Random(8), [], {}
+    for t in range(12):
+        at, own = 0.0, []
+        for k in range(r.choice([1, 40, 300])):
+            at += r.choice([0.1, 0.1, 0.5, 2.0, 5.0])
+            own.append((at, at + 1.0))
+            at += 1.0
+        rows += [(t, k, "en", "x", a, b) for k, (a, b) in enumerate(own)]
+        opens = [k for k in range(1, len(own)) if own[k][0] - max(b for _, b in own[:k]) >= 2.0]
+        start, cuts = 0, []
+        while own[-1][1] - own[start][0] > 60.0:
+            near = [k for k in opens if k > start and own[k][0] - own[start][0] <= 60.0]
+            far = [k for k in opens if k > start]
+            if not far:
+                break
+            start = near[-1] if near else far[0]
+            cuts.append(start)
+        want |= {(t, k): sum(c <= k for c in cuts) for k in range(len(own))}
+    got = {(x["track_id"], x["seq"]): x["piece"] for x in replay.pieces_of_tracks(spark.createDataFrame(rows, WORD), 60.0).collect()}
+    assert got == want and max(want.values()) > 2

@@ -341,7 +341,7 @@ def test_merging_in_stretches_equals_whole_tracks(spark):
     texts = ["oh", "yes", "a longer clause of words", "well now", "what a day that was and what a night it will be"]
     tracks = {t: [(r.choice(texts), s, e + r.choice([0.0, 0.0, 2.0]), w) for _, s, e, w in random_cues(r, 60)] for t in range(20)}
     out = folds.merge_and_glue(cue_frame(spark, tracks), 0.3, 42, 2, 7.0, 0.5)
-    assert "_block" in str(out._jdf.queryExecution().analyzed()).split("FlatMapGroupsInPandas", 1)[1].split("]")[0]
+    assert "_block" in str(out._jdf.queryExecution().analyzed()).split("RepartitionByExpression", 1)[1].split("]")[0]
     want = {}
     for t, v in tracks.items():
         rows = [{"text": x, "start": a, "end": b, "lang": "en", "word_data": list(w)} for x, a, b, w in v]
