@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..functions.layout import wrapped
+from ..functions.layout import wrapped as laid_out
 from ..functions.text import dash_parts, is_dash_cue, lyric_display, one_line, strip_for_translation
 from .intervals import TRACK
 
@@ -66,7 +66,7 @@ def translated_cues(cues: DataFrame, answers: DataFrame, lang: str | None, wrapp
     lyric = F.coalesce("lyric", F.lit(False))
     plain = strip_for_translation(F.coalesce(F.nullif(F.trim("_t"), F.lit("")), "text"))
     if wrapped and lang:
-        plain = wrapped(plain, F.lit(lang), F.lit(2))
+        plain = laid_out(plain, F.lit(lang), F.lit(2))
     source, halves = dash_parts(F.col("text")), F.split(F.coalesce("_t", F.lit("")), "\n")
     half = lambda k: F.concat(F.lit("-"), strip_for_translation(F.coalesce(F.nullif(one_line(F.get(halves, F.lit(k))), F.lit("")), F.get(source, F.lit(k)))))
     dual = F.concat(half(0), F.lit("\n"), half(1))
