@@ -201,7 +201,7 @@ u AS (SELECT track_id, seq, s, d, len(l) AS n, unnest(l) AS text, generate_subsc
     lower = "CASE WHEN length(trim(text)) >= 0 THEN trim(regexp_replace(regexp_replace(text, '^[ \\t\\n\\r\\f\\x0B]*[-–—]+[ \\t\\n\\r\\f\\x0B]*', ''), '[ \\t\\n\\r\\f\\x0B\\x{0085}\\x{00A0}]+', ' ', 'g')) END"
     out["c1_payload_units"] = f"""WITH t AS (SELECT conv_id AS track_id, turn AS i, text, {lower} AS flat FROM conversations) SELECT track_id, i, CASE WHEN i % 2 = 1 THEN CASE WHEN flat <> '' THEN 'a' || chr(10) || flat END ELSE trim(replace(text, chr(10), ' ')) END AS t FROM t WHERE i % 2 = 0 OR flat <> ''"""
     clean = "trim(regexp_replace(translate(" + q.STRIP.format(t=f"translate({{t}}, '{EXTRA_DROPPED}', repeat(' ', {len(EXTRA_DROPPED)}))") + r", chr(3) || chr(4), '.,'), '[\s\x0B\x{0085}\x{00A0}\x{2028}\x{2029}\x{3000}]+', ' ', 'g'))"
-    out["c5_translated_cues"] = f"""WITH src AS (SELECT conv_id AS track_id, turn AS seq, 'en' AS lang, {clean.replace("{t}", "CASE WHEN turn % 2 = 0 AND trim(text) <> '' THEN upper(text) ELSE text END")} AS text FROM conversations), {wrapped("src", q.END_PENALTY)}
+    out["c5_translated_cues"] = f"""WITH src AS (SELECT conv_id AS track_id, turn AS seq, 'en' AS lang, {clean.replace("{t}", "CASE WHEN turn % 2 = 0 AND trim(text) <> '' THEN replace(upper(text), 'ẞ', 'SS') ELSE text END")} AS text FROM conversations), {wrapped("src", q.END_PENALTY)}
 SELECT track_id, seq, CASE WHEN seq % 5 = 0 THEN '♪ ' || text || ' ♪' ELSE text END AS text, seq % 5 = 0 AS lyric FROM wrapped"""
     lines_of = f"""{q.CUES}, {wrapped("cues", q.END_PENALTY)}, sp AS (SELECT cues.track_id, cues.seq, lang, s, e, unnest(string_split(wrapped.text, chr(10))) AS text, generate_subscripts(string_split(wrapped.text, chr(10)), 1) - 1 AS part FROM cues JOIN wrapped USING (track_id, seq)),
 sh AS (SELECT *, greatest(length(regexp_replace(text, '{SPACE}', '', 'g')), 1) AS n FROM sp), su AS (SELECT *, sum(n) OVER (PARTITION BY track_id, seq) AS whole, sum(n) OVER (PARTITION BY track_id, seq ORDER BY part) AS upto FROM sh)"""
