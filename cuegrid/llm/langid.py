@@ -203,8 +203,8 @@ def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> ByteNet | None:
 def predict(docs: DataFrame, net: ByteNet | None) -> DataFrame:
     """doc_id, lang_pred and score of every row.
 
-    Null text or text without a letter, or no network: ``und`` with score 0. Very long
-    text: all of its windows count. Repeated rows and null ids: each row by itself. Empty
+    Null text or text without a letter, or no network: ``und`` with score 0. Of equally
+    likely languages the first by code point. Very long text: all of its windows count. Repeated rows and null ids: each row by itself. Empty
     table: no rows. Other columns are ignored.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()

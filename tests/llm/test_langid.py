@@ -127,3 +127,40 @@ def test_without_labels_or_rows(spark):
     assert fit(frame) is None
     assert predict(frame, None).first()["lang_pred"] == "und"
     assert predict(frame.where("false"), small_net()).count() == 0
+
+
+def plain_prediction(net, text):
+    """Every window by itself, the convolution written out, log-probabilities averaged."""
+    raw, stride = (text or "").encode(), WINDOW - langid.OVERLAP
+    at, sums = 0, []
+    while True:
+        window = np.zeros(WINDOW, np.uint8)
+        piece = np.frombuffer(raw[at : at + WINDOW], np.uint8)
+        window[: len(piece)] = piece
+        e = net.embed[window].astype(np.float64)
+        top = np.concatenate([sum(e[i : WINDOW - len(f) + 1 + i] @ f[i].astype(np.float64) for i in range(len(f))).max(axis=0) for f in net.filters])
+        z = np.maximum(top + net.bias, 0) @ net.dense.astype(np.float64) + net.dense_bias
+        sums.append(z - np.log(np.exp(z - z.max()).sum()) - z.max())
+        if at + WINDOW >= len(raw):
+            break
+        at += stride
+    p = np.exp(np.mean(sums, axis=0))
+    return p / p.sum()
+
+
+def test_predictions_equal_plain(spark):
+    """Whole texts, one of a megabyte, repeated rows, several scripts, and a network that cannot decide."""
+    r = np.random.default_rng(14)
+    net = small_net()
+    words = ["haus", "the", "île", "вода", "山", "x1", "\n", "of"]
+    texts = ["a", "no", " ".join(r.choice(words, 40)), " ".join(r.choice(words, 3000)), " ".join(r.choice(words, 40)), "ß" * 257] + [" ".join(r.choice(words, k)) for k in (60, 61, 62, 63, 64, 130)]
+    texts += [texts[2], "lorem " * 180_000]
+    rows = [(i, t, "en", "", 0) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = {x["doc_id"]: x for x in predict(frame, net).collect()}
+    for i, t in enumerate(texts):
+        p = plain_prediction(net, t)
+        assert got[i]["lang_pred"] == net.languages[int(p.argmax())] and abs(got[i]["score"] - p.max()) < 1e-3, i
+    net.dense[:] = 0
+    net.dense_bias[:] = 0
+    assert {x["lang_pred"] for x in predict(frame, net).collect()} == {min(net.languages)}

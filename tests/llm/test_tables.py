@@ -1,9 +1,11 @@
 """Mixing, sharding and packing against plain versions."""
 
+import os
 import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from cuegrid.llm.mixing import mix_sources, repeated
@@ -130,6 +132,21 @@ def test_encoder_equals_tokenizers():
     assert encode(text).tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_equals_tokenizers_on_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("byte_bpe_50k.json")
+    plain, encode, r = Tokenizer.from_file(path), byte_encoder(path), random.Random(3)
+    texts = ["x" * 20_000, "ab" * 5000, "1234567890" * 800, " " * 3000 + "end", "\n\n\n" * 700, "https://example.org/" + "a1-_/%" * 900, "don't won't I'LL they've " * 200]
+    for lo, hi in ((0x370, 0x3FF), (0x400, 0x4FF), (0x5D0, 0x5EA), (0x620, 0x64A), (0x900, 0x97F), (0xE00, 0xE5B), (0x3040, 0x30FF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3), (0x1F600, 0x1F64F)):
+        texts.append(" ".join("".join(chr(r.randint(lo, hi)) for _ in range(r.randint(1, 9))) + r.choice(["", ",", ".", " word", " 12"]) for _ in range(300)))
+    folder = "/root/testdata/sf0.01/documents.parquet"
+    if os.path.exists(folder):
+        texts += [t for t in pq.read_table(folder, columns=["text"]).column(0).to_pylist() if t][:300]
+    for t in texts:
+        assert encode(t).tolist() == plain.encode(t, add_special_tokens=False).ids, t[:60]
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_places_each_rank_once(seed):
     r = np.random.default_rng(seed)
