@@ -46,13 +46,14 @@ def thousandth(x: str) -> str:
 
 def wrapped(source: str, penalty: str, lines: int = 2) -> str:
     """Tables ending in wrapped (track_id, seq, text): texts of ``source`` (track_id, seq, lang, text) in spaced languages on two lines at most."""
-    return f"""wu AS (SELECT track_id, seq, lang, text AS given, regexp_extract_all(text, '[^ \\t\\n\\r\\f\\x0B]+') AS u FROM {source}),
-wi AS (SELECT track_id, seq, lang, given, len(u) AS n, i, u[i] AS word, array_to_string(u[1:i], ' ') AS top, array_to_string(u[i + 1:], ' ') AS low FROM wu, range(1, len(u)) AS r(i)),
-ww AS (SELECT *, {wide("top")} AS a, {wide("low")} AS b FROM wi),
+    return f"""wu AS MATERIALIZED (SELECT track_id, seq, lang, text AS given, regexp_extract_all(text, '[^ \\t\\n\\r\\f\\x0B]+') AS u FROM {source}),
+wi AS (SELECT *, {wide("word")} + 1 AS c FROM (SELECT track_id, seq, lang, len(u) AS n, unnest(u) AS word, generate_subscripts(u, 1) AS i FROM wu)),
+wt AS MATERIALIZED (SELECT *, sum(c) OVER (PARTITION BY track_id, seq ORDER BY i) - 1 AS a, sum(c) OVER (PARTITION BY track_id, seq) - 1 AS whole FROM wi),
+ww AS (SELECT *, whole - a - 1 AS b FROM wt WHERE i < n),
 wp AS (SELECT *, abs(a - b) + 100 * ({penalty.format(t="word", l="lang")}) + 30 * ((CASE WHEN i = 1 AND a <= 10 THEN 1 ELSE 0 END) + (CASE WHEN i = n - 1 AND b <= 10 THEN 1 ELSE 0 END)) + (CASE WHEN a > b THEN 1 ELSE 0 END) AS score FROM ww),
 wb AS (SELECT track_id, seq, arg_min(i, {{'s': score, 'i': i}}) FILTER (a <= 42 AND b <= 42) AS fit, coalesce(max(i) FILTER (a <= ceil((a + b + 1) / {lines}::DOUBLE)), 1) AS over FROM wp GROUP BY 1, 2),
-wrapped AS (SELECT wu.track_id, wu.seq, CASE WHEN len(u) = 0 THEN given WHEN len(u) = 1 OR {wide("array_to_string(u, ' ')")} <= 42 THEN array_to_string(u, ' ')
-  ELSE array_to_string(u[1:coalesce(fit, over)], ' ') || chr(10) || array_to_string(u[coalesce(fit, over) + 1:], ' ') END AS text FROM wu LEFT JOIN wb USING (track_id, seq))"""
+wrapped AS (SELECT wu.track_id, wu.seq, CASE WHEN len(u) = 0 THEN given WHEN len(u) = 1 OR wl.whole <= 42 THEN array_to_string(u, ' ')
+  ELSE array_to_string(u[1:coalesce(fit, over)], ' ') || chr(10) || array_to_string(u[coalesce(fit, over) + 1:], ' ') END AS text FROM wu LEFT JOIN wb USING (track_id, seq) LEFT JOIN (SELECT track_id, seq, whole FROM wt WHERE i = 1) wl USING (track_id, seq))"""
 
 
 def more() -> dict[str, str]:
@@ -197,6 +198,20 @@ SELECT track_id, seq, CASE WHEN n <= 1 OR lang <> 'en' THEN aim ELSE coalesce(be
     out["f16_character_units"] = f"""WITH {q.WORDS}, c AS (SELECT track_id, seq, s, greatest(e - s, 0) AS d, list_filter(string_split(text, ''), lambda x: regexp_matches(x, '[\\p{{L}}\\p{{N}}]')) AS l FROM words),
 u AS (SELECT track_id, seq, s, d, len(l) AS n, unnest(l) AS text, generate_subscripts(l, 1) - 1 AS k FROM c) SELECT track_id, seq, k, text, s + d * k / n AS "start", s + d * (k + 1) / n AS "end" FROM u"""
 
+    visible = lambda t: f"length(regexp_replace(regexp_replace(trim({t}), ',+$', ''), '{SPACE}', '', 'g'))"
+    commas = lambda t: f"(length(regexp_replace(trim({t}), ',+$', '')) - length(replace(regexp_replace(trim({t}), ',+$', ''), ',', '')))"
+    over, now = f"(a.o <> '' AND {commas('(a.o || b.o)')} > 1)", "(CASE WHEN {over} THEN b.o ELSE a.o || b.o END)"
+    now = now.format(over=over)
+    grown = f"CASE WHEN {visible(now)} >= 18 THEN list_append(CASE WHEN {over} THEN list_append(a.d, a.o) ELSE a.d END, {now}) WHEN {over} THEN list_append(a.d, a.o) ELSE a.d END"
+    clause_rows = f"""se AS (SELECT doc_id AS track_id, lang, unnest(l) AS s, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, lang, list_filter(string_split(regexp_replace(text, '([.!?。！？]){SPACE}*', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '') AS l FROM documents)),
+fo AS (SELECT track_id, lang, i, list_reduce(list_prepend({{'d': []::VARCHAR[], 'o': ''}}, list_transform(string_split(regexp_replace(s, ',({SPACE})', ',' || chr(1) || '\\1', 'g'), chr(1)), lambda p: {{'d': []::VARCHAR[], 'o': p}})), lambda a, b: {{'d': {grown}, 'o': CASE WHEN {visible(now)} >= 18 THEN '' ELSE {now} END}}) AS f FROM se),
+fi AS (SELECT track_id, lang, i, CASE WHEN f.o = '' THEN f.d WHEN len(f.d) > 0 AND {visible("f.o")} < 18 AND {commas("(f.d[-1] || f.o)")} <= 1 THEN list_append(f.d[1:len(f.d) - 1], f.d[-1] || f.o) ELSE list_append(f.d, f.o) END AS l FROM fo),
+cr AS (SELECT track_id, lang, i, unnest(l) AS text, generate_subscripts(l, 1) AS j FROM fi),
+cl AS (SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY i, j) - 1 AS seq, lang, trim(text) AS text, len(list_filter(regexp_split_to_array(text, '{SPACE}+'), lambda x: x <> '')) AS n FROM cr WHERE trim(text) <> '')"""
+    out["x19_comma_clauses"] = f"WITH {clause_rows} SELECT track_id, seq, lang, text, n FROM cl"
+    out["q1_clause_cues"] = f"""WITH {q.WORDS}, {clause_rows}, ce AS (SELECT *, sum(n) OVER (PARTITION BY track_id ORDER BY seq) AS hi FROM cl), wk AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY seq) - 1 AS k FROM words)
+SELECT ce.track_id, ce.seq, ce.lang, ce.text, arg_min(wk.s, wk.k) AS "start", arg_max(wk.e, wk.k) AS "end" FROM ce LEFT JOIN wk ON wk.track_id = ce.track_id AND wk.k >= ce.hi - ce.n AND wk.k < ce.hi GROUP BY 1, 2, 3, 4"""
+
     # ------------------------------------------------------------ edits, speakers, boundaries
     lower = "CASE WHEN length(trim(text)) >= 0 THEN trim(regexp_replace(regexp_replace(text, '^[ \\t\\n\\r\\f\\x0B]*[-–—]+[ \\t\\n\\r\\f\\x0B]*', ''), '[ \\t\\n\\r\\f\\x0B\\x{0085}\\x{00A0}]+', ' ', 'g')) END"
     out["c1_payload_units"] = f"""WITH t AS (SELECT conv_id AS track_id, turn AS i, text, {lower} AS flat FROM conversations) SELECT track_id, i, CASE WHEN i % 2 = 1 THEN CASE WHEN flat <> '' THEN 'a' || chr(10) || flat END ELSE trim(replace(text, chr(10), ' ')) END AS t FROM t WHERE i % 2 = 0 OR flat <> ''"""
