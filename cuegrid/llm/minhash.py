@@ -37,7 +37,7 @@ MINIMA, BITS, BANDS, BAND_ROWS = 128, 4, 25, 5
 MARGIN = 4.5
 #: Rows of a block when comparing signatures, and of one when all blocks are paired; rows and
 #: shingles compared at once when confirming.
-SIGNATURE_BLOCK, PAIRED_BLOCK, SET_BLOCK, SET_WEIGHT = 128, 512, 64, 200_000
+SIGNATURE_BLOCK, PAIRED_BLOCK, SET_BLOCK, SET_WEIGHT = 128, 256, 64, 200_000
 
 _random = np.random.default_rng(20240229)
 FACTOR = _random.integers(0, 1 << 31, MINIMA, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
