@@ -79,7 +79,7 @@ ef AS (SELECT *, CASE script WHEN 'han' THEN coalesce(list_filter(l, lambda x: {
   WHEN 'latin' THEN coalesce(list_filter(l, lambda x: {code("x")} IN ({listed(q.lg.LATIN)}))[1], l[1]) ELSE l[1] END AS effective FROM lb1)"""
     out["a12_dominant_script"] = f"WITH src AS (SELECT doc_id, {texts('doc_id')} AS text FROM documents), {scripts} SELECT doc_id, script FROM sd"
     out["x27_reconcile_language"] = f"WITH src AS (SELECT doc_id, {texts('n')} AS text, {label('n', 'lang')} AS detected FROM (SELECT *, doc_id + doc_id // 4 AS n FROM documents)), {scripts}, {effective} SELECT doc_id, effective FROM ef"
-    out["a1_language_vote"] = f"""WITH src AS (SELECT conv_id AS track_id, turn AS seq, {texts('turn')} AS text, {label('turn', "'en'")} AS detected FROM conversations), {scripts}, {effective},
+    out["a1_vote_over_chunks"] = f"""WITH src AS (SELECT conv_id AS track_id, turn AS seq, {texts('turn')} AS text, {label('turn', "'en'")} AS detected FROM conversations), {scripts}, {effective},
 v AS (SELECT track_id, coalesce({code("effective")}, lower(trim(effective))) AS lang, sum(length(regexp_replace(text, '[^\\p{{L}}\\p{{N}}]', '', 'g'))) AS mass, min(seq) AS seq FROM ef WHERE effective IS NOT NULL AND length(regexp_replace(text, '[^\\p{{L}}\\p{{N}}]', '', 'g')) > 0 GROUP BY 1, 2),
 r AS (SELECT track_id, arg_min(lang, {{'m': -mass, 's': seq}}) AS lang FROM v GROUP BY 1) SELECT t.track_id, coalesce(r.lang, 'english') AS lang FROM (SELECT DISTINCT track_id FROM src) t LEFT JOIN r USING (track_id)"""
     policy = f"(SELECT doc_id, [{listed(POLICY_LANGS)}][doc_id % {len(POLICY_LANGS)} + 1] AS lang FROM documents)"

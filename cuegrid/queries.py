@@ -203,8 +203,14 @@ def _labelled(rows: DataFrame, n: str) -> DataFrame:
     return rows.withColumn("text", text).withColumn("detected", label)
 
 
-@query("a1_language_vote")
+@query("a1_language_vote", "SELECT doc_id AS track_id, CASE WHEN length(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) > 0 THEN lang ELSE 'english' END AS lang FROM documents")
 def a1_language_vote(spark, d):
+    docs = table(spark, d, "documents")
+    return metrics.vote_language(docs.select(F.col("doc_id").alias("track_id"), F.lit(0).alias("seq"), F.col("lang").alias("detected"), "text"))
+
+
+@query("a1_vote_over_chunks")
+def a1_vote_over_chunks(spark, d):
     """Turns of a conversation as chunks, each with a detector's answer."""
     turns = _turns(spark, d).select("track_id", "seq", F.col("seq").alias("n"), "text", F.lit("en").alias("lang"))
     return metrics.vote_language(_labelled(turns, "n").select("track_id", "seq", "detected", "text"))
