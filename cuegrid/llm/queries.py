@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace
+from .conversation_repair import Repair, damaged, digests
 from .embedding_dedup import linked_vectors
 from .langid import fit, fold, predict
+from .merkle import folded, manifest
 from .minhash import near_duplicates
 from .mixing import mix_sources
 from .packing import pack
@@ -78,6 +80,55 @@ m AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1)
 SELECT doc_id, len(g) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN m USING (doc_id)"""
 
 
+def _op11() -> str:
+    """The same edits by a forward recursion over rows: for each conversation and state the cheapest, then least, edits so far."""
+    new = lambda s, cost, letter, row: f"{{'c': {s}.c + {cost}, 'a': {s}.a || '{letter}', 'r': {f'list_append({s}.r, {row})' if row else f'{s}.r'}}}"
+    least = lambda *xs: f"list_min([{', '.join(xs)}])"
+    when = lambda cond, x: f"CASE WHEN {cond} THEN {x} ELSE far END"
+    short = "CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END"
+    keep = lambda s, i: when(f"stays AND i = '{i}'", new(s, short, "K", "role || ':' || text"))
+    rerole = lambda s, role: when("stays", new(s, f"3 + {short}", "R", f"'{role}:' || text"))
+    gone = lambda s: new(s, 4, "D", None)
+    to_user = [f(s) for s in ("q0", "q1", "q3") for f in (lambda s: keep(s, "u"), lambda s: rerole(s, "user"))]
+    user = least("n2", *(new(s, 3, "I", "'user:'") for s in ("n0", "n1", "n3")))
+    crc = f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)), lambda a, b: xor(a >> 8, ({_crc_steps()})[xor(a & 255, b) + 1])))"
+    far, none = "{'c': 1000000000, 'a': '', 'r': []::VARCHAR[]}", "{'c': 0, 'a': '', 'r': []::VARCHAR[]}"
+    blank = r"NOT regexp_matches(text, '[^\x20\x09-\x0D]')"
+    return f"""WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, hex(encode(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))) AS h FROM conversations),
+k AS (SELECT *, {crc} % 20 AS kind FROM c), e AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM k),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS n FROM e),
+f AS (SELECT *, substr(role, 1, 1) AS i, CASE WHEN {blank} THEN 'blank' WHEN n > min(n) OVER (PARTITION BY conv_id, role, text) THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 'truncated' END AS fault,
+  lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY n) || substr(role, 1, 1) AS two FROM o),
+z AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+d(conv_id, n, q0, q1, q2, q3) AS (SELECT DISTINCT conv_id, 0::BIGINT, {none}, {far}, {{'c': 3, 'a': 'I', 'r': ['user:']}}, {{'c': 6, 'a': 'II', 'r': ['user:', 'assistant:']}} FROM f UNION ALL
+  SELECT conv_id, n, n0, n1, n2, {least("n3", new("n2", 3, "I", "'assistant:'"))} FROM (SELECT conv_id, n, n0, n1, {user} AS n2, n3 FROM (
+    SELECT conv_id, n, {gone("q0")} AS n0, {least(gone("q1"), keep("q0", "s"))} AS n1, {least(gone("q2"), *to_user)} AS n2, {least(gone("q3"), keep("q2", "a"), rerole("q2", "assistant"))} AS n3
+    FROM (SELECT d.*  EXCLUDE (n), f.n, f.role, f.text, f.i, f.fault, coalesce(f.fault, '') NOT IN ('blank', 'duplicate') AS stays, {far} AS far FROM d JOIN f ON f.conv_id IS NOT DISTINCT FROM d.conv_id AND f.n = d.n + 1)))),
+b AS (SELECT conv_id, list_min([q0, q3]) AS q FROM d QUALIFY n = max(n) OVER (PARTITION BY conv_id))
+SELECT v.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(q.c, 0)::BIGINT AS cost, coalesce(q.a, '') AS audit, sha256(coalesce(array_to_string(q.r, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) v LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM v.conv_id LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM v.conv_id"""
+
+
+def _op13() -> str:
+    field = lambda x: f"coalesce(octet_length(encode({x}::VARCHAR)) || ':' || {x}::VARCHAR, '-')"
+    head = " || ".join(map(field, ("doc_id", "source", "lang", "n_chars")))
+    h = "hex(encode(coalesce(doc_id::VARCHAR, '')))"
+    crc = f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length({h}) // 2), lambda i: ('0x' || substr({h}, 2 * i + 1, 2))::BIGINT)), lambda a, b: xor(a >> 8, ({_crc_steps()})[xor(a & 255, b) + 1])))"
+    up = "list_transform(range(0, (len(ls) + 2) // 3), lambda i: sha256(array_to_string(ls[3 * i + 1:3 * i + 3], '')))"
+    step = lambda names, n: f"SELECT {names}, lvl + 1, r // 3, sha256(array_to_string(ls[r - r % 3 + 1:r], '') || digest || array_to_string(ls[r + 2:r - r % 3 + 3], '')), proof || array_to_string(ls[r - r % 3 + 1:r], '') || array_to_string(ls[r + 2:r - r % 3 + 3], '') FROM {n} WHERE len(ls) > 1"
+    return f"""WITH RECURSIVE x AS (SELECT *, CASE WHEN doc_id IS NOT NULL AND {crc} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS changed FROM documents),
+l AS (SELECT doc_id, source, sha256({head} || {field('text')}) AS leaf, sha256({head} || {field('changed')}) AS received FROM x),
+p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r0, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS s FROM l),
+t(s, lvl, ls) AS (SELECT s, 0, list(leaf ORDER BY r0) FROM p GROUP BY s UNION ALL SELECT s, lvl + 1, {up} FROM t WHERE len(ls) > 1),
+u(lvl, ls) AS (SELECT 0, list(ls[1] ORDER BY s) FROM t WHERE len(ls) = 1 UNION ALL SELECT lvl + 1, {up} FROM u WHERE len(ls) > 1),
+w(s, r0, lvl, r, digest, proof) AS (SELECT s, r0, 0, r0, received, '' FROM p UNION ALL {step('s, r0', '(SELECT w.*, t.ls FROM w JOIN t USING (s, lvl))')}),
+i AS (SELECT w.* FROM w JOIN t USING (s, lvl) WHERE len(ls) = 1),
+y(s, r0, lvl, r, digest, proof) AS (SELECT s, r0, 0, s, digest, proof FROM i UNION ALL {step('s, r0', '(SELECT y.*, u.ls FROM y JOIN u USING (lvl))')}),
+o AS (SELECT y.* FROM y JOIN u USING (lvl) WHERE len(ls) = 1)
+SELECT doc_id, leaf, sub.ls[1] AS subroot, top.ls[1] AS root, sha256(proof) AS proof_sha256, digest AS folded_root, digest = top.ls[1] AS verified
+FROM p JOIN o USING (s, r0) JOIN (SELECT * FROM t WHERE len(ls) = 1) sub USING (s) CROSS JOIN (SELECT * FROM u WHERE len(ls) = 1) top"""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -140,10 +191,31 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, KINDS[:BASE]), F.sha2(spelled(base), 256).alias("base_sha256"), spelled(spans).alias("spans"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    repair = Repair(damaged(rows))
+    hashes = digests(repair.repaired())
+    found = repair.report().join(hashes, "start", "left")
+    found = found.withColumn("_id", F.col("conv_id")).drop("conv_id", "start")
+    every = rows.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("_id")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op13_radix_trie_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    damaged_text = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    head = ["doc_id", "source", "lang", "n_chars"]
+    found = manifest(docs, [*head, "text"], [*head, damaged_text])
+    found = found.withColumn("folded_root", folded(F.col("received"), F.col("path")))
+    proof = F.sha2(F.translate("path", ".;", ""), 256).alias("proof_sha256")
+    return found.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_spherical_caps, op2_fingerprint_log, op3_source_mixing, op4_minimax_sharding, op5_byte_network, op6_token_rollup, op7_linear_grouping_packing, op8_bbit_minhash, op9_fertility_quality, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_spherical_caps, op2_fingerprint_log, op3_source_mixing, op4_minimax_sharding, op5_byte_network, op6_token_rollup, op7_linear_grouping_packing, op8_bbit_minhash, op9_fertility_quality, op10_secret_scan, op11_conversation_repair, op13_radix_trie_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
     """Only where SQL can give the rows; the others are held against plain versions in tests."""
-    return {"op1_spherical_caps": OP1, "op2_fingerprint_log": OP2, "op3_source_mixing": OP3, "op4_minimax_sharding": OP4, "op8_bbit_minhash": OP8}
+    return {"op1_spherical_caps": OP1, "op2_fingerprint_log": OP2, "op3_source_mixing": OP3, "op4_minimax_sharding": OP4, "op8_bbit_minhash": OP8, "op11_conversation_repair": _op11(), "op13_radix_trie_manifest": _op13()}
