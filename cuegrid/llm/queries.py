@@ -11,6 +11,7 @@ from .common import Workspace
 from .conversation_repair import Repair, damaged, digests
 from .embedding_dedup import linked_vectors
 from .langid import fit, fold, predict
+from .lm_scoring import score_texts
 from .merkle import folded, manifest
 from .minhash import near_duplicates
 from .mixing import mix_sources
@@ -202,6 +203,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
+def op12_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end=50256)
+
+
 def op13_radix_trie_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     damaged_text = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
@@ -213,7 +218,7 @@ def op13_radix_trie_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_spherical_caps, op2_fingerprint_log, op3_source_mixing, op4_minimax_sharding, op5_byte_network, op6_token_rollup, op7_linear_grouping_packing, op8_bbit_minhash, op9_fertility_quality, op10_secret_scan, op11_conversation_repair, op13_radix_trie_manifest)}
+    return {f.__name__: f for f in (op1_spherical_caps, op2_fingerprint_log, op3_source_mixing, op4_minimax_sharding, op5_byte_network, op6_token_rollup, op7_linear_grouping_packing, op8_bbit_minhash, op9_fertility_quality, op10_secret_scan, op11_conversation_repair, op12_attention_scores, op13_radix_trie_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
