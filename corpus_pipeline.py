@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuegrid.llm.common import Workspace
-from cuegrid.llm.minhash import near_duplicates, word_digest
+from cuegrid.llm.minhash import near_duplicates
 from cuegrid.llm.mixing import mix_sources, repeated
 from cuegrid.llm.packing import pack
 from cuegrid.llm.quality import assess, corpus_bands, within_corpus
@@ -52,18 +52,20 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     are compared whole. An empty table gives no rows.
     """
     ws = Workspace(spark, "dedup")
-    gone = near_duplicates(docs, percent=80, digest=True).where("not kept").select("doc_id", F.col("digest").alias("_digest")).distinct()
+    plain = _plain(docs)
+    names, text_key = plain.columns, F.unhex(F.sha2("text", 256))
+    gone = near_duplicates(plain.withColumn("text_key", text_key), percent=80, keep=("text_key",)).where("not kept").select("doc_id", "text_key").distinct()
     gone = ws.save(gone, "gone")
-    repeats = ws.save(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeats")
+    repeats = ws.save(plain.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeats")
     if repeats.isEmpty():
-        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    single = docs.join(repeats, "doc_id", "left_anti").join(gone, "doc_id", "left_anti").select(docs.columns)
-    shared = docs.join(repeats, "doc_id", "left_semi").select(docs.columns)
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
-    order = Window.partitionBy("doc_id", F.sha2("text", 256)).orderBy(*rest) if rest else Window.partitionBy("doc_id", F.sha2("text", 256)).orderBy("doc_id")
-    shared = shared.withColumn("_first", F.row_number().over(order)).where("_first = 1")
-    unlike = shared.withColumn("_digest", word_digest("text")).join(gone, ["doc_id", "_digest"], "left_anti")
-    return single.unionByName(unlike.select(docs.columns))
+        return plain.join(gone, "doc_id", "left_anti").select(names).toDF(*docs.columns)
+    single = plain.join(repeats, "doc_id", "left_anti").join(gone, "doc_id", "left_anti").select(names)
+    shared = plain.join(repeats, "doc_id", "left_semi").withColumn("text_key", text_key)
+    rest = [c for c in names if c not in ("doc_id", "text")]
+    order = Window.partitionBy("doc_id", "text_key").orderBy(*(rest or ["doc_id"]))
+    shared = shared.withColumn("place", F.row_number().over(order)).where("place = 1")
+    unlike = shared.join(gone, ["doc_id", "text_key"], "left_anti").select(names)
+    return single.unionByName(unlike).toDF(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

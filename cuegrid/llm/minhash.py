@@ -24,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
 
 from .blocks import FEW_GROUPS, UNIT, Forest, block_pairs, changes, dealt, grouped, in_blocks, longs, overlaps, pairs, whole_groups
 from .common import Workspace, chunks
@@ -122,9 +121,10 @@ def _folded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return FOLDED[data], bounds
 
 
-def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest of the normal word sequence, packed signature, band keys."""
+def sketch(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, digest of the normal word sequence, packed signature, band keys, and the columns ``keep``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    more = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
@@ -143,11 +143,11 @@ def sketch(docs: DataFrame) -> DataFrame:
                     digest[r] = hashlib.blake2b(b" ".join(text.split()), digest_size=16).digest()
                     packed[r], keys[r] = bits[k].tobytes(), bands[k]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(n), pa.array(digest, pa.binary()), pa.array(packed, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "digest", "packed", "bands"],
+                [part.column(0), pa.array(n), pa.array(digest, pa.binary()), pa.array(packed, pa.binary()), pa.array(keys, pa.list_(pa.int64())), *part.columns[2:]],
+                ["doc_id", "n_shingles", "digest", "packed", "bands", *keep],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary, packed binary, bands array<long>")
+    return docs.select("doc_id", "text", *keep).mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary, packed binary, bands array<long>{more}")
 
 
 def _bits(group: pa.RecordBatch) -> np.ndarray:
@@ -296,24 +296,17 @@ def confirmed(units: DataFrame, percent: int) -> DataFrame:
     return dealt(units, "unit").mapInArrow(run, "a long, b long")
 
 
-@F.udf(BinaryType())
-def word_digest(text: str | None) -> bytes | None:
-    """The digest of ``sketch``, for few rows; null without words."""
-    words_of = (text or "").encode("utf-8", "replace").translate(FOLDED.tobytes()).split()
-    return hashlib.blake2b(b" ".join(words_of), digest_size=16).digest() if words_of else None
-
-
-def near_duplicates(docs: DataFrame, percent: int = 80, digest: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row; links from ``percent`` similarity on.
 
     Null or empty text, or text without words: n_shingles 0, a component of its own, kept.
     Null doc_id: linked with nothing, component null, kept. Rows that share a doc_id count
     as one document; repeated rows get equal results. Empty table: no rows. Other columns
-    are ignored. Texts of any length are handled whole. With ``digest`` a column of that
-    name tells rows of one doc_id with different texts apart (see ``word_digest``).
+    are ignored but for those in ``keep``, which come along (a caller can so tell rows of
+    one doc_id apart). Texts of any length are handled whole.
     """
     ws = Workspace(docs.sparkSession, "minhash")
-    rows = ws.save(sketch(docs), "sketch")
+    rows = ws.save(sketch(docs, keep), "sketch")
     known = rows.where("digest is not null and doc_id is not null")
     # one representative per distinct word sequence; copies need no comparison
     classes = ws.save(known.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("packed").alias("packed"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n")), "classes")
@@ -345,7 +338,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, digest: bool = False) ->
         homes = connected_components(ws, links.unionByName(late), "all")
     homes = classes.select("digest", "node").join(homes, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     homes = ws.save(homes, "components")
-    out = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(homes, "digest", "left")
+    out = rows.select("doc_id", "n_shingles", *keep, F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(homes, "digest", "left")
     component = F.coalesce("component_id", "doc_id")
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), *(["digest"] if digest else []))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), *keep)
     return ws.result(out)

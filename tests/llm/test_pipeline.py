@@ -187,6 +187,37 @@ def test_one_of_two_texts_with_an_id_goes(spark):
     assert [r["source"] for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, twice, "").collect()] == [None]
 
 
+def test_extra_columns_of_any_name_stay_as_they_are(spark):
+    about = ["river", "market", "winter", "garden"]
+    own = [f"The {x} was quiet when the old man walked home with two bags of bread, and nobody in the {x} could say why he had come back so late that year." for x in about]
+    rows = [(i % 3, own[i], "en", "a", len(own[i]), 7 + i, f"x{i}", i, f"k{i}", 0.5 * i) for i in range(4)] + [(0, own[0], "en", "b", len(own[0]), 99, "y", 9, "z", 0.0)]
+    names = ["doc_id", "text", "lang", "source", "n_chars", "_first", "_digest", "count", "text_key", "a.b"]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _first long, _digest string, count long, text_key string, `a.b` double")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, frame, "")
+        assert out.columns == names and out.dtypes == frame.dtypes, name
+        extra = Counter(tuple(r)[5:] for r in out.collect())
+        assert set(extra) <= {r[5:] for r in rows} and extra, name
+    assert dict(corpus_pipeline.STAGES)["best_fit_packing"](spark, frame, "").count() >= 5
+
+
+def test_very_long_texts_pass_every_stage(spark):
+    r = random.Random(8)
+    vocabulary = ["".join(r.choices("abcdefghijklmnop", k=r.randrange(2, 9))) for _ in range(3000)]
+    long = " ".join(r.choices(vocabulary, k=150_000)) + "."
+    rows = [(1, long, "en", "a", len(long), "", 0, 0.0), (2, long.replace("a", "A", 3), "en", "a", len(long), "", 0, 0.0), (3, long[: len(long) // 2], "en", "b", 0, "", 0, 0.0), (4, long + " password=abcd1234efgh", "fr", "b", 0, "", 0, 0.0)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    stage = dict(corpus_pipeline.STAGES)
+    assert {x["doc_id"] for x in stage["near_dedup"](spark, frame, "").collect()} == {1, 3}
+    assert {x["doc_id"]: "[SECRET]" in x["text"] for x in stage["secret_scan"](spark, frame, "").collect()} == {1: False, 2: False, 3: False, 4: True}
+    sizes = sum(len(brute.words(x[1])) for x in rows)
+    assert abs(sum(len(brute.words(x["text"])) for x in stage["source_mix"](spark, frame, "").collect()) - sizes) <= 4
+    ids = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json")).encode(rows[0][1], add_special_tokens=False).ids
+    pieces = sorted((x["piece"], x["start"], list(x["ids"])) for x in stage["best_fit_packing"](spark, frame, "").where("doc_id = 1").collect())
+    assert [i for _, _, p in pieces for i in p] == [*ids, 2]
+    assert {x["doc_id"] for x in stage["quality_rules"](spark, frame, "").collect()} <= {1, 2, 3, 4}
+
+
 def test_run_end_to_end(spark, docs, tmp_path):
     """Every token of the result, against the texts that the stages before the last one leave."""
     docs.write.parquet(str(tmp_path / "documents.parquet"))
