@@ -29,7 +29,7 @@ COMMA = {"ja": "、", "zh": "，"}
 
 # What parts a detector's labels, what counts as a Latin word, and how much of a text a script must be.
 LABEL_SEPARATORS = "[,，;；|/]+"
-LATIN_WORD = r"[A-Za-z]+(?:['’-][A-Za-z]+)*"
+LATIN_WORD = r"[A-Za-z]++(?:['’-][A-Za-z]++)*+"
 HANGUL_LEAST, KANA_LEAST, CJK_LEAST, HAN_LEAST, LATIN_LEAST, LATIN_WORDS = 4, 2, 4, 4, 12, 4
 CJK_SHARE, LATIN_SHARE, KANA_PER_CJK = (3, 5), (4, 5), 6
 
@@ -124,6 +124,7 @@ def detected_candidates(raw: Column) -> Column:
 
 def script_counts(s: Column) -> dict[str, Column]:
     """Letters per script family."""
+    # The blocks of each script.
     n = lambda pattern: F.regexp_count(s, F.lit(pattern))
     han = n(r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{2FA1F}\x{30000}-\x{323AF}]")
     kana = n(r"[\x{3040}-\x{30FF}\x{31F0}-\x{31FF}\x{FF66}-\x{FF9D}]")

@@ -64,15 +64,13 @@ def spaced_tokens(s: Column) -> Column:
 
 
 def unspaced_tokens(s: Column) -> Column:
-    """Single characters, ASCII runs (also across spaces) whole, a unit sign joined to the number before it."""
-    raw = F.regexp_extract_all(s, F.lit(r"([A-Za-z0-9._-]+(?:(?U:\s)+[A-Za-z0-9._-]+)*|(?U:\S))"), F.lit(1))
-    joins = lambda acc, t: (F.size(acc) > 0) & F.lit(UNIT_SIGNS).contains(t) & F.element_at(acc, -1).rlike("[0-9]$")
-    last = lambda acc: F.slice(acc, 1, F.size(acc) - 1)
-    return F.aggregate(
-        raw,
-        F.array().cast("array<string>"),
-        lambda acc, t: F.when(joins(acc, t), F.concat(last(acc), F.array(F.concat(F.element_at(acc, -1), t)))).otherwise(F.concat(acc, F.array(t))),
-    )
+    """Single characters, ASCII runs (also across spaces) whole, a unit sign joined to the number before it.
+
+    The repeats are possessive: Java's matcher then loops where it would recurse for every word.
+    """
+    run, blank = "[A-Za-z0-9._-]++", r"(?U:\s)"
+    raw = F.regexp_extract_all(s, F.lit(rf"({run}(?:{blank}++{run})*+(?:(?<=[0-9]){blank}*+[{UNIT_SIGNS}])?+|(?U:\S))"), F.lit(1))
+    return F.transform(raw, lambda t: F.regexp_replace(t, rf"(?<=[0-9]){blank}++(?=[{UNIT_SIGNS}]$)", ""))
 
 
 def tokens(s: Column, spaced: Column) -> Column:
