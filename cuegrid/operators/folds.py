@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.layout import fits, is_fragment, joined, wrap
 from ..plans.durable import settled
 from .intervals import BUCKET_S, TRACK, interval_join
-from .stretches import each_stretch, spelled
+from .stretches import AHEAD, BACK, Step, each_stretch, reduced, spelled
 from .timing import TWO_FRAMES
 
 FRAME = 1.0 / 24.0
@@ -190,54 +190,56 @@ def _per_track(cues: DataFrame, change: Callable[[list[dict]], list[dict]], gap_
     return done.withColumn("seq", place.cast(cues.schema["seq"].dataType)).select(columns)
 
 
-def _absorb(into: dict, cue: dict, text: str) -> None:
-    into["text"], into["end"] = text, max(into["end"], cue["end"])
-    into["word_data"] = into["word_data"] + cue["word_data"]
+def _one(host: dict, a: dict, b: dict, lang: str, start: float, end: float) -> dict:
+    """Two neighbours as one cue, with the other fields of ``host``."""
+    return host | {"text": joined(a["text"], b["text"], lang), "start": start, "end": end, "word_data": a["word_data"] + b["word_data"]}
 
 
-def _micro_pass(rows: list[dict], gap_s: float, line: int, max_s: float, min_s: float, lines: int, floor_s: float) -> list[dict]:
-    out, forced = [], []
-    for cue in rows:
-        last = out[-1] if out else None
-        if last is not None and cue["start"] - last["end"] < gap_s:
-            text = joined(last["text"], cue["text"], cue["lang"])
-            span = cue["end"] - last["start"]
-            fit = span <= max_s and fits(text, line, 1, cue["lang"])
-            collapsed = max(last["end"] - last["start"], cue["end"] - cue["start"]) < floor_s or (min_s > 0 and span < min_s)
-            if fit or collapsed:
-                _absorb(last, cue, text)
-                forced[-1] |= not fit
-                continue
-        out.append(cue)
-        forced.append(False)
-    for cue, again in zip(out, forced, strict=True):
-        if again:
-            cue["text"] = wrap(cue["text"], cue["lang"], lines)
-    return out
-
-
-def _glue_pass(rows: list[dict], gap_s: float, line: int, lines: int, max_s: float) -> list[dict]:
-    def room(a: dict | None, b: dict | None, lang: str) -> float | None:
-        """The pause between two cues if they may be joined."""
-        if a is None or b is None or b["start"] - a["end"] >= gap_s or b["end"] - a["start"] > max_s:
+def _chains(gap_s: float, line: int, max_s: float, min_s: float, floor_s: float) -> Step:
+    """The rule of ``merge_micro``: a cue goes into its successor if both make a line, or are too short to be read apart."""
+
+    def step(_: dict | None, a: dict, b: dict | None) -> tuple[str, dict] | None:
+        if b is None or b["start"] - a["end"] >= gap_s:
             return None
-        return b["start"] - a["end"] if fits(joined(a["text"], b["text"], lang), line, lines, lang) else None
-
-    out: list[dict] = []
-    for k, cue in enumerate(rows):
-        after = rows[k + 1] if k + 1 < len(rows) else None
-        if is_fragment(cue["text"], cue["lang"]):
-            back, ahead = room(out[-1] if out else None, cue, cue["lang"]), room(cue, after, cue["lang"])
-            if ahead is not None and (back is None or ahead < back):
-                after["text"] = joined(cue["text"], after["text"], cue["lang"])
-                after["start"] = min(cue["start"], after["start"])
-                after["word_data"] = cue["word_data"] + after["word_data"]
-                continue
-            if back is not None:
-                _absorb(out[-1], cue, joined(out[-1]["text"], cue["text"], cue["lang"]))
-                continue
-        out.append(cue)
-    return out
+        both = _one(a, a, b, b["lang"], a["start"], max(a["end"], b["end"]))
+        whole = b["end"] - a["start"]
+        legal = whole <= max_s and fits(both["text"], line, 1, b["lang"])
+        flicker = whole < min_s or all(c["end"] - c["start"] < floor_s for c in (a, b))
+        if not (legal or flicker):
+            return None
+        return AHEAD, both | {"_rewrap": a.get("_rewrap", False) or not legal}
+
+    return step
+
+
+def _glues(gap_s: float, line: int, lines: int, max_s: float) -> Step:
+    """The rule of ``glue_fragments``: a fragment goes to the side with the shorter pause."""
+
+    def pause(a: dict | None, b: dict | None, lang: str) -> float:
+        if a is None or b is None or b["end"] - a["start"] > max_s or not fits(joined(a["text"], b["text"], lang), line, lines, lang):
+            return gap_s
+        return b["start"] - a["end"]
+
+    def step(below: dict | None, a: dict, b: dict | None) -> tuple[str, dict] | None:
+        if not is_fragment(a["text"], a["lang"]):
+            return None
+        behind, ahead = pause(below, a, a["lang"]), pause(a, b, a["lang"])
+        if min(behind, ahead) >= gap_s:
+            return None
+        if behind <= ahead:
+            return BACK, _one(below, below, a, a["lang"], below["start"], max(below["end"], a["end"]))
+        return AHEAD, _one(b, a, b, a["lang"], min(a["start"], b["start"]), b["end"])
+
+    return step
+
+
+def _micro(rows: list[dict], gap_s: float, line: int, max_s: float, min_s: float, lines: int, floor_s: float) -> list[dict]:
+    out = reduced(rows, _chains(gap_s, line, max_s, min_s, floor_s))
+    return [c | {"text": wrap(c["text"], c["lang"], lines)} if c.pop("_rewrap", False) else c for c in out]
+
+
+def _glued(rows: list[dict], gap_s: float, line: int, lines: int, max_s: float) -> list[dict]:
+    return reduced(rows, _glues(gap_s, line, lines, max_s))
 
 
 def merge_micro(cues: DataFrame, gap_s: float, line: int, max_s: float, min_s: float = 0.0, lines: int = 1, floor_s: float = 0.08) -> DataFrame:
@@ -246,17 +248,17 @@ def merge_micro(cues: DataFrame, gap_s: float, line: int, max_s: float, min_s: f
     Cues that collapsed to almost nothing, or that together stay below ``min_s``, are
     folded whatever their length, and wrapped anew.
     """
-    return cues if gap_s <= 0 else _per_track(cues, lambda rows: _micro_pass(rows, gap_s, line, max_s, min_s, lines, floor_s), gap_s)
+    return cues if gap_s <= 0 else _per_track(cues, lambda rows: _micro(rows, gap_s, line, max_s, min_s, lines, floor_s), gap_s)
 
 
 def glue_fragments(cues: DataFrame, gap_s: float, line: int, lines: int, max_s: float) -> DataFrame:
     """A lone short word joins the neighbour that is nearer, the previous one of two, within budget and cap."""
-    return cues if gap_s <= 0 else _per_track(cues, lambda rows: _glue_pass(rows, gap_s, line, lines, max_s), gap_s)
+    return cues if gap_s <= 0 else _per_track(cues, lambda rows: _glued(rows, gap_s, line, lines, max_s), gap_s)
 
 
 def merge_and_glue(cues: DataFrame, gap_s: float, line: int, lines: int, max_s: float, min_s: float, floor_s: float = 0.08) -> DataFrame:
     """``merge_micro`` and then ``glue_fragments`` in one visit to each track."""
-    return cues if gap_s <= 0 else _per_track(cues, lambda rows: _glue_pass(_micro_pass(rows, gap_s, line, max_s, min_s, lines, floor_s), gap_s, line, lines, max_s), gap_s)
+    return cues if gap_s <= 0 else _per_track(cues, lambda rows: _glued(_micro(rows, gap_s, line, max_s, min_s, lines, floor_s), gap_s, line, lines, max_s), gap_s)
 
 
 def _moved_start(start: float, cut: float) -> float:

@@ -7,6 +7,34 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+#: What a step of ``reduced`` does with the top of the stack: it goes into the cue ahead, or into the one below.
+AHEAD, BACK = "ahead", "back"
+#: (cue below, top, cue ahead) to (AHEAD or BACK, the cue that comes of it), or None to leave the top as it is.
+Step = Callable[[dict | None, dict, dict | None], tuple[str, dict] | None]
+
+
+def reduced(cues: list[dict], step: Step) -> list[dict]:
+    """Shift and reduce: each cue is asked once, when the cue ahead of it is known, what becomes of it.
+
+    A cue that takes up the top comes next and is asked in its turn; the cue below, which
+    has been asked, is not asked again. Every step shortens what is left, so this ends.
+    """
+    stack: list[dict] = []
+    asked = True
+    for ahead in [*cues, None]:
+        if not asked:
+            found = step(stack[-2] if len(stack) > 1 else None, stack[-1], ahead)
+            if found is not None and found[0] == AHEAD:
+                stack.pop()
+                ahead = found[1]
+            elif found is not None:
+                stack[-2:] = [found[1]]
+        if ahead is not None:
+            stack.append(ahead)
+        asked = False
+    return stack
+
+
 #: Rows after which a batch of results is handed on.
 ROWS = 10_000
 

@@ -345,7 +345,7 @@ def test_merging_in_stretches_equals_whole_tracks(spark):
     want = {}
     for t, v in tracks.items():
         rows = [{"text": x, "start": a, "end": b, "lang": "en", "word_data": list(w)} for x, a, b, w in v]
-        done = folds._glue_pass(folds._micro_pass(rows, 0.3, 42, 7.0, 0.5, 2, 0.08), 0.3, 42, 2, 7.0)
+        done = folds._glued(folds._micro(rows, 0.3, 42, 7.0, 0.5, 2, 0.08), 0.3, 42, 2, 7.0)
         want |= {(t, k): (x["text"], x["start"], x["end"], len(x["word_data"])) for k, x in enumerate(done)}
     assert {(x["track_id"], x["seq"]): (x["text"], x["start"], x["end"], len(x["word_data"])) for x in out.collect()} == want
     assert len(want) < 20 * 60
