@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.language import max_line_length, max_lines, spaced, thresholds
 from ..functions.layout import wrapped
 from ..functions.text import join_tokens, merge_stutters, reading_chars, strip_punctuation, visual_width
-from ..operators import folds, packing
+from ..operators import folds, packing, particles
 from ..operators.atoms import split_oversized
 from ..operators.intervals import BUCKET_S, TRACK, nearest_point
 from ..operators.timing import break_flags, cue_numbers, polish_timing
@@ -102,8 +102,8 @@ def finish_text(cues: DataFrame) -> DataFrame:
 
 
 def full_polish(cues: DataFrame, shots: DataFrame | None = None, line: int = 42, lines: int = 2, max_s: float = 7.0, bucket_s: float = BUCKET_S) -> DataFrame:
-    """Micro cues merged, fragments glued, timing polished, edges moved to shot changes, text finished."""
-    out = polish(folds.merge_and_glue(cues, 0.3, line, lines, max_s, 0.5))
+    """Stranded particles mended, micro cues merged, fragments glued, timing polished, edges moved to shot changes, text finished."""
+    out = polish(folds.merge_and_glue(particles.mend_particles(cues, line, lines, max_s), 0.3, line, lines, max_s, 0.5))
     if shots is not None:
         for side in ("start", "end"):
             near = nearest_point(out.select(TRACK, "seq", F.col(side).alias("t")), shots, 0.458, bucket_s)

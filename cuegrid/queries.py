@@ -17,7 +17,7 @@ from .functions import language as lg
 from .functions import text as tx
 from .functions.layout import wrapped
 from .functions.scores import clean_speech_flag, sing_flag, song_flag
-from .operators import align, atoms, clauses, folds, metrics, review, seams, semantic, speakers, timing
+from .operators import align, atoms, clauses, folds, metrics, particles, review, seams, semantic, speakers, timing
 from .operators import intervals as iv
 from .plans import replay, songs
 from .plans.streams import event_spans, score_windows, table, turn_stream, word_stream
@@ -657,6 +657,31 @@ def q7_pack_words(spark, d):
     return replay.pack_words(_words(spark, d)).select("track_id", "seq", "cue")
 
 
+#: What the letters a to z become, so that the documents read as Japanese and Chinese with particles.
+AS_JAPANESE, AS_CHINESE = "のかをにへしでとがまよりたなはもこさてるあいうえおん", "的我得把了他着过吗你是不在从对人这中大来上个国说到们"
+
+
+def _unspaced_cues(spark, d):
+    """Letters of the documents as characters of two unspaced languages, in cues of 4 to 12 between pauses."""
+    letters = align.explode_characters(_words(spark, d)).where(F.col("text").rlike("^[A-Za-z]$"))
+    order = Window.partitionBy("track_id").orderBy("seq", "k")
+    odd = F.col("track_id") % 2 == 1
+    spell = lambda to: F.translate(F.lower("text"), "abcdefghijklmnopqrstuvwxyz", to)
+    rows = letters.withColumn("_n", F.row_number().over(order) - 1).withColumn("lang", F.when(odd, "ja").otherwise("zh")).withColumn("c", F.when(odd, spell(AS_JAPANESE)).otherwise(spell(AS_CHINESE)))
+    # two cues of a pair share 16 characters, unevenly
+    rows = rows.withColumn("cue", (2 * F.floor(F.col("_n") / 16) + (F.col("_n") % 16 >= 4 + F.floor(F.col("_n") / 16) % 9).cast("int")).cast("int"))
+    parts = F.array_sort(F.collect_list(F.struct("_n", "c", "start", "end")))
+    out = rows.groupBy("track_id", "lang", "cue").agg(F.min("start").alias("start"), F.max("end").alias("end"), parts.alias("_p"))
+    text = F.array_join(F.transform("_p", lambda x: x["c"]), "")
+    return out.select("track_id", F.col("cue").alias("seq"), "lang", text.alias("text"), "start", "end", F.transform("_p", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("word_data"))
+
+
+@query("t5_bound_particles")
+def t5_bound_particles(spark, d):
+    """Cues of two unspaced languages, cut blindly."""
+    return particles.mend_particles(_unspaced_cues(spark, d), 9, 1, 7.0).select("track_id", "seq", "text", "start", "end")
+
+
 @query("t2_merge_micro")
 def t2_merge_micro(spark, d):
     """Cues parted by short pauses, so that there is something to merge."""
