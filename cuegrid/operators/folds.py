@@ -1,8 +1,8 @@
 """Steps that depend on their own earlier results within a track.
 
-Small scalar states are folds over a sorted array inside the JVM; passes that rewrite
-neighbouring cues run per track on Arrow batches. A track is the unit: it is as long as a
-recording, never the whole table.
+Where the state is some numbers, a track's rows stream past it in order, so neither an array
+nor a group holds a track. Passes that rewrite neighbouring cues run on the stretches
+between pauses that they never look across.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.layout import fits, is_fragment, joined, wrap
 from ..plans.durable import settled
 from .intervals import BUCKET_S, TRACK, interval_join
-from .stretches import AHEAD, BACK, Step, each_stretch, reduced, spelled
+from .stretches import AHEAD, BACK, Step, carried, each_stretch, reduced, spelled
 from .timing import TWO_FRAMES
 
 FRAME = 1.0 / 24.0
@@ -24,83 +24,87 @@ LANDING = 12 * FRAME
 TINY = 1e-9
 
 
-def _sorted(rows: DataFrame, *columns: str, extra: tuple[str, ...] = ()) -> DataFrame:
-    return rows.groupBy(TRACK, *extra).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("_rows"))
-
-
 def pack_segments(segments: DataFrame, max_s: float, group: str | None = None) -> DataFrame:
     """Chunks (track_id, chunk_no, start, end) of consecutive segments no longer than ``max_s``; longer segments are cut hard.
 
-    A segment that starts more than ``max_s`` after the one before always opens a chunk, so
-    each stretch between such segments is folded apart.
+    The start of the open chunk is carried from segment to segment; a chunk is then the
+    rows that share its number.
     """
-    keys = (group,) if group else ()
-    none = F.lit(None).cast("double")
-    span = lambda s, e: F.struct(s.alias("start"), e.alias("end"))
-    limit = F.lit(float(max_s))
-
-    def cuts(seg: Column) -> Column:
-        n = F.greatest(F.ceil((seg["end"] - seg["start"]) / limit), F.lit(1))
-        return F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda k: span(seg["start"] + k * limit, F.least(seg["start"] + (k + 1) * limit, seg["end"])))
-
-    def opened(done: Column, seg: Column) -> Column:
-        long = seg["end"] - seg["start"] > limit
-        return F.struct(F.when(long, F.concat(done, cuts(seg))).otherwise(done).alias("done"), F.when(long, none).otherwise(seg["start"]).alias("s"), F.when(long, none).otherwise(seg["end"]).alias("e"))
-
-    def step(acc: Column, seg: Column) -> Column:
-        grown = F.struct(acc["done"].alias("done"), acc["s"].alias("s"), seg["end"].alias("e"))
-        closed = F.concat(acc["done"], F.array(span(acc["s"], acc["e"])))
-        return F.when(acc["s"].isNull(), opened(acc["done"], seg)).when(seg["end"] - acc["s"] <= limit, grown).otherwise(opened(closed, seg))
-
-    empty = F.struct(F.array().cast("array<struct<start:double,end:double>>").alias("done"), none.alias("s"), none.alias("e"))
-    finish = lambda acc: F.when(acc["s"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(span(acc["s"], acc["e"]))))
-    track = Window.partitionBy(TRACK, *keys)
-    in_time = track.orderBy("start", "end")
-    apart = F.coalesce((F.col("start") - F.lag("start").over(in_time) > limit) & (F.col("end") >= F.col("start")), F.lit(False))
-    rows = segments.withColumn("_apart", apart.cast("int"))
-    rows = rows.withColumn("_block", F.sum("_apart").over(in_time.rowsBetween(Window.unboundedPreceding, 0)))
-    packed = _sorted(rows, "start", "end", extra=(*keys, "_block")).select(TRACK, *keys, "_block", F.posexplode(F.aggregate("_rows", empty, step, finish)).alias("_k", "_c"))
-    return packed.select(TRACK, *keys, (F.row_number().over(track.orderBy("_block", "_k")) - 1).alias("chunk_no"), "_c.start", "_c.end")
+    keys = [TRACK, group] if group else [TRACK]
+    limit = float(max_s)
+
+    def opening() -> Callable[..., tuple]:
+        since, chunk = None, -1
+
+        def step(start: float, end: float) -> tuple:
+            nonlocal since, chunk
+            if since is not None and end - since <= limit:
+                return (chunk,)
+            chunk += 1
+            since = None if end - start > limit else start
+            return (chunk,)
+
+        return step
+
+    placed = carried(segments.select(*keys, "start", "end"), keys, ["start", "end"], ["start", "end"], {"_chunk": "int"}, opening)
+    whole = placed.groupBy(*keys, "_chunk").agg(F.min(F.struct("start", "end"))["start"].alias("start"), F.max(F.struct("start", "end"))["end"].alias("end"))
+    n = F.greatest(F.ceil((F.col("end") - F.col("start")) / limit), F.lit(1))
+    pieces = whole.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+    out = pieces.select(*keys, "_chunk", "_k", (F.col("start") + F.col("_k") * limit).alias("start"), F.least(F.col("start") + (F.col("_k") + 1) * limit, F.col("end")).alias("end"))
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("_chunk", "_k")) - 1
+    return out.select(*keys, number.alias("chunk_no"), "start", "end")
 
 
 def enforce_min_duration(cues: DataFrame, min_s: float) -> DataFrame:
     """Cues last ``min_s`` where the next cue leaves room or can start later; overlaps end.
 
-    A cue that begins ``min_s`` or more after the end before it is never pushed, so each
-    stretch between such pauses is folded apart.
+    Where the cue before has pushed a start, the new start is carried to the next row.
     """
-    want = F.lit(float(min_s))
-    none = F.lit(None).cast("double")
+    want = float(min_s)
+
+    def lasting() -> Callable[..., tuple]:
+        pushed = None
+
+        def step(start: float, end: float, next_start: float | None, next_end: float | None) -> tuple:
+            nonlocal pushed
+            begin, pushed = start if pushed is None else pushed, None
+            wish = begin + want
+            if next_start is None:
+                done = max(end, wish)
+            elif wish <= next_start:
+                done = min(max(end, wish), next_start)
+            elif wish < next_end - want / 2:
+                done = pushed = wish
+            else:
+                done = next_start
+            return begin, max(done, begin + 0.001)
+
+        return step
+
     track = Window.partitionBy(TRACK).orderBy("seq")
-    rows = cues.select(TRACK, "seq", "start", "end", F.lead("start").over(track).alias("next_start"), F.lead("end").over(track).alias("next_end"), F.lag("end").over(track).alias("_before"))
-    apart = F.coalesce((F.col("start") - F.col("_before") >= want) & (F.col("_before") >= F.lag("start").over(track)), F.lit(False))
-    rows = rows.withColumn("_apart", apart.cast("int")).withColumn("_block", F.sum("_apart").over(track.rowsBetween(Window.unboundedPreceding, 0)))
-
-    def step(acc: Column, r: Column) -> Column:
-        a = F.coalesce(acc["push"], r["start"])
-        target, na, nb = a + want, r["next_start"], r["next_end"]
-        borrow = (target > na) & (target < nb - want / 2)
-        end = F.when(na.isNull(), F.greatest(r["end"], target)).when(target <= na, F.least(F.greatest(r["end"], target), na)).when(borrow, target).otherwise(na)
-        done = F.struct(r["seq"].alias("seq"), a.alias("start"), F.greatest(end, a + 0.001).alias("end"))
-        return F.struct(F.concat(acc["done"], F.array(done)).alias("done"), F.when(borrow, target).otherwise(none).alias("push"))
-
-    kind = cues.schema["seq"].dataType.simpleString()
-    empty = F.struct(F.array().cast(f"array<struct<seq:{kind},start:double,end:double>>").alias("done"), none.alias("push"))
-    listed = _sorted(rows, "seq", "start", "end", "next_start", "next_end", extra=("_block",))
-    folded = listed.select(TRACK, F.explode(F.aggregate("_rows", empty, step)["done"]).alias("_c")).select(TRACK, "_c.*")
-    rest = [c for c in cues.columns if c not in (TRACK, "seq", "start", "end")]
-    return cues.select(TRACK, "seq", *rest).join(folded, [TRACK, "seq"]).select(cues.columns)
+    rows = cues.withColumn("_ns", F.lead("start").over(track)).withColumn("_ne", F.lead("end").over(track))
+    return carried(rows, [TRACK], ["seq"], ["start", "end", "_ns", "_ne"], {"start": "double", "end": "double"}, lasting).select(cues.columns)
 
 
 def followed(hops: DataFrame) -> DataFrame:
-    """(track_id, k): the places that hops (track_id, k, to) lead to from place 0, as far as they go.
+    """(track_id, k): the places that hops (track_id, k, to) lead to from place 0, as far as they go; hops lead ahead.
 
-    One number is carried from row to row; only the places that are reached are listed.
+    One number is carried from row to row.
     """
-    listed = hops.groupBy(TRACK).agg(F.array_sort(F.collect_list(F.struct("k", "to"))).alias("_hops"))
-    start = F.struct(F.lit(0).alias("want"), F.array().cast("array<int>").alias("met"))
-    step = lambda acc, h: F.when(h["k"] == acc["want"], F.struct(F.coalesce(h["to"], F.lit(-1)).alias("want"), F.concat(acc["met"], F.array(h["k"])).alias("met"))).otherwise(acc)
-    return listed.select(TRACK, F.explode(F.aggregate("_hops", start, step)["met"]).alias("k"))
+
+    def walk() -> Callable[..., tuple]:
+        want = 0
+
+        def step(k: int, to: int | None) -> tuple:
+            nonlocal want
+            met = k == want
+            if met:
+                want = -1 if to is None else to
+            return (met,)
+
+        return step
+
+    return carried(hops.select(TRACK, "k", "to"), [TRACK], ["k"], ["k", "to"], {"met": "boolean"}, walk).where("met").select(TRACK, "k")
 
 
 def plan_windows(items: DataFrame, size: str, most_items: int, most_size: int) -> DataFrame:
@@ -272,36 +276,40 @@ def snap_to_shots(cues: DataFrame, max_s: float) -> DataFrame:
     """Cue edges near shot changes move by the zones of the 24-frame rules.
 
     Cues carry start_cut and end_cut, the nearest cut of each edge within reach (see
-    ``intervals.nearest_point``). Speech is never cut and the cue before never overlapped.
+    ``intervals.nearest_point``). Speech is never cut and the cue before never overlapped;
+    its new end is carried along. seq is given anew.
     """
 
-    def change(rows: list[dict]) -> list[dict]:
-        for k, c in enumerate(rows):
-            start, end = c["start"], c["end"]
-            spoken = max((w["end"] for w in c["word_data"] if w["end"] is not None), default=end)
-            after = rows[k + 1]["start"] if k + 1 < len(rows) else float("inf")
-            cut = c["start_cut"]
-            if cut is not None and not pd.isna(cut) and abs(cut - start) > TINY:
-                new = _moved_start(start, cut)
-                if k:
-                    new = max(new, rows[k - 1]["end"] + TWO_FRAMES)
+    def snapping() -> Callable[..., tuple]:
+        behind = None
+
+        def step(start: float, end: float, start_cut: float | None, end_cut: float | None, spoken: float, after: float | None) -> tuple:
+            nonlocal behind
+            floor = float("-inf") if behind is None else behind + TWO_FRAMES
+            if start_cut is not None and abs(start_cut - start) > TINY:
+                new = max(_moved_start(start, start_cut), floor)
                 if new < end - TWO_FRAMES and new - start <= LANDING:
-                    c["start"] = new
-            cut = c["end_cut"]
-            if cut is None or pd.isna(cut):
-                continue
-            near = end - cut <= 5 * FRAME + TINY
-            free = lambda t: t <= after - TWO_FRAMES and t - c["start"] <= max_s  # noqa: B023, E731
-            on, off = cut - TWO_FRAMES, cut + LANDING
-            target = on if near else off
-            if target > end + TINY:
-                moved = free(target)
-            else:
-                moved = target < end - TINY and target >= spoken and target > c["start"]
-            if moved:
-                c["end"] = target
-            elif near and end > cut and off > end and free(off):
-                c["end"] = off
-        return rows
-
-    return _per_track(cues, change, alone_stays=False)
+                    start = new
+            if end_cut is not None:
+                end = _moved_end(start, end, end_cut, spoken, float("inf") if after is None else after, max_s)
+            behind = end
+            return start, end
+
+        return step
+
+    track = Window.partitionBy(TRACK).orderBy("seq")
+    known = F.array_max(F.transform("word_data", lambda w: w["end"]))
+    rows = cues.withColumn("_spoken", F.coalesce(known, "end")).withColumn("_after", F.lead("start").over(track)).withColumn("_place", F.row_number().over(track) - 1)
+    done = carried(rows, [TRACK], ["_place"], ["start", "end", "start_cut", "end_cut", "_spoken", "_after"], {"start": "double", "end": "double"}, snapping)
+    return done.withColumn("seq", F.col("_place").cast(cues.schema["seq"].dataType)).select(cues.columns)
+
+
+def _moved_end(start: float, end: float, cut: float, spoken: float, after: float, max_s: float) -> float:
+    """Onto the frames before the cut, or to a landing behind it, where speech and the next cue allow."""
+    near = end - cut <= 5 * FRAME + TINY
+    free = lambda t: t <= after - TWO_FRAMES and t - start <= max_s
+    before, behind = cut - TWO_FRAMES, cut + LANDING
+    aim = before if near else behind
+    if free(aim) if aim > end + TINY else (aim < end - TINY and aim >= spoken and aim > start):
+        return aim
+    return behind if near and end > cut and behind > end and free(behind) else end

@@ -91,8 +91,13 @@ class _Edge:
 
 def mended(left: dict, right: dict, line: int, lines: int, max_s: float, connected_s: float) -> list[dict] | None:
     """The cues that two neighbours become: one, two cut elsewhere, or None if their edge stays."""
+    first, second = left["text"].rstrip(), right["text"].lstrip()
+    if not (first and second and left["word_data"] and right["word_data"]):
+        return None
+    if left.get("phrases") is None and max(end_penalty(first[-1], left["lang"]), start_penalty(second[0], left["lang"])) < TOO_BAD:
+        return None  # nothing torn, whatever else holds
     e = _Edge(left, right)
-    pause = e.pause() if left["word_data"] and right["word_data"] else None
+    pause = e.pause()
     if pause is None or not -1e-6 <= pause < connected_s or not e.known:
         return None
     places = e.places()

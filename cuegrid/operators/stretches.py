@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: What a step of ``reduced`` does with the top of the stack: it goes into the cue ahead, or into the one below.
 AHEAD, BACK = "ahead", "back"
@@ -64,6 +66,33 @@ def each_stretch(rows: DataFrame, keys: list[str], change: Callable[[list[dict]]
     return rows.repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(run, schema)
 
 
+def carried(rows: DataFrame, keys: list[str], order: list[str], read: list[str], write: dict[str, str], start: Callable[[], Callable[..., tuple]]) -> DataFrame:
+    """Columns ``write`` (name to type) from a step that is taken row by row, in order, within each key.
+
+    ``start`` gives a fresh step for each key; it gets the columns ``read`` of a row, keeps
+    what it has to in itself, and returns the new values. Rows stream through: a task holds a
+    batch and the step's own state, so time is in proportion however long a key's rows are.
+    """
+    kept = [c for c in rows.columns if c not in write]
+    keyed = rows.withColumn("_g", F.xxhash64(*keys)).repartition("_g").sortWithinPartitions("_g", *keys, *order)
+    schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept] + [f"`{c}` {t}" for c, t in write.items()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, step = None, None
+        for batch in batches:
+            found = []
+            values = zip(*[batch.column(c).to_pylist() for c in read], strict=True)
+            for g, row in zip(batch.column("_g").to_pylist(), values, strict=True):
+                if step is None or g != key:
+                    key, step = g, start()
+                found.append(step(*row))
+            new = [pa.array([f[i] for f in found], from_ddl(t)) for i, t in enumerate(write.values())]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *new], [*kept, *write])
+
+    from_ddl = {"int": pa.int32(), "long": pa.int64(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}.__getitem__
+    return keyed.mapInArrow(run, schema).select(*[c for c in rows.columns if c not in write], *write)
+
+
 def _fields(schema: str) -> list[str]:
     """The fields of a schema text; commas inside of brackets do not part them."""
     out, depth, start = [], 0, 0

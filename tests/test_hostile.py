@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cuegrid.functions import language, text
-from cuegrid.operators import atoms, semantic
+from cuegrid.operators import atoms, folds, semantic
 
 N = 20_000
 FORMS = {
@@ -106,3 +106,18 @@ def test_the_fallback_survives_any_beam(spark, beam):
     replies = spark.createDataFrame([("a", 0, '{"choice": 1}'), ("b", 0, "none")], "track_id string, window int, raw string")
     chosen = {r["track_id"]: r for r in semantic.checked_choices(options, replies).collect()}
     assert set(chosen) == {"a", "b"} and chosen["b"]["breaks"] == [12] and chosen["b"]["why"] == "no object"
+
+
+def test_one_track_of_many_rows_streams(spark):
+    """Half a million rows without a pause: a million hops took minutes when a track was an array."""
+    many = 500_000
+    hops = spark.range(many).select(F.lit(1).alias("track_id"), F.col("id").cast("int").alias("k"), (F.col("id") + 1 + F.col("id") % 3).cast("int").alias("to"))
+    want, at = 0, 0
+    while at < many:
+        want, at = want + 1, at + 1 + at % 3
+    assert folds.followed(hops).count() == want
+    spans = spark.range(many).select(F.lit(1).alias("track_id"), F.col("id").alias("seq"), (F.col("id") * 0.5).alias("start"), (F.col("id") * 0.5 + 0.4).alias("end"))
+    assert folds.pack_segments(spans, 12.0).count() == -(-many // 24)
+    assert folds.enforce_min_duration(spans, 0.45).where("end - start > 0.4499").count() == many
+    shots = spans.select("*", F.array(F.struct(F.col("start"), F.col("end"))).alias("word_data"), (F.col("start") + 0.05).alias("start_cut"), (F.col("end") + 0.02).alias("end_cut"))
+    assert folds.snap_to_shots(shots, 7.0).where("start > seq * 0.5").count() > many // 2
