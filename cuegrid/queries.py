@@ -17,7 +17,7 @@ from .functions import language as lg
 from .functions import text as tx
 from .functions.layout import wrapped
 from .functions.scores import clean_speech_flag, sing_flag, song_flag
-from .operators import align, atoms, clauses, folds, metrics, particles, review, seams, semantic, speakers, timing
+from .operators import align, atoms, clauses, folds, metrics, particles, review, seams, semantic, speakers, stored, timing
 from .operators import intervals as iv
 from .plans import replay, songs
 from .plans.streams import event_spans, score_windows, table, turn_stream, word_stream
@@ -979,6 +979,56 @@ def q13_one_segment(spark, d):
     return clauses.one_segment(_words(spark, d))
 
 
+LETTERS = rf"""{TOKENS}, lt AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY seq, k) - 1 AS n FROM (SELECT track_id, seq, text, unnest(l) AS c, generate_subscripts(l, 1) AS k FROM (SELECT *, regexp_extract_all(text, '[A-Za-z]') AS l FROM tok))),
+wl AS (SELECT track_id, seq, any_value(text) AS text, min(n) AS at, max(n) + 1 AS e FROM lt GROUP BY 1, 2), size AS (SELECT track_id, count(*) AS total FROM lt GROUP BY 1)"""
+
+
+def _numbered_letters(spark, d):
+    """Letters of the documents with their number in the track."""
+    words = table(spark, d, "documents").select(F.col("doc_id").alias("track_id"), F.posexplode(F.regexp_extract_all("text", F.lit("[^ \\t\\n\\r\\f]+"), F.lit(0))).alias("seq", "text"))
+    rows = words.select("track_id", "seq", "text", F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z]"), F.lit(0))).alias("k", "c"))
+    return rows.withColumn("n", F.row_number().over(Window.partitionBy("track_id").orderBy("seq", "k")) - 1)
+
+
+SNAPPED_MARKS = f"""WITH {LETTERS}, m AS (SELECT track_id, seq, greatest(0, least(total, e + seq % 5 - 2)) AS p, total FROM wl JOIN size USING (track_id) WHERE regexp_matches(text, '[.,!?]$')),
+b AS (SELECT m.track_id, m.seq, arg_min(wl.at, {{'d': abs(wl.at - p), 'a': wl.at}}) AS best FROM m JOIN wl ON wl.track_id = m.track_id AND wl.at BETWEEN p - 2 AND p + 2 GROUP BY 1, 2),
+t AS (SELECT track_id, m.seq, p, CASE WHEN track_id % 2 = 0 AND total >= 2 AND p > 0 AND p < total THEN coalesce(best, p) ELSE p END AS q, total FROM m LEFT JOIN b USING (track_id, seq)),
+u AS (SELECT track_id, n AS q, 1 AS side, seq AS old, c AS text, n / 10::DOUBLE AS s, (n + 1) / 10::DOUBLE AS e FROM lt
+  UNION ALL SELECT track_id, q, 0, p * 100000 + seq, '。', q / 10::DOUBLE, q / 10::DOUBLE FROM t)
+SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY q, side, old) - 1 AS seq, text, s AS "start", e AS "end" FROM u"""
+
+
+@query("q13_snap_marks", SNAPPED_MARKS)
+def q13_snap_marks(spark, d):
+    """Marks up to two letters off; every other track is Japanese, which stays."""
+    letters = _numbered_letters(spark, d).withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("track_id")))
+    ends = letters.where(F.col("text").rlike("[.,!?]$")).groupBy("track_id", "seq", "total").agg(F.max("n").alias("n"))
+    at = F.greatest(F.lit(0), F.least(F.col("total"), F.col("n") + 1 + F.col("seq") % 5 - 2))
+    marks = ends.select("track_id", at.alias("at"), F.lit(0).alias("side"), "seq", F.lit("。").alias("text"), (at / 10).alias("start"), (at / 10).alias("end"))
+    rows = letters.select("track_id", F.col("n").alias("at"), F.lit(1).alias("side"), "seq", F.col("c").alias("text"), (F.col("n") / 10).alias("start"), ((F.col("n") + 1) / 10).alias("end")).unionByName(marks)
+    place = F.row_number().over(Window.partitionBy("track_id").orderBy("at", "side", "seq")) - 1
+    units = rows.select("track_id", place.alias("seq"), F.when(F.col("track_id") % 2 == 0, "zh").otherwise("ja").alias("lang"), "text", "start", "end")
+    starts = letters.groupBy("track_id", "seq").agg(F.min("n").alias("at")).select("track_id", "at")
+    return stored.snap_marks(units, starts).select("track_id", F.col("seq").cast("long").alias("seq"), "text", "start", "end")
+
+
+REPAIRED = f"""WITH {LETTERS}, g AS (SELECT *, translate(lower(c), 'abcdefghijklmnopqrstuvwxyz', '{AS_CHINESE}') || CASE WHEN track_id % 3 = 0 AND n % 30 = 29 AND n + 1 < total THEN ' ' ELSE '' END AS han FROM lt JOIN size USING (track_id))
+SELECT track_id, CASE WHEN track_id % 3 = 0 THEN n ELSE n // 30 END AS seq, CASE WHEN track_id % 3 = 2 THEN 'en' ELSE 'zh' END AS lang, string_agg(CASE WHEN track_id % 3 = 2 THEN c ELSE han END, '' ORDER BY n) AS text,
+  round(min(n) / 10::DOUBLE, 6) AS "start", round((max(n) + 1) / 10::DOUBLE, 6) AS "end" FROM g GROUP BY track_id, CASE WHEN track_id % 3 = 0 THEN n ELSE n // 30 END"""
+
+
+@query("q14_repaired_language", REPAIRED)
+def q14_repaired_language(spark, d):
+    """Units of 30 letters: Chinese said to be English, Chinese, and English. The first are laid out by character again, the blanks that parted them as words staying."""
+    han = F.col("track_id") % 3 < 2
+    letters = _numbered_letters(spark, d).withColumn("c", F.when(han, F.translate(F.lower("c"), "abcdefghijklmnopqrstuvwxyz", AS_CHINESE)).otherwise(F.col("c")))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "c"))), lambda x: x["c"]), "")
+    units = letters.groupBy("track_id", F.floor(F.col("n") / 30).alias("seq")).agg(text.alias("text"), (F.min("n") / 10).alias("start"), ((F.max("n") + 1) / 10).alias("end"))
+    units = units.withColumn("lang", F.when(F.col("track_id") % 3 == 1, "zh").otherwise("en"))
+    out = stored.repair_language(units)
+    return out.select("track_id", "seq", "lang", "text", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
+
+
 @query("j15_anchors")
 def j15_anchors(spark, d):
     """Expected places up to three words off, so that anchors move, or have nothing to hold on to."""
