@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .functions.text import EXTRA_DROPPED
+from .functions.language import ONE_LINE, UNSPACED_LAYOUT, WIDE
+from .functions.text import EXTRA_DROPPED, UNIT_SIGNS
 from .sources.subtitles import ass_header
 
 #: Where each point p of a table may go in the silences ``sil``.
@@ -247,12 +248,35 @@ wn AS (SELECT *, dense_rank() OVER (PARTITION BY track_id ORDER BY block, part)
 ed AS (SELECT a.track_id, a.win, a.seq AS src, b.seq + 1 AS dst, a.s, b.e, b.cs - a.cs + a.c AS chars, b.nx, b.e - a.s AS spoken FROM sm a JOIN sm b ON b.track_id = a.track_id AND b.win = a.win AND b.seq >= a.seq AND b.seq < a.seq + 96 WHERE b.vs - (a.vs - a.v) - 1 <= 84 AND b.e - a.s <= 7.0 + 1e-9),
 rm AS (SELECT *, greatest(0.0::DOUBLE, least(greatest(spoken, least(e + greatest(1.0::DOUBLE, 0.25::DOUBLE, 0.5::DOUBLE - spoken), coalesce(nx, e + greatest(1.0::DOUBLE, 0.25::DOUBLE, 0.5::DOUBLE - spoken))) - s), 7.0::DOUBLE)) AS room FROM ed)
 SELECT track_id, win AS "window", src, dst, greatest(0, least(100, round_even(100 * (0.30::DOUBLE * least(1.0::DOUBLE, room / 1.0::DOUBLE) + 0.45::DOUBLE * CASE WHEN chars > 0 THEN least(1.0::DOUBLE, room / (chars / 17::DOUBLE)) ELSE 1 END + 0.25::DOUBLE * least(1.0::DOUBLE, room / ((dst - src) / 3::DOUBLE))), 0)::INT)) AS quality FROM rm"""
+    graph = out["b4_edge_quality"].replace("WITH ", "WITH RECURSIVE ", 1).rsplit("SELECT track_id, win", 1)[0].rstrip() + ', e AS (SELECT track_id, win AS "window", src, dst FROM rm {some}), z AS (SELECT track_id, "window", min(src) AS first, max(dst) AS last FROM e GROUP BY 1, 2)'
+    out["b5_fewest_cues"] = graph.replace("{some}", "") + """, r(track_id, "window", n, node, path) AS (SELECT track_id, "window", 0, first, []::BIGINT[] FROM z UNION ALL
+  SELECT r.track_id, r."window", n + 1, dst, min(CASE WHEN dst < last THEN list_append(path, dst::BIGINT) ELSE path END) FROM r JOIN z ON z.track_id = r.track_id AND z."window" = r."window" AND node < last JOIN e ON e.track_id = r.track_id AND e."window" = r."window" AND e.src = node GROUP BY ALL),
+b AS (SELECT r.track_id, r."window", arg_min(path, n) AS breaks, min(n) AS cues FROM r JOIN z ON z.track_id = r.track_id AND z."window" = r."window" AND node = last GROUP BY 1, 2)
+SELECT z.track_id, z."window", first, last, breaks, cues FROM z LEFT JOIN b ON b.track_id = z.track_id AND b."window" = z."window\""""
+    out["b3_complete_paths"] = graph.replace("{some}", "WHERE (src * 7 + dst * 13) % 5 < 3") + """, f(track_id, "window", node) AS (SELECT track_id, "window", first FROM z UNION SELECT e.track_id, e."window", dst FROM f JOIN e ON e.track_id = f.track_id AND e."window" = f."window" AND src = node),
+g(track_id, "window", node) AS (SELECT track_id, "window", last FROM z UNION SELECT e.track_id, e."window", src FROM g JOIN e ON e.track_id = g.track_id AND e."window" = g."window" AND dst = node)
+SELECT e.track_id, e."window", src, dst FROM e JOIN f ON f.track_id = e.track_id AND f."window" = e."window" AND f.node = src JOIN g ON g.track_id = e.track_id AND g."window" = e."window" AND g.node = dst"""
     out["b6_boundary_penalties"] = f"""WITH {q.WORDS}, l AS (SELECT *, lag(text) OVER w AS pt, (s - lag(e) OVER w) * 1000 AS gap FROM words WINDOW w AS (PARTITION BY track_id ORDER BY seq))
 SELECT track_id, seq, 3 * (coalesce({q.END_PENALTY.format(t="pt", l="lang")}, 0) + CASE WHEN contains('{q.tx.NOT_AT_START}', text[1:1]) THEN 2 ELSE 0 END) + CASE WHEN gap < 40 THEN 3 WHEN gap < 120 THEN 2 WHEN gap < 220 THEN 1 ELSE 0 END AS damage FROM l"""
 
     # ------------------------------------------------------------ atoms and options
     reduced = "list_reduce(list_transform(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\x0B]+'), lambda w: {'t': w, 'a': " + wide("w") + "}), lambda p, q: CASE WHEN p.a + 1 + q.a > 42 THEN {'t': p.t || chr(10) || q.t, 'a': q.a} ELSE {'t': p.t || ' ' || q.t, 'a': p.a + 1 + q.a} END).t"
     out["x4_soft_wrap"] = f"WITH {q.CUES} SELECT track_id, seq, {reduced} AS text FROM cues"
+    out["f15_windows_of_forty"] = recursive(f"""{q.CUES}, c AS (SELECT track_id, seq, length(text) AS n, row_number() OVER (PARTITION BY track_id ORDER BY seq) AS k FROM cues),
+f AS (SELECT track_id, seq, k, 0 AS "window", 1 AS held, n AS size FROM c WHERE k = 1 UNION ALL
+  SELECT c.track_id, c.seq, c.k, CASE WHEN held = 40 OR size + n > 2000 THEN "window" + 1 ELSE "window" END, CASE WHEN held = 40 OR size + n > 2000 THEN 1 ELSE held + 1 END, CASE WHEN held = 40 OR size + n > 2000 THEN n ELSE size + n END
+  FROM f JOIN c ON c.track_id = f.track_id AND c.k = f.k + 1) SELECT track_id, seq, "window" FROM f""")
+    run, signs, quoted = f"[A-Za-z0-9._-]+(?:{SPACE}+[A-Za-z0-9._-]+)*", f"[{UNIT_SIGNS}]", ", ".join
+    listed = lambda xs: quoted(f"'{x}'" for x in xs)
+    unit = f"(?:[A-Za-z0-9._-]+{SPACE}+)*[A-Za-z0-9._-]*[0-9]{SPACE}*{signs}|{run}|{SPACE.replace('[', '[^', 1)}"
+    room = f"(CASE WHEN lang IN ({listed(ONE_LINE)}) THEN 36 WHEN lang IN ({listed(WIDE)}) THEN 24 ELSE 42 END)"
+    langs = listed(POLICY_LANGS)
+    out["q2_text_atoms"] = f"""WITH d AS (SELECT doc_id AS track_id, ([{langs}])[doc_id % {len(POLICY_LANGS)} + 1] AS lang, text FROM documents), l AS (SELECT *, lang NOT IN ({listed(UNSPACED_LAYOUT)}) AS loose FROM d),
+t AS (SELECT track_id, lang, loose, unnest(x) AS tok, generate_subscripts(x, 1) AS k FROM (SELECT *, CASE WHEN loose THEN regexp_extract_all(text, '{SPACE.replace('[', '[^', 1)}+') ELSE regexp_extract_all(text, '{unit}') END AS x FROM l)),
+j AS (SELECT track_id, lang, loose, k, CASE WHEN loose THEN tok ELSE regexp_replace(tok, '([0-9]){SPACE}+({signs})$', '\\1\\2') END AS tok FROM t),
+w AS (SELECT *, CASE WHEN NOT loose AND {wide('tok')} > {room} AND regexp_matches(tok, '{SPACE}') THEN regexp_extract_all(tok, '{SPACE.replace('[', '[^', 1)}+{SPACE}*') ELSE [tok] END AS parts FROM j),
+p AS (SELECT track_id, lang, loose, k, unnest(parts) AS text, generate_subscripts(parts, 1) AS part FROM w)
+SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY k, part) - 1 AS seq, lang, text, part > 1 AS forced, CASE WHEN loose THEN 1 ELSE length(regexp_replace(text, '{SPACE}', '', 'g')) END AS n FROM p"""
     seen = f"sum(length(regexp_replace(text, '{SPACE}', '', 'g'))) OVER (PARTITION BY track_id ORDER BY seq) - length(regexp_replace(text, '{SPACE}', '', 'g'))"
     out["q3_phrase_starts"] = f"""WITH {q.TOKENS}, a AS (SELECT track_id, seq, {seen} AS at FROM tok), g AS (SELECT track_id, seq // 3 AS seq, string_agg(text, ' ' ORDER BY seq) AS text FROM tok GROUP BY 1, 2), p AS (SELECT DISTINCT track_id, {seen} AS at FROM g)
 SELECT a.track_id, a.seq, p.at IS NOT NULL AS phrase FROM a LEFT JOIN p ON p.track_id = a.track_id AND p.at = a.at"""

@@ -21,7 +21,7 @@ from .operators import align, atoms, clauses, folds, metrics, particles, review,
 from .operators import intervals as iv
 from .plans import replay, songs
 from .plans.streams import event_spans, score_windows, table, turn_stream, word_stream
-from .sources import subtitles
+from .sources import subtitles, tracks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -907,6 +907,13 @@ def b5_fewest_cues(spark, d):
     return semantic.fewest_cues(_edges(spark, d))
 
 
+@query("b3_complete_paths")
+def b3_complete_paths(spark, d):
+    """Edges of a stricter graph, in which many lead nowhere."""
+    edges = _edges(spark, d).where("(src * 7 + dst * 13) % 5 < 3")
+    return semantic.on_complete_paths(edges).select("track_id", "window", "src", "dst")
+
+
 @query("b6_boundary_penalties")
 def b6_boundary_penalties(spark, d):
     return semantic.boundary_penalties(_words(spark, d), F.col("lang")).select("track_id", "seq", "damage")
@@ -1165,4 +1172,119 @@ def b9_path_faults(spark, d):
     return semantic.path_faults(paths, edges, required).select("track_id", "why")
 
 
+# ---------------------------------------------------------------- files and model answers
+
+
+@query("s4_decoded_texts", "SELECT doc_id, text FROM documents")
+def s4_decoded_texts(spark, d):
+    """Documents as bytes in four encodings, decoded again."""
+    kind = F.col("doc_id") % 4
+    utf8 = F.encode("text", "UTF-8")
+    content = F.when(kind == 0, utf8).when(kind == 1, F.concat(F.unhex(F.lit("EFBBBF")), utf8)).when(kind == 2, F.encode("text", "UTF-16")).otherwise(F.concat(F.unhex(F.lit("FFFE")), F.encode("text", "UTF-16LE")))
+    return table(spark, d, "documents").select("doc_id", subtitles.decode_text(content).alias("text"))
+
+
+@query("s6_sniffed_formats", "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'vtt' WHEN 1 THEN 'ass' WHEN 2 THEN 'ass' WHEN 3 THEN 'vtt' END AS format FROM documents")
+def s6_sniffed_formats(spark, d):
+    heads = ["WEBVTT\n\n", " \n[Script Info]\n", "\ufeff[V4+ Styles]\n", "\ufeff\n  WebVTT - a title\n", "1\n00:00:01,000 --> 00:00:02,000\n"]
+    head = F.element_at(F.array(*map(F.lit, heads)), (F.col("doc_id") % 5 + 1).cast("int"))
+    return table(spark, d, "documents").select("doc_id", subtitles.sniffed(F.concat(head, F.coalesce("text", F.lit("")))).alias("format"))
+
+
+@query("s8_track_documents", f"WITH {WORDS} SELECT track_id, seq, text, s AS \"start\", e AS \"end\", lang FROM words")
+def s8_track_documents(spark, d):
+    """Words and cues as JSON documents, read again as words."""
+    words = _words(spark, d)
+    written = tracks.documents(_cues(spark, d), words, words.select("track_id", "lang").distinct())
+    read = written.select("track_id", F.from_json("value", tracks.TRACK).alias("t")).select("track_id", "t.*")
+    return tracks.words(read).join(read.select("track_id", F.col("language").alias("lang")), "track_id").select("track_id", F.col("seq").cast("long").alias("seq"), "text", "start", "end", "lang")
+
+
+@query(
+    "s8_document_cues",
+    f"WITH {CUES} SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY seq) - 1 AS seq, lang, text, s AS \"start\", e AS \"end\" FROM cues",
+)
+def s8_document_cues(spark, d):
+    words = _words(spark, d)
+    written = tracks.documents(_cues(spark, d), words, words.select("track_id", "lang").distinct())
+    read = written.select("track_id", F.from_json("value", tracks.TRACK).alias("t")).select("track_id", "t.*")
+    return tracks.cues(read).select("track_id", F.col("seq").cast("long").alias("seq"), "lang", "text", "start", "end")
+
+
+@query("s16_shot_times", "SELECT DISTINCT user_id AS track_id, event_id % 997 + 0.25::DOUBLE AS t FROM events WHERE event_type <> 'error'")
+def s16_shot_times(spark, d):
+    """Lines of a detector's log, one cut or none in each."""
+    t = F.concat((F.col("event_id") % 997).cast("string"), F.lit(".25"))
+    line = F.when(F.col("event_type") == "error", F.lit("frame dropped at pts:77")).otherwise(F.concat(F.lit("n: 3 pts: 81 pts_time:"), t, F.lit(" pos: 12")))
+    return subtitles.shot_times(table(spark, d, "events").select(F.col("user_id").alias("track_id"), line.alias("value")))
+
+
+@query(
+    "s19_picked_media",
+    f"""WITH f AS (SELECT '/m/film' || p_partkey // 5 AS stem, {list(subtitles.MEDIA_RANK)}[(p_partkey * 7) % 16 + 1] AS ext, p_partkey FROM part)
+SELECT stem, arg_min(stem || '.' || coalesce(ext, 'srt'), {{'r': list_position({list(subtitles.MEDIA_RANK)}, ext), 'e': ext}}) AS path FROM f WHERE ext IS NOT NULL GROUP BY stem""",
+)
+def s19_picked_media(spark, d):
+    """A listing with several files of a stem, some of them no media."""
+    k = F.col("p_partkey")
+    ext = F.coalesce(F.get(F.array(*map(F.lit, subtitles.MEDIA_RANK)), ((k * 7) % 16).cast("int")), F.lit("srt"))
+    path = F.concat(F.lit("/m/film"), F.floor(k / 5).cast("string"), F.lit("."), ext)
+    return subtitles.pick_media(table(spark, d, "part").select(path.alias("path"))).distinct()
+
+
+@query("s20_language_of_path", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN lang WHEN 1 THEN lang WHEN 2 THEN NULL ELSE lower(lang) END AS tag FROM documents")
+def s20_language_of_path(spark, d):
+    lang, k = F.col("lang"), F.col("doc_id") % 4
+    tag = F.when(k == 0, F.concat(F.lit("."), lang)).when(k == 1, F.concat(F.lit("."), lang, F.lit("-XX"))).when(k == 2, "").otherwise(F.concat(F.lit(".take2."), F.upper(lang)))
+    path = F.concat(F.lit("/m/film_"), F.col("doc_id").cast("string"), tag, F.lit(".vtt"))
+    return table(spark, d, "documents").select("doc_id", subtitles.language_of_path(path).alias("tag"))
+
+
+@query("f15_windows_of_forty")
+def f15_windows_of_forty(spark, d):
+    """Cues for a prompt: forty at most, and two thousand characters."""
+    return folds.plan_windows(_cues(spark, d).withColumn("n", F.length("text")), "n", 40, 2000).select("track_id", "seq", "window")
+
+
+@query(
+    "x30_parsed_replies",
+    "SELECT conv_id AS track_id, turn % 2 AS seq, turn AS i, text AS t FROM conversations WHERE turn % 5 <> 3 AND text IS NOT NULL",
+)
+def x30_parsed_replies(spark, d):
+    """Answers with talk around the object, items without an index or a text, and answers that are no object."""
+    turns = table(spark, d, "conversations")
+    item = lambda i: F.struct(i.cast("string").alias("i"), F.col("text").alias("t"))
+    other = F.struct(F.lit("none").alias("i"), F.lit("x").alias("t"))
+    items = F.when(F.col("turn") % 2 == 0, F.array(item(F.col("turn")), other)).otherwise(F.array(other, item(F.col("turn"))))
+    raw = F.concat(F.lit("Sure.\n"), F.to_json(F.struct(items.alias("translations"))), F.lit("\nDone"))
+    raw = F.when(F.col("turn") % 5 == 3, F.lit("I cannot do that.")).otherwise(raw)
+    out = review.parse_translations(turns.select(F.col("conv_id").alias("track_id"), raw.alias("raw")))
+    return out.select("track_id", F.col("seq").cast("long").alias("seq"), F.col("i").cast("long").alias("i"), "t")
+
+
+@query("a2_vote_without_default")
+def a2_vote_without_default(spark, d):
+    """Tracks whose every turn is blank have no language."""
+    turns = _turns(spark, d).select("track_id", "seq", F.col("seq").alias("n"), F.when(F.col("track_id") % 4 > 0, F.col("text")).otherwise("...").alias("text"), F.lit("en").alias("lang"))
+    return metrics.vote_language(_labelled(turns, "n").select("track_id", "seq", "detected", "text"), None)
+
+
+@query(
+    "m_failed_tracks",
+    """WITH c AS (SELECT conv_id, turn, conv_id % 3 = 0 OR (conv_id % 3 = 1 AND turn % 2 = 0) AS bad FROM conversations) SELECT conv_id AS track_id, 'ValueError: no sound in ' || min(turn) AS error FROM c GROUP BY conv_id HAVING bool_and(bad)""",
+)
+def m_failed_tracks(spark, d):
+    """A call that fails on some chunks: tracks without a single good one."""
+
+    def call(chunk: dict) -> list[dict]:
+        if chunk["track_id"] % 3 == 0 or (chunk["track_id"] % 3 == 1 and chunk["chunk_no"] % 2 == 0):
+            raise ValueError(f"no sound in {chunk['chunk_no']}")
+        return [{"n": chunk["chunk_no"]}]
+
+    chunks = table(spark, d, "conversations").select(F.col("conv_id").alias("track_id"), F.col("turn").cast("int").alias("chunk_no"))
+    results = seams.per_chunk(chunks, call, "n int", 2)
+    bad = seams.all_failed(results).select("track_id")
+    return results.join(bad, "track_id").groupBy("track_id").agg(F.min_by("error", "chunk_no").alias("error"))
+
+
 ORACLES |= oracles.more()
