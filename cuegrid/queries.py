@@ -1262,6 +1262,26 @@ def x30_parsed_replies(spark, d):
     return out.select("track_id", F.col("seq").cast("long").alias("seq"), F.col("i").cast("long").alias("i"), "t")
 
 
+@query(
+    "c2_answered_windows",
+    """WITH w AS (SELECT conv_id AS track_id, turn // 2 AS win, turn AS i, text FROM conversations WHERE text IS NOT NULL), n AS (SELECT *, conv_id_bad(track_id, win) AS bad FROM w),
+b AS (SELECT track_id, win, any_value(bad) AS bad, count(*) AS k FROM n GROUP BY 1, 2), t AS (SELECT *, coalesce(sum(CASE WHEN bad THEN 0 ELSE k END) OVER (PARTITION BY track_id ORDER BY win ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b)
+SELECT n.track_id, n.win AS "window", i, length(text) || ' ' || text || ' ' || least(3, before)::BIGINT AS t, NULL AS error FROM n JOIN t USING (track_id, win) WHERE NOT n.bad UNION ALL SELECT track_id, win, NULL, NULL, 'ValueError: no answer' FROM t WHERE bad""".replace("conv_id_bad(track_id, win)", "track_id % 5 = 2 AND win = 1"),
+)
+def c2_answered_windows(spark, d):
+    """Windows of two turns; the answer tells how many answers before it were shown. One window of some tracks fails."""
+
+    def ask(items: list[dict], before: list[dict]) -> dict[int, str]:
+        if any(x["t"].endswith("\u0001") for x in items):
+            raise ValueError("no answer")
+        return {x["i"]: f"{len(x['t'])} {x['t']} {len(before)}" for x in items}
+
+    turns = table(spark, d, "conversations").where("text is not null")
+    bad = (F.col("conv_id") % 5 == 2) & (F.floor(F.col("turn") / 2) == 1)
+    items = turns.select(F.col("conv_id").alias("track_id"), F.floor(F.col("turn") / 2).cast("int").alias("window"), F.col("turn").alias("i"), F.when(bad, F.concat("text", F.lit("\u0001"))).otherwise(F.col("text")).alias("t"))
+    return seams.answer_windows(items, ask, rounds=1)
+
+
 @query("a2_vote_without_default")
 def a2_vote_without_default(spark, d):
     """Tracks whose every turn is blank have no language."""

@@ -1,5 +1,7 @@
 """Clauses and model seams."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cuegrid.operators import clauses, seams
@@ -68,3 +70,38 @@ def test_windows_carry_context_and_resume(spark):
     done = seams.pending(items, spark.createDataFrame([], "track_id int, signature string, i int")).where("i < 2")
     assert {r["i"] for r in seams.pending(items, done).collect()} == {2, 3}
     assert seams.pending(items.withColumn("t", F.upper("t")), done).count() == 4
+
+
+def test_a_run_that_stopped_is_taken_up_where_it_was(spark, tmp_path):
+    """Calls are written down by the workers, so that a text asked for twice would show."""
+    log = tmp_path / "calls"
+    log.mkdir()
+
+    def ask(items, before):
+        name = f"{items[0]['t']}-{len(before)}"
+        with open(log / f"{name}-{uuid.uuid4().hex}", "w") as f:
+            f.write("|".join(x["t"] for x in items))
+        if items[0]["t"].startswith("fails") and not (tmp_path / "well").exists():
+            raise ValueError("no")
+        return {x["i"]: x["t"].upper() for x in items if x["t"] != "skipped"}
+
+    rows = [(t, w, 2 * w + k, f"{t}{w}{k}") for t in ("a", "b") for w in range(4) for k in range(2)]
+    rows[2] = ("a", 1, 2, "fails")
+    rows[-1] = ("b", 3, 7, "skipped")
+    items = spark.createDataFrame(rows, "track_id string, window int, i int, t string")
+    state = str(tmp_path / "state")
+    calls = lambda: [f.read_text() for f in log.iterdir()]
+    first = seams.answer_windows(items, ask, state, rounds=1, most_waves=2)
+    assert first.where("error is null").count() == 6 and first.where("error is not null").count() == 1 and len(calls()) == 4
+    whole = seams.answer_windows(items, ask, state, rounds=1)
+    assert {(x["track_id"], x["i"]) for x in whole.where("error is null").collect()} == {(t, i) for t, _, i, x in rows if x not in ("fails", "skipped", "a11")}
+    assert whole.where("error is not null").count() == 1
+    asked = [x for c in calls() for x in c.split("|")]
+    assert {x for x in asked if asked.count(x) > 1} == {"fails", "a11"}  # the failed window alone is asked for again
+    (tmp_path / "well").touch()
+    changed = items.withColumn("t", F.when(F.col("i") == 0, F.concat("t", F.lit("new"))).otherwise(F.col("t")))
+    last = {(x["track_id"], x["i"]): x["t"] for x in seams.answer_windows(changed, ask, state, rounds=1).collect()}
+    assert last[("a", 0)] == "A00NEW" and last[("a", 2)] == "FAILS" and last[("b", 1)] == "B01" and ("b", 7) not in last
+    # the tail before the failed window holds answers from before it, at most three
+    assert any(f.name.startswith("fails-2") for f in log.iterdir())
+    assert seams.answer_windows(items.where("false"), ask).count() == 0
