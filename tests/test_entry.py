@@ -10,6 +10,7 @@ from cuegrid.queries import ORACLES, QUERIES
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 CHEAP = ["i1_windows_to_spans", "i2_coalesce_spans", "i4_subtract_spans", "i14_fit_events", "j1_interval_anti_join", "j4_dominant_overlap", "j10_snap_to_silence", "f6_fill_inserted", "f14_prompt_windows", "x7_strip_punctuation", "t1_polish_timing", "x31_fix_gate"]
+CHEAP += ["q2_text_atoms", "s4_decoded_texts", "s6_sniffed_formats", "s8_document_cues", "s16_shot_times", "s19_picked_media", "s20_language_of_path", "x30_parsed_replies", "m_failed_tracks", "f1_pack_segments", "f4_min_duration", "f15_windows_of_forty", "t4_snap_to_shots", "b7_path_options"]
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 
 
