@@ -70,6 +70,14 @@ class Workspace:
         stream.close()
         return True
 
+    def numbered(self, name: str) -> int:
+        """How many numbered files a folder holds: one more than the greatest number."""
+        files, path = self._files(self.path(name))
+        if not files.exists(path):
+            return 0
+        names = [status.getPath().getName() for status in files.listStatus(path)]
+        return 1 + max((int(n) for n in names if n.isdigit()), default=-1)
+
     def read_text(self, name: str, patience_s: float = 10.0) -> str | None:
         """What ``create_text`` wrote, or None; waits for a writer that is not done."""
         files, path = self._files(self.path(name))

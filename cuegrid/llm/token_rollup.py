@@ -7,8 +7,8 @@ names it. Entries are created exclusively: of two writers only one gets a number
 other works its batch out again on the state that has changed. Repeating a batch, whole or
 after a failure half-way, changes nothing, in this session or a later one.
 
-Signed rows lie in buckets by document, sorted; every few batches they are summed into one
-current row per document. A batch reads the buckets of the documents it addresses only.
+Signed rows lie sorted by document; every few batches they are summed into one current row
+per document. A batch reads the ranges of ids only in which the documents lie that it addresses.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ EVENT = "doc_id long, op string, source string, lang string, version string, n_t
 DELTA = "doc_id long, source string, lang string, version string, n_docs long, n_tokens long"
 GROUP = ["source", "lang", "version"]
 SUMS = ["n_docs", "n_tokens"]
-#: Buckets of the documents, and batches after which their rows are summed up.
-BUCKETS, MOST_BATCHES = 64, 8
+#: Batches after which their rows are summed up; ranges of ids that a commit reads; cells that ids are told apart by.
+MOST_BATCHES, RANGES, CELLS = 8, 64, 1024
 
 
 class TokenRollup:
@@ -44,38 +44,57 @@ class TokenRollup:
         if root:
             self.ws.root = root.rstrip("/")
 
-    def log(self) -> list[dict]:
-        """The entries so far: a batch each, or a summing up of all before it. One small file each."""
+    def log(self) -> tuple[int, list[dict]]:
+        """(how many entries there are, those that count): the last summing up of all before it, and the batches since.
+
+        A summing up names all batches before it, so older entries need not be read. An
+        entry is one small file.
+        """
+        size = self.ws.numbered("log")
         out: list[dict] = []
-        while (text := self.ws.read_text(f"log/{len(out):08d}")) is not None:
-            out.append(json.loads(text))
-        return out
+        while (text := self.ws.read_text(f"log/{size:08d}")) is not None:  # entered meanwhile
+            size += 1
+        for k in reversed(range(size)):
+            out.append(json.loads(self.ws.read_text(f"log/{k:08d}")))
+            if not out[-1]["batch"]:
+                break
+        return size, out[::-1]
 
     def _enter(self, number: int, entry: dict) -> bool:
         """Whether this writer got the number."""
         return self.ws.create_text(f"log/{number:08d}", json.dumps(entry))
 
+    @staticmethod
+    def _names(log: list[dict]) -> list[str]:
+        return [name for e in log for name in (e["before"] if not e["batch"] else [e["batch"]])]
+
     def batches(self) -> list[str]:
         """Names of the committed batches, in the order of their entries."""
-        return [e["batch"] for e in self.log() if e["batch"]]
+        return self._names(self.log()[1])
 
     def _read(self, kind: str, log: list[dict]) -> DataFrame:
-        """The rows that count after the entries of ``log``: from the last summing up on."""
-        summed = max((k for k, e in enumerate(log) if not e["batch"]), default=0)
-        paths = [self.ws.path(f"{kind}/attempt={e['attempt']}") for e in log[summed:]]
-        schema = f"{DELTA}, attempt string, bucket int"
+        """The rows that count after the entries of ``log``."""
+        schema = f"{DELTA}, attempt string"
+        paths = [self.ws.path(f"{kind}/attempt={e['attempt']}") for e in log]
         if not paths:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).option("basePath", self.ws.path(kind)).parquet(*paths)
 
     def _write(self, rows: DataFrame, attempt: str) -> None:
-        bucket = F.when(F.col("doc_id").isNull(), -1).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int"))
-        # ranges, so that no bucket is bound to one task; equal rows, as those without doc_id, are spread by what else they hold
-        rows = rows.withColumn("bucket", bucket).withColumn("_spread", F.xxhash64(*GROUP, *SUMS))
-        rows = rows.repartitionByRange("bucket", "doc_id", "_spread").sortWithinPartitions("bucket", "doc_id").drop("_spread")
-        rows.write.mode("overwrite").partitionBy("bucket").parquet(self.ws.path(f"deltas/attempt={attempt}"))
-        totals = _summed(self._read("deltas", [{"batch": "-", "attempt": attempt}])).withColumn("doc_id", F.lit(None).cast("long"))
-        totals.withColumn("bucket", F.lit(0)).write.mode("overwrite").partitionBy("bucket").parquet(self.ws.path(f"totals/attempt={attempt}"))
+        # sorted ranges of ids, so that a later commit finds a document by the least and greatest id of pages and files; equal ids, as those of rows without one, are spread by what else they hold
+        rows = rows.withColumn("_spread", F.xxhash64(*GROUP, *SUMS))
+        rows = rows.repartitionByRange("doc_id", "_spread").sortWithinPartitions("doc_id").drop("_spread")
+        rows.write.mode("overwrite").parquet(self.ws.path(f"deltas/attempt={attempt}"))
+        totals = _summed(self._read("deltas", [{"attempt": attempt}])).withColumn("doc_id", F.lit(None).cast("long"))
+        totals.write.mode("overwrite").parquet(self.ws.path(f"totals/attempt={attempt}"))
+
+    def _held(self, log: list[dict], aimed: DataFrame) -> DataFrame:
+        """What the documents of ``aimed`` (doc_id, version) have, read from the ranges of ids that they lie in."""
+        near = F.lit(False)
+        for low, high in id_ranges(aimed):
+            near = near | F.col("doc_id").between(low, high)
+        held = self._read("deltas", log).where(near).join(aimed, ["doc_id", "version"], "left_semi")
+        return held.groupBy("doc_id", *GROUP).agg(*[F.sum(c).alias(c) for c in SUMS]).where("n_docs <> 0 or n_tokens <> 0")
 
     def _discard(self, attempt: str) -> None:
         self.ws.drop(f"deltas/attempt={attempt}", f"totals/attempt={attempt}")
@@ -100,42 +119,63 @@ class TokenRollup:
         revised = counted("revise").where("doc_id is not null").groupBy("doc_id", "version").agg(one.alias("_r"))
         revised = revised.select("doc_id", "_r.source", "_r.lang", "version", "_r.n_docs", "_r.n_tokens")
         aimed = events.where(F.col("op").isin("revise", "delete")).select("doc_id", "version").distinct()
-        # at most BUCKETS rows
-        touched = [r[0] for r in aimed.where("doc_id is not null").select(F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")).distinct().collect()]
         while True:
-            log = self.log()
-            if any(e["batch"] == batch for e in log):
+            size, log = self.log()
+            if batch in self._names(log):
                 return False
-            held = self._read("deltas", log).where(F.col("bucket").isin(touched)) if touched else self._read("deltas", [])
-            held = held.join(aimed, ["doc_id", "version"], "left_semi").groupBy("doc_id", *GROUP).agg(*[F.sum(c).alias(c) for c in SUMS])
-            back = held.where("n_docs <> 0 or n_tokens <> 0").select("doc_id", *GROUP, *[(-F.col(c)).alias(c) for c in SUMS])
+            back = self._held(log, aimed).select("doc_id", *GROUP, *[(-F.col(c)).alias(c) for c in SUMS])
             attempt = uuid.uuid4().hex
             self._write(counted("insert").unionByName(revised).unionByName(back), attempt)
-            if self._enter(len(log), {"batch": batch, "attempt": attempt}):
+            if self._enter(size, {"batch": batch, "attempt": attempt}):
                 break
             self._discard(attempt)
-        if len(log) - max((k for k, e in enumerate(log) if not e["batch"]), default=0) >= MOST_BATCHES:
+        if sum(bool(e["batch"]) for e in log) + 1 > MOST_BATCHES:
             self.sum_up()
         return True
 
     def sum_up(self) -> bool:
-        """One current row per document, version, source and language in place of all signed rows; False if another writer was first."""
-        log = self.log()
+        """One current row per document, version, source and language in place of all signed rows; False if another writer was first.
+
+        Tables that are no longer read stay, as a reader may still hold them; ``vacuum`` deletes them.
+        """
+        size, log = self.log()
         rows = self._read("deltas", log).groupBy("doc_id", *GROUP).agg(*[F.sum(c).alias(c) for c in SUMS])
         attempt = uuid.uuid4().hex
         self._write(rows.where("n_docs <> 0 or n_tokens <> 0"), attempt)
-        if self._enter(len(log), {"batch": None, "attempt": attempt}):
+        if self._enter(size, {"batch": None, "attempt": attempt, "before": self._names(log), "replaced": [e["attempt"] for e in log]}):
             return True
         self._discard(attempt)
         return False
 
+    def vacuum(self) -> int:
+        """Deletes the tables that the last summing up has replaced; how many. To be called when no reader is older than it."""
+        gone = [a for e in self.log()[1] if not e["batch"] for a in e["replaced"]]
+        for attempt in gone:
+            self._discard(attempt)
+        return len(gone)
+
     def totals(self) -> DataFrame:
         """source, lang, version, n_docs, n_tokens; groups that have become empty are left out."""
-        return _summed(self._read("totals", self.log())).where("n_docs <> 0 or n_tokens <> 0")
+        return _summed(self._read("totals", self.log()[1])).where("n_docs <> 0 or n_tokens <> 0")
 
     def recount(self) -> DataFrame:
         """The same from the documents' rows, to check the totals."""
-        return _summed(self._read("deltas", self.log())).where("n_docs <> 0 or n_tokens <> 0")
+        return _summed(self._read("deltas", self.log()[1])).where("n_docs <> 0 or n_tokens <> 0")
+
+
+def id_ranges(rows: DataFrame, most: int = RANGES) -> list[tuple[int, int]]:
+    """At most ``most`` ranges that hold all doc_id of the rows, the widest gaps between them left out."""
+    low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
+    if low is None:
+        return []
+    # a row for each cell that is not empty
+    width = max(1, -(-(high - low + 1) // CELLS))
+    cell = F.floor((F.col("doc_id").cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)"))
+    found = rows.where("doc_id is not null").groupBy(cell.alias("cell")).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).collect()
+    spans = sorted((r["a"], r["b"]) for r in found)
+    gaps = sorted(range(1, len(spans)), key=lambda k: spans[k - 1][1] - spans[k][0])[: most - 1]
+    bounds = [0, *sorted(gaps), len(spans)]
+    return [(spans[x][0], spans[y - 1][1]) for x, y in zip(bounds, bounds[1:], strict=False)]
 
 
 def _summed(rows: DataFrame) -> DataFrame:
