@@ -824,6 +824,17 @@ def x24_collapse_loops(spark, d):
     return align.collapse_loops(rows).select("conv_id", "turn", "clean")
 
 
+@query(
+    "x24_planted_loops",
+    """SELECT conv_id, turn, trim(CASE WHEN turn % 7 >= 4 THEN text || ' Oars out and pull hard.' ELSE text || repeat(' Oars out and pull hard.', (turn % 7)::INT) END, ' ' || chr(9) || chr(10) || chr(13)) AS clean FROM conversations""",
+)
+def x24_planted_loops(spark, d):
+    """Turns that end in a sentence said up to six times; from four on it is a loop."""
+    again = F.repeat(F.lit(" Oars out and pull hard."), (F.col("turn") % 7).cast("int"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.concat("text", again).alias("text"))
+    return align.collapse_loops(rows).select("conv_id", "turn", "clean")
+
+
 @query("f16_character_units")
 def f16_character_units(spark, d):
     return align.explode_characters(_words(spark, d))
@@ -843,7 +854,13 @@ def j17_tag_lookup(spark, d):
 # ---------------------------------------------------------------- alignment, speakers, boundaries, files
 
 
-@query("g1_reinject_punctuation")
+@query(
+    "g1_reinject_punctuation",
+    rf"""WITH {WORDS}, c AS (SELECT track_id || ':' || seq // 200 AS track_id, seq, text, s, e, length(regexp_replace(text, '[^\p{{L}}\p{{N}}]', '', 'g')) AS n FROM words),
+t AS (SELECT track_id, seq, text, CASE WHEN n > 0 THEN s END AS a, CASE WHEN n > 0 THEN s + greatest(0, e - s) / n * n END AS b FROM c),
+r AS (SELECT *, coalesce(last_value(b IGNORE NULLS) OVER (PARTITION BY track_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), min(a) OVER (PARTITION BY track_id), 0) AS rest FROM t)
+SELECT track_id, text, CASE WHEN a IS NULL THEN rest WHEN regexp_matches(text, '^[^\p{{L}}\p{{N}}]') THEN least(a, rest) ELSE a END AS "start", coalesce(b, rest) AS "end" FROM r""",
+)
 def g1_reinject_punctuation(spark, d):
     """Chunks of 200 words, as a recogniser hands them over, each aligned by itself."""
     chunk = F.concat_ws(":", "track_id", F.floor(F.col("seq") / 200).cast("string"))
