@@ -24,7 +24,7 @@ from .blocks import changes, longs, whole_groups
 from .common import Workspace, ranked
 
 #: Bits of a digit, documents of a last cell, and levels of the tree that one visit reduces.
-DIGIT, CELL, LEVELS = 12, 512, 8
+DIGIT, CELL, LEVELS = 8, 512, 8
 
 
 def spelled(column: str | Column) -> Column:
