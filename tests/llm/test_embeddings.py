@@ -52,6 +52,14 @@ def test_links_equal_all_pairs(spark, monkeypatch, unit_rows):
     assert any(n > 100 for n, _ in got.values())
 
 
+def test_batches_of_large_units_alone(spark, monkeypatch):
+    """No unit is left for the comparison row by row."""
+    monkeypatch.setattr(embedding_dedup, "LARGE_UNIT", 1)
+    rows = [(i, [1.0, 0.01 * i, 0.5], 0) for i in range(40)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in linked_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    assert got == plain(rows)
+
+
 def test_recall_at_the_threshold():
     r = np.random.default_rng(3)
     for dim, codewords in ((64, 256), (64, 900), (300, 500)):
