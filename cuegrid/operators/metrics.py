@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.language import reconcile, spaced, to_code
 from ..functions.text import content_mass, line_end_penalty, spaced_tokens
 from .intervals import TRACK
+from .stretches import computed
 from .timing import ordered, so_far
 
 
@@ -55,8 +56,9 @@ def cue_metrics(cues: DataFrame, by: list[str]) -> DataFrame:
     dur = F.col("end") - F.col("start")
     chars = F.length(F.regexp_replace("text", "[ \n]", ""))
     last = F.lead("seq").over(ordered()).isNull()
-    bad = line_end_penalty(tail_token(F.col("text"), F.col("lang")), F.col("lang")) >= 2
-    rows = cues.withColumn("_d", dur).withColumn("_cps", F.when(dur > 0, chars / dur)).withColumn("_bad", F.when(~last, F.when(bad, 1.0).otherwise(0.0)))
+    bad = line_end_penalty(F.col("_tail"), F.col("lang")) >= 2
+    rows = cues.withColumn("_d", dur).withColumn("_cps", F.when(dur > 0, chars / dur)).withColumn("_last", last).withColumn("_tail", tail_token(F.col("text"), F.col("lang")))
+    rows = computed(rows.select(*by, *{"lang"}.difference(by), "_d", "_cps", "_last", "_tail")).withColumn("_bad", F.when(~F.col("_last"), F.when(bad, 1.0).otherwise(0.0)))
     return rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         F.percentile("_d", 0.5).alias("dur_med"),
