@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..operators.stretches import computed
 from ..functions.text import ass_time, is_lyric, lyric_display, lyric_text, parse_time, srt_time, vtt_time
 
 FORMATS = ("vtt", "srt", "ass", "ssa")
@@ -67,15 +68,16 @@ def parse_vtt(files: DataFrame) -> DataFrame:
     """Cues of WebVTT and SRT texts (track_id, text); cues may be without times, music without words goes."""
     blocks = files.select("track_id", F.posexplode(F.split(_lines(F.col("text")), "\n[ \t]*\n")).alias("_n", "_raw"))
     raw = F.regexp_replace(F.regexp_replace("_raw", r"^(?:(?U:\s)*\n)+", ""), r"(?U)\s+$", "")
-    blocks = blocks.withColumn("_raw", raw).where(F.trim("_raw") != "")
+    blocks = computed(blocks.withColumn("_raw", raw)).where(F.trim("_raw") != "")
     blocks = blocks.where(~F.upper(F.ltrim("_raw")).rlike("^(?:WEBVTT|NOTE|STYLE|REGION)")).withColumn("_l", F.split("_raw", "\n"))
     timing = F.when(F.get("_l", F.lit(0)).contains("-->"), 0).when(F.get("_l", F.lit(1)).contains("-->"), 1)
-    blocks = blocks.withColumn("_at", timing)
+    blocks = computed(blocks.withColumn("_at", timing))
     line = F.get(F.col("_l"), F.col("_at"))
     body = F.when(F.col("_at").isNull(), F.col("_raw")).otherwise(F.array_join(F.slice("_l", F.col("_at") + 2, F.size("_l")), "\n"))
-    blocks = blocks.withColumn("_cue", F.regexp_replace(body, r"(?U)^\s+|\s+$", "")).where("_cue <> ''")
+    blocks = computed(blocks.select("track_id", "_n", line.alias("_line"), F.regexp_replace(body, r"(?U)^\s+|\s+$", "").alias("_cue"))).where("_cue <> ''")
+    line = F.col("_line")
     start, end = parse_time(F.split(line, "-->")[0]), parse_time(F.get(F.split(F.trim(F.split(line, "-->", 2)[1]), r"\s+"), F.lit(0)))
-    cues = blocks.select("track_id", "_n", start.alias("start"), end.alias("end"), lyric_text(F.col("_cue")).alias("text"), is_lyric(F.col("_cue")).alias("lyric")).where("text <> ''")
+    cues = computed(blocks.select("track_id", "_n", start.alias("start"), end.alias("end"), lyric_text(F.col("_cue")).alias("text"), is_lyric(F.col("_cue")).alias("lyric"))).where("text <> ''")
     seq = F.row_number().over(Window.partitionBy("track_id").orderBy("_n")) - 1
     return cues.select("track_id", seq.alias("seq"), "start", "end", "text", "lyric")
 
@@ -117,11 +119,11 @@ def parse_ass(files: DataFrame) -> DataFrame:
     # the last field keeps its commas
     lines = lines.withColumn("_all", F.split("_value", ",")).withColumn("_k", F.size("_names"))
     parts = F.concat(F.slice("_all", F.lit(1), F.col("_k") - 1), F.array(F.array_join(F.slice(F.col("_all"), F.col("_k"), F.size("_all")), ",")))
-    lines = lines.where("size(_all) >= _k").withColumn("_parts", parts)
+    lines = computed(lines.where("size(_all) >= _k").withColumn("_parts", parts).select("track_id", "_n", "_names", "_parts"))
     field = lambda n: F.get(F.col("_parts"), (F.array_position("_names", n) - 1).cast("int"))
-    cues = lines.select("track_id", "_n", parse_time(field("start")).alias("start"), parse_time(field("end")).alias("end"), ass_plain(field("text")).alias("_cue"))
+    cues = computed(lines.select("track_id", "_n", parse_time(field("start")).alias("start"), parse_time(field("end")).alias("end"), ass_plain(field("text")).alias("_cue")))
     cues = cues.where("start is not null and end is not null and _cue <> ''")
-    cues = cues.select("track_id", "_n", "start", "end", lyric_text(F.col("_cue")).alias("text"), is_lyric(F.col("_cue")).alias("lyric")).where("text <> ''")
+    cues = computed(cues.select("track_id", "_n", "start", "end", lyric_text(F.col("_cue")).alias("text"), is_lyric(F.col("_cue")).alias("lyric"))).where("text <> ''")
     seq = F.row_number().over(Window.partitionBy("track_id").orderBy("start", "end", "_n")) - 1
     return cues.select("track_id", seq.alias("seq"), "start", "end", "text", "lyric")
 
