@@ -1,6 +1,7 @@
 """Subtitle files, track documents, edits and translations, speakers, boundaries, streams."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -174,3 +175,35 @@ def test_streaming_chunks(spark, tmp_path):
     q = streaming.pack_stream(stream, 10.0).writeStream.format("memory").queryName("chunks").outputMode("append").trigger(availableNow=True).start()
     assert q.awaitTermination(90)
     assert sorted((r["start"], r["end"]) for r in spark.table("chunks").collect()) == [(0.0, 9.0), (10.0, 14.0), (15.0, 25.0), (25.0, 35.0)]
+
+
+def test_edges_are_looked_up_and_not_joined(spark):
+    """Words of many windows, wider than the budget or without times; no pairs of a window are made that do not fit."""
+    words = [(t, k // 50, k, "ab" * (1 + k % 5), float(k), None if k % 40 == 7 else k + 0.5) for t in (1, 2) for k in range(400)]
+    frame = spark.createDataFrame(words, "track_id int, window int, seq int, text string, start double, end double")
+    edges = semantic.legal_edges(frame, F.lit(30), 6.0)
+    assert "Join" not in edges._jdf.queryExecution().executedPlan().toString()
+    want = set()
+    for t, w, a, _, start, _ in words:
+        for _, _, b, _, _, end in words[a : w * 50 + 50]:
+            chosen = [x[3] for x in words[a : b + 1]]
+            if len(" ".join(chosen)) <= 30 and end is not None and end - start <= 6.0:
+                want.add((t, w, a, b + 1, sum(map(len, chosen)), float(b + 1) if b < 399 else None))
+    assert {tuple(r) for r in edges.select("track_id", "window", "src", "dst", "chars", "next_start").collect()} == want
+
+
+def test_paths_need_no_join_where_edges_lie_in_order(spark):
+    r = random.Random(7)
+    rows = sorted({(t, w, a, a + r.randint(1, 4)) for t in range(5) for w in range(40) for a in range(w * 20, w * 20 + 15) for _ in range(2)})
+    edges = spark.createDataFrame(rows, "track_id int, window int, src int, dst int")
+    reach = lambda pairs, at: at if not (more := {b for a, b in pairs if a in at} - at) else reach(pairs, at | more)
+    want = set()
+    for key in {x[:2] for x in rows}:
+        own = [x[2:] for x in rows if x[:2] == key]
+        ahead, back = reach(own, {min(a for a, _ in own)}), reach([(b, a) for a, b in own], {max(b for _, b in own)})
+        want |= {(*key, a, b) for a, b in own if a in ahead and b in back}
+    for given, in_order in ((edges.coalesce(1), True), (edges.repartition(3), False)):
+        got = semantic.on_complete_paths(given, in_order)
+        assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+        assert {tuple(x) for x in got.collect()} == want
+        assert semantic.fewest_cues(given, in_order).count() == 200
