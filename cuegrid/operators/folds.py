@@ -9,15 +9,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.layout import fits, is_fragment, joined, wrap
 from ..plans.durable import settled
 from .intervals import BUCKET_S, TRACK, interval_join
-from .stretches import AHEAD, BACK, Step, carried, each_stretch, reduced, spelled
-from .timing import TWO_FRAMES
+from .stretches import AHEAD, BACK, Step, by_keys, carried, in_stretches, reduced, spelled
+from .timing import TWO_FRAMES, ordered
 
 FRAME = 1.0 / 24.0
 LANDING = 12 * FRAME
@@ -165,33 +168,41 @@ def plan_alignment_chunks(cues: DataFrame, max_s: float, min_gap_s: float = 1.5,
     )
 
 
-def _per_track(cues: DataFrame, change: Callable[[list[dict]], list[dict]], gap_s: float | None = None, alone_stays: bool = True) -> DataFrame:
+def _per_track(cues: DataFrame, change: Callable[[list[dict]], list[dict]], gap_s: float | None = None, alone_stays: bool = True, in_order: bool = False) -> DataFrame:
     """Applies a pass to each track's cues in order; seq is given anew.
 
     With ``gap_s`` the pass never looks across a pause of that length, counted from the
     latest end so far, and each stretch between such pauses is passed by itself.
     """
-    columns = cues.columns
-    so_far = Window.partitionBy(TRACK).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(TRACK).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    paused = F.lit(False) if gap_s is None else F.coalesce(F.col("start") - F.max("end").over(before) >= gap_s, F.lit(False))
-    rows = cues.withColumn("_paused", paused.cast("int")).withColumn("_block", F.sum("_paused").over(so_far)).drop("_paused")
-    rows = rows.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy(TRACK, "_block")))
+
+    def opening() -> Callable[[pa.RecordBatch], np.ndarray]:
+        tracks, latest = by_keys(TRACK), -np.inf
+
+        def opens(batch: pa.RecordBatch) -> np.ndarray:
+            nonlocal latest
+            new = tracks(batch)
+            start = pc.fill_null(batch.column("start"), np.nan).to_numpy()
+            end = pc.fill_null(batch.column("end"), -np.inf).to_numpy()
+            paused = np.zeros(len(new), bool)
+            if gap_s is not None:
+                firsts = np.flatnonzero(new).tolist()
+                for lo, hi in zip([0, *firsts], [*firsts, len(new)], strict=True):
+                    if hi > lo:
+                        so_far = np.maximum.accumulate(np.append(-np.inf if new[lo] else latest, end[lo:hi]))
+                        latest = float(so_far[-1])
+                        paused[lo:hi] = (start[lo:hi] - so_far[:-1] >= gap_s) & (so_far[:-1] > -np.inf)
+            return new | paused
+
+        return opens
 
     def run(rows: list[dict]) -> list[dict]:
         for r in rows:
-            r["word_data"] = [] if r["word_data"] is None else list(r["word_data"])
-        out = change(rows)
-        for k, r in enumerate(out):
-            r["seq"] = k
-        return out
+            r["word_data"] = r["word_data"] or []
+        return change(rows)
 
     # a cue between two such pauses has nothing to be joined with
-    alone = F.col("_size") == 1 if alone_stays else F.lit(False)
-    some = rows.where(~alone)
-    done = each_stretch(some, [TRACK, "_block"], run, spelled(some)).unionByName(rows.where(alone))
-    place = F.row_number().over(Window.partitionBy(TRACK).orderBy("_block", "seq")) - 1
-    return done.withColumn("seq", place.cast(cues.schema["seq"].dataType)).select(columns)
+    rows = cues if in_order else cues.withColumn("_k", F.row_number().over(ordered()))  # kept so that the order of its window is
+    return in_stretches(rows, TRACK, opening, lambda _, __, size: (size > 1) | (not alone_stays), run, spelled(rows)).select(cues.columns)
 
 
 def _one(host: dict, a: dict, b: dict, lang: str, start: float, end: float) -> dict:
@@ -246,13 +257,13 @@ def _glued(rows: list[dict], gap_s: float, line: int, lines: int, max_s: float)
     return reduced(rows, _glues(gap_s, line, lines, max_s))
 
 
-def merge_micro(cues: DataFrame, gap_s: float, line: int, max_s: float, min_s: float = 0.0, lines: int = 1, floor_s: float = 0.08) -> DataFrame:
+def merge_micro(cues: DataFrame, gap_s: float, line: int, max_s: float, min_s: float = 0.0, lines: int = 1, floor_s: float = 0.08, in_order: bool = False) -> DataFrame:
     """Cues less than ``gap_s`` apart become one if that fits a line and ``max_s``.
 
     Cues that collapsed to almost nothing, or that together stay below ``min_s``, are
-    folded whatever their length, and wrapped anew.
+    folded whatever their length, and wrapped anew. ``in_order``: the cues lie in the order of the track already.
     """
-    return cues if gap_s <= 0 else _per_track(cues, lambda rows: _micro(rows, gap_s, line, max_s, min_s, lines, floor_s), gap_s)
+    return cues if gap_s <= 0 else _per_track(cues, lambda rows: _micro(rows, gap_s, line, max_s, min_s, lines, floor_s), gap_s, in_order=in_order)
 
 
 def glue_fragments(cues: DataFrame, gap_s: float, line: int, lines: int, max_s: float) -> DataFrame:
@@ -260,9 +271,9 @@ def glue_fragments(cues: DataFrame, gap_s: float, line: int, lines: int, max_s:
     return cues if gap_s <= 0 else _per_track(cues, lambda rows: _glued(rows, gap_s, line, lines, max_s), gap_s)
 
 
-def merge_and_glue(cues: DataFrame, gap_s: float, line: int, lines: int, max_s: float, min_s: float, floor_s: float = 0.08) -> DataFrame:
-    """``merge_micro`` and then ``glue_fragments`` in one visit to each track."""
-    return cues if gap_s <= 0 else _per_track(cues, lambda rows: _glued(_micro(rows, gap_s, line, max_s, min_s, lines, floor_s), gap_s, line, lines, max_s), gap_s)
+def merge_and_glue(cues: DataFrame, gap_s: float, line: int, lines: int, max_s: float, min_s: float, floor_s: float = 0.08, in_order: bool = False) -> DataFrame:
+    """``merge_micro`` and then ``glue_fragments`` in one visit to each track. ``in_order``: the cues lie in the order of the track already."""
+    return cues if gap_s <= 0 else _per_track(cues, lambda rows: _glued(_micro(rows, gap_s, line, max_s, min_s, lines, floor_s), gap_s, line, lines, max_s), gap_s, in_order=in_order)
 
 
 def _moved_start(start: float, cut: float) -> float:

@@ -8,13 +8,18 @@ number of cues and moving on the number to come, so it ends.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.layout import end_penalty, fits, solid_units, start_penalty, width
 from .intervals import TRACK
-from .stretches import each_stretch, spelled
+from .stretches import by_keys, in_stretches, spelled
+from .timing import ordered
 
 LANGS = ("zh", "yue", "ja")
 TOO_BAD = 2
@@ -137,30 +142,35 @@ def zipped(cues: list[dict], line: int, lines: int, max_s: float, connected_s: f
     return stand
 
 
-def mend_particles(cues: DataFrame, line: int, lines: int, max_s: float, connected_s: float = 0.3) -> DataFrame:
+def mend_particles(cues: DataFrame, line: int, lines: int, max_s: float, connected_s: float = 0.3, in_order: bool = False) -> DataFrame:
     """Cues (track_id, seq, lang, text, start, end, word_data) of Chinese, Cantonese and Japanese without edges that strand a particle.
 
     Two cues without a pause become one if that fits; else they are cut where least is torn.
     Each unit of ``word_data`` is one character; cues where that is not so stay. A column
     ``phrases`` with the characters at which phrases begin narrows the places to cut. Cues of other languages stay as they
-    are. seq is given anew. A task holds one stretch between pauses.
+    are. seq is given anew. A task holds one stretch between pauses beyond a batch. ``in_order``:
+    the cues lie in the order of the track already.
     """
-    track = Window.partitionBy(TRACK).orderBy("seq")
-    upto = track.rowsBetween(Window.unboundedPreceding, 0)
-    apart = F.coalesce((F.col("start") - F.lag("end").over(track) >= connected_s) | (F.col("lang") != F.lag("lang").over(track)), F.lit(False))
-    rows = cues.withColumn("_apart", apart.cast("int")).withColumn("_block", F.sum("_apart").over(upto)).drop("_apart")
-    rows = rows.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy(TRACK, "_block")))
-    some = F.coalesce(F.col("lang").isin(*LANGS), F.lit(False)) & (F.col("_size") > 1)
+
+    def opening() -> Callable[[pa.RecordBatch], np.ndarray]:
+        tracks, last = by_keys(TRACK, "lang"), []
+
+        def opens(batch: pa.RecordBatch) -> np.ndarray:
+            end = batch.column("end")
+            before = pa.concat_arrays([*last, end])[:-1] if last else pa.concat_arrays([end.slice(0, 1), end])[:-1]
+            last[:] = [end.slice(len(end) - 1)]
+            apart = pc.greater_equal(pc.subtract(batch.column("start"), before), connected_s)
+            return tracks(batch) | pc.fill_null(apart, False).to_numpy(zero_copy_only=False)
+
+        return opens
+
+    def some(batch: pa.RecordBatch, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return pc.is_in(batch.column("lang").take(pa.array(starts)), pa.array(LANGS)).to_numpy(zero_copy_only=False) & (size > 1)
 
     def run(stretch: list[dict]) -> list[dict]:
         for c in stretch:
-            for name in ("word_data", "phrases"):
-                if c.get(name) is not None:
-                    c[name] = list(c[name])
             c["word_data"] = c["word_data"] or []
-        out = zipped(stretch, line, lines, max_s, connected_s)
-        return [c | {"seq": k} for k, c in enumerate(out)]
+        return zipped(stretch, line, lines, max_s, connected_s)
 
-    done = each_stretch(rows.where(some), [TRACK, "_block"], run, spelled(rows)).unionByName(rows.where(~some))
-    place = F.row_number().over(Window.partitionBy(TRACK).orderBy("_block", "seq")) - 1
-    return done.withColumn("seq", place.cast(cues.schema["seq"].dataType)).select(cues.columns)
+    rows = cues if in_order else cues.withColumn("_k", F.row_number().over(ordered()))  # kept so that the order of its window is
+    return in_stretches(rows, TRACK, opening, some, run, spelled(rows)).select(cues.columns)

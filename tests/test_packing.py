@@ -139,3 +139,45 @@ def test_pieces_of_long_tracks(spark):
         want |= {(t, k): sum(c <= k for c in cuts) for k in range(len(own))}
     got = {(x["track_id"], x["seq"]): x["piece"] for x in replay.pieces_of_tracks(spark.createDataFrame(rows, WORD), 60.0).collect()}
     assert got == want and max(want.values()) > 2
+
+
+def test_packing_moves_and_reads_words_once(spark):
+    """Stretches, cues and languages carried over the edges of batches; one exchange, no join."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [(t, k, "en" if k else lang, "word" + "s" * (k % 9), float(k), k + 0.5, k % 11 == 0 and k > 0) for t, lang in ((1, "en"), (2, "ja"), (3, "de")) for k in range(60)]
+        flagged = spark.createDataFrame(rows, WORD + ", brk boolean").repartition(3)
+        out = packing.pack_cues(flagged, 20.0, by_track=True)
+        plan = replay.cues_of(out, in_order=True)._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and plan.count("hashpartitioning") == 1
+        got = {(r["track_id"], r["seq"]): r["cue"] for r in out.collect()}
+        cues = {(r["track_id"], r["seq"]): r["text"] for r in replay.cues_of(out, in_order=True).select("track_id", "seq", "text").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for t, lang in ((1, "en"), (2, "ja"), (3, "de")):
+        words = [dict(zip(("text", "start", "end", "brk"), r[3:], strict=True)) for r in rows if r[0] == t]
+        sizes = packing.cue_sizes(words, lang, 20.0)
+        want = [c for c, n in enumerate(sizes) for _ in range(n)]
+        assert [got[t, k] for k in range(60)] == want
+        assert sorted(s for u, s in cues if u == t) == sorted(set(want))
+
+
+def test_mending_and_merging_visit_cues_once(spark):
+    """Cues that need nothing pass beside those that are changed, in order, over the edges of batches; nothing is read twice."""
+    from cuegrid.operators import folds, particles
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        cue = "track_id long, seq int, lang string, text string, start double, end double, word_data array<struct<start:double,end:double>>"
+        rows = [(t, k, None if t == 2 else "zh" if t == 0 else "en", "好的" if t == 0 else f"w{k}", 1.0 * k + (9 if k > 4 else 0), 1.0 * k + (9 if k > 4 else 0) + 0.9, [(k + 0.0, k + 0.4), (k + 0.4, k + 0.9)]) for t in range(4) for k in range(10)]
+        cues = spark.createDataFrame(rows, cue).repartition(2)
+        for out in (particles.mend_particles(cues, 9, 1, 7.0), folds.merge_micro(cues, 0.5, 12, 7.0)):
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert "Union" not in plan and plan.count("hashpartitioning") == 1
+            for t in range(4):
+                got = [r for r in out.where(f"track_id = {t}").orderBy("seq").collect()]
+                assert [r["seq"] for r in got] == list(range(len(got)))
+                assert "".join(r["text"] for r in got).replace(" ", "") == "".join(r[3] for r in rows if r[0] == t)
+                assert sum(len(r["word_data"]) for r in got) == 20
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
