@@ -249,12 +249,19 @@ def covered_share(spans: DataFrame, cover: DataFrame, bucket_s: float = BUCKET_S
     return out.withColumn("share", F.when(length > 0, F.coalesce("_ov", F.lit(0.0)) / length)).drop("_ov")
 
 
-def nearest_point(points: DataFrame, marks: DataFrame, reach_s: float, bucket_s: float = BUCKET_S) -> DataFrame:
-    """Adds ``nearest`` to points (track_id, seq, t): the closest mark (track_id, t) within reach, the earlier of two."""
-    reach = points.where("t is not null").select(TRACK, "seq", "t", (F.col("t") - reach_s).alias("start"), (F.col("t") + reach_s).alias("end"))
-    near = interval_join(reach, marks.select(TRACK, F.col("t").alias("start"), F.col("t").alias("end")), F.abs(F.col("r_start") - F.col("t")) <= reach_s, "closed", bucket_s)
-    best = near.groupBy(TRACK, "seq").agg(F.min(F.struct(F.abs(F.col("r_start") - F.col("t")).alias("d"), F.col("r_start").alias("at")))["at"].alias("nearest"))
-    return points.join(best, [TRACK, "seq"], "left")
+def nearest_point(points: DataFrame, marks: DataFrame, reach_s: float) -> DataFrame:
+    """Adds ``nearest`` to points (track_id, seq, t): the closest mark (track_id, t) within reach, the earlier of two.
+
+    That is the last mark before a point or the first behind it: both sides are sorted together, no pairs are made.
+    """
+    other = marks.where("t is not null").select(TRACK, F.col("t").cast("double").alias("_mark")).where(F.col(TRACK).isNotNull())
+    rows = points.withColumn("_mark", F.lit(None).cast("double")).withColumn("_at", F.col("t").cast("double")).unionByName(other.withColumn("_at", F.col("_mark")), allowMissingColumns=True)
+    here = F.col("_mark").isNull()
+    side = lambda by: F.last("_mark", ignorenulls=True).over(Window.partitionBy(TRACK).orderBy(by, here).rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_before", side(F.asc("_at"))).withColumn("_behind", side(F.desc("_at"))).where(here)
+    apart = lambda c: F.abs(F.col(c) - F.col("t"))
+    near = lambda c: F.when((apart(c) <= reach_s) & (F.col(c) >= F.col("t") - reach_s) & (F.col(c) <= F.col("t") + reach_s), F.struct(apart(c).alias("d"), F.col(c).alias("at")))
+    return rows.withColumn("nearest", F.least(near("_before"), near("_behind"))["at"]).select(*points.columns, "nearest")
 
 
 def smooth_turns(turns: DataFrame, drop_s: float = 0.2, gap_s: float = 0.35, bucket_s: float = BUCKET_S) -> DataFrame:

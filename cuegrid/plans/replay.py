@@ -152,7 +152,7 @@ def finish_text(cues: DataFrame) -> DataFrame:
     return cues.withColumn("text", wrapped(plain, F.col("lang"), max_lines(F.col("lang"))))
 
 
-def full_polish(cues: DataFrame, shots: DataFrame | None = None, line: int = 42, lines: int = 2, max_s: float = 7.0, bucket_s: float = BUCKET_S, in_order: bool = False) -> DataFrame:
+def full_polish(cues: DataFrame, shots: DataFrame | None = None, line: int = 42, lines: int = 2, max_s: float = 7.0, in_order: bool = False) -> DataFrame:
     """Stranded particles mended, micro cues merged, fragments glued, timing polished, edges moved to shot changes, text finished.
 
     ``in_order``: the cues lie in the order of the track already, as ``cues_of`` leaves them.
@@ -161,7 +161,7 @@ def full_polish(cues: DataFrame, shots: DataFrame | None = None, line: int = 42,
     out = polish(folds.merge_and_glue(mended, 0.3, line, lines, max_s, 0.5, in_order=True))
     if shots is not None:
         for side in ("start", "end"):
-            near = nearest_point(out.select(TRACK, "seq", F.col(side).alias("t")), shots, 0.458, bucket_s)
+            near = nearest_point(out.select(TRACK, "seq", F.col(side).alias("t")), shots, 0.458)
             out = out.join(near.select(TRACK, "seq", F.col("nearest").alias(f"{side}_cut")), [TRACK, "seq"], "left")
         out = folds.snap_to_shots(out, max_s).drop("start_cut", "end_cut")
     return finish_text(out)

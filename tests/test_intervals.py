@@ -237,3 +237,15 @@ def test_nulls_and_empty(spark):
     assert iv.coalesce_spans(none).count() == 0 and iv.subtract_spans(none, cover).count() == 0
     assert iv.subtract_spans(cover, none).count() == 1
     assert iv.within_spans(none.select("track_id", F.col("start").alias("t")), cover).count() == 0
+
+
+def test_nearest_mark_is_found_without_pairs(spark):
+    r = random.Random(5)
+    points = [(t, k, None if k == 3 else r.randint(0, 200) / 8, f"p{k}") for t in (1, 2, 3, None) for k in range(60)]
+    marks = [(t, None if k == 3 else r.randint(0, 200) / 8) for t in (1, 2, None) for k in range(40)]
+    given = spark.createDataFrame(points, "track_id long, seq int, t double, more string"), spark.createDataFrame(marks, "track_id long, t double")
+    out = iv.nearest_point(*given, 0.5)
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    own = lambda t: [m for u, m in marks if u == t and t is not None and m is not None]
+    want = {(t, k, at, more, min(((abs(m - at), m) for m in own(t) if at is not None and abs(m - at) <= 0.5), default=(0, None))[1]) for t, k, at, more in points}
+    assert {tuple(x) for x in out.collect()} == want
