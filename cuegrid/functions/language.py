@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .text import ascii_only, once
+
 # Languages by code, their names and three-letter codes.
 NAMES = {"yue": "cantonese", "zh": "chinese", "en": "english", "fr": "french", "de": "german", "it": "italian", "ja": "japanese", "ko": "korean", "pt": "portuguese", "ru": "russian", "es": "spanish"}
 THREE_LETTERS = {
@@ -131,35 +133,45 @@ def script_counts(s: Column) -> dict[str, Column]:
     hangul = n(r"[\x{1100}-\x{11FF}\x{3130}-\x{318F}\x{A960}-\x{A97F}\x{AC00}-\x{D7FF}]")
     latin = n(r"[\p{IsLatin}&&\p{L}]")
     other = n(r"[\p{L}&&[^\p{IsLatin}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{2FA1F}\x{30000}-\x{323AF}\x{3040}-\x{30FF}\x{31F0}-\x{31FF}\x{FF66}-\x{FF9D}\x{1100}-\x{11FF}\x{3130}-\x{318F}\x{A960}-\x{A97F}\x{AC00}-\x{D7FF}]]")
-    return {"han": han, "kana": kana, "hangul": hangul, "latin": latin, "other": other}
+    # other characters are not looked for in ASCII texts
+    some = lambda c: F.when(ascii_only(s), 0).otherwise(c)
+    ascii_letters = F.length(F.regexp_replace(s, "[^A-Za-z]++", ""))
+    return {"han": some(han), "kana": some(kana), "hangul": some(hangul), "latin": F.when(ascii_only(s), ascii_letters).otherwise(latin), "other": some(other)}
 
 
 def dominant_script(s: Column) -> Column:
     """``ko``, ``ja``, ``han`` or ``latin`` on strong evidence, else null."""
-    c = script_counts(s)
-    total = c["han"] + c["kana"] + c["hangul"] + c["latin"] + c["other"]
-    cjk = c["han"] + c["kana"]
+    most = lambda n, share, total: n * share[1] >= total * share[0]
+
+    def strongest(c: Column) -> Column:
+        total = c["han"] + c["kana"] + c["hangul"] + c["latin"] + c["other"]
+        cjk = c["han"] + c["kana"]
+        kana_rich = c["kana"] * KANA_PER_CJK >= cjk
+        return (
+            F.when(total == 0, None)
+            .when((c["hangul"] >= HANGUL_LEAST) & most(c["hangul"], CJK_SHARE, total), "ko")
+            .when((c["kana"] >= KANA_LEAST) & (cjk >= CJK_LEAST) & most(cjk, CJK_SHARE, total) & kana_rich, "ja")
+            .when((c["han"] >= HAN_LEAST) & most(c["han"], CJK_SHARE, total) & ~kana_rich, "han")
+            .when((c["latin"] >= LATIN_LEAST) & (c["words"] >= LATIN_WORDS) & most(c["latin"], LATIN_SHARE, total), "latin")
+        )
+
     words = F.regexp_count(s, F.lit(LATIN_WORD))
-    most = lambda n, share: n * share[1] >= total * share[0]
-    kana_rich = c["kana"] * KANA_PER_CJK >= cjk
-    return (
-        F.when(total == 0, None)
-        .when((c["hangul"] >= HANGUL_LEAST) & most(c["hangul"], CJK_SHARE), "ko")
-        .when((c["kana"] >= KANA_LEAST) & (cjk >= CJK_LEAST) & most(cjk, CJK_SHARE) & kana_rich, "ja")
-        .when((c["han"] >= HAN_LEAST) & most(c["han"], CJK_SHARE) & ~kana_rich, "han")
-        .when((c["latin"] >= LATIN_LEAST) & (words >= LATIN_WORDS) & most(c["latin"], LATIN_SHARE), "latin")
-    )
+    return once(F.struct(*[n.alias(k) for k, n in script_counts(s).items()], words.alias("words")), strongest)
 
 
 def reconcile(detected: Column, s: Column, override: Column | None = None) -> Column:
     """The language of a transcript from the detector's labels and the script of its text."""
-    labels, script = detected_candidates(detected), dominant_script(s)
-    pick = lambda ok: F.element_at(F.filter(labels, ok), 1)
-    first = lambda ok: F.when(F.exists(labels, ok), pick(ok))
-    out = (
-        F.when(script == "han", F.coalesce(first(lambda p: to_code(p).isin("zh", "yue", "ja")), F.lit("zh")))
-        .when(script.isin("ja", "ko"), F.coalesce(first(lambda p: to_code(p) == script), script))
-        .when(script == "latin", F.coalesce(first(lambda p: to_code(p).isin(*LATIN)), F.get(labels, F.lit(0))))
-        .otherwise(F.get(labels, F.lit(0)))
-    )
+    pick = lambda labels, ok: F.element_at(F.filter(labels, ok), 1)
+    first = lambda labels, ok: F.when(F.exists(labels, ok), pick(labels, ok))
+
+    def chosen(x: Column) -> Column:
+        labels, script = x["labels"], x["script"]
+        return (
+            F.when(script == "han", F.coalesce(first(labels, lambda p: to_code(p).isin("zh", "yue", "ja")), F.lit("zh")))
+            .when(script.isin("ja", "ko"), F.coalesce(first(labels, lambda p: to_code(p) == script), script))
+            .when(script == "latin", F.coalesce(first(labels, lambda p: to_code(p).isin(*LATIN)), F.get(labels, F.lit(0))))
+            .otherwise(F.get(labels, F.lit(0)))
+        )
+
+    out = once(F.struct(detected_candidates(detected).alias("labels"), dominant_script(s).alias("script")), chosen)
     return out if override is None else F.coalesce(F.nullif(F.trim(override), F.lit("")), out)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.language import reconcile, spaced, to_code
-from ..functions.text import content_mass, line_end_penalty, spaced_tokens
+from ..functions.text import content_mass, line_end_penalty, once, spaced_tokens
 from .intervals import TRACK
 from .stretches import computed
 from .timing import ordered, so_far
@@ -17,9 +17,8 @@ def vote_language(chunks: DataFrame, default: str | None = "english") -> DataFra
 
     Of equal ones the first met wins. Tracks without any mass get ``default``.
     """
-    effective = reconcile(F.col("detected"), F.col("text"))
-    key = F.coalesce(to_code(effective), F.lower(F.trim(effective)))
-    rows = chunks.select(TRACK, "seq", key.alias("lang"), content_mass(F.col("text")).alias("mass"))
+    key = once(reconcile(F.col("detected"), F.col("text")), lambda name: F.coalesce(to_code(name), F.lower(F.trim(name))))
+    rows = computed(chunks.select(TRACK, "seq", key.alias("lang"), content_mass(F.col("text")).alias("mass")))
     sums = rows.where("lang is not null and mass > 0").groupBy(TRACK, "lang").agg(F.sum("mass").alias("mass"), F.min("seq").alias("seq"))
     rank = F.row_number().over(Window.partitionBy(TRACK).orderBy(F.desc("mass"), "seq"))
     best = sums.withColumn("_r", rank).where("_r = 1").select(TRACK, "lang")
