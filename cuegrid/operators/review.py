@@ -12,6 +12,7 @@ from pyspark.sql.types import DoubleType
 from ..functions.layout import wrapped as laid_out
 from ..functions.text import dash_parts, is_dash_cue, lyric_display, one_line, strip_for_translation
 from .intervals import TRACK
+from .stretches import computed
 
 #: The second half of a two-speaker cue is asked for under its index plus this.
 SECOND_HALF = 1_000_000
@@ -64,13 +65,15 @@ def translated_cues(cues: DataFrame, answers: DataFrame, lang: str | None, wrapp
     """Cues with their translation laid out for ``lang``; without one the source text stays."""
     rows = cues.join(answers.select(TRACK, F.col("i").alias("seq"), F.col("t").alias("_t")), [TRACK, "seq"], "left")
     lyric = F.coalesce("lyric", F.lit(False))
-    plain = strip_for_translation(F.coalesce(F.nullif(F.trim("_t"), F.lit("")), "text"))
+    dual, said = F.coalesce(~lyric & is_dash_cue(F.col("text")), F.lit(False)), F.coalesce(F.nullif(F.trim("_t"), F.lit("")), "text")
+    rows = computed(rows.withColumns({"_dual": dual, "_said": said}))
+    rows = computed(rows.withColumn("_plain", F.when(~F.col("_dual"), strip_for_translation(F.col("_said")))))
+    plain = F.col("_plain")
     if wrapped and lang:
         plain = laid_out(plain, F.lit(lang), F.lit(2))
     source, halves = dash_parts(F.col("text")), F.split(F.coalesce("_t", F.lit("")), "\n")
     half = lambda k: F.concat(F.lit("-"), strip_for_translation(F.coalesce(F.nullif(one_line(F.get(halves, F.lit(k))), F.lit("")), F.get(source, F.lit(k)))))
-    dual = F.concat(half(0), F.lit("\n"), half(1))
-    out = F.when(~lyric & is_dash_cue(F.col("text")), dual).otherwise(lyric_display(plain, lyric))
+    out = F.when(F.col("_dual"), F.concat(half(0), F.lit("\n"), half(1))).otherwise(lyric_display(plain, lyric))
     return rows.withColumn("text", out).select(cues.columns)
 
 
