@@ -16,7 +16,7 @@ from ..functions.text import merge_stutters, reading_chars, strip_punctuation, v
 from ..operators import folds, packing, particles
 from ..operators.atoms import split_oversized
 from ..operators.intervals import BUCKET_S, TRACK, nearest_point
-from ..operators.stretches import changes
+from ..operators.stretches import by_keys, changes, numbering, spelled
 from ..operators.timing import break_flags, cue_numbers, ordered, polish_timing
 
 
@@ -117,27 +117,40 @@ def _cues(words: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
 def pack_words(words: DataFrame, offline_ms: int = 700) -> DataFrame:
     """Adds ``brk`` and ``cue``: cuts at long pauses, and where the width or duration of a cue would be exceeded.
 
-    The spaced, penalty-free form of packing: a fold over a track's words.
+    The spaced, penalty-free form of packing: a fold over a track's words, which pass in
+    order, once; a task holds a batch and the width and start of the open cue.
     """
     lang = F.col("lang")
-    budget = max_line_length(lang) * max_lines(lang)
-    rows = break_flags(words, F.lit(400), F.lit(1000), F.lit(offline_ms)).withColumn("_w", visual_width(F.col("text")))
-    upto = Window.partitionBy(TRACK).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_block", F.sum(F.col("brk").cast("int")).over(upto))
-    listed = rows.groupBy(TRACK, "_block", "lang").agg(F.array_sort(F.collect_list(F.struct("seq", "_w", "start", "end"))).alias("_rows"))
-    start = F.struct(F.array().cast("array<int>").alias("no"), F.lit(0).alias("k"), F.lit(-1).alias("width"), F.lit(None).cast("double").alias("from"))
-
-    def step(acc, r):
-        over = (acc["width"] >= 0) & ((acc["width"] + 1 + r["_w"] > budget) | (r["end"] - acc["from"] > 7.0))
-        k = acc["k"] + F.when(over, 1).otherwise(0)
-        fresh = over | (acc["width"] < 0)
-        return F.struct(F.concat(acc["no"], F.array(k)).alias("no"), k.alias("k"), F.when(fresh, r["_w"]).otherwise(acc["width"] + 1 + r["_w"]).alias("width"), F.when(fresh, r["start"]).otherwise(acc["from"]).alias("from"))
-
-    packed = listed.select(TRACK, F.explode(F.arrays_zip(F.col("_rows.seq").alias("seq"), F.aggregate("_rows", start, step)["no"].alias("part"))).alias("z")).select(TRACK, "z.*")
-    joined = rows.join(packed, [TRACK, "seq"])
-    w = Window.partitionBy(TRACK).orderBy("seq")
-    new = F.coalesce((F.col("part") != F.lag("part").over(w)) | F.col("brk"), F.lit(False))
-    return joined.withColumn("brk", new).withColumn("cue", F.sum(F.when(F.col("brk"), 1).otherwise(0)).over(upto)).drop("_w", "_block", "part")
+    rows = break_flags(words, F.lit(400), F.lit(1000), F.lit(offline_ms)).withColumns({"_w": visual_width(F.col("text")), "_room": max_line_length(lang) * max_lines(lang)})
+    given = [c for c in rows.columns if c not in ("brk", "_w", "_room")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tracks, number = by_keys(TRACK), numbering(TRACK)
+        held: dict = {}  # between two pauses, for each language: number of the open cue, its width and start
+        before = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            first, brk = tracks(batch), batch.column("brk").to_numpy(zero_copy_only=False)
+            new = brk.copy()
+            columns = [batch.column(c).to_pylist() for c in ("lang", "_w", "_room", "start", "end")]
+            for i, (opens, g, w, room, start, end) in enumerate(zip((first | brk).tolist(), *columns, strict=True)):
+                if opens:
+                    held = {}
+                part, cells, since = held.get(g, (0, -1, None))
+                late = end is not None and since is not None and end - since > 7.0
+                if cells == -1 or (cells is not None and (late or (w is not None and cells + 1 + w > room))):
+                    part += cells != -1
+                    cells, since = w, start
+                elif cells is not None:
+                    cells = None if w is None else cells + 1 + w
+                held[g] = part, cells, since
+                if not opens and part != before:
+                    new[i] = True
+                before = part
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in given], pa.array(new), pa.array(number(batch, new) + 1)], [*given, "brk", "cue"])
+
+    return rows.mapInArrow(run, spelled(rows.select(*given), "brk boolean", "cue bigint"))
 
 
 def polish(cues: DataFrame) -> DataFrame:
