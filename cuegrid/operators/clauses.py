@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.language import WIDE, spaced
 from ..functions.layout import wrapped
-from ..functions.text import PAUSE_COMMAS, join_tokens, reading_chars, sentences, tokens, visual_length
-from .align import distribute_units
+from ..functions.text import PAUSE_COMMAS, join_tokens, once, reading_chars, sentences, tokens, visual_length
 from .intervals import TRACK
-from .timing import block_spans
+from .timing import ordered, so_far
 
 #: Least visible length of a clause before a cut at a comma: in wide scripts, and in others.
 MIN_WIDE, MIN_OTHER = 6, 18
@@ -34,12 +33,16 @@ def comma_clauses(s: Column, lang: Column) -> Column:
         return F.regexp_count(bare, marks)
 
     def step(acc: Column, piece: Column) -> Column:
-        both = F.concat(acc["open"], piece)
-        over = (acc["open"] != "") & (load(both) > 1)
-        done = F.when(over, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"])
-        now = F.when(over, piece).otherwise(both)
-        full = visual_length(now, ~unspaced) >= least
-        return F.struct(F.when(full, F.concat(done, F.array(now))).otherwise(done).alias("done"), F.when(full, "").otherwise(now).alias("open"))
+        def cut(over: Column) -> Column:
+            done = F.when(over, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"])
+            now = F.when(over, piece).otherwise(F.concat(acc["open"], piece))
+            return once(F.struct(done.alias("done"), now.alias("now"), (visual_length(now, ~unspaced) >= least).alias("full")), kept)
+
+        return once((acc["open"] != "") & (load(F.concat(acc["open"], piece)) > 1), cut)
+
+    def kept(x: Column) -> Column:
+        done = F.when(x["full"], F.concat(x["done"], F.array(x["now"]))).otherwise(x["done"])
+        return F.struct(done.alias("done"), F.when(x["full"], "").otherwise(x["now"]).alias("open"))
 
     def finish(acc: Column) -> Column:
         done, rest = acc["done"], acc["open"]
@@ -70,9 +73,26 @@ def clause_cues(texts: DataFrame, units: DataFrame, at_commas: bool = True) -> D
 
     A clause beyond the units has no times.
     """
-    clauses = clause_table(texts, at_commas)
-    spans = block_spans(distribute_units(units, clauses.select(TRACK, "seq", "n")).where("block is not null"))
-    return clauses.join(spans.withColumnRenamed("block", "seq"), [TRACK, "seq"], "left").select(TRACK, "seq", "lang", "text", "start", "end")
+    return with_times(clause_table(texts, at_commas), units).select(TRACK, "seq", "lang", "text", "start", "end")
+
+
+def with_times(blocks: DataFrame, units: DataFrame) -> DataFrame:
+    """Adds start of the first and end of the last of the units (track_id, seq, start, end) that blocks (track_id, seq, n) take in order, n each.
+
+    Nothing is joined: heads of blocks, units and ends of blocks pass in the order of the track.
+    """
+    kind, some = F.col("_kind"), (F.col("n") > 0) & F.col(TRACK).isNotNull()
+    placed = blocks.withColumn("_hi", F.sum("n").over(so_far())).withColumn("_lo", F.col("_hi") - F.col("n"))
+    heads = placed.where(some).select(TRACK, F.col("_lo").alias("_at"), F.lit(0).alias("_kind"))
+    numbered = units.select(TRACK, (F.row_number().over(ordered()) - 1).cast("long").alias("_at"), F.lit(1).alias("_kind"), F.col("start").alias("_start"), F.col("end").alias("_end"))
+    tails = placed.select(*blocks.columns, "_lo", (F.col("_hi") - 1).alias("_at"), F.lit(2).alias("_kind"))
+    rows = tails.unionByName(numbered, allowMissingColumns=True).unionByName(heads, allowMissingColumns=True)
+    order = Window.partitionBy(TRACK).orderBy("_at", "_kind")
+    last = lambda x: F.last(x, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_next", F.lead(F.when(kind == 1, F.col("_start"))).over(order))
+    rows = rows.withColumn("_head", last(F.when(kind == 0, F.struct("_next")))).withColumn("_unit", last(F.when(kind == 1, F.struct("_at", "_end"))))
+    ended = F.when(some & (F.col("_unit")["_at"] >= F.col("_lo")), F.col("_unit")["_end"])
+    return rows.where(kind == 2).select(*blocks.columns, F.when(some, F.col("_head")["_next"]).alias("start"), ended.alias("end"))
 
 
 def one_segment(units: DataFrame) -> DataFrame:
