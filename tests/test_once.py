@@ -34,7 +34,7 @@ def test_a_vote_counts_each_script_once(spark):
     rows = spark.createDataFrame([(1, 0, "English", "plain words in here"), (2, 0, "ja, en", "これは日本語です"), (3, 0, "de", "...")], "track_id int, seq int, detected string, text string")
     voted = metrics.vote_language(rows)
     assert sorted(map(tuple, voted.collect())) == [(1, "en"), (2, "ja"), (3, "english")]
-    assert plan(voted).count("regexp_count(") + plan(voted).count("regexpcount(") <= 6
+    assert 0 < plan(voted).count("regexp_extract_all(") <= 6
 
 
 def test_a_translation_is_cleaned_once(spark):
