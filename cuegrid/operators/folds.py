@@ -195,14 +195,9 @@ def _per_track(cues: DataFrame, change: Callable[[list[dict]], list[dict]], gap_
 
         return opens
 
-    def run(rows: list[dict]) -> list[dict]:
-        for r in rows:
-            r["word_data"] = r["word_data"] or []
-        return change(rows)
-
     # a cue between two such pauses has nothing to be joined with
     rows = cues if in_order else cues.withColumn("_k", F.row_number().over(ordered()))  # kept so that the order of its window is
-    return in_stretches(rows, TRACK, opening, lambda _, __, size: (size > 1) | (not alone_stays), run, spelled(rows)).select(cues.columns)
+    return in_stretches(rows, TRACK, opening, lambda _, __, size: (size > 1) | (not alone_stays), change, spelled(rows)).select(cues.columns)
 
 
 def _one(host: dict, a: dict, b: dict, lang: str, start: float, end: float) -> dict:

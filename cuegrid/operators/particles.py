@@ -8,7 +8,9 @@ number of cues and moving on the number to come, so it ends.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -16,9 +18,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.language import WIDE
 from ..functions.layout import end_penalty, fits, solid_units, start_penalty, width
 from .intervals import TRACK
-from .stretches import by_keys, in_stretches, spelled
+from .stretches import Units, by_keys, in_stretches, spelled
 from .timing import ordered
 
 LANGS = ("zh", "yue", "ja")
@@ -31,22 +34,15 @@ class _Edge:
 
     def __init__(self, left: dict, right: dict):
         self.left, self.right, self.lang = left, right, left["lang"]
-        self.units = [*left["word_data"], *right["word_data"]]
+        self.units = left["word_data"] + right["word_data"]
         bare = [c["text"].replace("\n", "").strip() for c in (left, right)]
         self.text = "".join(bare)
         self.atoms = solid_units(self.text)
-        self.at = np.cumsum([0, *[len(a) for a in self.atoms]])  # units before each atom
-        before = sum(not x.isspace() for x in bare[0])
-        where = np.flatnonzero(self.at == before)
-        self.given = int(where[0]) if len(where) else 0
+        self.at = [0, *accumulate(map(len, self.atoms))]  # units before each atom
+        self.before = len("".join(bare[0].split()))
+        where = bisect_left(self.at, self.before)
+        self.given = where if where < len(self.at) and self.at[where] == self.before else 0
         self.known = self.at[-1] == len(self.units) and 0 < self.given < len(self.atoms)
-        self.before = before
-
-    def pause(self) -> float | None:
-        ends = [u["end"] for u in self.left["word_data"] if u["end"] is not None]
-        starts = [u["start"] for u in self.right["word_data"] if u["start"] is not None]
-        end, start = ends[-1] if ends else self.left["end"], starts[0] if starts else self.right["start"]
-        return None if end is None or start is None else start - end
 
     def phrases(self) -> list[int] | None:
         """Units at which phrases begin, that of the second cue among them; None where they are not known."""
@@ -55,74 +51,100 @@ class _Edge:
             return None
         return [*[int(p) for p in left], self.before, *[int(p) + self.before for p in right]]
 
-    def places(self) -> np.ndarray:
+    def places(self) -> list[int]:
         """Atoms that begin a phrase, and the given cut; every atom where no phrases are known."""
         known = self.phrases()
         if known is None:
-            return np.arange(1, len(self.atoms))
-        return np.array([k for k in range(1, len(self.atoms)) if k == self.given or int(self.at[k]) in known])
+            return list(range(1, len(self.atoms)))
+        return [k for k in range(1, len(self.atoms)) if k == self.given or self.at[k] in known]
 
-    def torn(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def torn(self, places: list[int]) -> tuple[list[int], list[int]]:
         """What a cut at each place leaves at the end of one cue, and at the start of the next."""
-        edges = [0, *places.tolist(), len(self.atoms)]
-        phrases = ["".join(self.atoms[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
-        return np.array([end_penalty(p, self.lang) for p in phrases[:-1]]), np.array([start_penalty(p, self.lang) for p in phrases[1:]])
-
-    def costs(self, places: np.ndarray) -> np.ndarray:
-        """A row for each place, compared from the left: torn phrases, short pauses and slivers, unlike widths, later places first."""
-        ends, starts = self.torn(places)
-        cells = np.cumsum([0, *map(width, self.atoms)])
-        first, second = cells[places], cells[-1] - cells[places]
-        unit = self.at[places]
-        ms = np.array([np.nan if self.units[u]["start"] is None or self.units[u - 1]["end"] is None else max(0.0, 1000 * (self.units[u]["start"] - self.units[u - 1]["end"])) for u in unit], float)
-        quick = np.select([ms < 40, ms < 120, ms < 220], [3, 2, 1], 0)
-        least = np.minimum(first, second)
-        sliver = np.select([least <= 1, least <= 2], [8, 4], 0)
-        return np.stack([3 * (ends + starts), quick + sliver, np.abs(first - second), -places], axis=1)
+        phrases, lang = self.atoms, self.lang
+        if len(places) != len(self.atoms) - 1:
+            edges = [0, *places, len(self.atoms)]
+            phrases = ["".join(self.atoms[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+        return [end_penalty(p, lang) for p in phrases[:-1]], [start_penalty(p, lang) for p in phrases[1:]]
+
+    def cheaper(self, places: list[int], here: int, ends: list[int], starts: list[int], room: int) -> list[int]:
+        """The places that cost less than the ``here``-th and leave no side wider than ``room``, the least first.
+
+        Costs are compared from the left: torn phrases, short pauses and slivers, unlike widths, later places first.
+        """
+        cells = [0, *accumulate([2 if len(a) == 1 and not a.isascii() else width(a) for a in self.atoms])]
+        lo, start, end, at, whole = self.units.lo, self.units.start, self.units.end, self.at, cells[-1]
+
+        def cost(k: int) -> tuple[int, int, int, int]:
+            place = places[k]
+            first = cells[place]
+            second = whole - first
+            unit = lo + at[place]
+            s, e = start[unit], end[unit - 1]
+            ms = 220.0 if s is None or e is None else 1000 * (s - e)
+            least = first if first < second else second
+            rest = (3 if ms < 40 else 2 if ms < 120 else 1 if ms < 220 else 0) + (8 if least <= 1 else 4 if least <= 2 else 0)
+            return 3 * (ends[k] + starts[k]), rest, abs(first - second), -place
+
+        most, low = ends[here] + starts[here], whole - room
+        near = [k for k, place in enumerate(places) if low <= cells[place] <= room and ends[k] + starts[k] <= most and k != here]
+        if not near:
+            return []
+        limit = cost(here)
+        return [-c[3] for c in sorted(c for c in map(cost, near) if c < limit)]
 
     def recut(self, at: int) -> list[dict] | None:
         """The two cues for another cut; None if a side has no time."""
-        k = int(self.at[at])
-        ends = [u["end"] for u in self.units[:k] if u["end"] is not None]
-        starts = [u["start"] for u in self.units[k:] if u["start"] is not None]
-        if not ends or not starts:
+        k = self.at[at]
+        a, b = self.units.parted(k)
+        end, start = a.last_end(), b.first_start()
+        if end is None or start is None:
             return None
-        halves = [(self.atoms[:at], self.units[:k]), (self.atoms[at:], self.units[k:])]
-        texts = ["".join(atoms) for atoms, _ in halves]
         known = self.phrases()
         first, second = (None, None) if known is None else ([p for p in known if p < k], [p - k for p in known if p > k])
-        return [self.left | {"text": texts[0], "end": ends[-1], "word_data": halves[0][1], "phrases": first}, self.right | {"text": texts[1], "start": starts[0], "word_data": halves[1][1], "phrases": second}]
+        texts = "".join(self.atoms[:at]), "".join(self.atoms[at:])
+        return [self.left | {"text": texts[0], "end": end, "word_data": a, "phrases": first}, self.right | {"text": texts[1], "start": start, "word_data": b, "phrases": second}]
 
 
 def mended(left: dict, right: dict, line: int, lines: int, max_s: float, connected_s: float) -> list[dict] | None:
-    """The cues that two neighbours become: one, two cut elsewhere, or None if their edge stays."""
+    """The cues that two neighbours become: one, two cut elsewhere, or None if their edge stays. ``word_data`` are lists."""
+    units = Units.of([*left["word_data"], *right["word_data"]])
+    a, b = units.parted(len(left["word_data"]))
+    found = _mended(left | {"word_data": a}, right | {"word_data": b}, line, lines, max_s, connected_s)
+    listed = lambda u: [{"start": s, "end": e} for s, e in zip(u.start[u.lo : u.hi], u.end[u.lo : u.hi], strict=True)]
+    return None if found is None else [c | {"word_data": listed(c["word_data"])} for c in found]
+
+
+def _mended(left: dict, right: dict, line: int, lines: int, max_s: float, connected_s: float) -> list[dict] | None:
     first, second = left["text"].rstrip(), right["text"].lstrip()
-    if not (first and second and left["word_data"] and right["word_data"]):
+    a, b = left["word_data"], right["word_data"]
+    if not (first and second and len(a) and len(b)):
         return None
-    if left.get("phrases") is None and max(end_penalty(first[-1], left["lang"]), start_penalty(second[0], left["lang"])) < TOO_BAD:
+    if left.get("phrases") is None and end_penalty(first[-1], left["lang"]) < TOO_BAD and start_penalty(second[0], left["lang"]) < TOO_BAD:
         return None  # nothing torn, whatever else holds
+    end, start = a.last_end(), b.first_start()
+    end, start = left["end"] if end is None else end, right["start"] if start is None else start
+    if end is None or start is None or not -1e-6 <= start - end < connected_s:
+        return None
     e = _Edge(left, right)
-    pause = e.pause()
-    if pause is None or not -1e-6 <= pause < connected_s or not e.known:
+    if not e.known:
         return None
     places = e.places()
     ends, starts = e.torn(places)
-    here = int(np.flatnonzero(places == e.given)[0])
+    here = places.index(e.given)
     if max(ends[here], starts[here]) < TOO_BAD:
         return None
     if right["end"] - left["start"] <= max_s + TINY and fits(e.text, line, lines, e.lang):
         return [left | {"text": e.text, "end": right["end"], "word_data": e.units, "phrases": e.phrases()}]
-    costs = e.costs(places)
-    for k in np.lexsort(costs.T[::-1]):
-        if k == here:
-            return None  # nothing cheaper holds
-        two = e.recut(int(places[k]))
-        if two and all(fits(c["text"], line, lines, e.lang) for c in two):
-            spans = [[u[s] for u in c["word_data"] if u[s] is not None] for c in two for s in ("start", "end")]
-            spoken = [(spans[i][0] if spans[i] else c["start"], spans[i + 1][-1] if spans[i + 1] else c["end"]) for i, c in zip((0, 2), two, strict=True)]
-            if all(b - a <= max_s + TINY for a, b in spoken):
-                return two
-    return None
+    for place in e.cheaper(places, here, ends, starts, line * lines * (2 if e.lang in WIDE else 1)):
+        two = e.recut(place)
+        if two and all(fits(c["text"], line, lines, e.lang) for c in two) and all(_spoken(c) <= max_s + TINY for c in two):
+            return two
+    return None  # nothing cheaper holds
+
+
+def _spoken(cue: dict) -> float:
+    start, end = cue["word_data"].first_start(), cue["word_data"].last_end()
+    return (cue["end"] if end is None else end) - (cue["start"] if start is None else start)
 
 
 def zipped(cues: list[dict], line: int, lines: int, max_s: float, connected_s: float) -> list[dict]:
@@ -130,7 +152,7 @@ def zipped(cues: list[dict], line: int, lines: int, max_s: float, connected_s: f
     stand: list[dict] = []
     coming = cues[::-1]
     while coming:
-        found = mended(stand[-1], coming[-1], line, lines, max_s, connected_s) if stand else None
+        found = _mended(stand[-1], coming[-1], line, lines, max_s, connected_s) if stand else None
         if found is None:
             stand.append(coming.pop())
         elif len(found) == 1:
@@ -168,8 +190,6 @@ def mend_particles(cues: DataFrame, line: int, lines: int, max_s: float, connect
         return pc.is_in(batch.column("lang").take(pa.array(starts)), pa.array(LANGS)).to_numpy(zero_copy_only=False) & (size > 1)
 
     def run(stretch: list[dict]) -> list[dict]:
-        for c in stretch:
-            c["word_data"] = c["word_data"] or []
         return zipped(stretch, line, lines, max_s, connected_s)
 
     rows = cues if in_order else cues.withColumn("_k", F.row_number().over(ordered()))  # kept so that the order of its window is

@@ -1,9 +1,13 @@
 """Whole results where a rule of thumb had held back, and steps that were too slow for long tables."""
 
 import duckdb
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from cuegrid import queries
-from cuegrid.operators import stored
+from cuegrid.operators import align, particles, stored
+from cuegrid.operators.stretches import Units
+from cuegrid.plans import streams
 
 
 def against_sql(spark, name, folder, texts):
@@ -28,3 +32,27 @@ def test_a_given_language_holds_for_its_tracks_alone(spark):
     units = spark.createDataFrame([(1, 0, "en", "了中", 0.0, 0.2, "zh"), (2, 0, "en", "了中", 0.0, 0.2, None)], "track_id int, seq int, lang string, text string, start double, end double, given string")
     got = sorted(tuple(r)[:4] for r in stored.repair_language(units, units["given"]).collect())
     assert got == [(1, 0, "zh", "了"), (1, 1, "zh", "中"), (2, 0, "en", "了中")]
+
+
+def test_cues_are_taken_apart_by_ranges_and_costs_are_asked_only_where_both_sides_fit(monkeypatch):
+    text = "のをにへしでとがまよりたなは" * 4
+    units = Units.of([{"start": 0.2 * k, "end": 0.2 * k + 0.2} for k in range(len(text))])
+    cues, at = [], 0
+    while at < len(text):
+        n = 4 + at % 5
+        own, units = units.parted(min(n, len(units)))
+        cues.append({"lang": "ja", "text": text[at : at + n], "start": own.first_start(), "end": own.last_end(), "word_data": own})
+        at += n
+    asked = []
+    recut = particles._Edge.recut
+    monkeypatch.setattr(particles._Edge, "recut", lambda self, at: asked.append(at) or recut(self, at))
+    out = particles.zipped(cues, 9, 1, 7.0, 0.3)
+    assert "".join(c["text"] for c in out) == text
+    assert [len(c["word_data"]) for c in out] == [len(c["text"]) for c in out]
+    assert all(c["word_data"].start is units.start for c in out) and len(asked) <= len(cues)
+
+
+def test_letters_are_not_dealt_out_again(spark):
+    plan = align.explode_characters(streams.word_stream(spark.createDataFrame([(1, "en", "so it was.")], "doc_id long, lang string, text string")))
+    numbered = plan.withColumn("n", F.row_number().over(Window.partitionBy("track_id").orderBy("seq", "k")))
+    assert numbered._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
