@@ -5,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cuegrid import queries
-from cuegrid.operators import align, particles, stored
+from cuegrid.operators import align, packing, particles, stored
 from cuegrid.operators.stretches import Units
 from cuegrid.plans import streams
 
@@ -56,3 +56,16 @@ def test_letters_are_not_dealt_out_again(spark):
     plan = align.explode_characters(streams.word_stream(spark.createDataFrame([(1, "en", "so it was.")], "doc_id long, lang string, text string")))
     numbered = plan.withColumn("n", F.row_number().over(Window.partitionBy("track_id").orderBy("seq", "k")))
     assert numbered._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_words_are_packed_with_widths_looked_up(monkeypatch):
+    """A word's width is measured once however often its cue is cut, and a wrap is tried word by word."""
+    words = [{"text": f"word{k % 7},", "start": 0.4 * k, "end": 0.4 * k + 0.3, "brk": k % 90 == 89} for k in range(400)]
+    measured = []
+    monkeypatch.setattr(packing, "width", lambda s: measured.append(s) or len(s))
+    monkeypatch.setattr(packing, "fits", lambda *_: 1 / 0)
+    sizes = packing.cue_sizes(words, "en", 7.0)
+    assert sum(sizes) == 400 and len(measured) == 400
+    ends = [sum(sizes[: k + 1]) for k in range(len(sizes))]
+    assert {89, 179, 269, 359} <= set(ends)
+    assert all(words[b - 1]["end"] - words[b - n]["start"] <= 7.0 for b, n in zip(ends, sizes, strict=True))
