@@ -105,8 +105,9 @@ def strip_for_translation(s: Column) -> Column:
 
 def merge_stutters(s: Column, rounds: int = 6) -> Column:
     """Repeated ASCII words joined by hyphens, ``I I I`` to ``I-I-I``; up to 2**rounds repeats."""
-    once = lambda c: F.regexp_replace(c, STUTTER, "$1-$3")
-    return reduce(lambda c, _: once(c), range(rounds), s)
+    step = lambda c: F.regexp_replace(c, STUTTER, "$1-$3")
+    # few texts have any: the others are looked through once
+    return once(s, lambda t: F.when(t.rlike(STUTTER), reduce(lambda c, _: step(c), range(rounds), t)).otherwise(t))
 
 
 def strip_trailing_punctuation(s: Column) -> Column:

@@ -162,7 +162,9 @@ def polish(cues: DataFrame) -> DataFrame:
 def finish_text(cues: DataFrame) -> DataFrame:
     """Punctuation dropped, stutters joined, lines wrapped."""
     plain = merge_stutters(strip_punctuation(F.col("text")))
-    return cues.withColumn("text", wrapped(plain, F.col("lang"), max_lines(F.col("lang"))))
+    # the plain text is worked out once, not wherever the wrap names it
+    rows = cues.select("*", F.inline(F.array(F.struct(plain.alias("_plain")))))
+    return rows.withColumn("text", wrapped(F.col("_plain"), F.col("lang"), max_lines(F.col("lang")))).select(cues.columns)
 
 
 def full_polish(cues: DataFrame, shots: DataFrame | None = None, line: int = 42, lines: int = 2, max_s: float = 7.0, in_order: bool = False) -> DataFrame:

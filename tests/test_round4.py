@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cuegrid import queries
 from cuegrid.operators import align, packing, particles, stored
 from cuegrid.operators.stretches import Units
-from cuegrid.plans import streams
+from cuegrid.plans import replay, streams
 
 
 def against_sql(spark, name, folder, texts):
@@ -69,3 +69,12 @@ def test_words_are_packed_with_widths_looked_up(monkeypatch):
     ends = [sum(sizes[: k + 1]) for k in range(len(sizes))]
     assert {89, 179, 269, 359} <= set(ends)
     assert all(words[b - 1]["end"] - words[b - n]["start"] <= 7.0 for b, n in zip(ends, sizes, strict=True))
+
+
+def test_texts_are_finished_once_and_stutters_sought_once(spark):
+    cues = spark.createDataFrame([(1, 0, "en", "I I I, think so so.", 0.0, 1.0), (1, 1, "en", None, 1.0, 2.0), (1, 2, "en", "a word " * 20, 2.0, 3.0)], "track_id int, seq int, lang string, text string, start double, end double")
+    out = replay.finish_text(cues)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == 1 and len([x for x in plan.splitlines() if "(?i)" in x]) == 1
+    texts = [r["text"] for r in out.orderBy("seq").collect()]
+    assert texts[:2] == ["I-I-I think so-so", None] and texts[2].replace("\n", " ") == " ".join(["a word"] * 20)
