@@ -1,11 +1,13 @@
 """Whole results where a rule of thumb had held back, and steps that were too slow for long tables."""
 
+import random
+
 import duckdb
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cuegrid import queries
-from cuegrid.operators import align, packing, particles, stored
+from cuegrid.operators import align, packing, particles, speakers, stored
 from cuegrid.operators.stretches import Units
 from cuegrid.plans import replay, streams
 
@@ -78,3 +80,20 @@ def test_texts_are_finished_once_and_stutters_sought_once(spark):
     assert plan.count("RLIKE") == 1 and len([x for x in plan.splitlines() if "(?i)" in x]) == 1
     texts = [r["text"] for r in out.orderBy("seq").collect()]
     assert texts[:2] == ["I-I-I think so-so", None] and texts[2].replace("\n", " ") == " ".join(["a word"] * 20)
+
+
+def test_runs_are_absorbed_as_by_the_column_form(spark):
+    r = random.Random(8)
+    rows = [[(r.choice("AB" if k % 2 else "ABC"), r.choice([0.05, 0.1, 0.11, 0.15, 0.19, 0.3, 0.6])) for _ in range(r.randrange(1, 14))] for k in range(400)]
+    frame = spark.createDataFrame([(k, x) for k, x in enumerate(rows)], "k int, words array<struct<speaker:string,length:double>>")
+    want = {x["k"]: x["s"] for x in frame.select("k", speakers.absorb_tiny_runs(F.col("words")).alias("s")).collect()}
+    assert [speakers.absorbed(x) for x in rows] == [want[k] for k in range(400)]
+
+
+def test_only_words_of_cues_with_several_speakers_are_listed(spark):
+    cues = spark.createDataFrame([(1, k, float(4 * k), 4.0 * k + 4, "a b c d", "en", False) for k in range(3)], "track_id int, seq int, start double, end double, text string, lang string, lyric boolean")
+    words = spark.createDataFrame([(1, k // 4, k % 4, "abcd"[k % 4], float(k), k + 0.9) for k in range(12)], "track_id int, cue int, k int, text string, start double, end double")
+    turns = spark.createDataFrame([(1, 0, 0.0, 6.0, "A"), (1, 1, 6.0, 12.0, "B")], "track_id int, seq int, start double, end double, speaker string")
+    out = speakers.format_speakers(cues, words, turns)
+    assert "(_runs#" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["text"] for r in out.orderBy("seq").collect()] == ["a b c d", "-a b\n-c d", "a b c d"]
