@@ -20,7 +20,7 @@ from ..functions.layout import fits, is_fragment, joined, wrap
 from ..plans.durable import settled
 from .intervals import BUCKET_S, TRACK, interval_join
 from .stretches import AHEAD, BACK, Step, by_keys, carried, in_stretches, reduced, spelled
-from .timing import TWO_FRAMES, ordered
+from .timing import TWO_FRAMES, earlier, ordered, so_far
 
 FRAME = 1.0 / 24.0
 LANDING = 12 * FRAME
@@ -172,7 +172,8 @@ def _per_track(cues: DataFrame, change: Callable[[list[dict]], list[dict]], gap_
     """Applies a pass to each track's cues in order; seq is given anew.
 
     With ``gap_s`` the pass never looks across a pause of that length, counted from the
-    latest end so far, and each stretch between such pauses is passed by itself.
+    latest end so far, and each stretch between such pauses is passed by itself. Unless the
+    cues lie in order already, the stretches are dealt out, so that a long track is many tasks'.
     """
 
     def opening() -> Callable[[pa.RecordBatch], np.ndarray]:
@@ -196,6 +197,13 @@ def _per_track(cues: DataFrame, change: Callable[[list[dict]], list[dict]], gap_
         return opens
 
     # a cue between two such pauses has nothing to be joined with
+    if gap_s is not None and not in_order:
+        paused = F.coalesce(F.col("start") - F.max("end").over(earlier()) >= gap_s, F.lit(False))
+        rows = cues.withColumn("_paused", paused).withColumn("_block", F.count_if("_paused").over(so_far())).drop("_paused")
+        rows = rows.repartition(TRACK, "_block").sortWithinPartitions(TRACK, "_block", "seq")
+        done = in_stretches(rows, TRACK, lambda: by_keys(TRACK, "_block"), lambda _, __, size: (size > 1) | (not alone_stays), change, spelled(rows))
+        place = F.row_number().over(Window.partitionBy(TRACK).orderBy("_block", "seq")) - 1
+        return done.withColumn("seq", place.cast(cues.schema["seq"].dataType)).select(cues.columns)
     rows = cues if in_order else cues.withColumn("_k", F.row_number().over(ordered()))  # kept so that the order of its window is
     return in_stretches(rows, TRACK, opening, lambda _, __, size: (size > 1) | (not alone_stays), change, spelled(rows)).select(cues.columns)
 
