@@ -20,8 +20,9 @@ def read_tracks(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(checked.alias("track_id"), "t.*")
 
 
-def words(tracks: DataFrame) -> DataFrame:
-    return tracks.select("track_id", F.posexplode("word_segments").alias("seq", "w")).select("track_id", "seq", F.col("w.word").alias("text"), "w.start", "w.end")
+def words(tracks: DataFrame, *more: str) -> DataFrame:
+    """track_id, seq, text, start, end of the words, and ``more`` columns of their track."""
+    return tracks.select("track_id", *more, F.posexplode("word_segments").alias("seq", "w")).select("track_id", "seq", F.col("w.word").alias("text"), "w.start", "w.end", *more)
 
 
 def cues(tracks: DataFrame) -> DataFrame:

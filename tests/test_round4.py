@@ -97,3 +97,10 @@ def test_only_words_of_cues_with_several_speakers_are_listed(spark):
     out = speakers.format_speakers(cues, words, turns)
     assert "(_runs#" in out._jdf.queryExecution().optimizedPlan().toString()
     assert [r["text"] for r in out.orderBy("seq").collect()] == ["a b c d", "-a b\n-c d", "a b c d"]
+
+
+def test_track_documents_are_read_once(spark, tmp_path):
+    got, want = against_sql(spark, "s8_track_documents", tmp_path, ["so it was, in the end.", "yes", "one two. three"])
+    assert [r[:3] for r in got] == [r[:3] for r in want] and [r[5] for r in got] == [r[5] for r in want]
+    plan = queries.QUERIES["s8_track_documents"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1 and plan.count("Relation [") == 3
