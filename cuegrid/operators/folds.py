@@ -168,12 +168,12 @@ def plan_alignment_chunks(cues: DataFrame, max_s: float, min_gap_s: float = 1.5,
     )
 
 
-def _per_track(cues: DataFrame, change: Callable[[list[dict]], list[dict]], gap_s: float | None = None, alone_stays: bool = True, in_order: bool = False) -> DataFrame:
+def _per_track(cues: DataFrame, change: Callable[[list[dict]], list[dict]], gap_s: float | None = None, alone_stays: bool = True, in_order: bool = False, deal: bool = False) -> DataFrame:
     """Applies a pass to each track's cues in order; seq is given anew.
 
     With ``gap_s`` the pass never looks across a pause of that length, counted from the
-    latest end so far, and each stretch between such pauses is passed by itself. Unless the
-    cues lie in order already, the stretches are dealt out, so that a long track is many tasks'.
+    latest end so far, and each stretch between such pauses is passed by itself. ``deal``:
+    the stretches are dealt out, so that a long track is many tasks'.
     """
 
     def opening() -> Callable[[pa.RecordBatch], np.ndarray]:
@@ -197,7 +197,7 @@ def _per_track(cues: DataFrame, change: Callable[[list[dict]], list[dict]], gap_
         return opens
 
     # a cue between two such pauses has nothing to be joined with
-    if gap_s is not None and not in_order:
+    if deal and gap_s is not None:
         paused = F.coalesce(F.col("start") - F.max("end").over(earlier()) >= gap_s, F.lit(False))
         rows = cues.withColumn("_paused", paused).withColumn("_block", F.count_if("_paused").over(so_far())).drop("_paused")
         rows = rows.repartition(TRACK, "_block").sortWithinPartitions(TRACK, "_block", "seq")
@@ -276,7 +276,7 @@ def glue_fragments(cues: DataFrame, gap_s: float, line: int, lines: int, max_s:
 
 def merge_and_glue(cues: DataFrame, gap_s: float, line: int, lines: int, max_s: float, min_s: float, floor_s: float = 0.08, in_order: bool = False) -> DataFrame:
     """``merge_micro`` and then ``glue_fragments`` in one visit to each track. ``in_order``: the cues lie in the order of the track already."""
-    return cues if gap_s <= 0 else _per_track(cues, lambda rows: _glued(_micro(rows, gap_s, line, max_s, min_s, lines, floor_s), gap_s, line, lines, max_s), gap_s, in_order=in_order)
+    return cues if gap_s <= 0 else _per_track(cues, lambda rows: _glued(_micro(rows, gap_s, line, max_s, min_s, lines, floor_s), gap_s, line, lines, max_s), gap_s, in_order=in_order, deal=not in_order)
 
 
 def _moved_start(start: float, cut: float) -> float:
